@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, sketch
+from . import langid, mixing, packing, pii, quality, sharding, sketch, token_store
 from .common import documents
 
 
@@ -17,6 +16,29 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(documents(spark, sf_dir))
 
 
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file; its place is a setting of the installed package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), "byte", 2)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), "word", 0)
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(documents(spark, sf_dir))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(documents(spark, sf_dir))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprint_documents(documents(spark, sf_dir))
 
@@ -28,6 +50,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_quality": op3_quality,
+    "op4_token_store": op4_token_store,
+    "op5_packing": op5_packing,
+    "op6_pii": op6_pii,
+    "op9_language": op9_language,
     "op8_fingerprints": op8_fingerprints,
     "op10_mixing": op10_mixing,
 }

@@ -23,6 +23,7 @@ from .common import SPACE_CLASS, Scratch, let
 SHINGLE = 5
 #: One hash in so many is kept.
 SCALE = 8
+MOST_INTERVALS = 100_000
 
 
 def kept_hashes(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
@@ -58,21 +59,21 @@ def fingerprint_documents(docs: DataFrame, rows_each: int = 1000) -> DataFrame:
     """The fingerprint of each text, of its edited text, and their likenesses; see the contract of op8.
 
     A document's neighbour is the next one by descending doc_id. Rows are dealt to intervals of doc_id of about
-    ``rows_each`` rows; the first row of each interval also goes to the interval that needs it, so that each text is
-    shuffled once. Equal doc_ids follow each other by text.
+    ``rows_each`` rows, at most MOST_INTERVALS of them; the first row of each interval also goes to the interval that
+    needs it, so that each text is shuffled once. The list of intervals is broadcast: its size is bounded. Equal doc_ids follow each other by text.
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lo, hi, n = base.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    width = 1 if not n else max(1, math.ceil((hi - lo + 1) / max(1, math.ceil(n / rows_each))))
+    width = 1 if not n else max(1, math.ceil((hi - lo + 1) / min(MOST_INTERVALS, math.ceil(n / rows_each))))
     bucket = F.floor((F.lit(hi if n else 0) - F.col("doc_id")) / F.lit(width))
     own = base.withColumn("_b", bucket)
     # The buckets that have rows, in order, each with the next (the last: the first): what an interval's last row looks at.
     tmp = Scratch(spark, "sketch")
     firsts = own.groupBy("_b").agg(F.min(F.struct((-F.col("doc_id")).alias("k"), F.xxhash64("text").alias("t"))).alias("f"))
     firsts = tmp.save(firsts.select("_b", F.col("f.k").alias("_k"), F.col("f.t").alias("_t")), "firsts")
-    numbered = _linked(firsts, n or 0)
-    heads = own.withColumn("_k", -F.col("doc_id")).withColumn("_t", F.xxhash64("text")).join(numbered, ["_b", "_k", "_t"]).dropDuplicates(["_b"])
+    numbered = _linked(firsts)
+    heads = own.withColumn("_k", -F.col("doc_id")).withColumn("_t", F.xxhash64("text")).join(F.broadcast(numbered), ["_b", "_k", "_t"]).dropDuplicates(["_b"])
     heads = heads.select(F.col("_to").alias("_b"), "doc_id", "text", F.lit(1).alias("_head"))
     rows = own.select("_b", "doc_id", "text", F.lit(0).alias("_head")).unionByName(heads)
     rows = rows.withColumn("_s", kept_hashes(F.col("text")))
@@ -94,7 +95,7 @@ def fingerprint_documents(docs: DataFrame, rows_each: int = 1000) -> DataFrame:
     )
 
 
-def _linked(firsts: DataFrame, n: int) -> DataFrame:
+def _linked(firsts: DataFrame) -> DataFrame:
     """firsts(_b, ...) with _to: the bucket before it in order (the first: the last), by runs of 4096 buckets."""
     runs = firsts.withColumn("_run", F.floor(F.col("_b") / 4096))
     ends = runs.groupBy("_run").agg(F.max("_b").alias("_last"))
