@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, pii, quality, sharding, sketch, token_store
+from . import jaccard, langid, mixing, packing, pii, quality, sharding, sketch, token_store
 from .common import documents
 
 
@@ -35,6 +35,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(documents(spark, sf_dir))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir), 4, (85, 100)).drop("row")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op4_token_store": op4_token_store,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
+    "op7_jaccard": op7_jaccard,
     "op9_language": op9_language,
     "op8_fingerprints": op8_fingerprints,
     "op10_mixing": op10_mixing,
