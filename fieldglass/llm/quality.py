@@ -26,7 +26,7 @@ WINDOW = 8
 #: Statistics are rounded to this part of a unit.
 UNIT = 256
 #: Least standard deviations, in the statistics' own units; a statistic that is constant in most rows has one too.
-FLOORS = {"words": 0.5, "length": 0.1, "symbols": 0.5, "capitals": 0.4, "shouts": 0.5, "repeats": 0.8, "variety": 0.1}
+FLOORS = {"length": 0.1, "symbols": 0.5, "capitals": 0.4, "shouts": 0.5, "repeats": 0.8}
 NAMES = list(FLOORS)
 #: Up to so many groups, their estimates are broadcast (under 1 KB each); beyond it they are joined by shuffle.
 BROADCAST_GROUPS = 20000
@@ -83,7 +83,6 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         repeated_words(F.col("_words"), F.col("_hashes")).alias("n_repeat_words"),
         less("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_capitals"),
         less("!?").alias("n_shouts"),
-        F.size(F.array_distinct("_words")).cast("long").alias("n_distinct"),
     )
 
 
@@ -92,8 +91,8 @@ def vectors(stats: DataFrame) -> DataFrame:
     n, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     rate = lambda a, b: F.log1p(F.col(a) * 100.0 / b)
     made = {
-        "words": F.log1p("n_words"), "length": F.log(chars / n), "symbols": rate("n_symbols", n), "capitals": rate("n_capitals", chars),
-        "shouts": rate("n_shouts", n), "repeats": rate("n_repeat_words", n), "variety": F.log1p(F.greatest("n_distinct", F.lit(1))),
+        "length": F.log(chars / n), "symbols": rate("n_symbols", n), "capitals": rate("n_capitals", chars),
+        "shouts": rate("n_shouts", n), "repeats": rate("n_repeat_words", n),
     }
     return stats.withColumns({f"x{i}": F.round(made[k] * UNIT).cast("int") for i, k in enumerate(NAMES)})
 
@@ -135,7 +134,7 @@ def _distance(joined: DataFrame, p: int) -> DataFrame:
 def mcd_estimates(v: DataFrame, tmp: Scratch, p: int, keep: float = 0.75, steps: int = 4) -> DataFrame:
     """A row for each group g of v(g, x0, x1, ...): centre m{i} and Cholesky factor l{i}_{j} of the robust covariance."""
     floor = [FLOORS[k] for k in NAMES[:p]]
-    rows = v.filter("g IS NOT NULL").select("g", *[f"x{i}" for i in range(p)])
+    rows = tmp.save(v.filter("g IS NOT NULL").select("g", *[f"x{i}" for i in range(p)]), "vectors")
     med = rows.groupBy("g").agg(*[F.percentile(f"x{i}", 0.5).alias(f"c{i}") for i in range(p)])
     med = tmp.save(med, "medians")
     n_groups = med.count()
@@ -147,6 +146,7 @@ def mcd_estimates(v: DataFrame, tmp: Scratch, p: int, keep: float = 0.75, steps:
     for step in range(steps):
         at = _distance(rows.join(joins(est), "g").select("g", *[f"x{i}" for i in range(p)], *[f"m{i}" for i in range(p)], *[f"l{i}_{j}" for i in range(p) for j in range(i + 1)]), p)
         at = at.select("g", *[f"x{i}" for i in range(p)], F.floor(F.log1p("d2") * 1024).cast("int").alias("b"))
+        at = tmp.save(at, "distances")
         cut = tmp.save(at.groupBy("g").agg(F.ceil(F.percentile("b", keep)).alias("cut")), "cuts")
         inner = at.join(joins(cut), "g").filter("b <= cut")
         sums = inner.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"x{i}").cast("long")).alias(f"t{i}") for i in range(p)], *[F.sum(F.col(f"x{i}").cast("long") * F.col(f"x{j}")).alias(f"t{i}_{j}") for i in range(p) for j in range(i + 1)])
@@ -154,7 +154,7 @@ def mcd_estimates(v: DataFrame, tmp: Scratch, p: int, keep: float = 0.75, steps:
         cov = lambda i, j: (F.col(f"t{i}_{j}") / F.col("n") - mean(i) * mean(j)) / UNIT**2 * scale
         new = sums.select("g", *[(mean(i) / UNIT).alias(f"m{i}") for i in range(p)], *[(cov(i, j) + (floor[i] ** 2 if i == j else 0.0)).alias(f"s{i}_{j}") for i in range(p) for j in range(i + 1)])
         last, est = est, tmp.save(_cholesky(new, p), "estimates")
-        tmp.drop(cut)
+        tmp.drop(cut, at)
         if step:
             fell = last.select("g", F.col("half_log_det").alias("was")).join(est, "g").agg(F.max(F.col("was") - F.col("half_log_det"))).first()[0]
             if fell is None or fell < 1e-6:
