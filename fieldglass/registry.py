@@ -1,6 +1,24 @@
-"""Queries of the reference's operators, by name, with the same query as SQL text."""
+"""Queries by name, each with the same query as SQL text where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under its name."""
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+from .plans import boxes, evaluation, event_queries, landmarks, robust_stats, sampling, statistics, track_queries  # noqa: E402, F401
