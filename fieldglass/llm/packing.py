@@ -116,18 +116,54 @@ def fillings(left: np.ndarray, room: int, most: int = 4) -> Iterator[tuple[int,
     yield tuple(fill)
 
 
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, most_nodes: int = 20_000) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings (lengths, largest first) with how often each is used; as few sequences in all as the search finds."""
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, most_nodes: int = 4000, pool: int = 64) -> list[tuple[tuple[int, ...], int]]:
+    """Fillings (lengths, largest first) with how often each is used; as few sequences in all as the search finds.
+
+    Best fit is the first packing. While it misses the lower bound, its ``pool`` emptiest sequences, with full ones
+    where those are fewer, are packed anew by branch and bound; up to 64 sequences, that is the whole problem.
+    """
     counts = {int(n): int(c) for n, c in counts.items() if c}
     if any(not 0 < n <= capacity for n in counts):
         raise ValueError("lengths must be from 1 to the capacity")
     if not counts:
         return []
-    best = best_fit(counts, capacity)
-    total, bound = sum(n * c for n, c in counts.items()), lower_bound(counts, capacity)
-    score = sum(k for _, k in best)
-    if score == bound:
-        return best
+    best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
+    rounds = 8
+    for turn in range(rounds):
+        score = sum(k for _, k in best)
+        if score == bound:
+            break
+        ranked_ = sorted(best, key=lambda f: (sum(f[0]) == capacity, sum(f[0])))
+        out, rest, room = [], [], pool
+        skip = turn * pool if turn else 0  # later turns take other full sequences to the empty ones
+        for fill, times in ranked_:
+            full = sum(fill) == capacity
+            pass_ = min(times, skip) if full else 0
+            skip -= pass_
+            take = min(times - pass_, room)
+            room -= take
+            if take:
+                out.append((fill, take))
+            if times > take:
+                rest.append((fill, times - take))
+        some: Counter = Counter()
+        for fill, times in out:
+            for n in fill:
+                some[n] += times
+        now = sum(k for _, k in out)
+        found = _search(some, capacity, now, max(lower_bound(some, capacity), now - (score - bound)), most_nodes // rounds)
+        if found:
+            best = rest + found
+        elif now == score:
+            break
+    return best
+
+
+def _search(counts: Counter, capacity: int, score: int, bound: int, most_nodes: int) -> list[tuple[tuple[int, ...], int]] | None:
+    """A packing in fewer than ``score`` sequences by depth-first branch and bound, or None; stops at ``bound``."""
+    if score <= bound:
+        return None
+    best, total = None, sum(n * c for n, c in counts.items())
     left = np.zeros(capacity + 1, np.int64)
     for n, c in counts.items():
         left[n] = c
