@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -107,20 +108,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: i
             if out:
                 yield _frame(out)
 
-    def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
-        for pdf in batches:  # sorted by digest
-            d = pdf["digest"]
-            first = d.notna() & (d != d.shift(1))
-            if len(pdf) and first.iloc[0] and d.iloc[0] == last:
-                first.iloc[0] = False
-            if len(pdf):
-                last = d.iloc[-1]
-            yield pdf[(pdf["kind"] == 0) | first]
-
     made = rows.mapInPandas(chunked, STORED)
-    dealt = made.repartition(F.xxhash64("key", "kind")).sortWithinPartitions("kind", "digest")
-    dealt.mapInPandas(once, STORED).drop("key").write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    last = F.lag("digest").over(W.partitionBy("kind", "key").orderBy("digest"))  # a key is a part of the digest: few rows have one
+    once = made.withColumn("_last", last).filter((F.col("kind") == 0) | F.col("_last").isNull() | (F.col("_last") != F.col("digest")))
+    once.drop("key", "_last").write.partitionBy("kind").option("compression", "lz4").parquet(path)
 
     rooted = _recipes_as_written(spark, path).withColumn("root", _root("digests"))
     tmp = Scratch(spark, "store")
