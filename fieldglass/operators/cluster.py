@@ -7,30 +7,23 @@ column. Groups are dealt out by Spark; a group's walk is a small helper.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import geometry as G
+from .walk import descending, labelled
 
 
-def _numbered(df: DataFrame, keys: list[str], order: list[str], ascending: list[bool], label) -> DataFrame:
-    """df with ``cluster`` from label(pdf in order); rows whose cluster is negative are dropped."""
-    schema = StructType([*df.schema.fields, StructField("cluster", LongType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ascending=ascending, kind="stable")
-        pdf = pdf.assign(cluster=np.array(label(pdf), np.int64))
-        return pdf[pdf.cluster >= 0]
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+def _order(order: list[str], ascending: list[bool] | None) -> list:
+    return [c if up else descending(c) for c, up in zip(order, ascending or [True] * len(order), strict=True)]
 
 
 def suppress_overlaps(det: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
     """Non-maximum suppression: by falling confidence, a box goes if a kept box overlaps it by an IoU over ``least``."""
-    def label(pdf: pd.DataFrame) -> list[int]:
-        b = pdf[["x", "y", "w", "h"]].to_numpy(float)
+    def label(x, y, w, h) -> list[int]:
+        if len(x) == 1:
+            return [0]
+        b = np.stack([x, y, w, h], 1).astype(float)
         lo, hi, size = b[:, :2], b[:, :2] + b[:, 2:], b[:, 2] * b[:, 3]
         kept, out = [], []
         for i in range(len(b)):
@@ -43,15 +36,15 @@ def suppress_overlaps(det: DataFrame, keys: list[str], least: float = 0.5) -> Da
             kept.append(i)
         return out
 
-    return _numbered(det, keys, ["confidence", "det_id"], [False, True], label).drop("cluster")
+    return labelled(det, keys, [descending("confidence"), "det_id"], ["x", "y", "w", "h"], label).drop("cluster")
 
 
 def leader_clusters(points: DataFrame, keys: list[str], order: list[str], radius: float, to: str = "seed", ascending: list[bool] | None = None) -> DataFrame:
     """points with ``cluster``: each joins the first cluster within the radius of its ``seed``, running ``mean`` or ``any`` member."""
-    def label(pdf: pd.DataFrame) -> list[int]:
+    def label(x, y) -> list[int]:
         found: list[list[np.ndarray]] = []
         out = []
-        for p in pdf[["x", "y"]].to_numpy(float):
+        for p in np.stack([x, y], 1).astype(float):
             for k, c in enumerate(found):
                 where = c[:1] if to == "seed" else [np.mean(c, 0)] if to == "mean" else c
                 d = min(float(np.hypot(*(p - q))) for q in where)
@@ -64,28 +57,28 @@ def leader_clusters(points: DataFrame, keys: list[str], order: list[str], radius
                 out.append(len(found) - 1)
         return out
 
-    return _numbered(points, keys, order, ascending or [True] * len(order), label)
+    return labelled(points, keys, _order(order, ascending), ["x", "y"], label)
 
 
 def spaced(points: DataFrame, keys: list[str], order: list[str], gap: float, ascending: list[bool] | None = None) -> DataFrame:
     """Points kept in order, each at least ``gap`` from those kept before."""
-    def label(pdf: pd.DataFrame) -> list[int]:
+    def label(x, y) -> list[int]:
         kept: list[np.ndarray] = []
         out = []
-        for p in pdf[["x", "y"]].to_numpy(float):
+        for p in np.stack([x, y], 1).astype(float):
             near = any(float(np.hypot(*(p - q))) < gap for q in kept)
             out.append(-1 if near else len(kept))
             if not near:
                 kept.append(p)
         return out
 
-    return _numbered(points, keys, order, ascending or [True] * len(order), label).drop("cluster")
+    return labelled(points, keys, _order(order, ascending), ["x", "y"], label).drop("cluster")
 
 
 def linked_clusters(points: DataFrame, keys: list[str], eps: float) -> DataFrame:
     """points with ``cluster``: connected components of points within eps (density clustering whose least size is one)."""
-    def label(pdf: pd.DataFrame) -> list[int]:
-        p = pdf[["x", "y"]].to_numpy(float)
+    def label(x, y) -> list[int]:
+        p = np.stack([x, y], 1).astype(float)
         out, n = np.full(len(p), -1), 0
         for i in range(len(p)):
             if out[i] < 0:
@@ -98,7 +91,7 @@ def linked_clusters(points: DataFrame, keys: list[str], eps: float) -> DataFrame
                 n += 1
         return out.tolist()
 
-    return _numbered(points, keys, ["x", "y"], [True, True], label)
+    return labelled(points, keys, ["x", "y"], ["x", "y"], label)
 
 
 def grid_fuse(points: DataFrame, keys: list[str], cell: float = 8.0) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .walk import descending, labelled, made
 
 
 def corners(df: DataFrame, prefix: str = "") -> tuple:
@@ -51,17 +51,18 @@ def greedy_matches(candidates: DataFrame) -> DataFrame:
 
     The candidates are joined and filtered by Spark; only those of one image and class, a few, are walked in order.
     """
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "pred", "iou", "target"], ascending=[False, True, False, True])
-        taken, done, keep = set(), set(), []
-        for i, p, t in zip(pdf.index, pdf["pred"], pdf["target"], strict=True):
-            if p not in done and t not in taken:
+    def pick(pred, target) -> list[int]:
+        taken, done, out = set(), set(), []
+        for p, t in zip(pred.tolist(), target.tolist(), strict=True):
+            free = p not in done and t not in taken
+            out.append(0 if free else -1)
+            if free:
                 done.add(p)
                 taken.add(t)
-                keep.append(i)
-        return pdf.loc[keep]
+        return out
 
-    return candidates.groupBy("frame_id", "class_id").applyInPandas(walk, candidates.schema)
+    order = [descending("score"), "pred", descending("iou"), "target"]
+    return labelled(candidates, ["frame_id", "class_id"], order, ["pred", "target"], pick).drop("cluster")
 
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -100,18 +101,17 @@ def optimal_matches(pred: DataFrame, gt: DataFrame, by: str = "iou") -> DataFram
     cols = ["frame_id", "class_id", "det_id", "x", "y", "w", "h"]
     both = pred.select(*cols, F.lit(0).alias("side")).unionByName(gt.select(*cols, F.lit(1).alias("side")))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, g = pdf[pdf.side == 0].sort_values("det_id"), pdf[pdf.side == 1].sort_values("det_id")
-        out = []
-        if len(p) and len(g):
-            a, b = p[["x", "y", "w", "h"]].to_numpy()[:, None], g[["x", "y", "w", "h"]].to_numpy()[None]
-            size = np.minimum(a[..., :2] + a[..., 2:], b[..., :2] + b[..., 2:]) - np.maximum(a[..., :2], b[..., :2])
-            inter = np.clip(size, 0, None).prod(-1)
-            iou = inter / np.maximum(a[..., 2:].prod(-1) + b[..., 2:].prod(-1) - inter, 1e-6)
-            gap = a[..., :2] + a[..., 2:] / 2 - b[..., :2] - b[..., 2:] / 2
-            dist = np.sqrt((gap**2).sum(-1))
-            for i, j in assignment(1 - iou if by == "iou" else dist):
-                out.append((pdf.frame_id.iloc[0], pdf.class_id.iloc[0], p.det_id.iloc[i], g.det_id.iloc[j], iou[i, j], dist[i, j]))
-        return pd.DataFrame(out, columns=["frame_id", "class_id", "pred", "target", "iou", "distance"])
-
-    return both.groupBy("frame_id", "class_id").applyInPandas(solve, "frame_id long, class_id int, pred long, target long, iou double, distance double")
+    def solve(side, det_id, x, y, w, h) -> list[tuple]:
+        p, g = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(p) or not len(g):
+            return []
+        box = np.stack([x, y, w, h], 1)
+        a, b = box[p][:, None], box[g][None]
+        size = np.minimum(a[..., :2] + a[..., 2:], b[..., :2] + b[..., 2:]) - np.maximum(a[..., :2], b[..., :2])
+        inter = np.clip(size, 0, None).prod(-1)
+        iou = inter / np.maximum(a[..., 2:].prod(-1) + b[..., 2:].prod(-1) - inter, 1e-6)
+        gap = a[..., :2] + a[..., 2:] / 2 - b[..., :2] - b[..., 2:] / 2
+        dist = np.sqrt((gap**2).sum(-1))
+        return [(det_id[p[i]], det_id[g[j]], iou[i, j], dist[i, j]) for i, j in assignment(1 - iou if by == "iou" else dist)]
+
+    return made(both, ["frame_id", "class_id"], ["side", "det_id"], ["side", "det_id", "x", "y", "w", "h"], solve, "frame_id long, class_id int, pred long, target long, iou double, distance double")

@@ -13,17 +13,17 @@ from ..registry import query
 _D, _P = sql("det"), sql("det", "pos")
 r6 = lambda c: F.round(c, 6)
 #: A homography for the examples: the image's four corners on the pitch's, with a slight tilt.
-H = [0.09, 0.002, -58.0, 0.001, 0.07, -37.5, 0.0001, 0.0002, 1.0]
+H = [0.0901373, 0.0020719, -58.01371, 0.0010393, 0.0701171, -37.51393, 0.00010133, 0.00020717, 1.0003]
 _IOU = "greatest(0.0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0.0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
 
 
-@query(_D + """SELECT frame_id, det_id, x + w / 2 AS cx, y + h / 2 AS cy, x + w / 2 AS feet_x, y + h AS feet_y, x + w AS x2, y + h AS y2, w * h AS area, round(x / 1920 * 100, 6) AS x_percent, round((x + w / 2) / 1920, 6) AS ncx, round(h / 1080, 6) AS nh FROM det""")
+@query(_D + """SELECT frame_id, det_id, x + w / 2 AS cx, y + h / 2 AS cy, x + w / 2 AS feet_x, y + h AS feet_y, x + w AS x2, y + h AS y2, w * h AS area, round(x / 1920 * 100, 6) AS x_percent, round((x + w / 2) / 1920, 7) AS ncx, round(h / 1080, 7) AS nh FROM det""")
 def box_forms(spark, d):
     det = detections(spark, d)
     x1, y1, x2, y2 = G.to_corners("x", "y", "w", "h")
     cx, cy = G.center("x", "y", "w", "h")
     fx, fy = G.feet(x1, x2, y2)
-    return det.select("frame_id", "det_id", cx.alias("cx"), cy.alias("cy"), fx.alias("feet_x"), fy.alias("feet_y"), x2.alias("x2"), y2.alias("y2"), G.area("w", "h").alias("area"), r6(G.percent_of("x", 1920)).alias("x_percent"), r6(cx / 1920).alias("ncx"), r6(F.col("h") / 1080).alias("nh"))
+    return det.select("frame_id", "det_id", cx.alias("cx"), cy.alias("cy"), fx.alias("feet_x"), fy.alias("feet_y"), x2.alias("x2"), y2.alias("y2"), G.area("w", "h").alias("area"), r6(G.percent_of("x", 1920)).alias("x_percent"), F.round(cx / 1920, 7).alias("ncx"), F.round(F.col("h") / 1080, 7).alias("nh"))
 
 
 @query(_D + """SELECT frame_id, det_id, greatest(0.0, least(x, 1920)) AS x1, greatest(0.0, least(y, 1080)) AS y1, least(x + w, 1920) AS x2, least(y + h, 1080) AS y2 FROM det WHERE least(x + w, 1920) > x AND least(y + h, 1080) > y""")
@@ -85,8 +85,8 @@ def plausible_players(spark, d):
     return det.select("frame_id", "det_id")
 
 
-@query(_D + f""", o AS (SELECT a.frame_id, a.det_id AS a, b.det_id AS b, {_IOU} AS inter, a.w * a.h + b.w * b.h AS both FROM det a JOIN det b ON a.frame_id = b.frame_id AND a.det_id < b.det_id AND a.class_id = b.class_id)
-  SELECT frame_id, a, b, round(inter / greatest(both - inter, 1e-6), 6) AS iou FROM o WHERE inter / greatest(both - inter, 1e-6) > 0.5""")
+@query(_D + f""", o AS (SELECT a.frame_id, a.det_id AS a, b.det_id AS b, {_IOU} AS inter, a.w * a.h + b.w * b.h AS area FROM det a JOIN det b ON a.frame_id = b.frame_id AND a.det_id < b.det_id AND a.class_id = b.class_id)
+  SELECT frame_id, a, b, round(inter / greatest(area - inter, 1e-6), 6) AS iou FROM o WHERE inter / greatest(area - inter, 1e-6) > 0.5""")
 def overlap_pairs(spark, d):
     return matching.overlapping_pairs(detections(spark, d)).withColumn("iou", r6("iou"))
 
@@ -119,16 +119,16 @@ def paste_candidates(spark, d):
 
 @query(_D + """, l AS (SELECT frame_id, det_id, h / sqrt(h * h + w * w) AS a, -w / sqrt(h * h + w * w) AS b, ((x + w) * y - x * (y + h)) / sqrt(h * h + w * w) AS c FROM det),
   p AS (SELECT l.frame_id, l.det_id AS i, r.det_id AS j, l.a * r.b - r.a * l.b AS det, l.b * r.c - r.b * l.c AS nx, r.a * l.c - l.a * r.c AS ny FROM l JOIN l r ON l.frame_id = r.frame_id AND l.det_id < r.det_id)
-  SELECT frame_id, i, j, round(nx / det, 3) AS x, round(ny / det, 3) AS y FROM p WHERE abs(det) >= 0.01""")
+  SELECT frame_id, i, j, CAST(floor((nx / det + 0.37) / 10) AS BIGINT) AS cell_x, CAST(floor((ny / det + 0.37) / 10) AS BIGINT) AS cell_y FROM p WHERE abs(det) >= 0.01""")
 def line_crossings(spark, d):
-    """Crossings of the boxes' diagonals in a frame, nearly parallel ones left out."""
+    """Crossings of the boxes' diagonals in a frame, by cells of ten pixels; nearly parallel ones are left out."""
     a, b, c = G.segment_line(*G.to_corners("x", "y", "w", "h"))
     lines = detections(spark, d).select("frame_id", F.col("det_id").alias("line_id"), a.alias("a"), b.alias("b"), c.alias("c"))
     l, r = lines.alias("l"), lines.alias("r")
     det = F.col("l.a") * F.col("r.b") - F.col("r.a") * F.col("l.b")
     x, y = G.line_intersection(tuple(F.col(f"l.{k}") for k in "abc"), tuple(F.col(f"r.{k}") for k in "abc"), 0.01)
     both = l.join(r, (F.col("l.frame_id") == F.col("r.frame_id")) & (F.col("l.line_id") < F.col("r.line_id")) & (F.abs(det) >= 0.01))
-    return both.select("l.frame_id", F.col("l.line_id").alias("i"), F.col("r.line_id").alias("j"), F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+    return both.select("l.frame_id", F.col("l.line_id").alias("i"), F.col("r.line_id").alias("j"), F.floor((x + 0.37) / 10).alias("cell_x"), F.floor((y + 0.37) / 10).alias("cell_y"))
 
 
 @query(_D + "SELECT class_id, round_even(x / 8, 0) * 8 AS cell_x, round_even(y / 8, 0) * 8 AS cell_y, median(x) AS x, median(y) AS y, count(*) AS n FROM det GROUP BY ALL")

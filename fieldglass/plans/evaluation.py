@@ -20,7 +20,7 @@ def _pred_gt(spark, d):
 
 
 _IOU = "greatest(0.0, least(p.x + p.w, g.x + g.w) - greatest(p.x, g.x)) * greatest(0.0, least(p.y + p.h, g.y + g.h) - greatest(p.y, g.y))"
-_C = _D + f", p AS (SELECT frame_id, class_id, det_id, confidence, x + det_id % 4 * 12 AS x, y, w, h FROM det), g AS (SELECT * FROM det WHERE det_id % 2 = 0), i AS (SELECT p.frame_id, p.class_id, p.det_id AS pred, g.det_id AS target, {_IOU} AS inter, p.w * p.h + g.w * g.h AS both FROM p JOIN g ON p.frame_id = g.frame_id AND p.class_id = g.class_id), c AS (SELECT frame_id, class_id, pred, target, inter / greatest(both - inter, 1e-6) AS iou FROM i)"
+_C = _D + f", p AS (SELECT frame_id, class_id, det_id, confidence, x + det_id % 4 * 12 AS x, y, w, h FROM det), g AS (SELECT * FROM det WHERE det_id % 2 = 0), i AS (SELECT p.frame_id, p.class_id, p.det_id AS pred, g.det_id AS target, {_IOU} AS inter, p.w * p.h + g.w * g.h AS area FROM p JOIN g ON p.frame_id = g.frame_id AND p.class_id = g.class_id), c AS (SELECT frame_id, class_id, pred, target, inter / greatest(area - inter, 1e-6) AS iou FROM i)"
 
 
 @query(_C + " SELECT frame_id, class_id, pred, target, round(iou, 6) AS iou FROM c WHERE iou >= 0.5")

@@ -28,11 +28,11 @@ def iqr_filter(spark, d):
     return O.without_outliers(_cells(spark, d), ["cell"]).select("frame_id", "det_id", "cell")
 
 
-@query(_C + """ SELECT cell, round(median(x), 6) AS x, round(median(y), 6) AS y, count(*) AS n, round(CASE WHEN count(*) = 1 THEN any_value(confidence) * 0.7 ELSE greatest(0.1, least(1.0, avg(confidence) + least(0.25, count(*) / 15000.0 * 0.25) - least(0.3, (var_pop(x) + var_pop(y)) / 1e6 * 10))) END, 6) AS confidence FROM o GROUP BY cell""")
+@query(_C + """ SELECT cell, round(median(x), 9) AS x, round(median(y), 9) AS y, count(*) AS n, round(CASE WHEN count(*) = 1 THEN any_value(confidence) * 0.7 ELSE greatest(0.1, least(1.0, avg(confidence) + least(0.25, count(*) / 15000.0 * 0.25) - least(0.3, (var_pop(x) + var_pop(y)) / 1e6 * 10))) END, 6) AS confidence FROM o GROUP BY cell""")
 def robust_average(spark, d):
     """Medians and confidences of groups of points without outliers."""
     out = O.robust_average(O.without_outliers(_cells(spark, d), ["cell"]), ["cell"], 15000)
-    return out.select("cell", r6("x").alias("x"), r6("y").alias("y"), "n", r6("confidence").alias("confidence"))
+    return out.select("cell", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), "n", r6("confidence").alias("confidence"))
 
 
 @query(_D + "SELECT frame_id, round(sum(x * confidence) / sum(confidence), 6) AS x, round(sum(y * confidence) / sum(confidence), 6) AS y, round(sum(confidence), 6) AS weight FROM det WHERE confidence > 0 GROUP BY frame_id")
