@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -46,6 +47,18 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def save_bucketed(self, df: DataFrame, name: str, key: str, codec: str = "zstd") -> DataFrame:
+        """As save, in one bucket of ``key`` for each shuffle partition, so that later joins on key don't shuffle it again."""
+        path, table = self.path(name), f"fieldglass_{name}_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.option("compression", codec).option("path", path).bucketBy(buckets, key).saveAsTable(table)
+        return self.spark.table(table)
+
+    def settle(self) -> None:
+        """Let Spark delete shuffle files of finished steps now; else they stay until the driver collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark._jvm

@@ -215,9 +215,9 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     tmp = Scratch(spark, "suffix")
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # Equal texts are one text that comes so many times.
-    hashed = base.withColumn("h", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    texts = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("text").alias("text"))
-    texts = tmp.save(texts.withColumn("id", F.monotonically_increasing_id()), "texts", "zstd")
+    hashed = base.withColumn("id", F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)))
+    texts = tmp.save_bucketed(hashed.groupBy("id").agg(F.count(F.lit(1)).alias("times"), F.min("text").alias("text")), "texts", "id")
+    tmp.settle()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -231,14 +231,18 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                     out = []
             yield pd.DataFrame(out, columns=["id", "key", "first", "count", "places"])
 
-    rows = texts.select("id", "text", "times").mapInPandas(scan, "id long, key array<long>, first array<int>, count array<int>, places array<int>")
+    rows = texts.select("id", "text", "times").mapInPandas(scan, "id binary, key array<long>, first array<int>, count array<int>, places array<int>")
     rows = rows.select("id", F.explode(F.arrays_zip("key", "first", "count", "places")).alias("x")).select("id", "x.*")
     rows = tmp.save(rows, "stretches")
     often = rows.groupBy("key").agg(F.sum("places").alias("n"), F.sum(F.col("count") + (length - 1)).alias("bytes")).filter("n > 1")
     often = tmp.save(often, "keys")
+    tmp.settle()
     total = often.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD))
-    wanted = rows.join(often.select("key"), "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("first", "count", "key"))).alias("parts"))
+    wanted = tmp.save(rows.join(often.select("key"), "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("first", "count", "key"))).alias("parts")), "wanted")
+    tmp.drop(rows)
+    del rows
+    tmp.settle()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -253,8 +257,11 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                         out = []
             yield pd.DataFrame(out, columns=["key", "digest", "data", "times", "id", "first"])
 
-    taken = texts.select("id", "text", "times").join(wanted, "id").mapInPandas(cut, "key long, digest binary, data binary, times long, id long, first int")
+    taken = texts.select("id", "text", "times").join(wanted, "id").mapInPandas(cut, "key long, digest binary, data binary, times long, id binary, first int")
     taken = tmp.save(taken, "taken", "zstd")
+    tmp.drop(wanted)
+    del wanted
+    tmp.settle()
     entries = taken.groupBy("key", "digest").agg(F.sum("times").alias("times"), F.first("data").alias("data"))
     # Keys with more bytes than a shard take shards of their own, numbered from -1 down by hash.
     heavy = often.filter(F.col("bytes") > SHARD // 2).select("key", F.ceil(F.col("bytes") / (SHARD // 2)).cast("int").alias("pieces"))
@@ -275,6 +282,8 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 
     found = dealt.select("shard", "key", "digest", "times", "pieces", "data").groupBy("shard").applyInPandas(search, "key long, digest binary, flags binary, classes binary")
     found = tmp.save(found, "found")
+    del entries, dealt
+    tmp.settle()
 
     def by_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Classes of each entry, sorted, cut into ranges of the digest."""
@@ -316,12 +325,16 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                     out.append((i, (s + first).astype("<i4").tobytes()))
             yield pd.DataFrame(out, columns=["id", "spans"])
 
-    spans = placed.select("id", "first", "size", "flags", "more").mapInPandas(place, "id long, spans binary").groupBy("id").agg(F.collect_list("spans").alias("spans"))
+    spans = placed.select("id", "first", "size", "flags", "more").mapInPandas(place, "id binary, spans binary").groupBy("id").agg(F.collect_list("spans").alias("spans"))
+    spans = tmp.save(spans, "spans")
+    tmp.drop(taken, found, often)
+    del taken, found, often, split, across, whole, placed
+    tmp.settle()
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for h, text, times, spans in zip(pdf["h"], pdf["text"], pdf["times"], pdf["spans"], strict=True):
+            for i, text, spans in zip(pdf["id"], pdf["text"], pdf["spans"], strict=True):
                 raw = text.encode()
                 s = _merged(np.concatenate([np.frombuffer(x, "<i4").reshape(-1, 2) for x in spans])) if spans is not None else []
                 kept, last = [], 0
@@ -329,9 +342,9 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                     kept.append(raw[last:a])
                     last = b
                 kept = b"".join([*kept, raw[last:]])
-                out.append((h, len(raw), len(raw) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), kept))
-            yield pd.DataFrame(out, columns=["h", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((i, len(raw), len(raw) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), kept))
+            yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    done = texts.join(spans, "id", "left").select("h", "text", "times", "spans")
-    done = done.mapInPandas(rest, "h binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return hashed.select("doc_id", "h").join(done, "h").drop("h")
+    done = texts.join(spans, "id", "left").select("id", "text", "spans")
+    done = done.mapInPandas(rest, "id binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return hashed.select("doc_id", "id").join(done, "id").drop("id")
