@@ -10,7 +10,7 @@
    each other. A bucket is done once all its members are pivots or of one component, so no link between different
    components is missed and no partner or candidate is capped.
 4. A pair is compared by its fragments: each counts the partial overlap of the two sets' segments, and the sums per pair
-   decide. Every accepted pair is exact but for 48-bit hash collisions within a pair.
+   decide. Every accepted pair is exact but for 46-bit hash collisions within a pair.
 
 Texts without words (null, empty, white space) have empty sets and link with nothing; a doc_id that comes twice counts
 as two texts of one document: components are by the smallest doc_id; extra columns are ignored.
@@ -34,15 +34,16 @@ from .shingles import shingle_set
 #: Hashes gathered in a task before they are sent on; hashes that a fragment holds, about.
 LOT, FRAGMENT = 2_000_000, 1_500_000
 #: Fragments in which a pair is compared, as bits of the hash.
-PAIR_BITS, HASH_BITS = 2, 48
+PAIR_BITS, HASH_BITS = 2, 46
 MANY = np.uint32(0xFFFFFFFF)
-_LOTS = "kind int, fragment int, lot long, row long, doc_id long, n int, key binary, tokens binary, who binary, times binary"
+_LOTS = "kind int, deal long, fragment int, lot long, row long, doc_id long, n int, key binary, tokens binary, who binary, times binary"
 
 
 def _sets(docs: DataFrame, k: int, fragments: int) -> DataFrame:
-    """kind 0: a row for each document; kind 1: a lot's set with its locally shared hashes; kind 2: a fragment's hashes of a lot.
+    """kind 0: a row for each document; kind 1: a lot's set with its locally shared hashes; kind 2: what a fragment tells a lot.
 
-    In a kind-2 row, ``who`` is the number of the lot's set that has the hash, or MANY if ``times`` of them have it.
+    Tasks send each fragment its hashes of a lot, with who has them: the number of the lot's set, or MANY if several
+    have it. A fragment answers with the hashes that two sets or more have, and in how many (``times``).
     """
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets: list[np.ndarray] = []
@@ -65,7 +66,7 @@ def _sets(docs: DataFrame, k: int, fragments: int) -> DataFrame:
             kept, by = tokens[inner], np.argsort(one, kind="stable")
             ends = np.searchsorted(one[by], np.arange(len(sets) + 1))
             for i, (row, n, key) in enumerate(heads):
-                out.append((1, -1, lot, row, None, n, key, kept[by[ends[i] : ends[i + 1]]].tobytes(), np.uint32(i).tobytes(), None))
+                out.append((1, row, -1, lot, row, None, n, key, _pack(kept[by[ends[i] : ends[i + 1]]]), np.uint32(i).tobytes(), None))
             first = np.where(times > 1, MANY, who[at])
             tokens = tokens[at]
             parts = (tokens >> np.uint64(HASH_BITS - 32)) * np.uint64(fragments) >> np.uint64(32)
@@ -73,7 +74,7 @@ def _sets(docs: DataFrame, k: int, fragments: int) -> DataFrame:
             for f in range(fragments):
                 a, b = cuts[f], cuts[f + 1]
                 if a < b:
-                    out.append((2, f, lot, None, None, None, None, _pack(tokens[a:b]), first[a:b].tobytes(), np.minimum(times[a:b], 255).astype(np.uint8).tobytes()))
+                    out.append((2, -1 - f, f, lot, None, None, None, None, _pack(tokens[a:b]), _planes(first[a:b]), _planes(times[a:b])))
             sets.clear(), heads.clear(), seen.clear()
             return _lots(out)
 
@@ -82,7 +83,7 @@ def _sets(docs: DataFrame, k: int, fragments: int) -> DataFrame:
             for doc, row, text in zip(pdf["doc_id"], pdf["row"], pdf["text"], strict=True):
                 s = shingle_set(text, k)
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                out.append((0, -1, None, row, doc, len(s), key, None, None, None))
+                out.append((0, row, -1, None, row, doc, len(s), key, None, None, None))
                 if len(s) and key not in seen:
                     seen.add(key)
                     s = np.unique(s >> np.uint64(64 - HASH_BITS))
@@ -97,12 +98,43 @@ def _sets(docs: DataFrame, k: int, fragments: int) -> DataFrame:
         if last is not None:
             yield last
 
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sorted by fragment: the rows of each are gathered, merged and answered; other rows pass."""
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            sent = pdf["kind"] == 2
+            yield pdf[~sent]
+            for f, part in pdf[sent].groupby("fragment"):
+                if held and held[0]["fragment"].iloc[0] != f:
+                    yield _merge(pd.concat(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield _merge(pd.concat(held))
+
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    return rows.mapInPandas(gather, _LOTS)
+    made = rows.mapInPandas(gather, _LOTS)
+    return made.repartition("deal").sortWithinPartitions("kind", "fragment").mapInPandas(answer, _LOTS).drop("deal", "fragment")
+
+
+def _merge(sent: pd.DataFrame) -> pd.DataFrame:
+    """For each lot: its hashes of the fragment that two sets or more have, with who has them and in how many sets."""
+    tokens = [_unpack(x) for x in sent["tokens"]]
+    times = np.concatenate([_flat(x) for x in sent["times"]]).astype(np.int64)
+    _, at = np.unique(np.concatenate(tokens), return_inverse=True)
+    df = np.minimum(np.bincount(at, weights=times), 2**32 - 1).astype(np.uint32)[at]
+    out, i = [], 0
+    for lot, t, who in zip(sent["lot"], tokens, sent["who"], strict=True):
+        d = df[i : i + len(t)]
+        i += len(t)
+        keep = d > 1
+        if keep.any():
+            out.append((2, -1, -1, lot, None, None, None, None, _pack(t[keep]), _planes(_flat(who)[keep]), _planes(d[keep])))
+    return _lots(out)
 
 
 def _lots(rows: list[tuple]) -> pd.DataFrame:
-    made = pd.DataFrame(rows, columns=["kind", "fragment", "lot", "row", "doc_id", "n", "key", "tokens", "who", "times"])
+    made = pd.DataFrame(rows, columns=["kind", "deal", "fragment", "lot", "row", "doc_id", "n", "key", "tokens", "who", "times"])
     return made.astype({"lot": "Int64", "row": "Int64", "doc_id": "Int64", "n": "Int32"})
 
 
@@ -121,35 +153,29 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def _shared(lots: DataFrame) -> DataFrame:
-    """For each fragment and lot: the lot's hashes that two sets or more have, with who has them and in how many sets."""
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens = [_unpack(x) for x in pdf["tokens"]]
-        times = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["times"]]).astype(np.int64)
-        every = np.concatenate(tokens)
-        found, at = np.unique(every, return_inverse=True)
-        df = np.bincount(at, weights=times).astype(np.uint32)[at]
-        out, i = [], 0
-        for lot, t, who in zip(pdf["lot"], tokens, pdf["who"], strict=True):
-            d = df[i : i + len(t)]
-            i += len(t)
-            keep = d > 1
-            if keep.any():
-                out.append((lot, _pack(t[keep]), np.frombuffer(who, np.uint32)[keep].tobytes(), d[keep].tobytes()))
-        return pd.DataFrame(out, columns=["lot", "tokens", "who", "df"])
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers by byte planes, compressed: high bytes are mostly alike."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _flat(raw: bytes) -> np.ndarray:
+    import zstandard
 
-    return lots.filter("kind = 2").select("fragment", "lot", "tokens", "who", "times").groupBy("fragment").applyInPandas(merge, "lot long, tokens binary, who binary, df binary")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _nodes(lots: DataFrame, shared: DataFrame, num: int, den: int) -> DataFrame:
+def _nodes(lots: DataFrame, num: int, den: int) -> DataFrame:
     """row, n, key, tokens: each lot's sets that could reach the threshold, with their shared hashes, rarest first."""
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        ours, theirs = pdf[pdf["df"].isna()], pdf[pdf["df"].notna()]
+        ours, theirs = pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 2]
         if not len(ours):
             return pd.DataFrame([], columns=["row", "n", "key", "tokens"])
         tokens = np.concatenate([np.zeros(0, np.uint64), *[_unpack(x) for x in theirs["tokens"]]])
-        who = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(x, np.uint32) for x in theirs["who"]]])
-        df = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(x, np.uint32) for x in theirs["df"]]])
+        who = np.concatenate([np.zeros(0, np.uint32), *[_flat(x) for x in theirs["who"]]])
+        df = np.concatenate([np.zeros(0, np.uint32), *[_flat(x) for x in theirs["times"]]])
         one = np.flatnonzero(who != MANY)
         one = one[np.argsort(who[one], kind="stable")]
         ends = np.searchsorted(who[one], np.arange(len(ours) + 2))
@@ -158,7 +184,7 @@ def _nodes(lots: DataFrame, shared: DataFrame, num: int, den: int) -> DataFrame:
         out = []
         for row, n, key, raw, i in zip(ours["row"], ours["n"], ours["key"], ours["tokens"], ours["who"], strict=True):
             i = int(np.frombuffer(i, np.uint32)[0])
-            local = np.frombuffer(raw, np.uint64)
+            local = _unpack(raw)
             mine = one[ends[i] : ends[i + 1]]
             t = np.concatenate([local, tokens[mine]])
             if den * len(t) < num * n:
@@ -167,9 +193,8 @@ def _nodes(lots: DataFrame, shared: DataFrame, num: int, den: int) -> DataFrame:
             out.append((row, n, key, t[np.lexsort((t, d))].astype(np.int64)))
         return pd.DataFrame(out, columns=["row", "n", "key", "tokens"])
 
-    sets = lots.filter("kind = 1").select("lot", "row", "n", "key", "tokens", "who", F.lit(None).cast("binary").alias("df"))
-    told = shared.select("lot", F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("key"), "tokens", "who", "df")
-    return sets.unionByName(told).groupBy("lot").applyInPandas(finish, "row long, n int, key binary, tokens array<long>")
+    sent = lots.filter("kind > 0").select("kind", "lot", "row", "n", "key", "tokens", "who", "times")
+    return sent.groupBy("lot").applyInPandas(finish, "row long, n int, key binary, tokens array<long>")
 
 
 def _verify(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
@@ -187,13 +212,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     tmp = Scratch(spark, "jaccard")
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     lots = tmp.save(_sets(docs, k, max(1, math.ceil(chars / 6 / FRAGMENT))), "lots", "none")
-    shared = _shared(lots)
-    node = _nodes(lots, shared, num, den)
+    tmp.settle()
+    node = _nodes(lots, num, den)
     node = node.groupBy("key").agg(F.min(F.struct("row", "n", "tokens")).alias("x")).select(F.col("x.row").alias("node"), F.col("x.n").alias("n"), "key", F.col("x.tokens").alias("tokens"))
     node = node.withColumn("s", F.size("tokens"))
     nodes = tmp.save(node, "nodes")
     members = tmp.save(lots.filter("kind = 0").select("doc_id", "row", "n", "key"), "members")
     tmp.drop(lots)
+    del lots, node
+    tmp.settle()
     classes = members.filter("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_doc"))
 
     prefix = F.col("s") - F.ceil(F.col("n") * num / den).cast("int") + 1
@@ -204,6 +231,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     busy = open_.select("node").distinct()
     segments = nodes.join(busy, "node").select("node", F.explode("tokens").alias("t")).groupBy("node", F.shiftright("t", bits).cast("int").alias("fragment")).agg(F.collect_list("t").alias("segment"))
     segments = tmp.save(segments, "segments")
+    tmp.drop(nodes)
+    del nodes, tokens, common
+    tmp.settle()
     links = tmp.save(open_.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "links")
     done, comps, pivots = None, None, first_pivots
     while open_.limit(1).count():
