@@ -40,7 +40,7 @@ def balanced_label_propagation(nodes: DataFrame, n_shards: int = 16, rounds: int
     """
     spark = nodes.sparkSession
     tmp = Scratch(spark, "sharding")
-    ids = ["doc_id", "_row"]
+    ids = ["_row"]  # of the saved rows
     named = tmp.save(nodes.withColumn("_row", F.monotonically_increasing_id()), "nodes")
     n = named.count()
     quota = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]

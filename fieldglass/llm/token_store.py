@@ -4,8 +4,8 @@ Rolling hashes cut each document's id stream into chunks where its content says
 chunks. Each distinct chunk is stored once under its digest; a document's recipe lists its chunks; Merkle manifests
 cover the chunks of a document, the documents of a pack and the packs of a group.
 
-Files, all Parquet below one folder: ``kind=0`` recipes as written (unordered), ``kind=1`` chunks (digest, n, payload:
-the ids, little-endian), ``recipes`` in ascending doc_id order (doc_id, row, start, n_tokens, digests, root) and
+Files, all Parquet below one folder: ``chunks/kind=0`` recipes as written (unordered), ``chunks/kind=1`` chunks (digest,
+n, payload: the ids, little-endian), ``recipes`` in ascending doc_id order (doc_id, row, start, n_tokens, digests, root) and
 ``manifest`` (pack, first_doc, last_doc, documents, root).
 
 Reading checks each payload against its digest and each recipe against its root, and gets a document's checksum by
@@ -111,7 +111,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: i
     made = rows.mapInPandas(chunked, STORED)
     last = F.lag("digest").over(W.partitionBy("kind", "key").orderBy("digest"))  # a key is a part of the digest: few rows have one
     once = made.withColumn("_last", last).filter((F.col("kind") == 0) | F.col("_last").isNull() | (F.col("_last") != F.col("digest")))
-    once.drop("key", "_last").write.partitionBy("kind").option("compression", "lz4").parquet(path)
+    once.drop("key", "_last").write.partitionBy("kind").option("compression", "lz4").parquet(f"{path}/chunks")
 
     rooted = _recipes_as_written(spark, path).withColumn("root", _root("digests"))
     tmp = Scratch(spark, "store")
@@ -132,7 +132,7 @@ def _root(digests: pd.Series) -> pd.Series:
 
 
 def _recipes_as_written(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORED).parquet(path + "/kind=0").select("doc_id", "row", F.col("n").alias("n_tokens"), "digests")
+    return spark.read.schema(STORED).parquet(f"{path}/chunks").filter("kind = 0").select("doc_id", "row", F.col("n").alias("n_tokens"), "digests")
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -204,7 +204,7 @@ def read_store(spark: SparkSession, path: str, dtype: str = "<u2") -> DataFrame:
             fits = [bytes(a) == bytes(b) for a, b in zip(root, pdf["root"], strict=True)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "start": pdf["start"], "n_tokens": n, "ids_crc32": crc, "verified": fits})
 
-    chunks = spark.read.schema("n long, digest binary, payload binary").parquet(path + "/kind=1")
+    chunks = spark.read.schema(STORED).parquet(f"{path}/chunks").filter("kind = 1")
     facts = chunks.select("digest", "payload").mapInPandas(sums, "digest binary, ids long, crc long, good boolean")
     lines = _recipes(spark, path).select("doc_id", "row", "start", "root", F.posexplode("digests").alias("at", "digest"))
     found = lines.join(facts, "digest").groupBy("doc_id", "row", "start", "root")
