@@ -17,6 +17,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +35,8 @@ from .tokens import encoder
 WINDOW, CUT_BITS, LONGEST = 16, 9, 4096
 #: Ids in a pack of the manifest; packs in a group.
 PACK, GROUP = 1 << 20, 4096
+#: Documents whose chunks are cut together.
+TOGETHER = 500
 STORED = "kind int, key long, doc_id long, row long, n long, digests array<binary>, digest binary, payload binary"
 
 
@@ -43,26 +46,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream."""
-    n = len(ids)
-    if not n:
-        return []
+def cut_points(streams: list[np.ndarray]) -> list[list[int]]:
+    """Ends of the chunks of each id stream. The streams are hashed end to end; no hash reaches over a stream's start."""
+    sizes = np.array([len(x) for x in streams], np.int64)
+    starts = np.cumsum(sizes) - sizes
     with np.errstate(over="ignore"):
-        h = _mix(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        h = _mix(np.concatenate([np.zeros(0, np.uint64), *streams]).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
         step, base = 1, np.uint64(0x9E3779B97F4A7C15 | 1)
-        while step < WINDOW:  # h[i] covers twice as many ids ending at i after each turn
-            h[step:] = h[step:] + h[:-step] * base if n > step else h[step:]
+        while step < WINDOW and step < len(h):  # h[i] covers twice as many ids ending at i after each turn
+            h[step:] = h[step:] + h[:-step] * base
             step, base = 2 * step, base * base
         ends = np.flatnonzero((_mix(h) >> np.uint64(64 - CUT_BITS)) == 0) + 1
-    out, last = [], 0
-    for e in [*ends[(ends >= WINDOW) & (ends < n)].tolist(), n]:
-        while e - last > LONGEST:
-            last += LONGEST
-            out.append(last)
-        if e > last:
-            out.append(e)
-            last = e
+    out = []
+    for at, n, a, b in zip(starts.tolist(), sizes.tolist(), np.searchsorted(ends, starts + WINDOW).tolist(), np.searchsorted(ends, starts + sizes).tolist(), strict=True):
+        cuts, last = [], 0
+        for e in [*(ends[a:b] - at).tolist(), n]:
+            while e - last > LONGEST:
+                last += LONGEST
+                cuts.append(last)
+            if e > last:
+                cuts.append(e)
+                last = e
+        out.append(cuts)
     return out
 
 
@@ -89,24 +94,12 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: i
         seen: set[bytes] = set()  # of this task's recent chunks: most repeats don't leave the task
 
         for pdf in batches:
-            out = []
-            for doc, row, ids in zip(pdf["doc_id"], pdf["row"], enc.encode(pdf["text"]), strict=True):
-                ids, at, digests, w = ids + end, 0, [], enc.dtype.itemsize
-                for e in cut_points(np.frombuffer(ids, enc.dtype)):
-                    payload = ids[at * w : e * w]
-                    digests.append(d := _digest(payload))
-                    if d not in seen:
-                        seen.add(d)
-                        out.append((1, int.from_bytes(d[:8], "little", signed=True), None, None, e - at, None, d, payload))
-                    at = e
-                out.append((0, int(row), doc, row, len(ids) // w, digests, None, None))
-                if len(out) >= 5000:
-                    yield _frame(out)
-                    out = []
-                if len(seen) > 200_000:
-                    seen.clear()
-            if out:
-                yield _frame(out)
+            encoded, docs_, rows_ = enc.encode(pdf["text"]), pdf["doc_id"].tolist(), pdf["row"].tolist()
+            for at in range(0, len(pdf), TOGETHER):
+                some = [x + end for x in itertools.islice(encoded, TOGETHER)]
+                yield _chunks(docs_[at : at + TOGETHER], rows_[at : at + TOGETHER], some, enc.dtype, seen)
+            if len(seen) > 200_000:
+                seen.clear()
 
     made = rows.mapInPandas(chunked, STORED)
     last = F.lag("digest").over(W.partitionBy("kind", "key").orderBy("digest"))  # a key is a part of the digest: few rows have one
@@ -122,8 +115,31 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: i
     manifest(_recipes(spark, path)).write.parquet(f"{path}/manifest")
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["kind", "key", "doc_id", "row", "n", "digests", "digest", "payload"]).astype({"doc_id": "Int64", "row": "Int64"})
+def _chunks(docs: list, rows: list[int], streams: list[bytes], dtype: np.dtype, seen: set[bytes]) -> pd.DataFrame:
+    """Recipes of the documents, and those of their chunks that are not in ``seen``, which gets them."""
+    w, digests, payloads, recipes = dtype.itemsize, [], [], []
+    for ids, cuts in zip(streams, cut_points([np.frombuffer(x, dtype) for x in streams]), strict=True):
+        at, mine = 0, []
+        for e in cuts:
+            payload = ids[at * w : e * w]
+            mine.append(d := _digest(payload))
+            if d not in seen:
+                seen.add(d)
+                digests.append(d)
+                payloads.append(payload)
+            at = e
+        recipes.append(mine)
+    n, k = len(docs), len(digests)
+    return pd.DataFrame({
+        "kind": [0] * n + [1] * k,
+        "key": rows + [int.from_bytes(d[:8], "little", signed=True) for d in digests],
+        "doc_id": pd.array([None if x is None or x != x else int(x) for x in docs] + [None] * k, "Int64"),
+        "row": pd.array(rows + [None] * k, "Int64"),
+        "n": [len(x) // w for x in streams] + [len(x) // w for x in payloads],
+        "digests": recipes + [None] * k,
+        "digest": [None] * n + digests,
+        "payload": [None] * n + payloads,
+    })
 
 
 @F.pandas_udf(BinaryType())
