@@ -106,6 +106,7 @@ def _with_groups(v: DataFrame, min_rows: int) -> DataFrame:
     rest = by_lang.filter(F.col("n_lang") < min_rows).agg(F.sum("n_lang").alias("n_all"))
     g = F.when(F.col("n") >= min_rows, F.to_json(F.struct("_l", "_s"))).when(F.col("n_lang") >= min_rows, F.to_json(F.struct("_l"))).when(F.col("n_all") >= min_rows, F.lit("{}"))
     keys = sizes.join(by_lang, "_l", "left").join(F.broadcast(rest)).select("_l", "_s", g.alias("g"))  # rest is one row
+    keys = F.broadcast(keys) if sizes.count() <= BROADCAST_GROUPS else keys  # else AQE splits a hot group's join
     return named.join(keys, ["_l", "_s"], "left").drop("_l", "_s")
 
 
