@@ -14,6 +14,7 @@ doc_id that comes twice is two documents; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -71,56 +72,112 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return out
 
 
-def fillings(left: np.ndarray, room: int, most: int = 4) -> Iterator[tuple[int, ...]]:
-    """Undominated fillings of room from the lengths with left > 0, fullest first.
-
-    One length that fits exactly dominates every other filling. Then come pairs and triples that fit exactly, with
-    the largest length first (what they leave is easier to place), then the fullest greedy filling.
+class Lengths:
+    """How many pieces of each length are left, with the lengths at hand as bits, so that sums are looked up by shifts."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.capacity, self.left = capacity, [0] * (capacity + 1)
+        self.bits = self.mirror = 0  # bit n, and bit capacity - n, for each length n at hand
+        for n, c in counts.items():
+            self.take(n, -c)
+
+    def take(self, n: int, times: int = 1) -> None:
+        was, now = self.left[n], self.left[n] - times
+        self.left[n] = now
+        if (was > 0) != (now > 0):
+            self.bits ^= 1 << n
+            self.mirror ^= 1 << (self.capacity - n)
+
+    def largest(self, most: int) -> int:
+        """The largest length at hand that is at most ``most``, or 0."""
+        return (self.bits & ((2 << most) - 1)).bit_length() - 1 if most > 0 and self.bits & ((2 << most) - 1) else 0
+
+    def pairs(self, total: int, top: int) -> Iterator[tuple[int, int]]:
+        """Pairs (a, b), top >= a >= b, that sum to total, largest a first."""
+        if total < 2:
+            return
+        fine = self.bits & (self.mirror >> (self.capacity - total)) & ((2 << min(top, total - 1)) - 1)
+        fine = fine >> ((total + 1) // 2) << ((total + 1) // 2)
+        while fine:
+            a = fine.bit_length() - 1
+            fine ^= 1 << a
+            if 2 * a != total or self.left[a] > 1:
+                yield a, total - a
+
+    def triples(self, total: int) -> Iterator[tuple[int, int, int]]:
+        """For each largest length x, the triple that sums to total with the largest second length."""
+        x = self.largest(total - 2)
+        while 3 * x >= total:
+            rest = total - x
+            if rest <= 2 * x and self.bits & (self.mirror >> (self.capacity - rest)) & ((2 << min(x, rest)) - 1):
+                self.take(x)
+                found = next(self.pairs(rest, x), None)
+                self.take(x, -1)
+                if found:
+                    yield (x, *found)
+            x = self.largest(x - 1)
+
+    def sums(self, room: int) -> int:
+        """Bits of the sums up to room of at most three lengths, as if none ran out."""
+        whole, each, n = (2 << room) - 1, [], self.largest(room)
+        while n:
+            each.append(n)
+            n = self.largest(n - 1)
+        two = three = self.bits & whole
+        for n in each:
+            two |= self.bits << n & whole
+        for n in each:
+            three |= two << n & whole
+        return three
+
+
+def fillings(have: Lengths, room: int, most: int = 4) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of room from the lengths at hand, fullest first, up to ``most`` and the greedy one.
+
+    Lengths too small to fill room by three are first taken greedily. One length that fits exactly dominates every other
+    filling. Then come pairs and triples by their sum, with the largest length first (what they leave is easier to
+    place), down to the largest single length or the greedy filling: what is less full than these is dominated by them.
     """
-    if room <= 0:
-        yield ()
-        return
-    if left[room] > 0:
-        yield (room,)
-        return
-    given = 0
-    lengths = np.flatnonzero(left[: room + 1])[::-1]
-
-    def pairs(r: int, top: int, taken: int = 0):
-        a = lengths[(lengths <= min(top, r - 1)) & (2 * lengths >= r)]
-        b = r - a
-        fine = (left[b] > 0) & ((a != b) | (left[a] > 1))
-        if taken:
-            fine &= (left[a] - (a == taken) - (a == b) > 0) & (left[b] - (b == taken) - (a == b) > 0)
-        return a[fine], b[fine]
-
-    a, b = pairs(room, room)
-    for x, y in zip(a[:most].tolist(), b[:most].tolist(), strict=True):
-        given += 1
-        yield (x, y)
-    if given:
-        return
-    for x in lengths[lengths < room].tolist():
-        a, b = pairs(room - x, x, x)
-        if len(a):
-            given += 1
-            yield (x, int(a[0]), int(b[0]))
-            if given >= most:
-                return
-    fill, rest, used = [], room, Counter()
-    for n in lengths.tolist():
-        while n <= rest and used[n] < left[n]:
-            fill.append(n)
-            used[n] += 1
+    head: list[int] = []
+    while (n := have.largest(room)) and room > 3 * n:
+        times = min(have.left[n], max(1, (room - 3 * n) // n))
+        have.take(n, times)
+        head += [n] * times
+        room -= n * times
+    single = have.largest(room)
+    out: list[tuple[int, ...]] = []
+    if single and single == room:
+        out = [(room,)]
+    elif single:
+        greedy, rest = [], room
+        while n := have.largest(rest):
+            have.take(n)
+            greedy.append(n)
             rest -= n
-    yield tuple(fill)
-
-
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, most_nodes: int = 4000, pool: int = 64) -> list[tuple[tuple[int, ...], int]]:
+        for n in greedy:
+            have.take(n, -1)
+        out = list(itertools.islice(have.pairs(room, room), most)) or list(itertools.islice(have.triples(room), most))
+        if not out:
+            least = max(single, room - rest)
+            sums = have.sums(room) >> least << least
+            while sums and len(out) < most:
+                total = sums.bit_length() - 1
+                sums ^= 1 << total
+                out += [(total,)] if total == single else []
+                out += itertools.islice(have.pairs(total, total), most - len(out))
+                out += itertools.islice(have.triples(total), most - len(out))
+        if tuple(greedy) not in out and (not out or sum(out[0]) < room):
+            out.append(tuple(greedy))
+    for n in head:
+        have.take(n, -1)
+    yield from ((*head, *f) for f in out) if out else [tuple(head)]
+
+
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, most_nodes: int = 20_000, pool: int = 64) -> list[tuple[tuple[int, ...], int]]:
     """Fillings (lengths, largest first) with how often each is used; as few sequences in all as the search finds.
 
-    Best fit is the first packing. While it misses the lower bound, its ``pool`` emptiest sequences, with full ones
-    where those are fewer, are packed anew by branch and bound; up to 64 sequences, that is the whole problem.
+    Best fit is the first packing. While it misses the lower bound, the whole histogram is searched; if a gap is left,
+    the ``pool`` emptiest sequences, with full ones where those are fewer, are packed anew, in turns.
     """
     counts = {int(n): int(c) for n, c in counts.items() if c}
     if any(not 0 < n <= capacity for n in counts):
@@ -128,14 +185,14 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, most_nodes:
     if not counts:
         return []
     best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
-    rounds = 8
-    for turn in range(rounds):
+    best = _search(counts, capacity, sum(k for _, k in best), bound, most_nodes) or best
+    for turn in range(8):
         score = sum(k for _, k in best)
         if score == bound:
             break
         ranked_ = sorted(best, key=lambda f: (sum(f[0]) == capacity, sum(f[0])))
         out, rest, room = [], [], pool
-        skip = turn * pool if turn else 0  # later turns take other full sequences to the empty ones
+        skip = turn * pool  # later turns take other full sequences to the empty ones
         for fill, times in ranked_:
             full = sum(fill) == capacity
             pass_ = min(times, skip) if full else 0
@@ -151,60 +208,55 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, most_nodes:
             for n in fill:
                 some[n] += times
         now = sum(k for _, k in out)
-        found = _search(some, capacity, now, max(lower_bound(some, capacity), now - (score - bound)), most_nodes // rounds)
+        if now == score:
+            break
+        found = _search(some, capacity, now, max(lower_bound(some, capacity), now - (score - bound)), 500)
         if found:
             best = rest + found
-        elif now == score:
-            break
     return best
 
 
-def _search(counts: Counter, capacity: int, score: int, bound: int, most_nodes: int) -> list[tuple[tuple[int, ...], int]] | None:
+def _search(counts: dict[int, int], capacity: int, score: int, bound: int, most_nodes: int) -> list[tuple[tuple[int, ...], int]] | None:
     """A packing in fewer than ``score`` sequences by depth-first branch and bound, or None; stops at ``bound``."""
     if score <= bound:
         return None
     best, total = None, sum(n * c for n, c in counts.items())
-    left = np.zeros(capacity + 1, np.int64)
-    for n, c in counts.items():
-        left[n] = c
+    have, rows = Lengths(counts, capacity), sum(counts.values())
     nodes = 0
     # Depth-first: each frame holds the fillings still to try and the one in use.
     stack: list[list] = []
-    used, waste, placed = 0, 0, 0
+    used, placed = 0, 0
 
     def options():
-        top = int(np.flatnonzero(left)[-1])
-        left[top] -= 1
-        found = [(top, *sorted(f, reverse=True)) for f in fillings(left, capacity - top)]
-        left[top] += 1
+        top = have.largest(capacity)
+        have.take(top)
+        found = [(top, *sorted(f, reverse=True)) for f in fillings(have, capacity - top)]
+        have.take(top, -1)
         return found
 
-    def apply(fill, times, sign):
+    def apply(fill, times):
+        nonlocal used, placed, rows
         for n in fill:
-            left[n] -= sign * times
+            have.take(n, times)
+        used, placed, rows = used + times, placed + times * sum(fill), rows - times * len(fill)
 
     stack.append([options(), None])
     while stack and nodes < most_nodes:
         frame = stack[-1]
         if frame[1]:
-            fill, times = frame[1]
-            apply(fill, times, -1)
-            used, waste, placed = used - times, waste - times * (capacity - sum(fill)), placed - times * sum(fill)
+            apply(frame[1][0], -frame[1][1])
             frame[1] = None
         if not frame[0]:
             stack.pop()
             continue
         nodes += 1
         fill = frame[0].pop(0)
-        each = Counter(fill)
-        times = int(min(left[n] // k for n, k in each.items()))
-        gap = capacity - sum(fill)
-        if gap and times > 1 and len(stack) < 2000 and sum(left) > times * len(fill):
-            times = max(1, times // 2)
+        times = min(have.left[n] // k for n, k in Counter(fill).items())
+        if sum(fill) < capacity and times > 1 and len(stack) < 2000 and rows > times * len(fill):
+            times //= 2
         if used + times + -(-(total - placed - times * sum(fill)) // capacity) >= score:
             continue
-        apply(fill, times, 1)
-        used, waste, placed = used + times, waste + times * gap, placed + times * sum(fill)
+        apply(fill, times)
         frame[1] = (fill, times)
         if placed == total:
             best, score = [f[1] for f in stack], used

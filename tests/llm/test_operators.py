@@ -222,6 +222,24 @@ def test_bin_completion(seed):
     assert not fits(n - 1)
 
 
+@pytest.mark.parametrize("times", [1, 4, 1000])
+def test_bin_completion_of_many_rows(times):
+    counts = {1032: 6 * times, 528: 6 * times, 520: 6 * times, 496: 12 * times}
+    plan = packing.bin_completion(counts)
+    assert sum(k for _, k in plan) == packing.lower_bound(counts, 2048) == 9 * times
+    used = Counter()
+    for fill, k in plan:
+        assert sum(fill) <= 2048
+        for n in fill:
+            used[n] += k
+    assert used == counts
+
+
+def test_bin_completion_fillings_with_gaps():
+    have = packing.Lengths({60: 2, 50: 1, 33: 2, 30: 3}, 100)
+    assert set(packing.fillings(have, 98)) >= {(60, 33), (33, 33, 30)} and have.left[60] == 2  # 93 by two or 96 by three; none is full
+
+
 def test_pii(docs, empty):
     for _, t, *_ in ROWS:
         want = []
