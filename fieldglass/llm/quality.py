@@ -14,6 +14,7 @@ rows count as often as they come; an empty table gives an empty result; extra co
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,7 @@ WINDOW = 8
 #: Statistics are rounded to this part of a unit.
 UNIT = 256
 #: Least standard deviations, in the statistics' own units; a statistic that is constant in most rows has one too.
-FLOORS = {"length": 0.1, "symbols": 0.5, "capitals": 0.4, "shouts": 0.5, "repeats": 0.8}
+FLOORS = {"words": 0.5, "length": 0.1, "symbols": 0.5, "capitals": 0.4, "shouts": 0.5, "repeats": 0.8, "variety": 0.1, "lines": 0.8}
 NAMES = list(FLOORS)
 #: Up to so many groups, their estimates are broadcast (under 1 KB each); beyond it they are joined by shuffle.
 BROADCAST_GROUPS = 20000
@@ -83,6 +84,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         repeated_words(F.col("_words"), F.col("_hashes")).alias("n_repeat_words"),
         less("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_capitals"),
         less("!?").alias("n_shouts"),
+        F.size(F.array_distinct("_words")).cast("long").alias("n_distinct"),
     )
 
 
@@ -91,8 +93,9 @@ def vectors(stats: DataFrame) -> DataFrame:
     n, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     rate = lambda a, b: F.log1p(F.col(a) * 100.0 / b)
     made = {
-        "length": F.log(chars / n), "symbols": rate("n_symbols", n), "capitals": rate("n_capitals", chars),
+        "words": F.log1p("n_words"), "length": F.log(chars / n), "symbols": rate("n_symbols", n), "capitals": rate("n_capitals", chars),
         "shouts": rate("n_shouts", n), "repeats": rate("n_repeat_words", n),
+        "variety": F.log(F.greatest("n_distinct", F.lit(1)) / n), "lines": rate("n_dup_lines", n),
     }
     return stats.withColumns({f"x{i}": F.round(made[k] * UNIT).cast("int") for i, k in enumerate(NAMES)})
 
@@ -132,8 +135,12 @@ def _distance(joined: DataFrame, p: int) -> DataFrame:
     return joined.select(*keep, sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(p)), F.lit(0.0)).alias("d2"))
 
 
-def mcd_estimates(v: DataFrame, tmp: Scratch, p: int, keep: float = 0.75, steps: int = 4) -> DataFrame:
-    """A row for each group g of v(g, x0, x1, ...): centre m{i} and Cholesky factor l{i}_{j} of the robust covariance."""
+def mcd_estimates(v: DataFrame, tmp: Scratch, p: int, keep: float = 0.75) -> DataFrame:
+    """A row for each group g of v(g, x0, x1, ...): centre m{i} and Cholesky factor l{i}_{j} of the robust covariance.
+
+    A group takes steps as long as its determinant falls; one whose determinant doesn't keeps its last estimate. Every
+    step but a group's last makes half the log determinant, which the floors bound, smaller by 1e-6, so all groups end.
+    """
     floor = [FLOORS[k] for k in NAMES[:p]]
     rows = tmp.save(v.filter("g IS NOT NULL").select("g", *[f"x{i}" for i in range(p)]), "vectors")
     med = rows.groupBy("g").agg(*[F.percentile(f"x{i}", 0.5).alias(f"c{i}") for i in range(p)])
@@ -144,7 +151,9 @@ def mcd_estimates(v: DataFrame, tmp: Scratch, p: int, keep: float = 0.75, steps:
     est = med.join(dev, "g").select("g", *[(F.col(f"c{i}") / UNIT).alias(f"m{i}") for i in range(p)], *[(F.pow(F.greatest(F.col(f"d{i}") * 1.4826 / UNIT, F.lit(floor[i])), 2) if i == j else F.lit(0.0)).alias(f"s{i}_{j}") for i in range(p) for j in range(i + 1)])
     est = tmp.save(_cholesky(est, p), "start")
     scale = keep / chi2_cdf(chi2_quantile(keep, p), p + 2)  # so that the covariance of the kept part fits normal rows
-    for step in range(steps):
+    done: list[DataFrame] = []
+    step = 0
+    while True:
         at = _distance(rows.join(joins(est), "g").select("g", *[f"x{i}" for i in range(p)], *[f"m{i}" for i in range(p)], *[f"l{i}_{j}" for i in range(p) for j in range(i + 1)]), p)
         at = at.select("g", *[f"x{i}" for i in range(p)], F.floor(F.log1p("d2") * 1024).cast("int").alias("b"))
         at = tmp.save(at, "distances")
@@ -156,11 +165,15 @@ def mcd_estimates(v: DataFrame, tmp: Scratch, p: int, keep: float = 0.75, steps:
         new = sums.select("g", *[(mean(i) / UNIT).alias(f"m{i}") for i in range(p)], *[(cov(i, j) + (floor[i] ** 2 if i == j else 0.0)).alias(f"s{i}_{j}") for i in range(p) for j in range(i + 1)])
         last, est = est, tmp.save(_cholesky(new, p), "estimates")
         tmp.drop(cut, at)
-        if step:
-            fell = last.select("g", F.col("half_log_det").alias("was")).join(est, "g").agg(F.max(F.col("was") - F.col("half_log_det"))).first()[0]
-            if fell is None or fell < 1e-6:
-                break
-    return est
+        step += 1
+        if step == 1:  # the start's determinant is of medians and MADs, not of a step
+            continue
+        both = est.join(last.select("g", F.col("half_log_det").alias("_was")), "g")
+        falls = F.col("_was") - F.col("half_log_det") >= 1e-6
+        done.append(tmp.save(last.join(both.filter(~falls).select("g"), "g", "left_semi"), "done"))
+        est = tmp.save(both.filter(falls).drop("_was"), "estimates")
+        if est.isEmpty():
+            return functools.reduce(DataFrame.unionByName, done)
 
 
 def quality_verdicts(docs: DataFrame, alpha: float = 1e-6, keep: float = 0.75, min_rows: int = 64, min_words: int = 20, most_repeats: int = 30) -> DataFrame:

@@ -97,6 +97,33 @@ def test_quality_rejects_outliers(spark):
     assert all(got[i] for i in range(300)) and not any(got[1000 + i] for i in range(20))
 
 
+def test_quality_rejects_few_words(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9)))
+    clean = [(i, " ".join(word() for _ in range(rnd.randint(50, 90))), "en", "s") for i in range(300)]
+    junk = [(1000 + i, " ".join(w for _ in range(8) for w in [word()] * 8), "en", "s") for i in range(10)]  # no window of eight words comes twice
+    got = {r.doc_id: r for r in quality.quality_verdicts(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(300)) and not any(got[1000 + i].kept or got[1000 + i].base_failed for i in range(10))
+
+
+def test_quality_converges(spark):
+    rng = np.random.default_rng(7)
+    p, rows = len(quality.NAMES), []
+    for g, shift in (("a", 3.0), ("b", 1.0)):
+        x = np.concatenate([rng.normal(0, 1, (900, p)), rng.normal(shift, 2, (600, p))])
+        rows += [(g, *map(int, v)) for v in np.round(x * quality.UNIT)]
+    v = spark.createDataFrame(rows, "g string, " + ", ".join(f"x{i} int" for i in range(p))).cache()
+    est = quality.mcd_estimates(v, quality.Scratch(spark, "test"), p)
+    scale = 0.75 / quality.chi2_cdf(quality.chi2_quantile(0.75, p), p + 2)
+    assert est.count() == 2
+    for r in est.collect():  # one more step by numpy doesn't lower the determinant
+        x = np.array([t[1:] for t in rows if t[0] == r.g]) / quality.UNIT
+        low = np.array([[r[f"l{i}_{j}"] if j <= i else 0.0 for j in range(p)] for i in range(p)])
+        b = np.floor(np.log1p((np.linalg.solve(low, (x - [r[f"m{i}"] for i in range(p)]).T) ** 2).sum(0)) * 1024)
+        cov = np.cov(x[b <= np.ceil(np.percentile(b, 75))].T, bias=True) * scale + np.diag(np.square(list(quality.FLOORS.values())))
+        assert np.linalg.slogdet(cov)[1] / 2 > r.half_log_det - 1e-3
+
+
 def test_chi2():
     assert abs(quality.chi2_cdf(quality.chi2_quantile(0.975, 2), 2) - 0.975) < 1e-9 and abs(quality.chi2_quantile(0.95, 1) - 3.8414588) < 1e-5
 
