@@ -21,14 +21,14 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
     return out.filter("a > b").distinct()
 
 
-def connected_components(edges: DataFrame, tmp: Scratch, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, tmp: Scratch) -> DataFrame:
     """edges(a, b), longs -> (node, component): the least node reachable, for nodes that are not that node themselves.
 
-    Minima are aggregated before rows are shuffled, and rows of one node are never gathered in a list.
+    Rounds go on until the edges no longer change. Minima are aggregated before rows are shuffled, and rows of one node are never gathered in a list.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, last = tmp.save(edges, "edges"), None
-    for _ in range(most_rounds):
+    while True:
         new = tmp.save(_star(_star(edges, True), False), "edges")
         now = new.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         tmp.drop(edges)

@@ -4,35 +4,41 @@
    its part of all sets and tells which shingles occur in two documents or more, and in how many. Other shingles can't
    overlap anything and only count towards set sizes.
 2. Equal sets become one node. A node's shared shingles are put into the global order, rarest first; two sets that
-   reach the threshold share one among the first few of each (prefix filter).
-3. Nodes with a common prefix shingle are compared without listing all their pairs: each bucket compares its members
-   with a few pivots a round, more in each; a pivot is then done, and members of one component need no comparison with
-   each other. A bucket is done once all its members are pivots or of one component, so no link between different
-   components is missed and no partner or candidate is capped.
+   reach the threshold share one among the first few of each (prefix filter). A bucket holds the nodes with one prefix
+   shingle, each with the number of shared shingles that stand from there on: the first shingle that two sets have in
+   common bounds their overlap by the smaller of these numbers (position filter), and every linked pair passes there.
+3. Nodes of a bucket are compared without listing all their pairs: each bucket compares its members with a few pivots a
+   round, more in each; a pivot is then done. Links carry labels on, so that nodes of one label are connected and need
+   no comparison with each other. After a round, a member stays only if the bounds of the bucket's other labels leave
+   it a partner. A bucket is done once all its members are pivots or of one label, so no link between different
+   components is missed and no partner or candidate is capped. Components are found from all links at the end.
 4. A pair is compared by its fragments: each counts the partial overlap of the two sets' segments, and the sums per pair
    decide. Every accepted pair is exact but for 46-bit hash collisions within a pair.
 
 Texts without words (null, empty, white space) have empty sets and link with nothing; a doc_id that comes twice counts
-as two texts of one document: components are by the smallest doc_id; extra columns are ignored.
+as two texts; component ids are by the smallest doc_id that is not null (null if there is none); an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 from .components import connected_components
 from .shingles import shingle_set
 
-#: Hashes gathered in a task before they are sent on; hashes that a fragment holds, about.
-LOT, FRAGMENT = 2_000_000, 1_500_000
+#: Hashes gathered in a task before they are sent on; hashes that a fragment holds, about. Both are held in a worker's
+#: memory. A lot sends a row to each fragment that it has hashes for, never more rows than hashes.
+LOT, FRAGMENT = 500_000, 1_000_000
 #: Fragments in which a pair is compared, as bits of the hash.
 PAIR_BITS, HASH_BITS = 2, 46
 MANY = np.uint32(0xFFFFFFFF)
@@ -40,7 +46,7 @@ _LOTS = "kind int, deal long, fragment int, lot long, row long, doc_id long, n i
 
 
 def _sets(docs: DataFrame, k: int, fragments: int) -> DataFrame:
-    """kind 0: a row for each document; kind 1: a lot's set with its locally shared hashes; kind 2: what a fragment tells a lot.
+    """kind 0: a row for each document, its tag as tokens; kind 1: a lot's set with its locally shared hashes; kind 2: what a fragment tells a lot.
 
     Tasks send each fragment its hashes of a lot, with who has them: the number of the lot's set, or MANY if several
     have it. A fragment answers with the hashes that two sets or more have, and in how many (``times``).
@@ -70,20 +76,19 @@ def _sets(docs: DataFrame, k: int, fragments: int) -> DataFrame:
             first = np.where(times > 1, MANY, who[at])
             tokens = tokens[at]
             parts = (tokens >> np.uint64(HASH_BITS - 32)) * np.uint64(fragments) >> np.uint64(32)
-            cuts = np.searchsorted(parts, np.arange(fragments + 1))
-            for f in range(fragments):
-                a, b = cuts[f], cuts[f + 1]
-                if a < b:
-                    out.append((2, -1 - f, f, lot, None, None, None, None, _pack(tokens[a:b]), _planes(first[a:b]), _planes(times[a:b])))
+            cuts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]])).tolist()
+            for a, b in itertools.pairwise(cuts):
+                f = int(parts[a])
+                out.append((2, -1 - f, f, lot, None, None, None, None, _pack(tokens[a:b]), _planes(first[a:b]), _planes(times[a:b])))
             sets.clear(), heads.clear(), seen.clear()
             return _lots(out)
 
         for pdf in batches:
             out = []
-            for doc, row, text in zip(pdf["doc_id"], pdf["row"], pdf["text"], strict=True):
+            for doc, row, tag, text in zip(pdf["doc_id"], pdf["row"], pdf["tag"], pdf["text"], strict=True):
                 s = shingle_set(text, k)
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                out.append((0, row, -1, None, row, doc, len(s), key, None, None, None))
+                out.append((0, row, -1, None, row, doc, len(s), key, tag, None, None))
                 if len(s) and key not in seen:
                     seen.add(key)
                     s = np.unique(s >> np.uint64(64 - HASH_BITS))
@@ -112,7 +117,7 @@ def _sets(docs: DataFrame, k: int, fragments: int) -> DataFrame:
         if held:
             yield _merge(pd.concat(held))
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select("doc_id", "tag", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     made = rows.mapInPandas(gather, _LOTS)
     return made.repartition("deal").sortWithinPartitions("kind", "fragment").mapInPandas(answer, _LOTS).drop("deal", "fragment")
 
@@ -206,10 +211,56 @@ def _verify(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFr
     return sums.filter(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), first_pivots: int = 1) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, row, n_shingles, component_id, with links where overlap / union >= threshold."""
+def _candidates(members: DataFrame, lead: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, na, nb), a < b: members of a bucket with its pivots of other components, where sizes and positions allow a link."""
+    m, p = members.alias("m"), lead.alias("p")
+    most = F.least(F.col("m.r"), F.col("p.p.r"))
+    apart = (F.col("m.token") == F.col("p.token")) & (F.col("m.comp") != F.col("p.p.comp"))
+    fits = den * most >= num * (F.col("m.n") + F.col("p.p.n") - most)
+    less = F.col("m.node") < F.col("p.p.node")
+    ends = {"a": ("m.node", "p.p.node"), "b": ("p.p.node", "m.node"), "na": ("m.n", "p.p.n"), "nb": ("p.p.n", "m.n")}
+    return m.join(p, apart & fits).select(*[F.when(less, F.col(x)).otherwise(F.col(y)).alias(c) for c, (x, y) in ends.items()])
+
+
+def _labels(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(node, label) of all linked nodes: the least label among a node and its neighbours, which are connected with it."""
+    ends = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    if labels is None:
+        least = F.least(F.col("a"), F.min("b"))
+        return ends.groupBy("a").agg(least.alias("label")).withColumnRenamed("a", "node")
+    seen = ends.join(labels.withColumnRenamed("node", "b"), "b", "left")
+    near = seen.groupBy("a").agg(F.min(F.coalesce("label", "b")).alias("near")).withColumnRenamed("a", "node")
+    return near.join(labels, "node", "left").select("node", F.least("near", F.coalesce("label", "node")).alias("label"))
+
+
+def _still_open(left: DataFrame, num: int, den: int) -> DataFrame:
+    """Members that may have a partner of another label in their bucket, in buckets with two labels or more.
+
+    A partner's set is at least ``w`` larger than the overlap, w being what its position leaves out; a member of the
+    bucket's most frequent label needs a partner outside it (``apart``: it stands outside).
+    """
+    left = left.withColumn("w", F.col("n") - F.col("r"))
+    each = left.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("w").alias("w"), F.max("r").alias("r"))
+    main = each.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.min("w").alias("w_all"), F.max("r").alias("r_all"))
+    main = main.select("token", F.col("m.comp").alias("main"), "w_all", "r_all")
+    outside = each.join(main.select("token", "main"), "token").filter("comp <> main")
+    outside = outside.groupBy("token").agg(F.min("w").alias("w_out"), F.max("r").alias("r_out"))
+    marked = left.join(main.join(outside, "token"), "token").withColumn("apart", F.col("comp") != F.col("main"))
+    w, r = F.when(F.col("apart"), F.col("w_all")).otherwise(F.col("w_out")), F.when(F.col("apart"), F.col("r_all")).otherwise(F.col("r_out"))
+    alive = marked.filter(den * F.least(F.col("r"), r) >= num * (F.col("n") + w)).select("token", "node", "n", "r", "comp", "apart")
+    mixed = alive.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    return alive.join(mixed.select("token"), "token")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), tag: Column | None = None, first_pivots: int = 1) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id, component, tag, with links where overlap / union >= threshold.
+
+    component_id is the smallest doc_id of a component (its own for a document without words), component a number that
+    its rows share (null without words), tag a binary column of docs that is handed on.
+    """
     spark, (num, den) = docs.sparkSession, threshold
     tmp = Scratch(spark, "jaccard")
+    docs = docs.select("doc_id", "text", (F.lit(None) if tag is None else tag).cast("binary").alias("tag"))
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     lots = tmp.save(_sets(docs, k, max(1, math.ceil(chars / 6 / FRAGMENT))), "lots", "none")
     tmp.settle()
@@ -217,61 +268,51 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     node = node.groupBy("key").agg(F.min(F.struct("row", "n", "tokens")).alias("x")).select(F.col("x.row").alias("node"), F.col("x.n").alias("n"), "key", F.col("x.tokens").alias("tokens"))
     node = node.withColumn("s", F.size("tokens"))
     nodes = tmp.save(node, "nodes")
-    members = tmp.save(lots.filter("kind = 0").select("doc_id", "row", "n", "key"), "members")
+    members = tmp.save(lots.filter("kind = 0").select("doc_id", "row", "n", "key", F.col("tokens").alias("tag")), "members")
     tmp.drop(lots)
     del lots, node
     tmp.settle()
     classes = members.filter("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_doc"))
 
-    prefix = F.col("s") - F.ceil(F.col("n") * num / den).cast("int") + 1
-    tokens = nodes.select("node", "n", "s", F.explode(F.slice("tokens", F.lit(1), prefix)).alias("token"))
+    prefix = F.slice("tokens", F.lit(1), F.col("s") - F.ceil(F.col("n") * num / den).cast("int") + 1)
+    tokens = nodes.select("node", "n", "s", F.posexplode(prefix).alias("at", "token"))
+    tokens = tokens.select("token", "node", "n", (F.col("s") - F.col("at")).alias("r"))  # r: shared shingles from here on
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
     open_ = tmp.save(tokens.join(common, "token").withColumn("comp", F.col("node")), "buckets")
     bits = HASH_BITS - PAIR_BITS
     busy = open_.select("node").distinct()
-    segments = nodes.join(busy, "node").select("node", F.explode("tokens").alias("t")).groupBy("node", F.shiftright("t", bits).cast("int").alias("fragment")).agg(F.collect_list("t").alias("segment"))
-    segments = tmp.save(segments, "segments")
+    segments = nodes.join(busy, "node").select("node", F.explode("tokens").alias("t"))
+    segments = segments.groupBy("node", F.shiftright("t", bits).cast("int").alias("fragment"))
+    segments = tmp.save(segments.agg(F.collect_list("t").alias("segment")), "segments")
     tmp.drop(nodes)
     del nodes, tokens, common
     tmp.settle()
     links = tmp.save(open_.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "links")
-    done, comps, pivots = None, None, first_pivots
-    while open_.limit(1).count():
-        salted = open_.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(pivots)))
-        rank = F.struct((F.col("n") - F.col("s")).alias("u"), "node", "n", "s", "comp")
-        if done is None:
-            led = salted
-        else:  # pivots from outside a bucket's largest component
-            main = open_.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"))
-            led = salted.join(main.select("token", F.col("m.comp").alias("main")), "token").filter("comp <> main")
-        lead = tmp.save(led.groupBy("token", "salt").agg(F.min(rank).alias("p")).select("token", "p"), "pivots")
-        m, p = open_.alias("m"), lead.alias("p")
-        most = F.least(F.col("m.s"), F.col("p.p.s"))
-        fits = (F.col("m.token") == F.col("p.token")) & (F.col("m.comp") != F.col("p.p.comp")) & (den * most >= num * (F.col("m.n") + F.col("p.p.n") - most))
-        a, b = (F.col("m.node"), F.col("m.n")), (F.col("p.p.node"), F.col("p.p.n"))
-        less = a[0] < b[0]
-        pairs = m.join(p, fits).select(F.when(less, a[0]).otherwise(b[0]).alias("a"), F.when(less, b[0]).otherwise(a[0]).alias("b"), F.when(less, a[1]).otherwise(b[1]).alias("na"), F.when(less, b[1]).otherwise(a[1]).alias("nb")).distinct()
+    done, labels, pivots = None, None, first_pivots
+    while not open_.isEmpty():
+        led = open_ if done is None else open_.filter("apart")
+        best = F.struct((F.col("n") - F.col("r")).alias("w"), "node", "n", "r", "comp")
+        salted = led.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(pivots)))
+        lead = tmp.save(salted.groupBy("token", "salt").agg(F.min(best).alias("p")).select("token", "p"), "pivots")
+        pairs = _candidates(open_, lead, num, den).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = tmp.save(pairs, "pairs")
         done = pairs.select("a", "b") if done is None else done.unionAll(pairs.select("a", "b"))
         links = links.unionAll(tmp.save(_verify(pairs, segments, num, den), "links"))
-        comps = tmp.save(connected_components(links, tmp), "components")
-        left = open_.join(lead.select("token", F.col("p.node").alias("node")), ["token", "node"], "left_anti").drop("comp")
-        left = left.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        left = tmp.save(left, "left")
-        # A member whose unshared hashes rule out even the bucket's best partner is done there; so is a bucket of one component.
-        best = left.groupBy("token").agg(F.min(F.col("n") - F.col("s")).alias("u"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        alive = left.join(best, "token").filter((den - num) * F.col("s") >= num * (F.col("n") - F.col("s") + F.col("u")))
-        again = alive.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-        last, open_ = open_, tmp.save(alive.select("token", "node", "n", "s", "comp").join(again, "token"), "buckets")
-        tmp.drop(last)
-        pivots *= 4
+        labels = tmp.save(_labels(links, _labels(links, labels)), "labels")
+        left = open_.join(lead.select("token", F.col("p.node").alias("node")), ["token", "node"], "left_anti")
+        left = left.select("token", "node", "n", "r").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
+        left = tmp.save(left.drop("label"), "left")
+        last, open_ = open_, tmp.save(_still_open(left, num, den), "buckets")
+        tmp.drop(last, left, lead)
+        pivots *= 16
+    comps = None if done is None else tmp.save(connected_components(links, tmp), "components")
 
     named = classes if comps is None else classes.join(comps, "node", "left")
     named = tmp.save(named.withColumn("component", F.coalesce("component", "node") if comps is not None else F.col("node")), "classes")
     top = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    by_key = named.join(top, "component").select("key", "component_id")
+    by_key = named.join(top, "component").select("key", "component_id", "component")
     out = members.join(by_key, "key", "left")
-    alone = (F.col("n") == 0) | F.col("component_id").isNull()
-    return out.select("doc_id", "row", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    group = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), group.alias("component_id"), "component", "tag")

@@ -40,7 +40,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(documents(spark, sf_dir), 4, (85, 100)).drop("row")
+    return jaccard.jaccard_components(documents(spark, sf_dir), 4, (85, 100)).drop("component", "tag")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
