@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import math
 import tempfile
 import uuid
 
@@ -68,6 +67,18 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, made from ``names``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+        taken.add(n.lower())
+    return out
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row, also when body uses it in a lambda."""
     return F.transform(F.array(value), body)[0]
@@ -93,17 +104,16 @@ def ranked(df: DataFrame, keys: list[str], ids: list[str], out: str, n_buckets:
     return joined.select(*[mine[c] for c in df.columns], (F.col("_mine") + F.col("_offset")).alias(out))
 
 
-def ordered_prefix(df: DataFrame, order: str, value: str, out: str, n_buckets: int = 4096, ties: tuple[str, ...] = ()) -> DataFrame:
-    """df with ``out``: the sum of ``value`` over the rows that come before in the order of the integer column ``order``.
+def ordered_prefix(df: DataFrame, order: str, value: str, out: str, tmp: Scratch, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with ``out``: the sum of ``value`` over the rows that come before in the order of ``order``, then ``ties``.
 
-    The range of ``order`` is cut into n_buckets even intervals; rows are summed within their interval and shifted
-    by the sums of the intervals before, a table of n_buckets rows at most. df is read three times: pass a saved table.
+    Rows are dealt to sampled ranges of that order (nulls first), of about equal numbers of rows however the values are
+    spread; they are summed within their range and shifted by the sums of the ranges before, a table with a row for
+    each shuffle partition.
     """
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    if lo is None:
-        return df.withColumn(out, F.lit(None).cast("long"))
-    width = max(1, math.ceil((hi - lo + 1) / n_buckets))
-    parted = df.withColumn("_bucket", F.floor((F.col(order) - F.lit(lo)) / F.lit(width)).cast("int"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = df.repartitionByRange(n, order, *ties).withColumn("_bucket", F.spark_partition_id())
+    parted = tmp.save(parted, "ranges")
     size = parted.groupBy("_bucket").agg(F.sum(value).alias("_size"))
     before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offset = size.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))

@@ -8,8 +8,9 @@ a packing meets the lower bound, or after ``most_nodes`` fillings, with the best
 
 Then each piece gets its place by its rank among the pieces of its length, in a distributed pass.
 
-Only documents longer than the capacity are cut, into full pieces and a rest. Null texts hold the end id only; a
-doc_id that comes twice is two documents; an empty table gives an empty result; extra columns are ignored.
+Only documents longer than the capacity are cut, into full pieces and a rest. Null texts hold the end id only; null
+doc_ids are kept; a doc_id that comes twice is two documents; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ranked
-from .tokens import as_uint32, encoder
+from .common import Scratch, ordered_prefix
+from .tokens import encoder, parts, text_bytes
 
 CAPACITY = 2048
-PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, row long, place long, piece int, start long, length long, ids_crc32 long"
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -267,28 +269,47 @@ def _search(counts: dict[int, int], capacity: int, score: int, bound: int, most_
     return best
 
 
-def piece_table(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """docs(doc_id, text) -> a row for each piece, with its ids if asked for."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer, kind)
-        end = np.array([end_id], enc.dtype).tobytes()
-        for pdf in batches:
-            out = []
-            for doc, row, ids in zip(pdf["doc_id"], pdf["row"], enc.encode(pdf["text"]), strict=True):
-                wide = as_uint32(ids + end, enc.dtype)
-                for k, at in enumerate(range(0, len(wide), capacity)):
-                    part = wide[at : at + capacity]
-                    out.append((doc, row, k, at, len(part), zlib.crc32(part.tobytes()), *([part.tolist()] if with_ids else [])))
-            made = pd.DataFrame(out, columns=["doc_id", "row", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
-            yield made.astype({"doc_id": "Int64"})
+def with_end(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Id streams as unsigned 32-bit numbers, each closed by the end id, and where each begins (and the end)."""
+    n = np.diff(at)
+    wide = np.full(len(ids) + len(n), end_id, "<u4")
+    wide[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+    return wide, at + np.arange(len(at))
 
-    return rows.mapInPandas(cut, PIECES + (", ids array<long>" if with_ids else ""))
 
+def piece_table(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """docs(doc_id, text, place) -> a row for each piece, with its ids if asked for; row numbers the documents."""
+    rows = docs.select("doc_id", "place", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
 
-def place_pieces(pieces: DataFrame, plan: list[tuple[tuple[int, ...], int]], schema: str) -> DataFrame:
-    """pieces(length, rank, ...) with sequence_id and offset by the plan, whose size the capacity bounds, not the rows."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer, kind)
+        for batch in batches:
+            for some in parts(batch, "text"):
+                wide, at = with_end(*enc.encode(*text_bytes(some.column("text"))), end_id)
+                sizes = np.diff(at)
+                pieces = -(-sizes // capacity)
+                of = np.repeat(np.arange(len(sizes)), pieces)
+                k = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = k * capacity
+                length = np.minimum(capacity, sizes[of] - start)
+                begin = at[of] + start
+                raw = memoryview(wide).cast("B")
+                crc = [zlib.crc32(raw[4 * x : 4 * (x + n)]) for x, n in zip(begin.tolist(), length.tolist(), strict=True)]
+                doc = pa.array(of)
+                columns = [some.column("doc_id").cast(pa.int64()).take(doc), some.column("row").take(doc), some.column("place").take(doc), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(wide)), pa.int32()), pa.array(wide, pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "place", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+
+    return rows.mapInArrow(cut, PIECES + (", ids array<long>" if with_ids else ""))
+
+
+def place_pieces(pieces: DataFrame, plan: list[tuple[tuple[int, ...], int]], counts: dict[int, int]) -> DataFrame:
+    """pieces(..., rank), ranked by length, with sequence_id and offset by the plan, whose size the capacity bounds, not the rows."""
+    before, total = {}, 0
+    for n in sorted(counts):
+        before[n] = total
+        total += counts[n]
     spots: dict[int, list[tuple[int, int, int, int]]] = {}
     taken: Counter = Counter()
     base = 0
@@ -305,19 +326,32 @@ def place_pieces(pieces: DataFrame, plan: list[tuple[tuple[int, ...], int]], sch
         for pdf in batches:
             seq, off = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
             for n, at in pdf.groupby("length").indices.items():
-                t, rank = table[n], pdf["rank"].to_numpy()[at]
+                t, rank = table[n], pdf["rank"].to_numpy()[at] - before[n]
                 i = np.searchsorted(t[:, 0], rank, side="right") - 1
                 seq[at], off[at] = t[i, 1] + rank - t[i, 0], t[i, 2]
-            yield pdf.drop(columns=["rank"]).assign(sequence_id=seq, offset=off)
+            out = pdf.drop(columns=["rank"]).assign(sequence_id=seq, offset=off)
+            yield out.astype({"doc_id": "Int64"})
 
-    return pieces.mapInPandas(place, schema + ", sequence_id long, offset long")
+    return pieces.mapInPandas(place, PIECES + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 0, capacity: int = CAPACITY, order: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    With ``order``, a long column of docs, the pieces of each length are dealt to the fillings in that order, and
+    sequences are numbered, from 0 without gaps, by the first place that they hold.
+    """
     tmp = Scratch(docs.sparkSession, "packing")
-    pieces = tmp.save(piece_table(docs, tokenizer, kind, end_id, capacity), "pieces")
+    named = docs.select("doc_id", "text", (F.col(order) if order else F.lit(0)).cast("long").alias("place"))
+    pieces = tmp.save(piece_table(named, tokenizer, kind, end_id, capacity).withColumn("one", F.lit(1).cast("long")), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     plan = bin_completion(counts, capacity)
-    numbered = ranked(pieces, ["length"], ["doc_id", "row", "piece"], "rank", 64)
-    return place_pieces(numbered, plan, PIECES).drop("row")
+    ties = ("place", "doc_id", "row", "piece")
+    numbered = ordered_prefix(pieces, "length", "one", "rank", tmp, ties=ties).drop("one")
+    placed = place_pieces(numbered, plan, counts)
+    if order:
+        placed = tmp.save(placed, "placed")
+        first = placed.groupBy("sequence_id").agg(F.min("place").alias("first")).withColumn("one", F.lit(1).cast("long"))
+        first = ordered_prefix(first, "first", "one", "number", tmp, ties=("sequence_id",))
+        placed = placed.join(first.select("sequence_id", "number"), "sequence_id").drop("sequence_id").withColumnRenamed("number", "sequence_id")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

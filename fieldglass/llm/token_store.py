@@ -5,39 +5,42 @@ chunks. Each distinct chunk is stored once under its digest; a document's recipe
 cover the chunks of a document, the documents of a pack and the packs of a group.
 
 Files, all Parquet below one folder: ``chunks/kind=0`` recipes as written (unordered), ``chunks/kind=1`` chunks (digest,
-n, payload: the ids, little-endian), ``recipes`` in ascending doc_id order (doc_id, row, start, n_tokens, digests, root) and
-``manifest`` (pack, first_doc, last_doc, documents, root).
+n, payload: the ids, little-endian), ``recipes`` in ascending doc_id order (doc_id, row, start, n_tokens, digests, root),
+``manifest/packs`` (group, pack, start, documents, root) and ``manifest/groups`` (group, packs, root). A pack is the
+documents that start within PACK ids, a group is GROUP packs.
 
-Reading checks each payload against its digest and each recipe against its root, and gets a document's checksum by
-combining those of its chunks, so that payloads are never shuffled on the way back. Null texts have the end id only;
-a doc_id that comes twice has two recipes, in the order of their roots; an empty table gives an empty store; extra
-columns are ignored.
+Reading checks each payload against its digest, each recipe against its root, each pack against its documents and each
+group against its packs, and gets a document's checksum by combining those of its chunks, so that payloads are never
+shuffled on the way back. ``verified`` is false for a document if any of these fails on the way to it.
+
+Null texts have the end id only; null doc_ids come first, in the order of their roots; a doc_id that comes twice has two
+recipes, in the order of their roots; an empty table gives an empty store; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from .common import Scratch, ordered_prefix
-from .tokens import encoder
+from .packing import with_end
+from .tokens import encoder, parts, text_bytes
 
 #: A chunk ends where the rolling hash of WINDOW ids has CUT_BITS leading zeros; ids in a chunk at most.
 WINDOW, CUT_BITS, LONGEST = 16, 9, 4096
 #: Ids in a pack of the manifest; packs in a group.
 PACK, GROUP = 1 << 20, 4096
-#: Documents whose chunks are cut together.
-TOGETHER = 500
 STORED = "kind int, key long, doc_id long, row long, n long, digests array<binary>, digest binary, payload binary"
+_FIELDS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("digests", pa.list_(pa.binary())), ("digest", pa.binary()), ("payload", pa.binary())])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,29 +49,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def cut_points(streams: list[np.ndarray]) -> list[list[int]]:
-    """Ends of the chunks of each id stream. The streams are hashed end to end; no hash reaches over a stream's start."""
-    sizes = np.array([len(x) for x in streams], np.int64)
-    starts = np.cumsum(sizes) - sizes
+def cut_points(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Ends of all chunks of the id streams ids[at[i]:at[i + 1]]: where the hash of the WINDOW ids before says so.
+
+    No hash reaches over a stream's start, so that a stream's chunks don't depend on its neighbours.
+    """
     with np.errstate(over="ignore"):
-        h = _mix(np.concatenate([np.zeros(0, np.uint64), *streams]).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        h = _mix(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
         step, base = 1, np.uint64(0x9E3779B97F4A7C15 | 1)
         while step < WINDOW and step < len(h):  # h[i] covers twice as many ids ending at i after each turn
             h[step:] = h[step:] + h[:-step] * base
             step, base = 2 * step, base * base
         ends = np.flatnonzero((_mix(h) >> np.uint64(64 - CUT_BITS)) == 0) + 1
-    out = []
-    for at, n, a, b in zip(starts.tolist(), sizes.tolist(), np.searchsorted(ends, starts + WINDOW).tolist(), np.searchsorted(ends, starts + sizes).tolist(), strict=True):
-        cuts, last = [], 0
-        for e in [*(ends[a:b] - at).tolist(), n]:
-            while e - last > LONGEST:
-                last += LONGEST
-                cuts.append(last)
-            if e > last:
-                cuts.append(e)
-                last = e
-        out.append(cuts)
-    return out
+    stream = np.searchsorted(at, ends, side="left") - 1  # the stream that a chunk's last id is in
+    ends = ends[ends - at[stream] >= WINDOW]
+    ends = np.union1d(ends, at[1:][at[1:] > at[:-1]])
+    sizes = np.diff(np.concatenate([[0], ends]))
+    long = np.flatnonzero(sizes > LONGEST)
+    if len(long):
+        more = [np.arange(ends[i] - sizes[i] + LONGEST, ends[i], LONGEST) for i in long.tolist()]
+        ends = np.union1d(ends, np.concatenate(more))
+    return ends.astype(np.int64)
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -88,20 +89,18 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: i
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
 
-    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, kind)
-        end = np.array([end_id], enc.dtype).tobytes()
         seen: set[bytes] = set()  # of this task's recent chunks: most repeats don't leave the task
 
-        for pdf in batches:
-            encoded, docs_, rows_ = enc.encode(pdf["text"]), pdf["doc_id"].tolist(), pdf["row"].tolist()
-            for at in range(0, len(pdf), TOGETHER):
-                some = [x + end for x in itertools.islice(encoded, TOGETHER)]
-                yield _chunks(docs_[at : at + TOGETHER], rows_[at : at + TOGETHER], some, enc.dtype, seen)
-            if len(seen) > 200_000:
-                seen.clear()
-
-    made = rows.mapInPandas(chunked, STORED)
+        for batch in batches:
+            for some in parts(batch, "text"):
+                wide, at = with_end(*enc.encode(*text_bytes(some.column("text"))), end_id)
+                yield from _chunks(some.column("doc_id").cast(pa.int64()), some.column("row"), wide.astype(enc.dtype), at, seen)
+                if len(seen) > 200_000:
+                    seen.clear()
+
+    made = rows.mapInArrow(chunked, STORED)
     last = F.lag("digest").over(W.partitionBy("kind", "key").orderBy("digest"))  # a key is a part of the digest: few rows have one
     once = made.withColumn("_last", last).filter((F.col("kind") == 0) | F.col("_last").isNull() | (F.col("_last") != F.col("digest")))
     once.drop("key", "_last").write.partitionBy("kind").option("compression", "lz4").parquet(f"{path}/chunks")
@@ -109,37 +108,41 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: i
     rooted = _recipes_as_written(spark, path).withColumn("root", _root("digests"))
     tmp = Scratch(spark, "store")
     rooted = tmp.save(rooted, "recipes")
-    started = ordered_prefix(rooted, "doc_id", "n_tokens", "start", ties=("root", "row"))
+    started = ordered_prefix(rooted, "doc_id", "n_tokens", "start", tmp, ties=("root", "row"))
     started = started.select("doc_id", "row", F.col("start").cast("long").alias("start"), "n_tokens", "digests", "root")
-    started.repartitionByRange("doc_id", "start").sortWithinPartitions("doc_id", "start").write.parquet(f"{path}/recipes")
-    manifest(_recipes(spark, path)).write.parquet(f"{path}/manifest")
+    started.repartitionByRange("start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
+    packs = tmp.save(pack_roots(_recipes(spark, path)), "packs")
+    packs.write.parquet(f"{path}/manifest/packs")
+    group_roots(packs).write.parquet(f"{path}/manifest/groups")
+    tmp.drop(rooted, packs)
 
 
-def _chunks(docs: list, rows: list[int], streams: list[bytes], dtype: np.dtype, seen: set[bytes]) -> pd.DataFrame:
+def _chunks(docs: pa.Array, rows: pa.Array, ids: np.ndarray, at: np.ndarray, seen: set[bytes]) -> Iterator[pa.RecordBatch]:
     """Recipes of the documents, and those of their chunks that are not in ``seen``, which gets them."""
-    w, digests, payloads, recipes = dtype.itemsize, [], [], []
-    for ids, cuts in zip(streams, cut_points([np.frombuffer(x, dtype) for x in streams]), strict=True):
-        at, mine = 0, []
-        for e in cuts:
-            payload = ids[at * w : e * w]
-            mine.append(d := _digest(payload))
-            if d not in seen:
-                seen.add(d)
-                digests.append(d)
-                payloads.append(payload)
-            at = e
-        recipes.append(mine)
-    n, k = len(docs), len(digests)
-    return pd.DataFrame({
-        "kind": [0] * n + [1] * k,
-        "key": rows + [int.from_bytes(d[:8], "little", signed=True) for d in digests],
-        "doc_id": pd.array([None if x is None or x != x else int(x) for x in docs] + [None] * k, "Int64"),
-        "row": pd.array(rows + [None] * k, "Int64"),
-        "n": [len(x) // w for x in streams] + [len(x) // w for x in payloads],
-        "digests": recipes + [None] * k,
-        "digest": [None] * n + digests,
-        "payload": [None] * n + payloads,
-    })
+    ends = cut_points(ids, at)
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    raw, w = ids.tobytes(), ids.itemsize
+    every, new = [], []
+    for i, (x, y) in enumerate(zip((begins * w).tolist(), (ends * w).tolist(), strict=True)):
+        every.append(d := _digest(raw[x:y]))
+        if d not in seen:
+            seen.add(d)
+            new.append(i)
+    digests, k, n = pa.array(every, pa.binary()), len(new), len(docs)
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(ends, at, side="right"), pa.int32()), digests)
+    yield _stored(n, kind=pa.array(np.zeros(n, np.int32)), key=rows, doc_id=docs, row=rows, n=pa.array(np.diff(at)), digests=lists)
+    size, start, first = (ends - begins)[new], begins[new] * w, np.zeros(k + 1, np.int32)
+    np.cumsum(size * w, out=first[1:])
+    payload = b"".join([raw[x : x + y] for x, y in zip(start.tolist(), (size * w).tolist(), strict=True)])
+    payloads = pa.BinaryArray.from_buffers(pa.binary(), k, [None, pa.py_buffer(first), pa.py_buffer(payload)])
+    mine = digests.take(pa.array(new, pa.int64()))
+    key = np.frombuffer(b"".join(every[i][:8] for i in new), "<i8")
+    yield _stored(k, kind=pa.array(np.ones(k, np.int32)), key=pa.array(key), n=pa.array(size), digest=mine, payload=payloads)
+
+
+def _stored(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch of the stored table, nulls where no column is given."""
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in _FIELDS], schema=_FIELDS)
 
 
 @F.pandas_udf(BinaryType())
@@ -155,11 +158,26 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, row long, start long, n_tokens long, digests array<binary>, root binary").parquet(f"{path}/recipes")
 
 
-def manifest(recipes: DataFrame) -> DataFrame:
-    """A row for each pack, with its group; a pack's root covers its documents' roots in order."""
-    pack = recipes.withColumn("pack", F.floor(F.col("start") / PACK)).groupBy("pack")
-    roots = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", F.hex("root").alias("root")))), lambda x: x["root"]), "")
-    return pack.agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("documents"), F.sha2(roots, 256).alias("root")).withColumn("group", F.floor(F.col("pack") / GROUP))
+def pack_roots(recipes: DataFrame) -> DataFrame:
+    """A row for each pack: the Merkle root over its documents' roots in order. A pack has PACK documents at most."""
+    def cover(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("start")
+        pack = int(pdf["pack"].iloc[0])
+        root = merkle_root([bytes(x) for x in pdf["root"]])
+        return pd.DataFrame([(pack // GROUP, pack, int(pdf["start"].iloc[0]), len(pdf), root)], columns=["group", "pack", "start", "documents", "root"])
+
+    packed = recipes.select(F.floor(F.col("start") / PACK).alias("pack"), "start", "root")
+    return packed.groupBy("pack").applyInPandas(cover, "group long, pack long, start long, documents long, root binary")
+
+
+def group_roots(packs: DataFrame) -> DataFrame:
+    """A row for each group: the Merkle root over its packs' roots in order. A group has GROUP packs at most."""
+    def cover(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pack")
+        root = merkle_root([bytes(x) for x in pdf["root"]])
+        return pd.DataFrame([(int(pdf["group"].iloc[0]), len(pdf), root)], columns=["group", "packs", "root"])
+
+    return packs.select("group", "pack", "root").groupBy("group").applyInPandas(cover, "group long, packs long, root binary")
 
 
 def _shift(n: int) -> int:
@@ -215,17 +233,26 @@ def read_store(spark: SparkSession, path: str, dtype: str = "<u2") -> DataFrame:
                 parts = sorted(parts, key=lambda p: p["at"])
                 good = all(p["good"] for p in parts) and [p["at"] for p in parts] == list(range(len(parts)))
                 good = good and merkle_root([bytes(p["digest"]) for p in parts])
-                out.append((combine_crc([(p["crc"], 4 * p["ids"]) for p in parts]), sum(p["ids"] for p in parts), good or b""))
+                there = [p for p in parts if p["crc"] is not None]
+                out.append((combine_crc([(p["crc"], 4 * p["ids"]) for p in there]), sum(p["ids"] for p in there), good or b""))
             crc, n, root = zip(*out, strict=True) if out else ((), (), ())
             fits = [bytes(a) == bytes(b) for a, b in zip(root, pdf["root"], strict=True)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "start": pdf["start"], "n_tokens": n, "ids_crc32": crc, "verified": fits})
 
     chunks = spark.read.schema(STORED).parquet(f"{path}/chunks").filter("kind = 1")
     facts = chunks.select("digest", "payload").mapInPandas(sums, "digest binary, ids long, crc long, good boolean")
-    lines = _recipes(spark, path).select("doc_id", "row", "start", "root", F.posexplode("digests").alias("at", "digest"))
-    found = lines.join(facts, "digest").groupBy("doc_id", "row", "start", "root")
+    recipes = _recipes(spark, path)
+    lines = recipes.select("doc_id", "row", "start", "root", F.posexplode("digests").alias("at", "digest"))
+    found = lines.join(facts, "digest", "left").groupBy("doc_id", "row", "start", "root")
     found = found.agg(F.collect_list(F.struct("at", "digest", "ids", "crc", "good")).alias("parts"))
-    return found.mapInPandas(whole, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
+    read = found.mapInPandas(whole, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
+    packs = spark.read.schema("group long, pack long, start long, documents long, root binary").parquet(f"{path}/manifest/packs")
+    groups = spark.read.schema("group long, packs long, root binary").parquet(f"{path}/manifest/groups")
+    fresh = pack_roots(recipes).select("pack", F.col("root").alias("found"))
+    whole_groups = group_roots(packs).select("group", F.col("root").alias("found")).join(groups, "group").filter("found = root").select("group", F.lit(True).alias("in_group"))
+    sound = packs.join(fresh, "pack").filter("found = root").join(whole_groups, "group").select("pack", "in_group")
+    read = read.withColumn("pack", F.floor(F.col("start") / PACK)).join(sound, "pack", "left")
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32", (F.col("verified") & F.coalesce("in_group", F.lit(False))).alias("verified"))
 
 
 def store_documents(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 2) -> DataFrame:
