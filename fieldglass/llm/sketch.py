@@ -4,10 +4,14 @@ A fingerprint keeps every distinct hash of a text's five-word shingles below a f
 size follows the text's, so that the share of a small text inside a large one can be told from the two fingerprints,
 and the fingerprint of a union is the union of the fingerprints.
 
-Form: ``<shingles>:<hash of the whole text>:<kept hashes, ascending, comma-joined>``, numbers in hex. Texts with fewer
-words than a shingle have their whole word sequence as one shingle; a text without words has none. Null counts as the
-empty text. Equal texts have likeness 1; otherwise likeness is the Jaccard measure of the kept hashes (0 if neither
-text has any).
+Hashes are the upper 48 bits of xxHash64. Form: ``<shingles>:<hash of the whole text>:<kept hashes>``, numbers in hex,
+the kept hashes ascending, of 12 digits each. Texts with fewer words than a shingle have their whole word sequence as
+one shingle; a text without words has none. Equal texts have likeness 1; otherwise likeness is the Jaccard measure of
+the kept hashes (0 if neither text has any).
+
+Null counts as the empty text. Documents with one doc_id follow each other by the texts' hashes; those without a doc_id
+come last, and so border on the first. Repeated rows are documents of their own. An empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,25 +26,26 @@ from .common import SPACE_CLASS, Scratch, let
 
 SHINGLE = 5
 #: One hash in so many is kept.
-SCALE = 8
-MOST_INTERVALS = 100_000
+SCALE = 2
+#: Intervals of doc_id at most; their limits are broadcast.
+MOST_INTERVALS = 10_000
 
 
 def kept_hashes(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
     """struct(n: shingles in the text, h: ascending distinct hashes under the threshold)."""
-    top = -(2**63) + 2**64 // scale
     words = F.array_remove(F.split(text, SPACE_CLASS), "")
 
     def sketch(w: Column) -> Column:
         n = F.greatest(F.size(w) - (shingle - 1), F.least(F.size(w), F.lit(1)))
-        hashes = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(w, i, F.lit(shingle))))).otherwise(F.expr("cast(array() as array<bigint>)"))
-        return F.struct(n.alias("n"), F.sort_array(F.array_distinct(F.filter(hashes, lambda h: h < F.lit(top)))).alias("h"))
+        hashed = F.transform(F.sequence(F.lit(1), n), lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(w, i, F.lit(shingle))), 16))
+        hashes = F.when(n > 0, hashed).otherwise(F.expr("cast(array() as array<bigint>)"))
+        return F.struct(n.alias("n"), F.sort_array(F.array_distinct(F.filter(hashes, lambda h: h < F.lit(2**48 // scale)))).alias("h"))
 
     return let(words, sketch)
 
 
 def fingerprint(text: Column, sketch: Column) -> Column:
-    return F.concat(F.lower(F.hex(sketch["n"].cast("long"))), F.lit(":"), F.lower(F.hex(F.xxhash64(text))), F.lit(":"), F.array_join(F.transform(sketch["h"], lambda h: F.lower(F.hex(h))), ","))
+    return F.concat(F.lower(F.hex(sketch["n"].cast("long"))), F.lit(":"), F.lower(F.hex(F.xxhash64(text))), F.lit(":"), F.array_join(F.transform(sketch["h"], lambda h: F.lower(F.lpad(F.hex(h), 12, "0"))), ""))
 
 
 def likeness(a: Column, b: Column, same: Column) -> Column:
@@ -55,29 +60,60 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def fingerprint_documents(docs: DataFrame, rows_each: int = 1000) -> DataFrame:
+def _intervals(doc_id: Column, tie: Column, limits: list[int], null_parts: int) -> Column:
+    """The interval of a row, ascending by (doc_id, tie): how many of the ascending limits its doc_id is not below.
+
+    A doc_id that k limits in a row equal is dealt to k + 1 intervals by even ranges of its ties; rows without doc_id
+    stand before all others, in ``null_parts`` intervals.
+    """
+    share = lambda parts: F.least(F.floor((tie / F.lit(2.0**64) + 0.5) * parts), parts - 1)
+    step = max(1, math.isqrt(len(limits)))
+    heads = F.split(F.lit(",".join(str(x) for x in limits[::step])), ",").cast("array<bigint>")
+    runs = F.split(F.lit(";".join(",".join(str(x) for x in limits[i : i + step]) for i in range(0, len(limits), step))), ";")
+
+    def below(cond) -> Column:
+        """How many limits fulfil cond, which holds for a first part of them."""
+        run = F.size(F.filter(heads, cond))
+        inner = F.split(F.get(runs, F.greatest(run - 1, F.lit(0))), ",").cast("array<bigint>")
+        return F.when(run == 0, F.lit(0)).otherwise((run - 1) * step + F.size(F.filter(inner, cond)))
+
+    nowhere = share(F.lit(null_parts)) - null_parts
+    if not limits:
+        return F.when(doc_id.isNull(), nowhere).otherwise(F.lit(0))
+    less, upto = below(lambda x: x < doc_id), below(lambda x: x <= doc_id)
+    return F.when(doc_id.isNull(), nowhere).otherwise(less + F.when(upto > less, share(upto - less + 1)).otherwise(F.lit(0)))
+
+
+def fingerprint_documents(docs: DataFrame, rows_each: int = 200) -> DataFrame:
     """The fingerprint of each text, of its edited text, and their likenesses; see the contract of op8.
 
-    A document's neighbour is the next one by descending doc_id. Rows are dealt to intervals of doc_id of about
-    ``rows_each`` rows, at most MOST_INTERVALS of them; the first row of each interval also goes to the interval that
-    needs it, so that each text is shuffled once. The list of intervals is broadcast: its size is bounded. Equal doc_ids follow each other by text.
+    A document's neighbour is the next one by descending doc_id. Rows are dealt to intervals of doc_id between
+    percentiles, of about ``rows_each`` rows (more, if that takes over MOST_INTERVALS); the first row of each interval
+    also goes to the interval that needs it, so that each text is shuffled once.
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lo, hi, n = base.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    width = 1 if not n else max(1, math.ceil((hi - lo + 1) / min(MOST_INTERVALS, math.ceil(n / rows_each))))
-    bucket = F.floor((F.lit(hi if n else 0) - F.col("doc_id")) / F.lit(width))
-    own = base.withColumn("_b", bucket)
-    # The buckets that have rows, in order, each with the next (the last: the first): what an interval's last row looks at.
+    n, nulls = base.agg(F.count(F.lit(1)), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
+    cuts = min(MOST_INTERVALS, (n - nulls) // rows_each)
+    limits = []
+    if cuts > 0:
+        at = F.percentile_approx("doc_id", [k / (cuts + 1) for k in range(1, cuts + 1)], max(10_000, 5 * cuts))
+        limits = sorted(base.agg(at).first()[0])
+    null_parts = max(1, min(MOST_INTERVALS, nulls // rows_each))
+    own = base.withColumn("_t", F.xxhash64("text"))
+    own = own.withColumn("_b", -_intervals(F.col("doc_id"), F.col("_t"), limits, null_parts).cast("long"))
+    # The intervals that have rows, in order, each with the one before it (the first: the last), whose last row needs its first.
     tmp = Scratch(spark, "sketch")
-    firsts = own.groupBy("_b").agg(F.min(F.struct((-F.col("doc_id")).alias("k"), F.xxhash64("text").alias("t"))).alias("f"))
-    firsts = tmp.save(firsts.select("_b", F.col("f.k").alias("_k"), F.col("f.t").alias("_t")), "firsts")
+    key = F.struct(F.coalesce(F.bitwise_not("doc_id"), F.lit(2**63 - 1)).alias("k"), F.bitwise_not("_t").alias("t"))
+    firsts = own.groupBy("_b").agg(F.min(key).alias("f"))
+    firsts = tmp.save(firsts.select("_b", F.col("f.k").alias("_k"), F.col("f.t").alias("_m")), "firsts")
     numbered = _linked(firsts)
-    heads = own.withColumn("_k", -F.col("doc_id")).withColumn("_t", F.xxhash64("text")).join(F.broadcast(numbered), ["_b", "_k", "_t"]).dropDuplicates(["_b"])
-    heads = heads.select(F.col("_to").alias("_b"), "doc_id", "text", F.lit(1).alias("_head"))
-    rows = own.select("_b", "doc_id", "text", F.lit(0).alias("_head")).unionByName(heads)
+    keyed = own.withColumn("_k", key["k"]).withColumn("_m", key["t"])
+    heads = keyed.join(F.broadcast(numbered), ["_b", "_k", "_m"]).dropDuplicates(["_b"])
+    heads = heads.select(F.col("_to").alias("_b"), "doc_id", "text", "_t", F.lit(1).alias("_head"))
+    rows = own.select("_b", "doc_id", "text", "_t", F.lit(0).alias("_head")).unionByName(heads)
     rows = rows.withColumn("_s", kept_hashes(F.col("text")))
-    order = W.partitionBy("_b").orderBy("_head", F.col("doc_id").desc(), F.xxhash64("text"))
+    order = W.partitionBy("_b").orderBy("_head", F.col("doc_id").desc(), F.col("_t").desc())
     near = rows.withColumn("_n", F.lead(F.struct("text", "_s")).over(order)).filter("_head = 0")
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.col("_n.text"), F.lit(1), third))
@@ -96,9 +132,6 @@ def fingerprint_documents(docs: DataFrame, rows_each: int = 1000) -> DataFrame:
 
 
 def _linked(firsts: DataFrame) -> DataFrame:
-    """firsts(_b, ...) with _to: the bucket before it in order (the first: the last), by runs of 4096 buckets."""
-    runs = firsts.withColumn("_run", F.floor(F.col("_b") / 4096))
-    ends = runs.groupBy("_run").agg(F.max("_b").alias("_last"))
-    before = ends.withColumn("_prior", F.lag("_last").over(W.orderBy("_run"))).withColumn("_end", F.max("_last").over(W.partitionBy(F.lit(0))))
-    inside = runs.withColumn("_to", F.lag("_b").over(W.partitionBy("_run").orderBy("_b")))
-    return inside.join(before, "_run").select(*firsts.columns, F.coalesce("_to", "_prior", "_end").alias("_to"))
+    """firsts(_b, ...) with _to: the interval before it in order (the first: the last). firsts has 2 * MOST_INTERVALS rows at most."""
+    before, last = F.lag("_b").over(W.orderBy("_b")), F.max("_b").over(W.partitionBy(F.lit(0)))
+    return firsts.select("*", F.coalesce(before, last).alias("_to"))
