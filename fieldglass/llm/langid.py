@@ -1,28 +1,32 @@
 """Language identification by error-correcting output codes.
 
-Each language gets a codeword; a linear classifier on hashed byte n-grams (1 to 4 bytes) predicts each bit, and
+Each language gets a codeword; a linear classifier on hashed byte n-grams (2 to 4 bytes) predicts each bit, and
 loss-weighted decoding picks the language whose codeword has the least summed hinge loss. The score is the margin
-between the best two codewords, so that ambiguous texts show low scores.
+between the best two codewords, from 0 to 1; a text whose score is below AMBIGUOUS is flagged ``ambiguous``.
 
-The classifiers learn from at most about ``sample_per_lang`` texts of each language, chosen by a hash; their features
-are counted on the executors over whole texts. Prediction reads whole texts and nothing else. A text without letters,
-or null, is ``und`` with score 0; with one language to learn from, all others get it with score 1; with none, ``und``.
-Repeated rows give equal results, an empty table an empty one; extra columns are ignored.
+The classifiers learn from about ``sample_per_lang`` texts of each language, chosen by a hash, and about SAMPLE_ROWS in
+all, which bounds what the driver gets (8 KB a text); their features are counted on the executors over whole texts.
+Prediction reads whole texts and nothing else. A text without letters, or null, is ``und`` with score 0, flagged; with
+one language to learn from, all others get it with score 1; with none, ``und``. Documents without doc_id are predicted,
+and not learned from. Repeated rows give equal results, an empty table an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hashed n-gram features; texts of each language to learn from, about; bits of codewords beyond the exhaustive code.
-FEATURES, SAMPLE_PER_LANG, RANDOM_BITS = 4096, 400, 31
+#: Hashed n-gram features; texts of each language and in all to learn from, about.
+FEATURES, SAMPLE_PER_LANG, SAMPLE_ROWS = 4096, 400, 16_000
+#: Bits of codewords beyond the exhaustive code; the score under which a prediction is ambiguous.
+RANDOM_BITS, AMBIGUOUS = 31, 0.1
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes whose features are counted at a time.
 SLICE = 1 << 20
@@ -91,26 +95,25 @@ def learn(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> tuple[
     langs = sorted(counts)
     if not langs:
         return [], np.ones((0, 1)), np.zeros((FEATURES, 1), np.float32), np.zeros(1, np.float32)
-    share: Column = F.lit(0.0)
-    for s in langs:
-        share = F.when(F.col("lang") == s, F.lit(min(1.0, sample_per_lang / counts[s]))).otherwise(share)
-    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < share * (1 << 20))
+    each = min(sample_per_lang, max(1, SAMPLE_ROWS // len(langs)))
+    odds = F.from_json(F.lit(json.dumps({s: min(1.0, each / n) for s, n in counts.items()})), "map<string, double>")
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    chosen = labelled.filter(F.col("doc_id").isNotNull() & (chance < F.try_element_at(odds, F.col("lang"))))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "x": [r.astype("<f4").tobytes() for r in features(pdf["text"].tolist())]})
+            yield pd.DataFrame({"lang": pdf["lang"], "x": [r.astype("<f2").tobytes() for r in features(pdf["text"].tolist())]})
 
-    seen = chosen.select("doc_id", "lang", "text").mapInPandas(count, "doc_id long, lang string, x binary").collect()
-    seen.sort(key=lambda r: (r["doc_id"], r["x"]))
+    seen = sorted(chosen.select("lang", "text").mapInPandas(count, "lang string, x binary").collect())
     code = codewords(len(langs))
     if not seen:
         return langs, code, np.zeros((FEATURES, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
-    x = np.stack([np.frombuffer(r["x"], "<f4") for r in seen])
+    x = np.stack([np.frombuffer(r["x"], "<f2") for r in seen]).astype(np.float32)
     return langs, code, *fit(x, np.array([langs.index(r["lang"]) for r in seen]), code)
 
 
 def predict_languages(docs: DataFrame, model: tuple) -> DataFrame:
-    """docs(doc_id, text, held_out) -> doc_id, held_out, lang_pred, score. The model is a few hundred KB."""
+    """docs(doc_id, text, held_out) -> doc_id, held_out, lang_pred, score, ambiguous. The model is a few hundred KB."""
     langs, code, w, b = model
 
     def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,9 +126,9 @@ def predict_languages(docs: DataFrame, model: tuple) -> DataFrame:
                 best, score = decode(features([texts[i] for i in some]) @ w + b, code)
                 for i, c, s in zip(some, best, score, strict=True):
                     names[i], scores[i] = langs[c], float(s)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "lang_pred": names, "score": scores})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "lang_pred": names, "score": scores, "ambiguous": [x < AMBIGUOUS for x in scores]})
 
-    return docs.select("doc_id", "text", "held_out").mapInPandas(guess, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", "text", "held_out").mapInPandas(guess, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def identify_languages(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
