@@ -1,12 +1,13 @@
 """Personal data by offset-preserving deobfuscation.
 
-Base patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers as they stand. Then a transducer
-rewrites disguises (homoglyphs and full-width characters, spelled digits, "at" and "dot" in brackets or words) and keeps
-for each rewritten run the source characters it came from. The same patterns run over the rewritten text, and what they
-find is mapped back to source characters. Added spans never touch base spans.
-
-Whole texts are read, null as empty. Rows are independent: repeated rows give equal results, an empty table an empty
-one, extra columns are ignored.
+Base patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers as they stand. Then two transducers
+rewrite disguises, the first homoglyphs, full-width characters and spelled digits, the second "at" and "dot": words or
+signs in brackets, and bare words beside what looks like a host name or an address in numbers. Each keeps for a
+rewritten run the source characters it came from. The same patterns run over the rewritten text, and what they find is
+mapped back to source characters. Added spans never touch base spans.
+
+Whole texts are read, null as empty; all patterns take time in proportion to the text. Rows are independent: repeated
+rows and null doc_ids give results of their own, an empty table an empty one, extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+#: The address pattern so that a long run of digits is read once: a match can only begin where a run does.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
@@ -55,10 +58,15 @@ _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 #: A run of three or more spelled digits, with single spaces, commas or hyphens between; "plus" may lead.
 SPELLED = re.compile(rf"(?<!\w)(?:plus[ ,-]{{1,2}})?(?:(?:{_WORD}|[0-9])[ ,-]{{1,2}}){{2,}}(?:{_WORD}|[0-9])(?!\w)", re.I)
 SPELLED_PART = re.compile(rf"plus|{_WORD}|[0-9]|[ ,-]+", re.I)
-BRACKET = re.compile(r"\s?[\[({<]\s?(at|dot|punkt|point|punto|arroba)\s?[\])}>]\s?", re.I)
-#: An address whose at and dots are words: name at host dot top.
-WORDED = re.compile(r"(?<![\w@.])[A-Za-z0-9._%+-]+(?P<at> (?:at|AT|At|arroba) )[A-Za-z0-9-]+(?P<dots>(?: (?:dot|DOT|punkt|punto|point) [A-Za-z0-9-]+)+)(?!\w)")
-WORDED_DOT = re.compile(r" (?:dot|DOT|punkt|punto|point) ")
+_AT, _DOT = "at|arroba", "dot|punkt|point|punto"
+#: A bracketed "at" or "dot", as a word or a sign.
+BRACKET = re.compile(rf"\s?[\[({{<]\s?(?:(?P<at>{_AT}|@)|{_DOT}|\.)\s?[\])}}>]\s?", re.I)
+_BRACKET_DOT = rf"\s?[\[({{<]\s?(?:{_DOT}|\.)\s?[\])}}>]\s?"
+DOT = re.compile(rf" (?:{_DOT}) |{_BRACKET_DOT}", re.I)
+BARE_AT = re.compile(rf"(?<=[A-Za-z0-9_%+-]) (?:{_AT}) (?=[A-Za-z0-9])", re.I)
+#: What may follow an "at": labels with dots, plain or disguised, the last in letters of one case.
+HOST = re.compile(rf"(?i:(?!www\.)[A-Z0-9-]++(?:(?:\.| (?:{_DOT}) |{_BRACKET_DOT})(?!(?:{_DOT}|{_AT}) )[A-Z0-9-]++)*)(?:\.|(?i: (?:{_DOT}) |{_BRACKET_DOT}))(?:[a-z]{{2,24}}|[A-Z]{{2,24}})(?![A-Za-z0-9])(?!/|:[/0-9])")
+NUMBERS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.| (?:{_DOT}) |{_BRACKET_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 GLYPH = re.compile("[" + "".join(re.escape(c) for c in GLYPHS) + "]")
 
 
@@ -87,7 +95,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the four kinds; a match that fails its check is dropped."""
     out = [(s, e, "email") for s, e in _emails(text)] if "@" in text else []
-    for m in PATTERNS["ip"].finditer(text):
+    for m in IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
             out.append((m.start(), m.end(), "ip"))
     for m in PATTERNS["card"].finditer(text):
@@ -114,59 +122,76 @@ def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
     return out
 
 
-def edits(text: str) -> list[tuple[int, int, str]]:
-    """Ascending, disjoint (start, end, replacement) that undo disguises."""
-    found = []
-    if not text.isascii():
-        found += [(m.start(), m.end(), GLYPHS[m[0]]) for m in GLYPH.finditer(text)]
-    if "[" in text or "(" in text or "{" in text or "<" in text:
-        found += [(m.start(), m.end(), "@" if m[1].lower() in ("at", "arroba") else ".") for m in BRACKET.finditer(text)]
-    if any(w in text for w in (" dot ", " DOT ", " punkt ", " punto ", " point ")):
-        for m in WORDED.finditer(text):
-            found.append((*m.span("at"), "@"))
-            s, e = m.span("dots")
-            found += [(d.start(), d.end(), ".") for d in WORDED_DOT.finditer(text, s, e)]
+def characters(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, replacement) of look-alike characters and spelled digits."""
+    found = [] if text.isascii() else [(m.start(), m.end(), GLYPHS[m[0]]) for m in GLYPH.finditer(text)]
     for m in SPELLED.finditer(text):
         found += _spelled(m)
-    found.sort()
-    out, last = [], 0
-    for s, e, new in found:
-        if s >= last:
-            out.append((s, e, new))
-            last = e
-    return out
+    return found
 
 
-def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans that only the rewritten text shows, in source characters, apart from base spans and each other."""
-    changes = edits(text)
-    if not changes:
-        return []
-    parts, norm_at, src_at, last, length = [], [], [], 0, 0
-    for s, e, new in changes:
-        parts += [text[last:s], new]
-        norm_at += [length, length + s - last]
-        src_at += [(last, True), (s, False)]
-        length += s - last + len(new)
-        last = e
-    parts.append(text[last:])
-    norm_at.append(length)
-    src_at.append((last, True))
-    ends = [e for _, e, _ in changes]
-
-    def source(p: int, end: bool) -> int:
+def ats_and_dots(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, replacement) of disguised "at" and "dot"."""
+    found = []
+    brackets = "[" in text or "(" in text or "{" in text or "<" in text
+    ats = [m.end() for m in re.finditer("@", text)]
+    if brackets:
+        for m in BRACKET.finditer(text):
+            found.append((m.start(), m.end(), "@" if m["at"] else "."))
+            if m["at"]:
+                ats.append(m.end())
+    for m in BARE_AT.finditer(text):
+        if HOST.match(text, m.end()):
+            found.append((m.start(), m.end(), "@"))
+            ats.append(m.end())
+    if not brackets and not DOT.search(text):
+        return found
+    for at in ats:
+        if m := HOST.match(text, at):
+            found += [(d.start(), d.end(), ".") for d in DOT.finditer(text, at, m.end())]
+    for m in NUMBERS.finditer(text):
+        found += [(d.start(), d.end(), ".") for d in DOT.finditer(text, m.start(), m.end())]
+    return found
+
+
+class Rewriting:
+    """A text after disjoint edits, and where its characters come from."""
+
+    def __init__(self, text: str, found: list[tuple[int, int, str]]):
+        parts, self.norm_at, self.src_at, self.ends, last, length = [], [], [], [], 0, 0
+        for s, e, new in sorted(found):
+            if s < last:
+                continue
+            parts += [text[last:s], new]
+            self.norm_at += [length, length + s - last]
+            self.src_at += [(last, True), (s, False)]
+            self.ends.append(e)
+            length += s - last + len(new)
+            last = e
+        self.text = "".join([*parts, text[last:]]) if parts else text
+        self.norm_at.append(length)
+        self.src_at.append((last, True))
+
+    def source(self, p: int, end: bool) -> int:
         """Where the character at p (for an end: the last character before p) begins (ends) in the source."""
         q = p - end
-        i = bisect.bisect_right(norm_at, q) - 1
-        s, kept = src_at[i]
+        i = bisect.bisect_right(self.norm_at, q) - 1
+        s, kept = self.src_at[i]
         if kept:
-            return s + q - norm_at[i] + end
-        return ends[i // 2] if end else s
+            return s + q - self.norm_at[i] + end
+        return self.ends[i // 2] if end else s
 
+
+def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans that only the rewritten text shows, in source characters, apart from base spans and each other."""
+    first = Rewriting(text, characters(text))
+    second = Rewriting(first.text, ats_and_dots(first.text))
+    if second.text == text:
+        return []
     taken = sorted((s, e) for s, e, _ in base)
     out = []
-    for s, e, kind in sorted(base_spans("".join(parts))):
-        s, e = source(s, False), source(e, True)
+    for s, e, kind in sorted(base_spans(second.text)):
+        s, e = first.source(second.source(s, False), False), first.source(second.source(e, True), True)
         i = bisect.bisect_left(taken, (s, s))
         if (i < len(taken) and taken[i][0] < e) or (i and taken[i - 1][1] > s):
             continue
