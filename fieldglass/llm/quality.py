@@ -176,11 +176,15 @@ def mcd_estimates(v: DataFrame, tmp: Scratch, p: int, keep: float = 0.75) -> Dat
             return functools.reduce(DataFrame.unionByName, done)
 
 
-def quality_verdicts(docs: DataFrame, alpha: float = 1e-6, keep: float = 0.75, min_rows: int = 64, min_words: int = 20, most_repeats: int = 30) -> DataFrame:
-    """docs(doc_id, text, lang, source) -> doc_id, the counts, base_failed, distance (null: no estimate), kept."""
+def quality_verdicts(docs: DataFrame, alpha: float = 1e-6, keep: float = 0.75, min_rows: int = 64, min_words: int = 20, most_repeats: int = 30, tag: Column | None = None) -> DataFrame:
+    """docs(doc_id, text, lang, source) -> doc_id, the counts, base_failed, pool, distance, kept, and the column ``tag`` if given.
+
+    pool names the rows that a document was judged among, as JSON of language and source, of language, or of nothing;
+    null, as the distance, where they are too few for a verdict, and such a document is kept if the base rule keeps it.
+    """
     spark, p = docs.sparkSession, len(NAMES)
     tmp = Scratch(spark, "quality")
-    stats = tmp.save(vectors(text_statistics(docs.select("doc_id", "text", "lang", "source"))), "statistics")
+    stats = tmp.save(vectors(text_statistics(docs.select("doc_id", "text", "lang", "source", *([] if tag is None else [tag.alias("tag")])))), "statistics")
     grouped = _with_groups(stats, min_rows)
     est = mcd_estimates(grouped, tmp, p, keep)
     est = F.broadcast(est) if est.count() <= BROADCAST_GROUPS else est
@@ -188,4 +192,4 @@ def quality_verdicts(docs: DataFrame, alpha: float = 1e-6, keep: float = 0.75, m
     far = _distance(grouped.join(est.select("g", *cols), "g", "left"), p)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
     limit = chi2_quantile(1 - alpha, p)
-    return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("d2").alias("distance"), (~failed & (F.coalesce("d2", F.lit(0.0)) <= limit)).alias("kept"))
+    return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("g").alias("pool"), F.col("d2").alias("distance"), (~failed & (F.coalesce("d2", F.lit(0.0)) <= limit)).alias("kept"), *([] if tag is None else ["tag"]))

@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import random
 import re
+import shutil
+import time
 import zlib
 from collections import Counter
 
@@ -74,6 +76,36 @@ def test_sharding(docs, empty, spark):
     assert len({r.shard for r in got if r.doc_id % 2}) == 4  # a hundred copies fill four shards of 25
 
 
+def even(sizes, n):
+    return len(sizes) == n and max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_sharding_joins_pairs_beside_a_hot_text(spark):
+    rows = ["hot"] * 800 + [f"pair {i}" for i in range(480) for _ in range(2)] + [f"alone {i}" for i in range(640)]
+    random.Random(3).shuffle(rows)
+    got = sharding.shard_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert even(Counter(r.shard for r in got), 16)
+    groups = {}
+    for r in got:
+        groups.setdefault(rows[r.doc_id], set()).add(r.shard)
+    assert all(len(v) == 1 for k, v in groups.items() if k != "hot") and len(groups["hot"]) <= 10
+
+
+def test_sharding_of_a_graph(spark):
+    rnd = random.Random(4)
+    edges = [(8 * c + a, 8 * c + b) for c in range(40) for a in range(8) for b in range(a) if rnd.random() < 0.8]  # forty communities of eight
+    edges += [(rnd.randrange(320), rnd.randrange(320)) for _ in range(30)]
+    nodes = spark.createDataFrame([(i,) for i in range(500)], "node long").cache()
+    members = sharding.edge_links(spark.createDataFrame(edges, "a long, b long")).cache()
+    placed = sharding.balanced_label_propagation(nodes, members, 5).cache()
+    shard = {r.node: r.shard for r in placed.collect()}
+    assert len(shard) == 500 and even(Counter(shard.values()), 5)
+    distinct = {tuple(sorted(e)) for e in edges if e[0] != e[1]}
+    cut = sum(shard[a] != shard[b] for a, b in distinct)
+    told = sharding.cut_links(placed, members).agg(F.sum("cut"), F.count("*")).first()
+    assert told == (cut, len(distinct)) and cut < 0.35 * len(distinct)  # by chance it is 0.8
+
+
 def test_quality_counts(docs, empty):
     got = {r.doc_id: r for r in quality.quality_verdicts(docs, min_rows=20).collect()}
     for i, t, *_ in ROWS:
@@ -165,12 +197,30 @@ def test_suffix_array(seed):
         assert k == n
 
 
-def test_encoder_equals_library():
-    odd = ["", " ", "  a  b", "a\n b", "x\t y", "it's  'll", "a.b,c. d", "x ,y", "wait... no.", "(a). b,", "é.É,\nB.", "a\x1cb", "<|endoftext|> x", "1 22  333\r\n4", "A. B, c"]
-    for name, kind in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
-        e = tokens.Encoder(public_tokenizers.path(name), kind)
-        for t, ids in zip(odd, e.encode(odd), strict=True):
-            assert np.frombuffer(ids, e.dtype).tolist() == e.library.encode(t, add_special_tokens=False).ids, t
+ODD = ["", " ", "  a  b", "a\n b", "x\t y", "it's  'll", "a.b,c. d", "x ,y", "wait... no.", "(a). b,", "é.É,\nB.", "a\x1cb", "<|endoftext|> x", "1 22  333\r\n4", "A. B, c"]
+ODD += ["İ.", "İ,", "a\n\nb", "\n\n", "क़.", "x\n", "a .", "\u3000 a", "a\xa0 b\n\xa0c"]
+
+
+@pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_encoder_equals_library(name, kind, monkeypatch):
+    rnd = random.Random(9)
+    alphabet = [*"abcXYZ019 .,,..  \n\n\t'-_!?()", "İ", "ß", "é", "e\u0301", "\u0307", "ſ", "K", "क़", "ন", "ﬁ", "\xa0", "\u2003", "\x85", "\x1c", "文", "😀", "٣", "²", "Σ", "'s", " the", "\r\n", "\x0b", "\u200b", "\0", "<|endoftext|>"]
+    texts = ODD + ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 14))) for _ in range(20_000)]
+    monkeypatch.setattr(tokens, "SLICE", 5000)
+    monkeypatch.setattr(tokens, "CACHE", 30_000)  # forgets on the way
+    e = tokens.Encoder(public_tokenizers.path(name), kind)
+    want = e.library.encode_batch_fast(texts, add_special_tokens=False)
+    for t, ids, w in zip(texts, e.encode_texts(texts), want, strict=True):
+        assert ids.tolist() == w.ids, t
+
+
+@pytest.mark.parametrize("kind", ["byte", "word"])
+def test_encoder_finds_hash_collisions(kind, monkeypatch):
+    e = tokens.Encoder(public_tokenizers.path(f"{kind}_bpe_{'50' if kind == 'byte' else '49'}k.json"), kind)
+    plain = e._hashes
+    monkeypatch.setattr(e, "_hashes", lambda b, s, t: (plain(b, s, t)[0] % np.uint64(5) + np.uint64(1), plain(b, s, t)[1]))
+    texts = ["one two three four five six seven", "eight nine ten"]
+    assert [x.tolist() for x in e.encode_texts(texts)] == [x.ids for x in e.library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def test_token_store(docs, empty):
@@ -178,7 +228,7 @@ def test_token_store(docs, empty):
     lib = tokens.Encoder(path, "byte").library
     got = token_store.store_documents(docs, path).orderBy("doc_id").collect()
     at = 0
-    for (i, t), r in zip(sorted((x[0], x[1]) for x in ROWS), got, strict=True):
+    for (i, t), r in zip(sorted(((x[0], x[1]) for x in ROWS), key=lambda x: x[0]), got, strict=True):
         ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.verified) == (i, at, len(ids), zlib.crc32(ids.tobytes()), True)
         at += len(ids)
@@ -189,8 +239,11 @@ def test_chunks_follow_content():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 50000, 40000).astype("<u2")
     b = np.concatenate([rng.integers(0, 50000, 777).astype("<u2"), a])
-    cut = lambda x: [x[s:e].tobytes() for s, e in itertools.pairwise([0, *token_store.cut_points([x])[0]])]
-    assert token_store.cut_points([b, a, a[:0], a[:5]]) == [token_store.cut_points([x])[0] for x in (b, a, a[:0], a[:5])]
+    ends = lambda *x: token_store.cut_points(np.concatenate(x), np.cumsum([0, *map(len, x)])).tolist()
+    cut = lambda x: [x[s:e].tobytes() for s, e in itertools.pairwise([0, *ends(x)])]
+    assert ends(b, a, a[:0], a[:5]) == [*ends(b), *(len(b) + e for e in ends(a)), len(b) + len(a) + 5]
+    flat = np.ones(3 * token_store.LONGEST, "<u2")
+    assert ends(flat[:16], flat)[-1] == len(flat) + 16 and max(np.diff(ends(flat[:16], flat))) <= token_store.LONGEST
     assert b"".join(cut(a)) == a.tobytes() and max(map(len, cut(a))) <= 2 * token_store.LONGEST
     assert len(set(cut(a)) & set(cut(b))) > 0.9 * len(cut(a))
     assert token_store.merkle_root([b"a", b"b"]) != token_store.merkle_root([b"b", b"a"])
@@ -292,7 +345,11 @@ def test_pii(docs, empty):
     "text, kind, found",
     [
         ("іаn@еxample.com", "email", "іаn@еxample.com"), ("jo [at] ex [dot] com", "email", "jo [at] ex [dot] com"), ("card ４１１１ １１１１ １１１１ １１１１ x", "card", "４１１１ １１１１ １１１１ １１１１"),
-        ("call plus one five five five one two three four five now", "phone", "plus one five five five one two three four five"), ("10[.]0[.]0[.]1", None, None), ("we met at noon. Then", None, None), ("one two three", None, None),
+        ("call plus one five five five one two three four five now", "phone", "plus one five five five one two three four five"), ("10[.]0[.]0[.]1", "ip", "10[.]0[.]0[.]1"),
+        ("jo[@]ex[.]com", "email", "jo[@]ex[.]com"), ("jo [at] ex dot com", "email", "jo [at] ex dot com"), ("jo at ex [dot] com", "email", "jo at ex [dot] com"), ("jo@ex dot com", "email", "jo@ex dot com"),
+        ("to jo at ex.com!", "email", "jo at ex.com"), ("192 dot 168 dot 0 dot 1", "ip", "192 dot 168 dot 0 dot 1"), ("jo at ex Punkt de", "email", "jo at ex Punkt de"), ("jо аt ex dоt com", "email", "jо аt ex dоt com"),
+        ("mail jo@ex.com dot matrix", None, None), ("see us at www.ex.com", None, None), ("a dot b dot c", None, None), ("look at this.That is", None, None),
+        ("we met at noon. Then", None, None), ("one two three", None, None),
     ],
 )
 def test_deobfuscation(text, kind, found):
@@ -300,6 +357,13 @@ def test_deobfuscation(text, kind, found):
     assert [(k, text[s:e]) for s, e, k in spans] == ([(kind, found)] if kind else [])
 
 
+@pytest.mark.parametrize("text", ["-" * 10**6 + " dot ", ". " * 300_000 + " dot x", "1" * 10**6, "a at b dot " * 90_000, "1 " * 400_000, "+1" + "(" * 10**6, "x@" * 300_000, "[at] " * 200_000, "1.1.1." * 100_000])
+def test_pii_takes_linear_time(text):
+    began = time.process_time()
+    pii.added_spans(text, pii.base_spans(text))
+    assert time.process_time() - began < 20
+
+
 def brute_components(rows, k, num, den):
     sets = {}
     for i, t in rows:
@@ -356,13 +420,44 @@ def test_sketch(docs, empty):
         edited = t[: len(t) - third] + nxt[:third]
         r = got[i]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        a, b, c = (set(filter(None, x.split(":")[2].split(","))) for x in (r.fingerprint, r.edited_fingerprint, got[j].fingerprint))
+        a, b, c = ({x[k : k + 12] for k in range(0, len(x), 12)} for x in (y.split(":")[2] for y in (r.fingerprint, r.edited_fingerprint, got[j].fingerprint)))
         like = lambda x, y, same: 1.0 if same else len(x & y) / len(x | y) if x | y else 0.0
         assert r.near_edited == like(a, b, t == edited) and r.near_next == like(a, c, t == nxt)
     assert len({got[r[0]].fingerprint for r in ROWS if r[1] == ROWS[10][1]}) == 1
     assert sketch.fingerprint_documents(empty).count() == 0
 
 
+def test_sketch_follows_true_jaccard(spark):
+    """Likeness beside the exact Jaccard measure of the five-word shingles, for short and long texts."""
+    rnd = random.Random(12)
+    rows, errors = [], {}
+    for i in range(0, 600, 2):
+        w = [f"w{rnd.randint(0, 10**9)}" for _ in range(rnd.choice([20, 40, 60, 200, 900]))]
+        k = rnd.randint(0, len(w) // 3)
+        rows += [(i + 1, " ".join(w)), (i, "  ".join([*w[k:], *(f"v{rnd.randint(0, 10**9)}" for _ in range(k))]))]
+    text = dict(rows)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    got = {r.doc_id: r for r in sketch.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string"), rows_each=50).collect()}
+    for i in range(1, 600, 2):
+        true = len(sets[i] & sets[i - 1]) / len(sets[i] | sets[i - 1])
+        errors.setdefault(len(sets[i]) < 100, []).append(abs(got[i].near_next - true))
+        e = got[i].fingerprint.split(":")
+        assert int(e[0], 16) == len(text[i].split()) - 4 and len(e[2]) % 12 == 0
+    assert np.mean(errors[True]) < 0.06 and np.mean(errors[False]) < 0.02
+
+
+def test_sketch_with_one_doc_id(spark):
+    """Rows that share a doc_id, or have none, are dealt to intervals by their texts, and each row has a neighbour."""
+    rows = [(7, f"{i} text number of a hot id") for i in range(60)] + [(None, f"{i} is a text without id") for i in range(60)] + [(i, f"{i} other text") for i in range(20)]
+    got = sketch.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string"), rows_each=5).collect()
+    assert len(got) == len(rows)
+    text = Counter((i, len(t)) for i, t in rows)
+    assert Counter((r.doc_id, r.n_chars) for r in got) == text
+    assert all(r.near_edited is not None and r.near_next is not None for r in got)
+    kept = {t: {hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest() for _, n in rows} for _, t in rows}
+    assert Counter(min(t for _, t in rows if r.edited_sha256 in kept[t]) for r in got) == Counter(t for _, t in rows)
+
+
 def test_sketch_estimates_containment(spark):
     rnd = random.Random(3)
     w = [f"w{rnd.randint(0, 10**9)}" for _ in range(20000)]
@@ -384,6 +479,32 @@ def test_language(spark, empty):
     assert langid.identify_languages(empty).count() == 0
 
 
+def test_language_decoding_by_hand(spark):
+    """Features, margins and decoding of the learned model by plain loops."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.learn(docs.filter("doc_id % 2 = 0 AND lang IS NOT NULL AND text IS NOT NULL"), 30)
+    langs, code, w, b = model
+    got = {r.doc_id: r for r in langid.predict_languages(docs.withColumn("held_out", F.lit(True)), model).collect()}
+    for i, t, _ in docs.limit(25).collect():
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert (got[i].lang_pred, got[i].score, got[i].ambiguous) == ("und", 0, True)
+            continue
+        raw, grams = f" {t} ".encode(), Counter()
+        for n in (2, 3, 4):
+            for at in range(len(raw) - n + 1):
+                h = raw[at] * 2654435761 % 2**32
+                for c in raw[at + 1 : at + n]:
+                    h = (h ^ c) * 2246822519 % 2**32
+                    h ^= h >> 15
+                grams[h >> 20] += 1
+        total = sum(grams.values())
+        margins = [sum((k / total) ** 0.5 * float(w[f, j]) for f, k in grams.items()) + float(b[j]) for j in range(code.shape[1])]
+        loss = [sum(max(0, 1 - min(4, max(-4, m)) * c) for m, c in zip(margins, row, strict=True)) / len(row) for row in code.tolist()]
+        first, second = sorted(loss)[:2]
+        assert got[i].lang_pred == langs[loss.index(first)] and abs(got[i].score - min(1, (second - first) / max(second, 1e-9))) < 1e-3
+        assert got[i].ambiguous == (got[i].score < langid.AMBIGUOUS)
+
+
 def test_mixing(docs, empty):
     got = sorted(mixing.mix_sources(docs, block_bytes=300, quantum=64).collect(), key=lambda r: r.position)
     assert [r.position for r in got] == list(range(len(ROWS)))
@@ -398,10 +519,38 @@ def test_mixing(docs, empty):
             if r.source == s:
                 assert r.block * 64 // q <= r.slot < -(-(r.block + 1) * 64 // q)
     assert max(r.block for r in got) < max(blocks.values())
-    assert mixing.mix_sources(empty).count() == 0
+    assert mixing.mix_sources(empty).count() == 0 and mixing.mixed_order(empty).count() == 0
     assert sorted(r.doc_id for r in mixing.mixed_order(docs, block_bytes=300).collect()) == sorted(r[0] for r in ROWS)
 
 
+def test_mixing_by_hand(spark):
+    """Positions from a plain earliest-deadline-first loop over the blocks."""
+    rnd = random.Random(6)
+    rows = [(i, "abcd"[min(3, int(rnd.expovariate(1)))], "x" * rnd.randint(0, 120)) for i in range(400)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string"), block_bytes=300, quantum=64).collect()
+    share = {r.source: r.share for r in got}
+    had, slots = dict.fromkeys(share, 0), {}
+    for t in range(64 * (1 + max(r.slot for r in got) // 64)):
+        due = [(-(-(had[s] + 1) * 64 // q), s) for s, q in share.items() if had[s] * 64 // q <= t]
+        _, s = min(due)
+        slots[s, had[s]] = t
+        had[s] += 1
+    assert all(r.slot == slots[r.source, r.block] and r.block == r.source_start // 300 for r in got)
+    starts = {s: sorted((r.source_start, r.size) for r in got if r.source == s) for s in share}
+    assert all(b[0] == a[0] + a[1] for x in starts.values() for a, b in itertools.pairwise(x))
+    order = sorted(got, key=lambda r: (r.slot, r.source_start))
+    assert [r.position for r in order] == list(range(400))
+
+
+def test_mixing_many_sources_and_clashing_names(spark):
+    rows = [(None if i % 7 == 0 else i // 2, f"s{i % 1100}", f"text {i // 2}", i, i) for i in range(2300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, _key long, _position long")
+    got = mixing.mix_sources(docs).collect()
+    assert sorted(r.position for r in got) == list(range(2300)) and sum({r.source: r.share for r in got}.values()) == 4096
+    back = mixing.mixed_order(docs)
+    assert back.columns == docs.columns and sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+
+
 def test_pfair_deviation(spark):
     shares = [40, 13, 7, 3, 1]
     got = {r.slot: r.number for r in mixing.pfair_period(spark, shares).collect()}
@@ -415,9 +564,45 @@ def test_pfair_deviation(spark):
 
 
 def test_repeated_rows(spark):
-    rows = [(1, "some words that are here twice or so " * 3, "en", "s")] * 2 + [(2, "other", "en", "s"), (None, "null id", None, None)]
-    twice = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    rows = [(1, "some words that are here twice or so " * 3, "en", "s")] * 2 + [(2, "other", "en", "s"), (None, "null id", None, None), (None, "null id", None, None), (None, None, None, None)]
+    twice = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").cache()
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert sharding.shard_documents(twice, 2).count() == 6 and quality.quality_verdicts(twice).count() == 6 and pii.find_personal_data(twice).count() == 6
+    assert mixing.mix_sources(twice).count() == 6 and packing.pack_documents(twice, path, "byte").count() == 6 and suffix_dedup.remove_repeats(twice).count() == 6
+    assert jaccard.jaccard_components(twice).count() == 6 and langid.identify_languages(twice).count() == 6
+    lib = tokens.Encoder(path, "byte").library
+    got = sorted(token_store.store_documents(twice, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, None, 1, 1, 2] and all(r.verified for r in got)
+    ids = {(d, zlib.crc32(np.array([*lib.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for d, t, *_ in rows}
+    assert {(r.doc_id, r.ids_crc32) for r in got} == ids and [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(6)]
+    marks = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(twice, 5).collect()}
+    assert marks[1][1] == 1 and marks[2] == (1, 2) and marks[None][1] is None
+    prints = sketch.fingerprint_documents(twice, rows_each=1).collect()
+    assert len(prints) == 6 and len({r.fingerprint for r in prints if r.doc_id == 1}) == 1
+    none = twice.filter("doc_id IS NULL")
+    assert sketch.fingerprint_documents(none, rows_each=1).count() == 3 and token_store.store_documents(none, path).count() == 3 and langid.identify_languages(none).count() == 3
+
+
+def test_store_finds_changes(docs, spark, tmp_path):
+    """A changed payload, recipe or manifest is found when the store is read."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    assert sharding.shard_documents(twice, 2).count() == 4 and quality.quality_verdicts(twice).count() == 4 and pii.find_personal_data(twice).count() == 4
-    assert mixing.mix_sources(twice).count() == 4 and packing.pack_documents(twice, path, "byte").count() == 4 and suffix_dedup.remove_repeats(twice).count() == 4
-    assert token_store.store_documents(twice.filter("doc_id IS NOT NULL"), path).count() == 3 and jaccard.jaccard_components(twice).count() == 4
+    token_store.write_store(docs, str(tmp_path / "good"), path, "byte", 2)
+    assert all(r.verified for r in token_store.read_store(spark, str(tmp_path / "good")).collect())
+
+    def broken(part, change):
+        to = tmp_path / part.replace("/", "-")
+        shutil.copytree(tmp_path / "good", to)
+        table = spark.read.parquet(str(tmp_path / "good" / part))
+        shutil.rmtree(to / part)
+        change(table).write.parquet(str(to / part))
+        got = token_store.read_store(spark, str(to)).collect()
+        assert len(got) == len(ROWS)
+        return sum(not r.verified for r in got)
+
+    flip = lambda c: F.concat(F.substring(c, 1, 1).cast("binary"), F.unhex(F.lit("00")), F.substring(c, 3, 10**9).cast("binary"))
+    one = spark.read.parquet(str(tmp_path / "good/chunks/kind=1")).agg(F.min("digest")).first()[0]
+    assert broken("chunks/kind=1", lambda t: t.withColumn("payload", F.when(F.col("digest") == one, F.unhex(F.lit("0102"))).otherwise(F.col("payload")))) >= 1
+    some = ROWS[20][0]
+    assert broken("recipes", lambda t: t.withColumn("digests", F.when(F.col("doc_id") == some, F.array(F.lit(one))).otherwise(F.col("digests")))) >= 1
+    assert broken("manifest/packs", lambda t: t.withColumn("root", flip("root"))) == len(ROWS)
+    assert broken("manifest/groups", lambda t: t.withColumn("root", flip("root"))) == len(ROWS)
