@@ -192,13 +192,15 @@ def tiles(width: C | float, height: C | float, size: int = 640, overlap_share: f
 
 
 def corner_tiles(width: C | float, height: C | float, size: int = 640) -> Column:
-    """Centre and corner tiles, without repeats, for images over 1.5 tiles on a side; else one tile at the corner."""
+    """The centre tile and, for images over 1.5 tiles wide and high, the four corner tiles, without repeats."""
     w, h = _c(width).cast("int"), _c(height).cast("int")
     right, low = F.greatest(F.lit(0), w - size), F.greatest(F.lit(0), h - size)
     at = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    middle = lambda side: F.greatest(F.lit(0), F.floor(side / 2) - size // 2)
     zero = F.lit(0)
-    five = F.array(at(F.floor(right / 2), F.floor(low / 2)), at(zero, zero), at(right, zero), at(zero, low), at(right, low))
-    return F.when((w > 1.5 * size) | (h > 1.5 * size), F.array_distinct(five)).otherwise(F.array(at(zero, zero)))
+    centre = F.array(at(middle(w), middle(h)))
+    corners = F.array(at(zero, zero), at(right, zero), at(zero, low), at(right, low))
+    return F.when((w > 1.5 * size) & (h > 1.5 * size), F.array_distinct(F.concat(centre, corners))).otherwise(centre)
 
 
 def circle_points(cx: C, cy: C, r: C, n: int = 12) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from . import cluster, robust
 from .walk import made
 
@@ -90,20 +91,29 @@ def fused_goals(goals: DataFrame, keys: list[str], most: int = 4) -> DataFrame:
 
 
 def smoothed_goals(goals: DataFrame, match: str = "match_id", size: int = 10) -> DataFrame:
-    """goals(frame_id, goal_id, x, y, px, confidence) averaged over each frame's last ``size`` numbers, by side.
+    """goals(frame_id, goal_id, x, y, px, confidence) averaged over the last ``size`` frames with goals, by side.
 
     Goals that lie within 50 pixels of a cluster's member join it; clusters of two or more give a mean whose weights
-    grow with confidence and recency.
+    grow with confidence and recency. A frame without such a cluster keeps its own goals (n is 1).
     """
-    sided = goals.withColumn("side", F.when(F.col("px") < 0, "left").otherwise("right"))
-    shifted = sided.withColumn("at", F.explode(F.sequence(F.col("frame_id"), F.col("frame_id") + (size - 1))))
-    shifted = shifted.join(goals.select(match, F.col("frame_id").alias("at")).distinct(), [match, "at"])
-    c = cluster.leader_clusters(shifted, [match, "at", "side"], ["frame_id", "goal_id"], 50.0, "any")
-    group = [match, "at", "side", "cluster"]
-    turn = F.row_number().over(W.partitionBy(*group).orderBy("frame_id", "goal_id"))
-    w = F.col("confidence") * F.col("turn")
-    g = c.withColumn("turn", turn).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("x") * w) / F.sum(w)).alias("x"), (F.sum(F.col("y") * w) / F.sum(w)).alias("y"), F.least(F.lit(1.0), F.avg("confidence") * 1.1).alias("confidence"))
-    return g.filter("n >= 2").select(match, F.col("at").alias("frame_id"), "side", "x", "y", "n", "confidence")
+    frames = goals.select(match, "frame_id").distinct()
+    numbered = goals.join(frames.withColumn("turn", F.row_number().over(W.partitionBy(match).orderBy("frame_id"))), [match, "frame_id"])
+    sided = numbered.withColumn("side", F.when(F.col("px") < 0, "left").otherwise("right"))
+    last = sided.select(match, F.col("turn").alias("at"), F.col("frame_id").alias("now")).distinct()
+    shifted = sided.withColumn("at", F.explode(F.sequence(F.col("turn"), F.col("turn") + (size - 1)))).join(last, [match, "at"])
+    c = cluster.leader_clusters(shifted, [match, "at", "side"], ["turn", "goal_id"], 50.0, "any")
+    group = [match, "at", "now", "side", "cluster"]
+    n = F.row_number().over(W.partitionBy(*group).orderBy("turn", "goal_id"))
+    w = F.col("confidence") * F.col("n")
+    g = c.withColumn("n", n).groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.sum(F.col("x") * w) / F.sum(w)).alias("x"),
+        (F.sum(F.col("y") * w) / F.sum(w)).alias("y"),
+        F.least(F.lit(1.0), F.avg("confidence") * 1.1).alias("confidence"),
+    )
+    fused = g.filter("n >= 2").select(match, F.col("now").alias("frame_id"), "side", "x", "y", "n", "confidence")
+    own = sided.join(fused.select(match, "frame_id").distinct(), [match, "frame_id"], "left_anti")
+    return fused.unionByName(own.select(match, "frame_id", "side", "x", "y", F.lit(1).cast("long").alias("n"), "confidence"))
 
 
 def merged_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -112,3 +122,38 @@ def merged_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     n = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b"))
     n = F.when(n > 0, n)
     return m.select(*keys, *[(F.col(c) / n).alias(c) for c in "abc"])
+
+
+def map_y_scale(y: str, height: float, least: int = 10, share: float = 0.5) -> Column:
+    """Aggregate: what map heights are stretched by where ``least`` positions or more span less than ``share`` of the map."""
+    span = F.max(y) - F.min(y)
+    return F.when((F.count(y) >= least) & (span > 0) & (span < share * height), height / span).otherwise(1.0)
+
+
+def circle_y_scale(h: list[float], cx: str, cy: str, r: str, width_scale: str, radius: float = 9.15) -> Column:
+    """The y scale from a centre circle in the image and, where it is not null, from the pitch's width.
+
+    The circle's radius on the pitch is measured upwards and downwards. A circle that is off by over 5 % counts 0.3
+    beside an uneven width (0.7), and is widened further; else both count 0.4 and 0.6. Null: no scale can be trusted.
+    """
+    at = lambda x, y: G.homography(h, x, y)
+    _, middle = at(F.col(cx), F.col(cy))
+    _, top = at(F.col(cx), F.col(cy) - F.col(r))
+    _, low = at(F.col(cx), F.col(cy) + F.col(r))
+    found = (F.abs(top - middle) + F.abs(low - middle)) / 2
+    circle = F.when(found > 0.1, radius / found).otherwise(1.0)
+    width = F.col(width_scale)
+    uneven, sane = F.abs(width - 1) > 0.05, width.between(0.5, 5.0)
+    mixed = F.when(width.isNotNull() & uneven, 0.3 * circle + 0.7 * width).when(width.isNotNull(), width).otherwise(circle)
+    widened = F.when((found > radius) & (mixed < 1), 1 / mixed * 1.5).when((found < radius) & (mixed > 1), mixed * 1.3).otherwise(mixed)
+    both = 0.4 * circle + 0.6 * width
+    near = F.when(both.between(0.5, 5.0) & (F.abs(both - 1) > 0.05), both).when(~both.between(0.5, 5.0) & sane, width)
+    out = F.when(~circle.between(0.5, 2.0), F.when(sane, width))
+    return out.when(F.abs(circle - 1) > 0.05, widened).otherwise(F.coalesce(near, F.lit(1.0)))
+
+
+def first_frames(frames: DataFrame, keys: list[str], order: str, n: int = 10) -> DataFrame:
+    """The first ``n`` frames of each match, from which its homography is fitted; none of a match with fewer."""
+    g = W.partitionBy(*keys)
+    ranked = frames.withColumns({"_n": F.row_number().over(g.orderBy(order)), "_all": F.count(F.lit(1)).over(g)})
+    return ranked.filter((F.col("_n") <= n) & (F.col("_all") >= n)).drop("_n", "_all")

@@ -6,6 +6,8 @@ column. Groups are dealt out by Spark; a group's walk is a small helper.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,23 @@ def suppress_overlaps(det: DataFrame, keys: list[str], least: float = 0.5) -> Da
     def label(x, y, w, h) -> list[int]:
         if len(x) == 1:
             return [0]
+        if len(x) > 16:
+            return many(x, y, w, h)
+        kept, out = [], []
+        for x1, y1, a, b in zip(x.tolist(), y.tolist(), w.tolist(), h.tolist(), strict=True):
+            x2, y2, size = x1 + a, y1 + b, a * b
+            over = False
+            for u1, v1, u2, v2, other in kept:
+                inter = max(0.0, min(x2, u2) - max(x1, u1)) * max(0.0, min(y2, v2) - max(y1, v1))
+                if inter > least * max(size + other - inter, 1e-6):
+                    over = True
+                    break
+            out.append(-1 if over else len(kept))
+            if not over:
+                kept.append((x1, y1, x2, y2, size))
+        return out
+
+    def many(x, y, w, h) -> list[int]:
         b = np.stack([x, y, w, h], 1).astype(float)
         lo, hi, size = b[:, :2], b[:, :2] + b[:, 2:], b[:, 2] * b[:, 3]
         kept, out = [], []
@@ -42,12 +61,12 @@ def suppress_overlaps(det: DataFrame, keys: list[str], least: float = 0.5) -> Da
 def leader_clusters(points: DataFrame, keys: list[str], order: list[str], radius: float, to: str = "seed", ascending: list[bool] | None = None) -> DataFrame:
     """points with ``cluster``: each joins the first cluster within the radius of its ``seed``, running ``mean`` or ``any`` member."""
     def label(x, y) -> list[int]:
-        found: list[list[np.ndarray]] = []
+        found: list[list[tuple[float, float]]] = []
         out = []
-        for p in np.stack([x, y], 1).astype(float):
+        for p in zip(x.tolist(), y.tolist(), strict=True):
             for k, c in enumerate(found):
-                where = c[:1] if to == "seed" else [np.mean(c, 0)] if to == "mean" else c
-                d = min(float(np.hypot(*(p - q))) for q in where)
+                where = c[:1] if to == "seed" else [tuple(np.mean(c, 0).tolist())] if to == "mean" else c
+                d = min(math.dist(p, q) for q in where)
                 if d < radius or (to == "seed" and d == radius):
                     c.append(p)
                     out.append(k)
@@ -63,10 +82,10 @@ def leader_clusters(points: DataFrame, keys: list[str], order: list[str], radius
 def spaced(points: DataFrame, keys: list[str], order: list[str], gap: float, ascending: list[bool] | None = None) -> DataFrame:
     """Points kept in order, each at least ``gap`` from those kept before."""
     def label(x, y) -> list[int]:
-        kept: list[np.ndarray] = []
+        kept: list[tuple[float, float]] = []
         out = []
-        for p in np.stack([x, y], 1).astype(float):
-            near = any(float(np.hypot(*(p - q))) < gap for q in kept)
+        for p in zip(x.tolist(), y.tolist(), strict=True):
+            near = any(math.dist(p, q) < gap for q in kept)
             out.append(-1 if near else len(kept))
             if not near:
                 kept.append(p)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .cluster import suppress_overlaps
+
 
 def dense_ids(df: DataFrame, order: list[str], out: str, first: int = 1, width: int = 100_000) -> DataFrame:
     """df with running numbers in a fixed order; rows are counted in hash-free ranges of the first order column.
@@ -20,15 +22,22 @@ def dense_ids(df: DataFrame, order: list[str], out: str, first: int = 1, width:
     return at.join(n, "_b").select(*df.columns, (F.col("_i") + F.col("_at") + (first - 1)).cast("long").alias(out))
 
 
+def _shuffled(key: str, seed: int) -> Column:
+    """A number from 0 to 2 ** 32 - 1 that md5 makes of key and seed, the same in any engine."""
+    named = F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")).cast("binary")
+    return F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long")
+
+
 def split(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """df with ``part``: train for about the share of the keys with the smallest hashes, else val; repeatable anywhere."""
-    h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000))
-    return df.withColumn("part", F.when(h < int(share * 1_000_000), "train").otherwise("val"))
+    """df with ``part``: train for the first rows by count in a shuffled order, else val; repeatable anywhere."""
+    rows = dense_ids(df.withColumn("_h", _shuffled(key, seed)), ["_h", key], "_at", 1, 1 << 20)
+    n = df.agg(F.floor(F.count(F.lit(1)) * share).alias("_train"))  # one row
+    return rows.join(F.broadcast(n)).withColumn("part", F.when(F.col("_at") <= F.col("_train"), "train").otherwise("val")).select(*df.columns, "part")
 
 
 def sample(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
-    """k rows without replacement, by the smallest hashes, in the key's order."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k).orderBy(key)
+    """k rows without replacement, the first of a shuffled order, in the key's order."""
+    return df.orderBy(_shuffled(key, seed), key).limit(k).orderBy(key)
 
 
 def strided(df: DataFrame, keys: list[str], order: str, step: int) -> DataFrame:
@@ -69,3 +78,39 @@ def mosaic(boxes: DataFrame, width: float, height: float, out_w: float, out_h: f
 def mirrored(boxes: DataFrame, width: float) -> DataFrame:
     """Horizontal flip of x, y, w, h boxes."""
     return boxes.withColumn("x", F.lit(width) - F.col("x") - F.col("w"))
+
+
+def remapped(images: DataFrame, annotations: DataFrame, width: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """images(source, image_id, ...) and annotations(source, annotation_id, image_id, ...) of merged datasets under new ids.
+
+    Images and annotations are numbered from 1 by source and old id; annotations follow their image; those without one go.
+    """
+    images, annotations = (df.withColumn("_o", F.col("source") * F.lit(2**40) + F.col(c)) for df, c in ((images, "image_id"), (annotations, "annotation_id")))
+    new = dense_ids(images, ["_o"], "new_id", 1, width)
+    ids = new.select("source", "image_id", F.col("new_id").alias("new_image_id"))
+    found = annotations.join(ids, ["source", "image_id"])
+    return new.drop("_o"), dense_ids(found, ["_o"], "new_id", 1, width).drop("_o")
+
+
+def sliced_predictions(pred: DataFrame, width: float, height: float, least: float = 0.5) -> DataFrame:
+    """pred(frame_id, class_id, det_id, confidence, x, y, w, h, tile_x, tile_y) of tiles, as boxes of the whole image.
+
+    Boxes are moved by their tile's offset and cut at the image; of overlapping ones of a class the surest stay.
+    """
+    cut = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), F.lit(float(most)))
+    x1, y1 = cut(F.col("x") + F.col("tile_x"), width), cut(F.col("y") + F.col("tile_y"), height)
+    x2, y2 = cut(F.col("x") + F.col("tile_x") + F.col("w"), width), cut(F.col("y") + F.col("tile_y") + F.col("h"), height)
+    whole = pred.withColumns({"x": x1, "y": y1, "w": x2 - x1, "h": y2 - y1}).drop("tile_x", "tile_y")
+    return suppress_overlaps(whole, ["frame_id", "class_id"], least)
+
+
+def merged_tags(tracks: DataFrame, tags: DataFrame, keep_tags: bool = False) -> DataFrame:
+    """Rows of a merged annotation file: its tracks, and the tags that were there before only if asked for."""
+    rows = tracks.withColumn("kind", F.lit("track"))
+    return rows.unionByName(tags.withColumn("kind", F.lit("tag")), allowMissingColumns=True) if keep_tags else rows
+
+
+def first_results(results: DataFrame, frames: DataFrame, order: str) -> DataFrame:
+    """frames, each with the first result of its frame_id in order; frames without one go."""
+    first = results.groupBy("frame_id").agg(F.min_by(F.struct(*[c for c in results.columns if c != "frame_id"]), order).alias("result"))
+    return frames.join(first, "frame_id")

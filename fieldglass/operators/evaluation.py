@@ -3,32 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from . import matching
 
 
-def evaluate(pred: DataFrame, gt: DataFrame, ious: tuple[float, ...] = (0.5, 0.75), strict: bool = False) -> DataFrame:
+def best_scored(pred: DataFrame, most: int = 100) -> DataFrame:
+    """The ``most`` predictions of each image with the highest scores; ties go to the later one."""
+    w = W.partitionBy("frame_id").orderBy(F.col("confidence").desc(), F.col("det_id").desc())
+    return pred.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= most).drop("_rank")
+
+
+def evaluate(pred: DataFrame, gt: DataFrame, ious: tuple[float, ...] = (0.5, 0.75), strict: bool = False, most: int = 100) -> DataFrame:
     """true positives, predictions, targets, precision, recall, F1 and their product for each class and IoU.
 
-    Only images with both predictions and targets count; strict counts all.
+    Of an image's predictions the ``most`` best scored count. Only images with both predictions and targets count;
+    strict counts all. All levels are matched in one walk over the candidates.
     """
+    pred = best_scored(pred, most)
     both = pred.select("frame_id").distinct().intersect(gt.select("frame_id").distinct())
     p = pred if strict else pred.join(both, "frame_id", "left_semi")
     g = gt if strict else gt.join(both, "frame_id", "left_semi")
-    levels = F.explode(F.array(*[F.lit(float(x)) for x in ious])).alias("iou")
-    n = p.groupBy("class_id").agg(F.count(F.lit(1)).alias("predictions")).join(g.groupBy("class_id").agg(F.count(F.lit(1)).alias("targets")), "class_id", "full").select("class_id", "predictions", "targets", levels)
-    found = None
-    for x in ious:
-        m = matching.greedy_matches(matching.candidate_matches(p, g, x)).groupBy("class_id").agg(F.count(F.lit(1)).alias("tp")).withColumn("iou", F.lit(float(x)))
-        found = m if found is None else found.unionByName(m)
+    levels = F.array(*[F.lit(float(x)) for x in ious])
+    n = lambda df, name: df.groupBy("class_id").agg(F.count(F.lit(1)).alias(name))
+    counts = n(p, "predictions").join(n(g, "targets"), "class_id", "full").withColumn("iou", F.explode(levels))
+    near = matching.candidate_matches(p, g, min(ious)).withColumn("level", F.explode(F.filter(levels, lambda x: F.col("iou") >= x)))
+    found = matching.greedy_matches(near, ["frame_id", "class_id", "level"])
+    found = found.groupBy("class_id", F.col("level").alias("iou")).agg(F.count(F.lit(1)).alias("tp"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    at = n.join(found, ["class_id", "iou"], "left").select("class_id", "iou", z("tp"), z("predictions"), z("targets"))
+    at = counts.join(found, ["class_id", "iou"], "left").select("class_id", "iou", z("tp"), z("predictions"), z("targets"))
     at = at.withColumns({"precision": G.ratio("tp", "predictions"), "recall": G.ratio("tp", "targets")})
     return at.withColumns({"f1": G.f1("precision", "recall"), "product": F.col("precision") * F.col("recall")})
 
 
+def greedy_counts(pred: DataFrame, gt: DataFrame, least: float = 0.5) -> DataFrame:
+    """tp, fp, fn, recall, precision of all images by greedy matches, and the mean distance of centres assigned by distance.
+
+    Images without targets count their predictions as false, those without predictions their targets as missed.
+    """
+    tp = matching.greedy_matches(matching.candidate_matches(pred, gt, least)).agg(F.count(F.lit(1)).alias("tp"))
+    way = matching.optimal_matches(pred, gt, by="distance").agg(F.avg("distance").alias("mean_distance"))
+    n = pred.agg(F.count(F.lit(1)).alias("p")).join(gt.agg(F.count(F.lit(1)).alias("g")))  # one row each
+    out = tp.join(n).join(way).select("tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn"), "mean_distance")
+    return out.withColumns({"recall": G.ratio("tp", F.col("tp") + F.col("fn")), "precision": G.ratio("tp", F.col("tp") + F.col("fp"))})
+
+
 def ball_counts(pred: DataFrame, gt: DataFrame, least: float = 0.5, compat: bool = False) -> DataFrame:
     """tp, fp, fn of optimal assignments; compat counts an assigned pair under the IoU as a false positive twice."""
     m = matching.optimal_matches(pred, gt).agg(F.count_if(F.col("iou") >= least).alias("tp"), F.count_if(F.col("iou") < least).alias("weak"), F.avg("distance").alias("mean_distance"))

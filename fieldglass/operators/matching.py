@@ -46,8 +46,8 @@ def candidate_matches(pred: DataFrame, gt: DataFrame, least: float) -> DataFrame
     return both.filter(F.col("iou") >= least)
 
 
-def greedy_matches(candidates: DataFrame) -> DataFrame:
-    """One-to-one matches of an image and class: predictions by falling score, each with its best free target.
+def greedy_matches(candidates: DataFrame, keys: tuple[str, ...] | list[str] = ("frame_id", "class_id")) -> DataFrame:
+    """One-to-one matches of an image and class: predictions by falling score (ties: the later first), each with its best free target.
 
     The candidates are joined and filtered by Spark; only those of one image and class, a few, are walked in order.
     """
@@ -61,8 +61,8 @@ def greedy_matches(candidates: DataFrame) -> DataFrame:
                 taken.add(t)
         return out
 
-    order = [descending("score"), "pred", descending("iou"), "target"]
-    return labelled(candidates, ["frame_id", "class_id"], order, ["pred", "target"], pick).drop("cluster")
+    order = [descending("score"), descending("pred"), descending("iou"), "target"]
+    return labelled(candidates, list(keys), order, ["pred", "target"], pick).drop("cluster")
 
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:

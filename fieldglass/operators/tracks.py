@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import walk
+
 
 def sessions(df: DataFrame, keys: list[str], order: str, cut: Column) -> DataFrame:
     """df with ``session``: how many cuts (scene changes) came up to the row."""
@@ -93,39 +97,59 @@ def ball_verdicts(df: DataFrame, track: list[str], order: str, least: int = 5, l
 def associate(det: DataFrame, match: str = "match_id", high: float = 0.5, low: float = 0.1, iou: float = 0.3, buffer: int = 30) -> DataFrame:
     """det with ``track_id``: two-stage IoU association, confident boxes first, then the rest with tracks left over.
 
-    One match is one group, walked frame by frame with the open tracks as its only state; matches run in parallel.
+    Frames of a match come sorted in Arrow batches and are walked with the open tracks as the only state; matches run in
+    parallel.
     """
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in det.schema.fields)}, track_id long"
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_id", "confidence", "det_id"], ascending=[True, False, True])
-        box = pdf[["x", "y", "w", "h"]].to_numpy(float)
-        conf, cls, frame = pdf["confidence"].to_numpy(), pdf["class_id"].to_numpy(), pdf["frame_id"].to_numpy()
-        out, open_, number = np.full(len(pdf), -1, np.int64), {}, 0
-        starts = np.flatnonzero(np.concatenate([[True], frame[1:] != frame[:-1]])) if len(pdf) else []
-        for tick, (a, b) in enumerate(zip(starts, [*starts[1:], len(pdf)], strict=True)):
-            free = {k for k, (_, _, seen) in open_.items() if tick - seen <= buffer}
-            open_ = {k: open_[k] for k in free}
-            for stage in (conf[a:b] >= high, (conf[a:b] < high) & (conf[a:b] >= low)):
-                at, ids = np.flatnonzero(stage) + a, sorted(free)
-                if not len(at) or not ids:
-                    continue
-                t = np.array([open_[k][0] for k in ids])
-                lo = np.maximum(box[at][:, None, :2], t[None, :, :2])
-                hi = np.minimum(box[at][:, None, :2] + box[at][:, None, 2:], t[None, :, :2] + t[None, :, 2:])
-                inter = np.clip(hi - lo, 0, None).prod(-1)
-                v = inter / np.maximum(box[at][:, None, 2:].prod(-1) + t[None, :, 2:].prod(-1) - inter, 1e-6)
-                v[cls[at][:, None] != np.array([open_[k][1] for k in ids])[None]] = 0
-                for i, j in sorted(zip(*np.nonzero(v >= iou), strict=True), key=lambda ij: (-v[ij], ij)):
-                    if out[at[i]] < 0 and ids[j] in free:
-                        out[at[i]] = ids[j]
-                        free.discard(ids[j])
-            for i in range(a, b):
-                if out[i] < 0 and conf[i] >= high:
-                    number += 1
-                    out[i] = number
-                if out[i] >= 0:
-                    open_[int(out[i])] = (box[i], cls[i], tick)
-        return pdf.assign(track_id=out)[out >= 0]
-
-    return det.groupBy(match).applyInPandas(walk, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, tracker = None, Tracker(high, low, iou, buffer)
+        for pdf, at in walk.groups(batches, [match, "frame_id"]):
+            box = pdf[["x", "y", "w", "h"]].to_numpy(float)
+            conf, cls, of = pdf["confidence"].to_numpy(), pdf["class_id"].to_numpy(), pdf[match].to_numpy()
+            out = np.full(len(pdf), -1, np.int64)
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if of[a] != now:
+                    now, tracker = of[a], Tracker(high, low, iou, buffer)
+                out[a:b] = tracker.frame(box[a:b], conf[a:b], cls[a:b])
+            yield pdf.assign(track_id=out)[out >= 0]
+
+    dealt = det.repartition(match).sortWithinPartitions(match, "frame_id", walk.descending("confidence"), "det_id")
+    return dealt.mapInPandas(run, schema)
+
+
+class Tracker:
+    """Open tracks of one match: box, class and the frame that they were last seen in."""
+
+    def __init__(self, high: float, low: float, iou: float, buffer: int):
+        self.high, self.low, self.iou, self.buffer = high, low, iou, buffer
+        self.open: dict[int, tuple[np.ndarray, int, int]] = {}
+        self.number, self.tick = 0, 0
+
+    def frame(self, box: np.ndarray, conf: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Track ids of the boxes of the next frame, by falling confidence; -1 for boxes without one."""
+        out = np.full(len(box), -1, np.int64)
+        self.open = {k: v for k, v in self.open.items() if self.tick - v[2] <= self.buffer}
+        free = set(self.open)
+        for stage in (conf >= self.high, (conf < self.high) & (conf >= self.low)):
+            at, ids = np.flatnonzero(stage), sorted(free)
+            if not len(at) or not ids:
+                continue
+            t = np.array([self.open[k][0] for k in ids])
+            lo = np.maximum(box[at][:, None, :2], t[None, :, :2])
+            hi = np.minimum(box[at][:, None, :2] + box[at][:, None, 2:], t[None, :, :2] + t[None, :, 2:])
+            inter = np.clip(hi - lo, 0, None).prod(-1)
+            v = inter / np.maximum(box[at][:, None, 2:].prod(-1) + t[None, :, 2:].prod(-1) - inter, 1e-6)
+            v[cls[at][:, None] != np.array([self.open[k][1] for k in ids])[None]] = 0
+            for i, j in sorted(zip(*np.nonzero(v >= self.iou), strict=True), key=lambda ij: (-v[ij], ij)):
+                if out[at[i]] < 0 and ids[j] in free:
+                    out[at[i]] = ids[j]
+                    free.discard(ids[j])
+        for i in range(len(box)):
+            if out[i] < 0 and conf[i] >= self.high:
+                self.number += 1
+                out[i] = self.number
+            if out[i] >= 0:
+                self.open[int(out[i])] = (box[i], cls[i], self.tick)
+        self.tick += 1
+        return out

@@ -15,24 +15,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Batches of whole groups, each with the groups' first rows and the end."""
-    held: pd.DataFrame | None = None
+    held: list[pd.DataFrame] = []  # of the last group
     for pdf in batches:
         if not len(pdf):
             continue
-        pdf = pd.concat([held, pdf], ignore_index=True) if held is not None else pdf
         new = np.zeros(len(pdf), bool)
-        new[0] = True
         for k in keys:
             v = pdf[k].to_numpy()
             new[1:] |= v[1:] != v[:-1]
+            new[0] |= bool(held) and v[0] != held[-1][k].iloc[-1]
         at = np.flatnonzero(new)
-        held = pdf.iloc[at[-1] :]
-        if at[-1]:
-            yield pdf.iloc[: at[-1]], at
-    if held is not None:
-        yield held.reset_index(drop=True), np.array([0, len(held)])
+        if not len(at):  # the last group goes on
+            held.append(pdf)
+            continue
+        whole = pd.concat([*held, pdf.iloc[: at[-1]]], ignore_index=True)
+        before = sum(map(len, held))
+        if len(whole):
+            ends = at + before
+            yield whole, ends if ends[0] == 0 else np.concatenate([[0], ends])
+        held = [pdf.iloc[at[-1] :]]
+    if held:
+        yield pd.concat(held, ignore_index=True), np.array([0, sum(map(len, held))])
 
 
 def _dealt(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -42,7 +47,7 @@ def _dealt(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFra
 def labelled(df: DataFrame, keys: list[str], order: list[str | Column], columns: list[str], label: Callable[..., list[int]]) -> DataFrame:
     """df with ``cluster``, a number for each row from label(arrays of a group's columns); rows under 0 are dropped."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, at in _groups(batches, keys):
+        for pdf, at in groups(batches, keys):
             arrays = [pdf[c].to_numpy() for c in columns]
             out = np.empty(len(pdf), np.int64)
             for a, b in zip(at[:-1], at[1:], strict=True):
@@ -59,7 +64,7 @@ def made(df: DataFrame, keys: list[str], order: list[str | Column], columns: lis
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, at in _groups(batches, keys):
+        for pdf, at in groups(batches, keys):
             arrays, first = [pdf[c].to_numpy() for c in columns], [pdf[k].to_numpy() for k in keys]
             out = [(*(f[a] for f in first), *r) for a, b in zip(at[:-1], at[1:], strict=True) for r in rows(*(x[a:b] for x in arrays))]
             yield pd.DataFrame(out, columns=names)

@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from ..functions import labels as L
 from ..operators import cluster, matching
 from ..registry import query
+from . import walk_sql
 
 _D, _P = sql("det"), sql("det", "pos")
 r6 = lambda c: F.round(c, 6)
@@ -137,14 +138,14 @@ def grid_fuse(spark, d):
     return cluster.grid_fuse(detections(spark, d), ["class_id"])
 
 
-@query()
+@query(walk_sql.NMS)
 def nms(spark, d):
     """Non-maximum suppression within frame and class."""
     det = detections(spark, d)
     return cluster.suppress_overlaps(det, ["frame_id", "class_id"]).select("frame_id", "class_id", "det_id", "confidence")
 
 
-@query()
+@query(walk_sql.LEADER)
 def leader_clusters(spark, d):
     """Leader clusters of detections within 50 pixels of their seed."""
     return cluster.leader_clusters(detections(spark, d), ["frame_id", "class_id"], ["det_id"], 50.0).select("frame_id", "class_id", "det_id", "cluster")
@@ -156,20 +157,20 @@ def mean_clusters(spark, d):
     return cluster.leader_clusters(detections(spark, d), ["frame_id"], ["confidence", "det_id"], 100.0, "mean", [False, True]).select("frame_id", "det_id", "cluster")
 
 
-@query()
+@query(walk_sql.LINKED)
 def linked_clusters(spark, d):
     """Clusters of detections linked within 120 pixels."""
     return cluster.linked_clusters(detections(spark, d), ["frame_id"], 120.0).select("frame_id", "det_id", "cluster")
 
 
-@query()
+@query(walk_sql.SPACED)
 def spaced_points(spark, d):
     """Detections kept in order of confidence, at least 60 pixels apart."""
     return cluster.spaced(detections(spark, d), ["frame_id"], ["confidence", "det_id"], 60.0, [False, True]).select("frame_id", "det_id")
 
 
-@query(_D + "SELECT frame_id, det_id, CASE WHEN class_id = 1 THEN 2 ELSE 1 END AS category, CASE WHEN class_id = 1 THEN 'ball' ELSE 'player' END AS name, CASE WHEN class_id = 1 THEN 0 END AS decoded, 'frame_' || lpad(CAST(frame_id AS VARCHAR), 6, '0') || '.jpg' AS file_name FROM det WHERE frame_id < 1000000")
+@query(_D + "SELECT frame_id, det_id, CASE WHEN class_id = 1 THEN 2 ELSE 1 END AS category, CASE WHEN class_id = 1 THEN 'ball' ELSE 'player' END AS name, CASE WHEN class_id = 1 THEN 0 END AS decoded, 'frame_' || CASE WHEN frame_id < 1000000 THEN lpad(CAST(frame_id AS VARCHAR), 6, '0') ELSE CAST(frame_id AS VARCHAR) END || '.jpg' AS file_name FROM det")
 def label_maps(spark, d):
-    det = detections(spark, d).filter("frame_id < 1000000")
+    det = detections(spark, d)
     name = L.class_name(F.when(F.col("class_id") == 1, 37).otherwise(0))
     return det.select("frame_id", "det_id", L.coco_category(name).alias("category"), name.alias("name"), L.decode_model_label(F.col("class_id")).alias("decoded"), L.frame_name(F.col("frame_id")).alias("file_name"))

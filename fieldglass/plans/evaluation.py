@@ -8,6 +8,7 @@ from ..fixtures import detections, sql
 from ..operators import evaluation as O
 from ..operators import matching
 from ..registry import query
+from . import walk_sql
 
 _D = sql("det")
 r6 = lambda c: F.round(c, 6)
@@ -29,6 +30,29 @@ def match_candidates(spark, d):
     return matching.candidate_matches(p, g, 0.5).select("frame_id", "class_id", "pred", "target", r6("iou").alias("iou"))
 
 
+@query(_D + "SELECT frame_id, det_id FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY confidence DESC, det_id DESC) AS rank FROM det) WHERE rank <= 4")
+def capped_predictions(spark, d):
+    """The four best predictions of each image (the evaluator takes a hundred)."""
+    return O.best_scored(detections(spark, d), 4).select("frame_id", "det_id")
+
+
+@query(walk_sql.greedy(_C, "c.iou >= 0.5 AND c.class_id = 1") + """, t AS (SELECT count(*) AS tp FROM walk WHERE target IS NOT NULL), n AS (SELECT (SELECT count(*) FROM p WHERE class_id = 1) AS np, (SELECT count(*) FROM g WHERE class_id = 1) AS ng)
+  SELECT tp, np - tp AS fp, ng - tp AS fn, round(tp / ng, 6) AS recall, round(tp / np, 6) AS precision FROM t CROSS JOIN n""")
+def greedy_ball_counts(spark, d):
+    """Balls found, invented and missed by greedy matches over all images."""
+    p, g = _pred_gt(spark, d)
+    out = O.greedy_counts(p.filter("class_id = 1"), g.filter("class_id = 1"))
+    return out.select("tp", "fp", "fn", r6("recall").alias("recall"), r6("precision").alias("precision"))
+
+
+@query()
+def center_assignments(spark, d):
+    """Balls assigned to targets by the least sum of centre distances."""
+    p, g = _pred_gt(spark, d)
+    out = matching.optimal_matches(p.filter("class_id = 1"), g.filter("class_id = 1"), by="distance")
+    return out.select("frame_id", "class_id", "pred", "target", r6("iou").alias("iou"), r6("distance").alias("distance"))
+
+
 @query(_D + "SELECT frame_id, det_id, rank FROM (SELECT frame_id, det_id, row_number() OVER (PARTITION BY frame_id ORDER BY confidence DESC, det_id DESC) AS rank FROM det) WHERE rank <= 3")
 def top_scores(spark, d):
     """The three best predictions of each image; ties go to the later one."""
@@ -38,7 +62,7 @@ def top_scores(spark, d):
     return detections(spark, d).withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 3").select("frame_id", "det_id", "rank")
 
 
-@query()
+@query(walk_sql.greedy(_C, "c.iou >= 0.5") + " SELECT w.frame_id, w.class_id, w.pred, w.target, round(c.iou, 6) AS iou FROM walk w JOIN c ON c.frame_id = w.frame_id AND c.pred = w.pred AND c.target = w.target")
 def greedy_matches(spark, d):
     p, g = _pred_gt(spark, d)
     return matching.greedy_matches(matching.candidate_matches(p, g, 0.5)).select("frame_id", "class_id", "pred", "target", r6("iou").alias("iou"))
@@ -50,7 +74,21 @@ def optimal_matches(spark, d):
     return matching.optimal_matches(p, g).select("frame_id", "class_id", "pred", "target", r6("iou").alias("iou"), r6("distance").alias("distance"))
 
 
-@query()
+_BOTH = "frame_id IN (SELECT frame_id FROM p) AND frame_id IN (SELECT frame_id FROM g)"
+
+
+def _scores_sql() -> str:
+    half = walk_sql.greedy(_C, "c.iou >= 0.5")
+    more = walk_sql.greedy(_C, "c.iou >= 0.75")[len(_C) + len("RECURSIVE ") :]
+    for name in ("s", "o", "walk"):
+        more = more.replace(f" {name} AS (", f" {name}_2 AS (").replace(f"FROM {name} ", f"FROM {name}_2 ").replace(f"FROM {name})", f"FROM {name}_2)").replace(f"JOIN {name} ON", f"JOIN {name}_2 {name} ON")
+    return f"""{half}{more}, n AS (SELECT class_id, count(*) FILTER (WHERE side = 0) AS predictions, count(*) FILTER (WHERE side = 1) AS targets FROM (SELECT class_id, 0 AS side FROM p WHERE {_BOTH} UNION ALL SELECT class_id, 1 FROM g WHERE {_BOTH}) GROUP BY class_id),
+  t AS (SELECT 0.5::DOUBLE AS iou, class_id, count(*) AS tp FROM walk WHERE target IS NOT NULL GROUP BY class_id UNION ALL SELECT 0.75::DOUBLE, class_id, count(*) FROM walk_2 WHERE target IS NOT NULL GROUP BY class_id),
+  v AS (SELECT n.class_id, l.iou, coalesce(t.tp, 0) AS tp, n.predictions, n.targets, coalesce(t.tp, 0) / n.predictions AS p, coalesce(t.tp, 0) / n.targets AS r FROM n CROSS JOIN (VALUES (0.5::DOUBLE), (0.75::DOUBLE)) l(iou) LEFT JOIN t ON t.class_id = n.class_id AND t.iou = l.iou)
+  SELECT class_id, iou, tp, predictions, targets, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, round(p * r, 6) AS product FROM v"""
+
+
+@query(_scores_sql())
 def detection_scores(spark, d):
     p, g = _pred_gt(spark, d)
     return O.evaluate(p, g).select("class_id", "iou", "tp", "predictions", "targets", *[r6(c).alias(c) for c in ("precision", "recall", "f1", "product")])

@@ -23,7 +23,7 @@ def _event_sql(kind: str, where: str, join: str, near: str, order: str, confiden
 
 
 def _rounded(ev):
-    return ev.withColumn("confidence", F.round("confidence", 6))
+    return ev.withColumn("confidence", F.round("confidence", 6)).drop("start_location", "end_location")
 
 
 def _pos(spark, d):
@@ -39,25 +39,25 @@ RECOVERY = _event_sql("recovery", "TRUE", "frame_id", "d_now < 5 AND d_prev > 5"
 @query(PASS)
 def event_pass(spark, d):
     pos = _pos(spark, d)
-    return _rounded(O.passes(pos, O.moves(O.frames(pos))))
+    return _rounded(O.passes(O.moves(O.frames(pos))))
 
 
 @query(DRIBBLE)
 def event_dribble(spark, d):
     pos = _pos(spark, d)
-    return _rounded(O.dribbles(pos, O.moves(O.frames(pos)), reach=10.0))
+    return _rounded(O.dribbles(O.moves(O.frames(pos)), reach=10.0))
 
 
 @query(SHOT)
 def event_shot(spark, d):
     pos = _pos(spark, d)
-    return _rounded(O.shots(pos, O.moves(O.frames(pos)), speed=5.0, goal_x=42.5))
+    return _rounded(O.shots(O.moves(O.frames(pos)), speed=5.0, goal_x=42.5))
 
 
 @query(RECOVERY)
 def event_recovery(spark, d):
     pos = _pos(spark, d)
-    return _rounded(O.recoveries(pos, O.moves(O.frames(pos)), reach=5.0))
+    return _rounded(O.recoveries(O.moves(O.frames(pos)), reach=5.0))
 
 
 def _all(spark, d):
@@ -82,6 +82,17 @@ def events_all(spark, d):
     return _rounded(_all(spark, d))
 
 
+_AT = "SELECT e.id, round(m.prev_x, 6) AS start_x, round(m.prev_y, 6) AS start_y, round(m.ball_x, 6) AS end_x, round(m.ball_y, 6) AS end_y FROM ev e JOIN moves m ON m.frame_id = e.end_frame"
+
+
+@query(_union() + _AT)
+def event_locations(spark, d):
+    """Where the ball was before and at each event."""
+    r = lambda c: F.round(c, 6)
+    ev = _all(spark, d)
+    return ev.select("id", r("start_location.x").alias("start_x"), r("start_location.y").alias("start_y"), r("end_location.x").alias("end_x"), r("end_location.y").alias("end_y"))
+
+
 @query(_union() + """SELECT count(*) AS total, count(*) FILTER (WHERE type = 'pass') AS passes, count(*) FILTER (WHERE type = 'shot') AS shots,
   count(*) FILTER (WHERE type = 'dribble') AS dribbles, count(*) FILTER (WHERE type = 'recovery') AS recoveries FROM ev""")
 def event_counts(spark, d):

@@ -119,13 +119,16 @@ def tile_grid(spark, d):
     return s.select("id", F.explode(G.tiles("w", "h")).alias("t")).select("id", "t.x", "t.y")
 
 
-@query()
+_SHUFFLED = "SELECT *, row_number() OVER (ORDER BY substr(md5(CAST(frame_id AS VARCHAR) || '-42'), 1, 8), frame_id) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT l_orderkey AS frame_id FROM lineitem)"
+
+
+@query(f"SELECT frame_id, CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'val' END AS part FROM ({_SHUFFLED})")
 def split_datasets(spark, d):
-    """Train and validation parts of about 80 and 20 %, by a hash of the frame."""
+    """Train and validation parts of 80 and 20 % by count, in an order by a hash of the frame."""
     return O.split(_frames(spark, d), "frame_id")
 
 
-@query()
+@query(f"SELECT frame_id FROM ({_SHUFFLED}) WHERE rn <= 100")
 def random_sample(spark, d):
     """A hundred frames by hash, in order."""
     return O.sample(_frames(spark, d), "frame_id", 100)

@@ -57,8 +57,8 @@ def count_histogram(spark, d):
 @query("SELECT event_type, count(*) AS n, CAST(NULL AS BIGINT) AS user_id FROM events GROUP BY event_type UNION ALL SELECT NULL, count(*), user_id FROM events GROUP BY user_id UNION ALL SELECT NULL, count(*), NULL FROM events")
 def counts_by_two(spark, d):
     """Counts by type, by user and in all, in one pass: grouping sets."""
-    table(spark, d, "events").createOrReplaceTempView("_events_two")
-    return spark.sql("SELECT event_type, count(*) AS n, user_id FROM _events_two GROUP BY GROUPING SETS ((event_type), (user_id), ())")
+    text = "SELECT event_type, count(*) AS n, user_id FROM {events} GROUP BY GROUPING SETS ((event_type), (user_id), ())"
+    return spark.sql(text, events=table(spark, d, "events"))
 
 
 @query(_P + """, f AS (SELECT frame_id, avg(CASE WHEN px BETWEEN -100 AND 100 AND py BETWEEN -250 AND 50 THEN 1.0 ELSE 0.0 END) AS valid, avg(CASE WHEN class_id = 0 AND det_id % 3 <> 0 THEN 1.0 ELSE 0.0 END) AS assigned FROM pos GROUP BY frame_id)

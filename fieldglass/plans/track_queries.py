@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import detections, sql, tracks
 from ..operators import tracks as O
+from ..operators.datasets import dense_ids
 from ..registry import query
 
 _T, _D = sql("tracks"), sql("det")
@@ -29,9 +30,12 @@ def first_slopes(spark, d):
     return first.withColumn("f", O.linear_fit(F.col("p"))).select("track_id", r6("f.slope").alias("slope"), r6("f.offset").alias("intercept"))
 
 
-@query(_T + """, f AS (SELECT track_id, CAST(n - 1 AS DOUBLE) AS t, y FROM tracks WHERE n <= 5), s AS (SELECT track_id, count(*) AS n, sum(t) AS t1, sum(t*t) AS t2, sum(t*t*t) AS t3, sum(t*t*t*t) AS t4, sum(y) AS y0, sum(t*y) AS y1, sum(t*t*y) AS y2, max(y) - min(y) AS span FROM f GROUP BY track_id HAVING count(*) = 5),
+_PARABOLA = _T + """, f AS (SELECT track_id, CAST(n - 1 AS DOUBLE) AS t, y FROM tracks WHERE n <= 5), s AS (SELECT track_id, count(*) AS n, sum(t) AS t1, sum(t*t) AS t2, sum(t*t*t) AS t3, sum(t*t*t*t) AS t4, sum(y) AS y0, sum(t*y) AS y1, sum(t*t*y) AS y2, max(y) - min(y) AS span FROM f GROUP BY track_id HAVING count(*) = 5),
   k AS (SELECT *, t4*(t2*n-t1*t1) - t3*(t3*n-t1*t2) + t2*(t3*t1-t2*t2) AS det FROM s),
-  c AS (SELECT track_id, span, (y2*(t2*n-t1*t1) - t3*(y1*n-t1*y0) + t2*(y1*t1-t2*y0))/det AS a, (t4*(y1*n-t1*y0) - y2*(t3*n-t1*t2) + t2*(t3*y0-y1*t2))/det AS b, (t4*(t2*y0-y1*t1) - t3*(t3*y0-y1*t2) + y2*(t3*t1-t2*t2))/det AS c FROM k)
+  c AS (SELECT track_id, span, (y2*(t2*n-t1*t1) - t3*(y1*n-t1*y0) + t2*(y1*t1-t2*y0))/det AS a, (t4*(y1*n-t1*y0) - y2*(t3*n-t1*t2) + t2*(t3*y0-y1*t2))/det AS b, (t4*(t2*y0-y1*t1) - t3*(t3*y0-y1*t2) + y2*(t3*t1-t2*t2))/det AS c FROM k)"""
+
+
+@query(_PARABOLA + """
   SELECT f.track_id, round(avg(abs(y - (a*t*t + b*t + c))) / (any_value(span) + 1e-6), 6) AS residual FROM f JOIN c ON c.track_id = f.track_id GROUP BY f.track_id""")
 def parabola_residuals(spark, d):
     """How far the first five points of each track are from a parabola."""
@@ -43,9 +47,7 @@ def parabola_residuals(spark, d):
 def incarnations(spark, d):
     """Tracks begin anew after a gap of more than eleven updates."""
     t = tracks(spark, d).select("track_id", "event_id", F.floor(F.col("event_id") / 40).alias("tick"))
-    w = W.partitionBy("track_id").orderBy("event_id")
-    new = F.when(F.col("tick") - F.lag("tick").over(w) > 11, 1).otherwise(0)
-    return t.withColumn("new", new).select("track_id", "event_id", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("long").alias("incarnation"))
+    return O.incarnations(t, "track_id", "tick").select("track_id", "event_id", "incarnation")
 
 
 @query(_T + ", s AS (SELECT track_id, n, sum(CASE WHEN y > 95 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS session FROM tracks) SELECT track_id, n, CAST(session AS BIGINT) AS session, CAST(row_number() OVER (PARTITION BY track_id, session ORDER BY n) AS BIGINT) AS tick FROM s")
@@ -65,10 +67,14 @@ def track_steps(spark, d):
 def track_table(spark, d):
     """Tracks renumbered by class and id, with their boxes; short ones are left out."""
     t = detections(spark, d).groupBy("class_id", F.col("det_id").alias("track_id")).agg(F.count(F.lit(1)).alias("boxes"), F.min("frame_id").alias("first_frame"), F.max("frame_id").alias("last_frame")).filter("boxes >= 3")
-    return t.select("class_id", "track_id", F.row_number().over(W.orderBy("class_id", "track_id")).cast("long").alias("number"), "boxes", "first_frame", "last_frame")
+    numbered = dense_ids(t.withColumn("_key", F.col("class_id") * 2**40 + F.col("track_id")), ["_key"], "number")
+    return numbered.select("class_id", "track_id", "number", "boxes", "first_frame", "last_frame")
 
 
-@query()
+@query(_PARABOLA + """, rp AS (SELECT f.track_id, avg(abs(y - (a*t*t + b*t + c))) / (any_value(span) + 1e-6) AS rp FROM f JOIN c ON c.track_id = f.track_id GROUP BY f.track_id),
+  xs AS (SELECT track_id, n, CAST(event_id AS DOUBLE) AS x FROM tracks WHERE n <= 5), l AS (SELECT track_id, regr_slope(x, n) AS slope, regr_intercept(x, n) AS start, max(x) - min(x) AS width FROM xs GROUP BY track_id HAVING count(*) = 5),
+  rl AS (SELECT xs.track_id, avg(abs(x - (slope * n + start))) / (any_value(width) + 1e-6) AS rl FROM xs JOIN l ON l.track_id = xs.track_id GROUP BY xs.track_id)
+  SELECT t.track_id, t.n, CASE WHEN t.n < 5 THEN 'pending' WHEN 0.7 * rp + 0.3 * rl < 0.15 THEN 'valid' ELSE 'noise' END AS status FROM tracks t LEFT JOIN rp ON rp.track_id = t.track_id LEFT JOIN rl ON rl.track_id = t.track_id""")
 def ball_status(spark, d):
     """Ball tracks judged once at five points: pending, valid or noise."""
     t = tracks(spark, d).select("track_id", "n", F.col("event_id").cast("double").alias("x"), "y")

@@ -71,7 +71,7 @@ def write_frame_csv(rows: DataFrame, path: str) -> None:
 
 def events_document(events: DataFrame) -> DataFrame:
     """A row for each match: its events in order and how many frames have any."""
-    one = F.struct(F.col("start_frame"), "id", "type", "end_frame", F.array("player").alias("involved_players"), "confidence", F.col("ts_start").alias("timestamp_start"), F.col("ts_end").alias("timestamp_end"))
+    one = F.struct(F.col("start_frame"), "id", "type", "end_frame", "start_location", "end_location", F.array("player").alias("involved_players"), "confidence", F.col("ts_start").alias("timestamp_start"), F.col("ts_end").alias("timestamp_end"))
     return events.groupBy(F.col("match_id").cast("string").alias("match_id")).agg(F.array_sort(F.collect_list(one)).alias("events"), F.struct(F.countDistinct("end_frame").alias("total_frames")).alias("metadata"))
 
 

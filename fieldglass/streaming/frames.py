@@ -29,24 +29,31 @@ def frame_counts(detections: DataFrame, seconds: int = 10) -> DataFrame:
     ).select("match_id", F.col("w.start").alias("start"), "players", "balls")
 
 
-def once_each(metrics: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys haven't come before (an epoch poller's processed set)."""
-    return metrics.dropDuplicates(keys)
+def once_each(metrics: DataFrame, keys: list[str], time: str = "time", late: str = "1 hour") -> DataFrame:
+    """Rows whose keys haven't come before within ``late`` of event time (an epoch poller's processed set)."""
+    return metrics.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def track_status(points: DataFrame, size: int = 30, least: int = 5, gap: int = 11) -> DataFrame:
+def track_status(points: DataFrame, size: int = 30, least: int = 5, gap: int = 11, idle_seconds: int = 3600) -> DataFrame:
     """points(track_id, n, y) -> track_id, n, incarnation, points, status: the history of each track as its state.
 
     The last ``size`` points are kept; a point over ``gap`` updates after the last begins a new incarnation; status is
     pending before the ``least``-th point, then fixed: steady if the points' range is under 90, else wild. Points of a
-    batch are taken in order.
+    batch are taken in order. A point that isn't after the track's last is late: it gets that status and leaves the
+    history alone. A track without points for ``idle_seconds`` is forgotten.
     """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times, values, born, status = state.get if state.exists else ([], [], 0, "pending")
         times, values = list(times), list(values)
         out = []
-        rows = pd.concat(list(batches)).sort_values("n")
+        rows = pd.concat(list(batches)).sort_values("n", kind="stable")
         for n, y in zip(rows["n"].tolist(), rows["y"].tolist(), strict=True):
+            if times and n <= times[-1]:
+                out.append((key[0], n, born, len(times), "late"))
+                continue
             if times and n - times[-1] > gap:
                 times, values, born, status = [], [], born + 1, "pending"
             times, values = [*times, n][-size:], [*values, y][-size:]
@@ -54,10 +61,15 @@ def track_status(points: DataFrame, size: int = 30, least: int = 5, gap: int = 1
                 status = "steady" if max(values) - min(values) < 90 else "wild"
             out.append((key[0], n, born, len(times), status))
         state.update((times, values, born, status))
+        state.setTimeoutDuration(idle_seconds * 1000)
         yield pd.DataFrame(out, columns=["track_id", "n", "incarnation", "points", "status"])
 
     return points.groupBy("track_id").applyInPandasWithState(
-        step, "track_id long, n long, incarnation int, points int, status string", "times array<long>, ys array<double>, born int, status string", "append", GroupStateTimeout.NoTimeout
+        step,
+        "track_id long, n long, incarnation int, points int, status string",
+        "times array<long>, ys array<double>, born int, status string",
+        "append",
+        GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 

@@ -37,4 +37,4 @@ def test_goals(spark):
     assert math.isclose(r.x, (10 * 2.7 + 20 * 1.2) / 3.9) and r.confidence == 1.0
     hist = spark.createDataFrame([(0, f, 0, 100.0 + f, 50.0, -52.5, 0.5) for f in range(3)], "match_id long, frame_id long, goal_id long, x double, y double, px double, confidence double")
     sm = {r.frame_id: r for r in C.smoothed_goals(hist).collect()}
-    assert set(sm) == {1, 2} and math.isclose(sm[2].x, (100 * 1 + 101 * 2 + 102 * 3) / 6) and math.isclose(sm[2].confidence, 0.55)
+    assert set(sm) == {0, 1, 2} and (sm[0].x, sm[0].n) == (100.0, 1) and math.isclose(sm[2].x, (100 * 1 + 101 * 2 + 102 * 3) / 6) and math.isclose(sm[2].confidence, 0.55)

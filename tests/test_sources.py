@@ -1,7 +1,9 @@
 """Small files of each format."""
 
 import json
+import os
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from fieldglass.sources import annotations as A
@@ -69,7 +71,10 @@ def test_results(spark, tmp_path):
 def test_writers(spark, tmp_path):
     from fieldglass import registry
 
-    ev = registry.QUERIES["events_all"](spark, "/root/testdata/sf0.001")
+    from pyspark.sql import functions as F
+
+    none = F.lit(None).cast("struct<x: double, y: double>")
+    ev = registry.QUERIES["events_all"](spark, "/root/testdata/sf0.001").withColumns({"start_location": none, "end_location": none})
     R.write_events(ev, str(tmp_path / "ev"))
     back = R.read_events(spark, str(tmp_path / "ev"))
     assert back.count() == ev.count()
@@ -93,10 +98,46 @@ def test_stream_counts_equal_batch(spark, tmp_path):
 
 
 def test_stream_state_and_files(spark, tmp_path):
-    pts = [{"track_id": 1, "n": n, "y": float(n)} for n in (1, 2, 3, 4, 5, 6, 30, 31)]
-    put(tmp_path, "a/0.json", "\n".join(json.dumps(p) for p in pts[:4])), put(tmp_path, "a/1.json", "\n".join(json.dumps(p) for p in pts[4:]))
+    pts = [{"track_id": 1, "n": n, "y": float(n)} for n in (1, 2, 3, 4, 5, 6, 30, 31, 3, 32)]
+    for k, some in enumerate((pts[:4], pts[4:8], pts[8:])):
+        path = put(tmp_path, f"a/{k}.json", "\n".join(json.dumps(p) for p in some))
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))  # files are read in the order of their times
     src = S.watch(spark, str(tmp_path / "a"), "track_id long, n long, y double", files_each=1)
     q = S.write_event_files(S.track_status(src), str(tmp_path / "out"), str(tmp_path / "ck2"))
     q.awaitTermination(120)
-    rows = {r.n: (r.incarnation, r.points, r.status) for r in spark.read.json(str(tmp_path / "out")).collect()}
-    assert rows[4][2] == "pending" and rows[5] == (0, 5, "steady") and rows[30] == (1, 1, "pending") and len(rows) == 8
+    rows = sorted((r.n, r.incarnation, r.points, r.status) for r in spark.read.json(str(tmp_path / "out")).collect())
+    assert rows == [(1, 0, 1, "pending"), (2, 0, 2, "pending"), (3, 0, 3, "pending"), (3, 1, 2, "late"), (4, 0, 4, "pending"), (5, 0, 5, "steady"), (6, 0, 6, "steady"), (30, 1, 1, "pending"), (31, 1, 2, "pending"), (32, 1, 3, "pending")]
+
+
+def test_stream_once_each(spark, tmp_path):
+    rows = [{"run": "a", "epoch": e, "time": f"2024-01-01T00:0{e}:00Z"} for e in (1, 2, 1, 3, 2)]
+    for k, r in enumerate(rows):
+        path = put(tmp_path, f"b/{k}.json", json.dumps(r))
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    src = S.watch(spark, str(tmp_path / "b"), "run string, epoch long, time timestamp", files_each=1)
+    q = S.write_event_files(S.once_each(src, ["run", "epoch"]), str(tmp_path / "once"), str(tmp_path / "ck3"))
+    q.awaitTermination(120)
+    assert sorted(r.epoch for r in spark.read.json(str(tmp_path / "once")).collect()) == [1, 2, 3]
+
+
+def test_groups_run_over_batches():
+    from fieldglass.operators import walk
+
+    pdf = pd.DataFrame({"k": [1, 1, 2, 2, 2, 2, 3, 4, 4], "v": range(9)})
+    for size in range(1, 10):
+        got = []
+        for whole, at in walk.groups((pdf.iloc[i : i + size] for i in range(0, 9, size)), ["k"]):
+            got += [whole["v"].iloc[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert got == [[0, 1], [2, 3, 4, 5], [6], [7, 8]]
+
+
+def test_event_document_keeps_locations(spark, tmp_path):
+    from fieldglass import registry
+    from fieldglass.operators import frames as O
+    from fieldglass.plans import event_queries as Q
+
+    ev = O.all_events(Q._pos(spark, "/root/testdata/sf0.001"), dribbles_reach=10.0, shots_speed=5.0, shots_goal_x=42.5)
+    R.write_events(ev, str(tmp_path / "ev"))
+    back = {r.id: r for r in R.read_events(spark, str(tmp_path / "ev")).collect()}
+    assert all(back[r.id].start_location == r.start_location and back[r.id].end_location == r.end_location for r in ev.collect())
+    assert "event_locations" in registry.ORACLE_SQL
