@@ -16,11 +16,13 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
+    if not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="fieldglass-"))
     return sc.getCheckpointDir()
@@ -89,9 +91,11 @@ def ranked(df: DataFrame, keys: list[str], ids: list[str], out: str, n_buckets:
 
     The order is by a hash bucket of ``ids``, then ``ids``: any fixed order without gaps. Rows are ranked within
     (keys, bucket) and shifted by the bucket's offset, so that a key with most of the rows is still dealt to
-    n_buckets tasks; the table of offsets has n_buckets rows a key. df is read twice: pass a saved table.
+    n_buckets tasks, or as many as there are shuffle partitions if that is more; the table of offsets has a row for each
+    of them and key. df is read twice: pass a saved table.
     """
     b = "_bucket"
+    n_buckets = max(n_buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     amount = F.col(value).cast("long") if value else F.lit(1).cast("long")
     parted = df.withColumn(b, F.pmod(F.xxhash64(*ids), F.lit(n_buckets)).cast("int"))
     size = parted.groupBy(*keys, b).agg(F.sum(amount).alias("_size"))

@@ -237,7 +237,9 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     often = rows.groupBy("key").agg(F.sum("places").alias("n"), F.sum(F.col("count") + (length - 1)).alias("bytes")).filter("n > 1")
     often = tmp.save(often, "keys")
     tmp.settle()
-    total = often.agg(F.sum("bytes")).first()[0] or 0
+    total, largest = often.agg(F.sum("bytes"), F.max("bytes")).first()
+    total, largest = total or 0, largest or 0
+    digits = 1 if largest <= 256 * SHARD else 2 if largest <= 65536 * SHARD else 3  # bytes of a digest that name its range
     shards = max(1, math.ceil(total / SHARD))
     wanted = tmp.save(rows.join(often.select("key"), "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("first", "count", "key"))).alias("parts")), "wanted")
     tmp.drop(rows)
@@ -291,8 +293,9 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             out = []
             for key, digest, classes in zip(pdf["key"], pdf["digest"], pdf["classes"], strict=True):
                 raw = np.frombuffer(classes, np.uint8).reshape(-1, 16)
-                for r in np.unique(raw[:, 0]):
-                    out.append((key, int(r), digest, raw[raw[:, 0] == r].tobytes()))
+                of = raw[:, :digits].astype(np.int64) @ (256 ** np.arange(digits))
+                for r in np.unique(of).tolist():
+                    out.append((key, r, digest, raw[of == r].tobytes()))
             yield pd.DataFrame(out, columns=["key", "range", "digest", "classes"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -177,9 +177,10 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_suffix_dedup_splits_heavy_keys(docs, monkeypatch):
+@pytest.mark.parametrize("shard", [600, 8])  # the second names ranges by two bytes
+def test_suffix_dedup_splits_heavy_keys(docs, monkeypatch, shard):
     whole = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs).collect()}
-    monkeypatch.setattr(suffix_dedup, "SHARD", 600)
+    monkeypatch.setattr(suffix_dedup, "SHARD", shard)
     assert {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs).collect()} == whole
 
 
