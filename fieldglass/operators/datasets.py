@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cluster import suppress_overlaps
+from .matching import without_overlap
 
 
 def dense_ids(df: DataFrame, order: list[str], out: str, first: int = 1, width: int = 100_000) -> DataFrame:
@@ -114,3 +117,49 @@ def first_results(results: DataFrame, frames: DataFrame, order: str) -> DataFram
     """frames, each with the first result of its frame_id in order; frames without one go."""
     first = results.groupBy("frame_id").agg(F.min_by(F.struct(*[c for c in results.columns if c != "frame_id"]), order).alias("result"))
     return frames.join(first, "frame_id")
+
+
+def resized(boxes: DataFrame, width: float, height: float, new_width: float, new_height: float) -> DataFrame:
+    """Boxes (x, y, w, h) of an image that gets another size."""
+    sx, sy = new_width / width, new_height / height
+    return boxes.withColumns({"x": F.col("x") * sx, "y": F.col("y") * sy, "w": F.col("w") * sx, "h": F.col("h") * sy})
+
+
+def warped(boxes: DataFrame, matrix: list[list[float]], width: float, height: float) -> DataFrame:
+    """Boxes around the corners of boxes (x, y, w, h) under an affine map (two rows of three), cut at the image; empty ones go."""
+    x1, y1, x2, y2 = F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")
+    corners = [(x1, y1), (x2, y1), (x2, y2), (x1, y2)]
+
+    def ends(row: list[float], most: float) -> tuple[Column, Column]:
+        at = [x * row[0] + y * row[1] + row[2] for x, y in corners]
+        cut = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(float(most)))
+        return cut(F.least(*at)), cut(F.greatest(*at))
+
+    (left, right), (top, low) = ends(matrix[0], width), ends(matrix[1], height)
+    out = boxes.withColumns({"x": left, "y": top, "w": right - left, "h": low - top})
+    return out.filter((F.col("w") > 0) & (F.col("h") > 0))
+
+
+def shear(degrees: float) -> list[list[float]]:
+    """The affine map of a horizontal shear."""
+    return [[1.0, math.tan(math.radians(degrees)), 0.0], [0.0, 1.0, 0.0]]
+
+
+def mixed_up(boxes: DataFrame, partners: DataFrame, scale_x: float = 1.0, scale_y: float = 1.0) -> DataFrame:
+    """boxes(frame_id, ...) and, under each frame of partners(frame_id, other), the scaled boxes of the other frame."""
+    other = boxes.withColumnRenamed("frame_id", "other").join(partners, "other").drop("other")
+    other = other.withColumns({"x": F.col("x") * scale_x, "w": F.col("w") * scale_x, "y": F.col("y") * scale_y, "h": F.col("h") * scale_y})
+    return boxes.join(partners.select("frame_id"), "frame_id", "left_semi").unionByName(other)
+
+
+def pasted(boxes: DataFrame, patches: DataFrame, width: float, height: float, most: int = 3, least: float = 0.1) -> DataFrame:
+    """boxes with the first ``most`` patches of each frame that lie in the image and overlap no box by an IoU over ``least``.
+
+    patches(frame_id, det_id, class_id, x, y, w, h) are proposals in order of det_id.
+    """
+    inside = (F.col("x") + F.col("w") <= width) & (F.col("y") + F.col("h") <= height)
+    free = without_overlap(patches.filter(inside), boxes, least)
+    turn = F.row_number().over(W.partitionBy("frame_id").orderBy("det_id"))
+    chosen = free.withColumn("_n", turn).filter(F.col("_n") <= most).drop("_n")
+    columns = ["frame_id", "det_id", "class_id", "x", "y", "w", "h"]
+    return boxes.select(*columns, F.lit(False).alias("pasted")).unionByName(chosen.select(*columns, F.lit(True).alias("pasted")))

@@ -62,8 +62,13 @@ def validated(keypoints: DataFrame, w: float, h: float) -> DataFrame:
     return keypoints.filter(c("x").between(0, w) & c("y").between(0, h)).withColumn("confidence", F.when(ok, c("confidence")).otherwise(c("confidence") * 0.5))
 
 
-def calibration_points(keypoints: DataFrame, keys: list[str], w: float, h: float, most: int = 20) -> DataFrame:
-    """The best keypoints of a group by type, reliability and confidence; input order breaks ties."""
+def calibration_points(keypoints: DataFrame, keys: list[str], w: float, h: float, most: int = 20, least: int = 0) -> DataFrame:
+    """The best keypoints of a group by type, reliability and confidence; input order breaks ties.
+
+    Where ``most`` are fewer than ``least``, all are taken.
+    """
+    if most < least:
+        most = 2**31
     from pyspark.sql import Window as W
 
     from ..functions import labels as L

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,3 +100,22 @@ def edge_spacing_ratio(points: DataFrame, keys: list[str], order: str) -> DataFr
     w = W.partitionBy(*keys).orderBy(order)
     at = points.withColumns({"_i": G.distance("x", "y", F.lead("x").over(w), F.lead("y").over(w)), "_w": G.distance("px", "py", F.lead("px").over(w), F.lead("py").over(w))})
     return at.filter(F.col("_w") > 0.1).groupBy(*keys).agg(F.avg(F.col("_i") / F.col("_w")).alias("ratio"), F.count(F.lit(1)).alias("pairs"))
+
+
+def fisheye(points: DataFrame, keys: list[str], order: str, width: float, height: float, limit: float = 0.8) -> DataFrame:
+    """A row for each group with ``distorted``: whether landmarks near the image's edge stand closer than on the pitch.
+
+    Points over 0.7 of the way from the centre to a corner are at the edge. With fewer than 6 points, 3 at the edge, or 2
+    pairs of these over 0.1 apart on the pitch, there is no distortion to tell.
+    """
+    far = G.distance("x", "y", F.lit(width / 2), F.lit(height / 2)) / (math.hypot(width, height) / 2) > 0.7
+    counts = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("points"), F.count_if(far).alias("at_edge"))
+    ratios = edge_spacing_ratio(points.filter(far), keys, order)
+    known = (F.col("points") >= 6) & (F.col("at_edge") >= 3) & (F.col("pairs") >= 2)
+    return counts.join(ratios, keys, "left").select(*keys, F.coalesce(known & (F.col("ratio") < limit), F.lit(False)).alias("distorted"))
+
+
+def corrected_y(points: DataFrame, keys: list[str], y: str, height: float, factor: float = 1.2) -> DataFrame:
+    """points with y corrected by ``cubic_y``; whether a group's values are pixels follows from its largest."""
+    largest = points.groupBy(*keys).agg(F.max(y).alias("_largest"))
+    return points.join(largest, keys).withColumn(y, G.cubic_y(y, factor, "_largest", height)).drop("_largest")
