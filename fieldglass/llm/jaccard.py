@@ -306,6 +306,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
         left = tmp.save(left.drop("label"), "left")
         last, open_ = open_, tmp.save(_still_open(left, num, den), "buckets")
         tmp.drop(last, left, lead)
+        tmp.settle()
         pivots *= 16
     comps = None if done is None else tmp.save(connected_components(links, tmp), "components")
 

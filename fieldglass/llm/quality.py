@@ -89,15 +89,20 @@ def text_statistics(docs: DataFrame) -> DataFrame:
 
 
 def vectors(stats: DataFrame) -> DataFrame:
-    """stats with x0, x1, ...: the transformed statistics as whole numbers of 1 / UNIT."""
+    """stats with ``x``, the transformed statistics as an array of whole numbers of 1 / UNIT."""
     n, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     rate = lambda a, b: F.log1p(F.col(a) * 100.0 / b)
     made = {
-        "words": F.log1p("n_words"), "length": F.log(chars / n), "symbols": rate("n_symbols", n), "capitals": rate("n_capitals", chars),
-        "shouts": rate("n_shouts", n), "repeats": rate("n_repeat_words", n),
-        "variety": F.log(F.greatest("n_distinct", F.lit(1)) / n), "lines": rate("n_dup_lines", n),
+        "words": F.log1p("n_words"),
+        "length": F.log(chars / n),
+        "symbols": rate("n_symbols", n),
+        "capitals": rate("n_capitals", chars),
+        "shouts": rate("n_shouts", n),
+        "repeats": rate("n_repeat_words", n),
+        "variety": F.log(F.greatest("n_distinct", F.lit(1)) / n),
+        "lines": rate("n_dup_lines", n),
     }
-    return stats.withColumns({f"x{i}": F.round(made[k] * UNIT).cast("int") for i, k in enumerate(NAMES)})
+    return stats.withColumn("x", F.array(*[F.round(made[k] * UNIT).cast("int") for k in NAMES]))
 
 
 def _with_groups(v: DataFrame, min_rows: int) -> DataFrame:
@@ -113,65 +118,90 @@ def _with_groups(v: DataFrame, min_rows: int) -> DataFrame:
     return named.join(keys, ["_l", "_s"], "left").drop("_l", "_s")
 
 
-def _cholesky(est: DataFrame, p: int) -> DataFrame:
-    """est with the lower triangle l{i}_{j} of its covariance s{i}_{j}, and half the log determinant."""
-    for i in range(p):
-        for j in range(i + 1):
-            rest = F.col(f"s{i}_{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            est = est.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}_{j}"))
-    return est.withColumn("half_log_det", sum((F.log(f"l{i}_{i}") for i in range(p)), F.lit(0.0)))
+def _row(i: int | Column) -> int | Column:
+    """Where row i of a lower triangle begins, the rows standing end to end in an array."""
+    return i * (i + 1) // 2 if isinstance(i, int) else F.floor(i * (i + 1) / 2).cast("int")
 
 
-def _distance(joined: DataFrame, p: int) -> DataFrame:
-    """joined with d2, the squared Mahalanobis distance."""
-    keep = [F.col(c) for c in joined.columns]
-    for i in range(p):
-        y = F.col(f"x{i}") / UNIT - F.col(f"m{i}")
-        for k in range(i):
-            y = y - F.col(f"l{i}_{k}") * F.col(f"_y{k}")
-        joined = joined.withColumn(f"_y{i}", y / F.col(f"l{i}_{i}"))
-    return joined.select(*keep, sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(p)), F.lit(0.0)).alias("d2"))
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda t, v: t + v)
+
+
+def _cholesky(s: Column, p: int) -> Column:
+    """The lower triangle of the Cholesky factor of a covariance, both as arrays."""
+    rows = F.array(*[F.lit(i) for i in range(p) for _ in range(i + 1)])
+    columns = F.array(*[F.lit(j) for i in range(p) for j in range(i + 1)])
+
+    def add(low: Column, t: Column) -> Column:
+        i, j = F.get(rows, t), F.get(columns, t)
+        rest = F.get(s, t) - _dot(F.slice(low, _row(i) + 1, j), F.slice(low, _row(j) + 1, j))
+        side = rest / F.get(low, _row(j) + j)
+        return F.concat(low, F.array(F.when(i == j, F.sqrt(F.greatest(rest, F.lit(1e-9)))).otherwise(side)))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(p * (p + 1) // 2 - 1)), F.expr("cast(array() as array<double>)"), add)
+
+
+def _half_log_det(low: Column, p: int) -> Column:
+    return sum((F.log(F.get(low, F.lit(_row(i) + i))) for i in range(p)), F.lit(0.0))
+
+
+def _distance(p: int) -> Column:
+    """The squared Mahalanobis distance of x from the centre m with the Cholesky factor low."""
+    x, m, low = F.col("x"), F.col("m"), F.col("low")
+
+    def add(y: Column, i: Column) -> Column:
+        gap = F.get(x, i) / UNIT - F.get(m, i) - _dot(F.slice(low, _row(i) + 1, i), y)
+        return F.concat(y, F.array(gap / F.get(low, _row(i) + i)))
+
+    whitened = F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), F.expr("cast(array() as array<double>)"), add)
+    return F.aggregate(whitened, F.lit(0.0), lambda t, v: t + v * v)
+
+
+def _coordinate_medians(rows: DataFrame, value: Column, out: str) -> DataFrame:
+    """(g, out): the medians of the places of an array column in each group."""
+    each = rows.select("g", F.posexplode(value).alias("i", "v")).groupBy("g", "i").agg(F.percentile("v", 0.5).alias("v"))
+    return each.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "v")))["v"].alias(out))
 
 
 def mcd_estimates(v: DataFrame, tmp: Scratch, p: int, keep: float = 0.75) -> DataFrame:
-    """A row for each group g of v(g, x0, x1, ...): centre m{i} and Cholesky factor l{i}_{j} of the robust covariance.
+    """A row for each group g of v(g, x): centre m and lower Cholesky factor low of the robust covariance, as arrays.
 
     A group takes steps as long as its determinant falls; one whose determinant doesn't keeps its last estimate. Every
     step but a group's last makes half the log determinant, which the floors bound, smaller by 1e-6, so all groups end.
     """
     floor = [FLOORS[k] for k in NAMES[:p]]
-    rows = tmp.save(v.filter("g IS NOT NULL").select("g", *[f"x{i}" for i in range(p)]), "vectors")
-    med = rows.groupBy("g").agg(*[F.percentile(f"x{i}", 0.5).alias(f"c{i}") for i in range(p)])
-    med = tmp.save(med, "medians")
-    n_groups = med.count()
-    joins = (lambda df: F.broadcast(df)) if n_groups <= BROADCAST_GROUPS else (lambda df: df)
-    dev = rows.join(joins(med), "g").groupBy("g").agg(*[F.percentile(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), 0.5).alias(f"d{i}") for i in range(p)])
-    est = med.join(dev, "g").select("g", *[(F.col(f"c{i}") / UNIT).alias(f"m{i}") for i in range(p)], *[(F.pow(F.greatest(F.col(f"d{i}") * 1.4826 / UNIT, F.lit(floor[i])), 2) if i == j else F.lit(0.0)).alias(f"s{i}_{j}") for i in range(p) for j in range(i + 1)])
-    est = tmp.save(_cholesky(est, p), "start")
+    places = [(i, j) for i in range(p) for j in range(i + 1)]
+    rows = tmp.save(v.filter("g IS NOT NULL").select("g", "x"), "vectors")
+    med = tmp.save(_coordinate_medians(rows, F.col("x"), "c"), "medians")
+    joins = (lambda df: F.broadcast(df)) if med.count() <= BROADCAST_GROUPS else (lambda df: df)
+    apart = F.zip_with("x", "c", lambda a, b: F.abs(a - b))
+    dev = _coordinate_medians(rows.join(joins(med), "g"), apart, "d")
+    wide = [F.pow(F.greatest(F.get("d", F.lit(i)) * 1.4826 / UNIT, F.lit(floor[i])), 2) for i in range(p)]
+    start = F.array(*[wide[i] if i == j else F.lit(0.0) for i, j in places])
+    est = med.join(dev, "g").select("g", F.transform("c", lambda c: c / UNIT).alias("m"), _cholesky(start, p).alias("low"))
+    est = tmp.save(est.withColumn("h", _half_log_det(F.col("low"), p)), "start")
     scale = keep / chi2_cdf(chi2_quantile(keep, p), p + 2)  # so that the covariance of the kept part fits normal rows
+    x = [F.get("x", F.lit(i)).cast("long") for i in range(p)]
+    sums = [F.sum(x[i]).alias(f"t{i}") for i in range(p)] + [F.sum(x[i] * x[j]).alias(f"t{i}_{j}") for i, j in places]
+    mean = [F.col(f"t{i}") / F.col("n") for i in range(p)]
+    cov = [(F.col(f"t{i}_{j}") / F.col("n") - mean[i] * mean[j]) / UNIT**2 * scale + (floor[i] ** 2 if i == j else 0.0) for i, j in places]
     done: list[DataFrame] = []
-    step = 0
+    first = True
     while True:
-        at = _distance(rows.join(joins(est), "g").select("g", *[f"x{i}" for i in range(p)], *[f"m{i}" for i in range(p)], *[f"l{i}_{j}" for i in range(p) for j in range(i + 1)]), p)
-        at = at.select("g", *[f"x{i}" for i in range(p)], F.floor(F.log1p("d2") * 1024).cast("int").alias("b"))
-        at = tmp.save(at, "distances")
-        cut = tmp.save(at.groupBy("g").agg(F.ceil(F.percentile("b", keep)).alias("cut")), "cuts")
-        inner = at.join(joins(cut), "g").filter("b <= cut")
-        sums = inner.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"x{i}").cast("long")).alias(f"t{i}") for i in range(p)], *[F.sum(F.col(f"x{i}").cast("long") * F.col(f"x{j}")).alias(f"t{i}_{j}") for i in range(p) for j in range(i + 1)])
-        mean = lambda i: F.col(f"t{i}") / F.col("n")
-        cov = lambda i, j: (F.col(f"t{i}_{j}") / F.col("n") - mean(i) * mean(j)) / UNIT**2 * scale
-        new = sums.select("g", *[(mean(i) / UNIT).alias(f"m{i}") for i in range(p)], *[(cov(i, j) + (floor[i] ** 2 if i == j else 0.0)).alias(f"s{i}_{j}") for i in range(p) for j in range(i + 1)])
-        last, est = est, tmp.save(_cholesky(new, p), "estimates")
-        tmp.drop(cut, at)
-        step += 1
-        if step == 1:  # the start's determinant is of medians and MADs, not of a step
-            continue
-        both = est.join(last.select("g", F.col("half_log_det").alias("_was")), "g")
-        falls = F.col("_was") - F.col("half_log_det") >= 1e-6
-        done.append(tmp.save(last.join(both.filter(~falls).select("g"), "g", "left_semi"), "done"))
-        est = tmp.save(both.filter(falls).drop("_was"), "estimates")
+        at = rows.join(joins(est.select("g", "m", "low")), "g")
+        at = tmp.save(at.select("g", "x", F.floor(F.log1p(_distance(p)) * 1024).cast("int").alias("b")), "distances")
+        cut = at.groupBy("g").agg(F.ceil(F.percentile("b", keep)).alias("cut"))
+        inner = at.join(joins(cut), "g").filter("b <= cut").groupBy("g").agg(F.count(F.lit(1)).alias("n"), *sums)
+        new = inner.select("g", F.array(*[c / UNIT for c in mean]).alias("m"), F.array(*cov).alias("s"))
+        new = new.select("g", "m", _cholesky(F.col("s"), p).alias("low")).withColumn("h", _half_log_det(F.col("low"), p))
+        # The start's determinant is of medians and MADs, not of a step.
+        falls = F.lit(True) if first else F.col("was.h") - F.col("h") >= 1e-6
+        last = est.select("g", F.struct("m", "low", "h").alias("was"))
+        step = tmp.save(new.join(last, "g").withColumn("falls", falls), "step")
+        tmp.drop(at)
+        first = False
+        done.append(step.filter("NOT falls").select("g", "was.*"))
+        est = step.filter("falls").select("g", "m", "low", "h")
         if est.isEmpty():
             return functools.reduce(DataFrame.unionByName, done)
 
@@ -187,9 +217,9 @@ def quality_verdicts(docs: DataFrame, alpha: float = 1e-6, keep: float = 0.75, m
     stats = tmp.save(vectors(text_statistics(docs.select("doc_id", "text", "lang", "source", *([] if tag is None else [tag.alias("tag")])))), "statistics")
     grouped = _with_groups(stats, min_rows)
     est = mcd_estimates(grouped, tmp, p, keep)
+    tmp.settle()
     est = F.broadcast(est) if est.count() <= BROADCAST_GROUPS else est
-    cols = [*[f"m{i}" for i in range(p)], *[f"l{i}_{j}" for i in range(p) for j in range(i + 1)]]
-    far = _distance(grouped.join(est.select("g", *cols), "g", "left"), p)
+    far = grouped.join(est.select("g", "m", "low"), "g", "left").withColumn("d2", F.when(F.col("m").isNotNull(), _distance(p)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
     limit = chi2_quantile(1 - alpha, p)
     return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("g").alias("pool"), F.col("d2").alias("distance"), (~failed & (F.coalesce("d2", F.lit(0.0)) <= limit)).alias("kept"), *([] if tag is None else ["tag"]))
