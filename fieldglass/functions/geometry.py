@@ -206,12 +206,18 @@ def corner_tiles(width: C | float, height: C | float, size: int = 640) -> Column
 def circle_points(cx: C, cy: C, r: C, n: int = 12) -> Column:
     """n points of a circle, from angle 0 on."""
     angle = lambda i: i * (2 * F.pi() / n)
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((_c(cx) + _c(r) * F.cos(angle(i))).alias("x"), (_c(cy) + _c(r) * F.sin(angle(i))).alias("y")))
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        lambda i: F.struct((_c(cx) + _c(r) * F.cos(angle(i))).alias("x"), (_c(cy) + _c(r) * F.sin(angle(i))).alias("y"))
+    )
 
 
 def line_points(x1: C, y1: C, x2: C, y2: C, n: int = 12) -> Column:
     """n evenly spaced points of a segment, ends included."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((_c(x1) + (_c(x2) - _c(x1)) * i / (n - 1)).alias("x"), (_c(y1) + (_c(y2) - _c(y1)) * i / (n - 1)).alias("y")))
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        lambda i: F.struct((_c(x1) + (_c(x2) - _c(x1)) * i / (n - 1)).alias("x"), (_c(y1) + (_c(y2) - _c(y1)) * i / (n - 1)).alias("y"))
+    )
 
 
 def in_penalty_box(x: C, origin: str = "center") -> Column:

@@ -6,9 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: How reliable a landmark type's y coordinate is; other types 0.5.
-Y_RELIABILITY = {"goal": 0.95, "center_line": 0.90, "penalty_box": 0.75, "goal_area": 0.70, "center_circle": 0.65, "penalty_spot": 0.60, "corner": 0.50, "corner_arc": 0.45, "touchline": 0.40}
+Y_RELIABILITY = {
+    "goal": 0.95,
+    "center_line": 0.90,
+    "penalty_box": 0.75,
+    "goal_area": 0.70,
+    "center_circle": 0.65,
+    "penalty_spot": 0.60,
+    "corner": 0.50,
+    "corner_arc": 0.45,
+    "touchline": 0.40
+}
 #: A landmark type's rank for calibration; other types 99.
-PRIORITY = {"goal": 1, "touchline": 2, "center_line": 3, "center_circle": 4, "penalty_box": 5, "penalty_spot": 5, "goal_area": 5, "corner": 6, "corner_arc": 7}
+PRIORITY = {
+    "goal": 1,
+    "touchline": 2,
+    "center_line": 3,
+    "center_circle": 4,
+    "penalty_box": 5,
+    "penalty_spot": 5,
+    "goal_area": 5,
+    "corner": 6,
+    "corner_arc": 7
+}
 
 
 def coco_category(label: Column) -> Column:
@@ -33,7 +53,10 @@ def class_name(category: Column, person: int = 0, ball: int = 37) -> Column:
 def event_confidence(kind: Column, speed: Column) -> Column:
     """Passes and shots by speed, dribbles and recoveries constant."""
     one = F.lit(1.0)
-    return F.when(kind == "pass", F.least(one, speed / 20)).when(kind == "shot", F.least(one, speed / 25)).when(kind == "dribble", F.lit(0.7)).when(kind == "recovery", F.lit(0.8))
+    return F.when(
+        kind == "pass",
+        F.least(one, speed / 20)
+    ).when(kind == "shot", F.least(one, speed / 25)).when(kind == "dribble", F.lit(0.7)).when(kind == "recovery", F.lit(0.8))
 
 
 def csv_confidence(confidence: Column) -> Column:

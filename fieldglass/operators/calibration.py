@@ -18,7 +18,9 @@ def fit_homographies(points: DataFrame, key: str) -> DataFrame:
         if len(x) < 4:
             return []
         one, zero = np.ones(len(x)), np.zeros(len(x))
-        a = np.concatenate([np.stack([x, y, one, zero, zero, zero, -px * x, -px * y, -px], 1), np.stack([zero, zero, zero, x, y, one, -py * x, -py * y, -py], 1)])
+        a = np.concatenate(
+            [np.stack([x, y, one, zero, zero, zero, -px * x, -px * y, -px], 1), np.stack([zero, zero, zero, x, y, one, -py * x, -py * y, -py], 1)]
+        )
         h = np.linalg.svd(a)[2][-1]
         return [((h / h[8] if abs(h[8]) > 1e-12 else h).tolist(),)]
 
@@ -79,12 +81,17 @@ def fused_goals(goals: DataFrame, keys: list[str], most: int = 4) -> DataFrame:
     zero, color = F.max(F.when(F.col("method") == "zero_shot", 1).otherwise(0)), F.max(F.when(F.col("method") == "color", 1).otherwise(0))
     mean = F.avg("confidence")
     g = c.groupBy(*keys, "side", "cluster").agg(
-        F.count(F.lit(1)).alias("n"), (F.sum(F.col("x") * w) / F.sum(w)).alias("x"), (F.sum(F.col("y") * w) / F.sum(w)).alias("y"), F.max(_weight(F.col("method"))).alias("bonus"), mean.alias("mean"),
+        F.count(F.lit(1)).alias("n"), (
+            F.sum(F.col("x") * w) / F.sum(w)
+        ).alias("x"), (F.sum(F.col("y") * w) / F.sum(w)).alias("y"), F.max(_weight(F.col("method"))).alias("bonus"), mean.alias("mean"),
         F.least(F.lit(1.0), mean + F.least(F.lit(0.15), F.count(F.lit(1)) * 0.05) + zero * 0.15 + color * 0.1).alias("confidence"),
     ).filter("x IS NOT NULL")
     rank = W.partitionBy(*keys, "side").orderBy((F.col("bonus") * F.col("n") * F.col("mean")).desc(), "cluster")
     fits = (F.col("n") >= 2) | ((F.row_number().over(rank) == 1) & (F.col("bonus") > 1) & (F.col("mean") > 0.7))
-    best = g.withColumn("ok", fits).filter("ok").withColumn("rank", F.row_number().over(rank)).filter("rank <= 2").withColumnRenamed("cluster", "number")
+    best = g.withColumn("ok", fits).filter("ok").withColumn(
+        "rank",
+        F.row_number().over(rank)
+    ).filter("rank <= 2").withColumnRenamed("cluster", "number")
     apart = cluster.spaced(best, keys, ["confidence", "side", "number"], 20.0, [False, True, True])
     top = W.partitionBy(*keys).orderBy(F.col("confidence").desc(), "side", "number")
     return apart.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= most).select(*keys, "side", "x", "y", "n", "confidence")

@@ -127,4 +127,10 @@ def line_pairs(lines: DataFrame, keys: list[str]) -> DataFrame:
     for k in keys:
         on = on & (F.col(f"l.{k}") == F.col(f"r.{k}"))
     x, y = G.line_intersection(*[tuple(F.col(f"{s}.{c}") for c in "abc") for s in "lr"])
-    return l.join(r, on).select(*[F.col(f"l.{k}") for k in keys], F.col("l.line_id").alias("i"), F.col("r.line_id").alias("j"), x.alias("x"), y.alias("y")).filter("x IS NOT NULL")
+    return l.join(r, on).select(
+        *[F.col(f"l.{k}") for k in keys],
+        F.col("l.line_id").alias("i"),
+        F.col("r.line_id").alias("j"),
+        x.alias("x"),
+        y.alias("y")
+    ).filter("x IS NOT NULL")

@@ -58,7 +58,10 @@ def evenly_spaced(total: Column, k: int) -> Column:
 def merge(first: DataFrame, second: DataFrame, prefix: str = "second_") -> DataFrame:
     """Rows of two datasets under (source, image_id); file names of the second that clash get a prefix."""
     names = first.select("file_name").distinct().withColumn("_clash", F.lit(True))
-    other = second.join(names, "file_name", "left").withColumn("file_name", F.when(F.col("_clash"), F.concat(F.lit(prefix), "file_name")).otherwise(F.col("file_name"))).drop("_clash")
+    other = second.join(names, "file_name", "left").withColumn(
+        "file_name",
+        F.when(F.col("_clash"), F.concat(F.lit(prefix), "file_name")).otherwise(F.col("file_name"))
+    ).drop("_clash")
     return first.withColumn("source", F.lit(0)).unionByName(other.withColumn("source", F.lit(1)))
 
 
@@ -74,7 +77,9 @@ def mosaic(boxes: DataFrame, width: float, height: float, out_w: float, out_h: f
     sx, sy = out_w / 2 / width, out_h / 2 / height
     qx, qy = (F.col("quadrant") % 2) * (out_w / 2), F.floor(F.col("quadrant") / 2) * (out_h / 2)
     at = boxes.withColumns({"x": F.col("x") * sx + qx, "y": F.col("y") * sy + qy, "w": F.col("w") * sx, "h": F.col("h") * sy})
-    inside = (F.col("x") >= margin) & (F.col("y") >= margin) & (F.col("x") + F.col("w") <= out_w - margin) & (F.col("y") + F.col("h") <= out_h - margin)
+    inside = (F.col("x") >= margin) & (F.col("y") >= margin) & (
+        F.col("x") + F.col("w") <= out_w - margin
+    ) & (F.col("y") + F.col("h") <= out_h - margin)
     return at.filter(inside & (F.col("w") >= least) & (F.col("h") >= least))
 
 
@@ -88,7 +93,9 @@ def remapped(images: DataFrame, annotations: DataFrame, width: int = 100_000) ->
 
     Images and annotations are numbered from 1 by source and old id; annotations follow their image; those without one go.
     """
-    images, annotations = (df.withColumn("_o", F.col("source") * F.lit(2**40) + F.col(c)) for df, c in ((images, "image_id"), (annotations, "annotation_id")))
+    images, annotations = (
+        df.withColumn("_o", F.col("source") * F.lit(2**40) + F.col(c)) for df, c in ((images, "image_id"), (annotations, "annotation_id"))
+    )
     new = dense_ids(images, ["_o"], "new_id", 1, width)
     ids = new.select("source", "image_id", F.col("new_id").alias("new_image_id"))
     found = annotations.join(ids, ["source", "image_id"])

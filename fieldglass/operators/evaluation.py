@@ -52,7 +52,11 @@ def greedy_counts(pred: DataFrame, gt: DataFrame, least: float = 0.5) -> DataFra
 
 def ball_counts(pred: DataFrame, gt: DataFrame, least: float = 0.5, compat: bool = False) -> DataFrame:
     """tp, fp, fn of optimal assignments; compat counts an assigned pair under the IoU as a false positive twice."""
-    m = matching.optimal_matches(pred, gt).agg(F.count_if(F.col("iou") >= least).alias("tp"), F.count_if(F.col("iou") < least).alias("weak"), F.avg("distance").alias("mean_distance"))
+    m = matching.optimal_matches(pred, gt).agg(
+        F.count_if(F.col("iou") >= least).alias("tp"),
+        F.count_if(F.col("iou") < least).alias("weak"),
+        F.avg("distance").alias("mean_distance")
+    )
     n = pred.agg(F.count(F.lit(1)).alias("p")).join(gt.agg(F.count(F.lit(1)).alias("g")))  # one row each
     fp = F.col("p") - F.col("tp") + (F.col("weak") if compat else F.lit(0))
     return m.join(n).select("tp", fp.alias("fp"), (F.col("g") - F.col("tp")).alias("fn"), "mean_distance")

@@ -92,7 +92,9 @@ def _recovery(reach: float = 1.0) -> tuple[str, Column, Column]:
 
 def _events(mv: DataFrame, kinds: list[tuple[str, Column, Column]]) -> DataFrame:
     """A row for each kind whose player isn't null, from one row for each frame."""
-    found = [F.struct(F.lit(k).alias("type"), player.alias("player"), confidence.cast("double").alias("confidence")) for k, player, confidence in kinds]
+    found = [
+        F.struct(F.lit(k).alias("type"), player.alias("player"), confidence.cast("double").alias("confidence")) for k, player, confidence in kinds
+    ]
     e = mv.select("*", F.explode(F.filter(F.array(*found), lambda x: x["player"].isNotNull())).alias("e"))
     place = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     return e.select(

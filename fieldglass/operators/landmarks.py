@@ -14,7 +14,10 @@ def landmark_table(spark: SparkSession, length: float = 105.0, width: float = 68
     """name, x, y, type, priority of the pitch's 42 landmarks, origin at its centre, by its symmetry."""
     hl, hw = length / 2, width / 2
     left_right, top_bottom = (("left", -1), ("right", 1)), (("top", -1), ("bottom", 1))
-    rows: list[tuple[str, float, float, str, int]] = [("center_point", 0.0, 0.0, "center_line", 1), ("center_circle_center", 0.0, 0.0, "center_circle", 1)]
+    rows: list[tuple[str, float, float, str, int]] = [
+        ("center_point", 0.0, 0.0, "center_line", 1),
+        ("center_circle_center", 0.0, 0.0, "center_circle", 1)
+    ]
     for side, sx in left_right:
         gx = sx * hl
         rows += [
@@ -59,7 +62,10 @@ def validated(keypoints: DataFrame, w: float, h: float) -> DataFrame:
     """Keypoints inside the image; the confidence of those that don't fit their type is halved."""
     c = F.col
     ok = plausible(c("type"), c("x"), c("y"), c("px"), c("py"), w, h)
-    return keypoints.filter(c("x").between(0, w) & c("y").between(0, h)).withColumn("confidence", F.when(ok, c("confidence")).otherwise(c("confidence") * 0.5))
+    return keypoints.filter(c("x").between(0, w) & c("y").between(0, h)).withColumn(
+        "confidence",
+        F.when(ok, c("confidence")).otherwise(c("confidence") * 0.5)
+    )
 
 
 def calibration_points(keypoints: DataFrame, keys: list[str], w: float, h: float, most: int = 20, least: int = 0) -> DataFrame:

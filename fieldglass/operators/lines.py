@@ -58,7 +58,13 @@ def grid_crossings(longitudinal: DataFrame, transversal: DataFrame, keys: list[s
         return y2 - y1, x1 - x2, x2 * y1 - x1 * y2
 
     x, y = G.line_intersection(line("a"), line("b"))
-    both = a.join(b, on).select(*[F.col(f"a.{k}") for k in keys], F.col(f"a.{line_id}").alias("i"), F.col(f"b.{line_id}").alias("j"), x.alias("x"), y.alias("y"))
+    both = a.join(b, on).select(
+        *[F.col(f"a.{k}") for k in keys],
+        F.col(f"a.{line_id}").alias("i"),
+        F.col(f"b.{line_id}").alias("j"),
+        x.alias("x"),
+        y.alias("y")
+    )
     mx, my = width * (extend - 1) / 2, height * (extend - 1) / 2
     return both.filter(F.col("x").between(-mx, width + mx) & F.col("y").between(-my, height + my))
 

@@ -19,7 +19,12 @@ def overlapping_pairs(det: DataFrame, least: float = 0.5, same_class: bool = Tru
     a, b = det.alias("a"), det.alias("b")
     on = (F.col("a.match_id") == F.col("b.match_id")) & (F.col("a.frame_id") == F.col("b.frame_id")) & (F.col("a.det_id") < F.col("b.det_id"))
     on = on & (F.col("a.class_id") == F.col("b.class_id")) if same_class else on
-    return a.join(b, on).select("a.frame_id", F.col("a.det_id").alias("a"), F.col("b.det_id").alias("b"), G.iou(corners(a, "a."), corners(b, "b.")).alias("iou")).filter(F.col("iou") > least)
+    return a.join(b, on).select(
+        "a.frame_id",
+        F.col("a.det_id").alias("a"),
+        F.col("b.det_id").alias("b"),
+        G.iou(corners(a, "a."), corners(b, "b.")).alias("iou")
+    ).filter(F.col("iou") > least)
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, reach: float | None = None) -> DataFrame:
@@ -42,7 +47,14 @@ def candidate_matches(pred: DataFrame, gt: DataFrame, least: float) -> DataFrame
     """Prediction and target pairs of one image and class that reach an IoU."""
     p, g = pred.alias("p"), gt.alias("g")
     on = (F.col("p.frame_id") == F.col("g.frame_id")) & (F.col("p.class_id") == F.col("g.class_id"))
-    both = p.join(g, on).select("p.frame_id", "p.class_id", F.col("p.det_id").alias("pred"), F.col("p.confidence").alias("score"), F.col("g.det_id").alias("target"), G.iou(corners(p, "p."), corners(g, "g.")).alias("iou"))
+    both = p.join(g, on).select(
+        "p.frame_id",
+        "p.class_id",
+        F.col("p.det_id").alias("pred"),
+        F.col("p.confidence").alias("score"),
+        F.col("g.det_id").alias("target"),
+        G.iou(corners(p, "p."), corners(g, "g.")).alias("iou")
+    )
     return both.filter(F.col("iou") >= least)
 
 
@@ -114,4 +126,11 @@ def optimal_matches(pred: DataFrame, gt: DataFrame, by: str = "iou") -> DataFram
         dist = np.sqrt((gap**2).sum(-1))
         return [(det_id[p[i]], det_id[g[j]], iou[i, j], dist[i, j]) for i, j in assignment(1 - iou if by == "iou" else dist)]
 
-    return made(both, ["frame_id", "class_id"], ["side", "det_id"], ["side", "det_id", "x", "y", "w", "h"], solve, "frame_id long, class_id int, pred long, target long, iou double, distance double")
+    return made(
+        both,
+        ["frame_id", "class_id"],
+        ["side", "det_id"],
+        ["side", "det_id", "x", "y", "w", "h"],
+        solve,
+        "frame_id long, class_id int, pred long, target long, iou double, distance double"
+    )

@@ -67,9 +67,19 @@ def assign_team(feature: Column, centers: list[list[float]], threshold: float, x
         conf = 1.0 - least / (threshold * 2.0)
         clipped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), conf))
         role = F.when(out & F.coalesce(G.in_penalty_box(x, origin), F.lit(False)), "GK").when(out, "REF").otherwise("PLAYER")
-        return F.struct(F.when(~out, F.array_position(d, least).cast("int") - 1).alias("team_id"), role.alias("role"), (clipped if clip else F.when(out, conf).otherwise(clipped)).alias("confidence"), out.alias("is_outlier"))
-
-    none = F.struct(F.lit(None).cast("int").alias("team_id"), F.lit("PLAYER").alias("role"), F.lit(0.0).alias("confidence"), F.lit(True).alias("is_outlier"))
+        return F.struct(
+            F.when(~out, F.array_position(d, least).cast("int") - 1).alias("team_id"),
+            role.alias("role"),
+            (clipped if clip else F.when(out, conf).otherwise(clipped)).alias("confidence"),
+            out.alias("is_outlier")
+        )
+
+    none = F.struct(
+        F.lit(None).cast("int").alias("team_id"),
+        F.lit("PLAYER").alias("role"),
+        F.lit(0.0).alias("confidence"),
+        F.lit(True).alias("is_outlier")
+    )
     return F.when(feature.isNull(), none).otherwise(F.transform(F.array(d), verdict)[0])
 
 
@@ -81,7 +91,19 @@ def fit_teams(features: DataFrame, k: int = 2, seed: int = 42) -> tuple[list[lis
     data = features.select(array_to_vector(F.col("feature").cast("array<double>")).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=50).fit(data)
     centers = sorted([float(v) for v in c] for c in model.clusterCenters())
-    dist = F.array_min(F.array(*[F.sqrt(F.aggregate(F.zip_with(F.col("feature").cast("array<double>"), F.array(*[F.lit(v) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)) for c in centers]))
+    dist = F.array_min(
+        F.array(
+            *[
+                F.sqrt(
+                    F.aggregate(
+                        F.zip_with(F.col("feature").cast("array<double>"), F.array(*[F.lit(v) for v in c]), lambda a, b: (a - b) * (a - b)),
+                        F.lit(0.0),
+                        lambda s, v: s + v
+                    )
+                ) for c in centers
+            ]
+        )
+    )
     return centers, features.agg(F.percentile(dist, 0.95)).first()[0]
 
 
@@ -98,7 +120,12 @@ def edge_spacing_ratio(points: DataFrame, keys: list[str], order: str) -> DataFr
     from pyspark.sql import Window as W
 
     w = W.partitionBy(*keys).orderBy(order)
-    at = points.withColumns({"_i": G.distance("x", "y", F.lead("x").over(w), F.lead("y").over(w)), "_w": G.distance("px", "py", F.lead("px").over(w), F.lead("py").over(w))})
+    at = points.withColumns(
+        {
+            "_i": G.distance("x", "y", F.lead("x").over(w), F.lead("y").over(w)),
+            "_w": G.distance("px", "py", F.lead("px").over(w), F.lead("py").over(w))
+        }
+    )
     return at.filter(F.col("_w") > 0.1).groupBy(*keys).agg(F.avg(F.col("_i") / F.col("_w")).alias("ratio"), F.count(F.lit(1)).alias("pairs"))
 
 

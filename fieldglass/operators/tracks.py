@@ -23,7 +23,10 @@ def incarnations(df: DataFrame, track: str, order: str, gap: int = 11) -> DataFr
     """df with ``incarnation``: a track that was away for more than ``gap`` updates begins anew."""
     w = W.partitionBy(track).orderBy(order)
     new = F.when(F.col(order) - F.lag(order).over(w) > gap, 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("incarnation", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)).cast("long")).drop("_new")
+    return df.withColumn("_new", new).withColumn(
+        "incarnation",
+        F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)).cast("long")
+    ).drop("_new")
 
 
 def histories(df: DataFrame, track: list[str], order: str, size: int = 30) -> DataFrame:
@@ -54,17 +57,36 @@ def parabola_residual(points: Column) -> Column:
 
     def step(a, p):
         t, y = p["t"].cast("double") - t0, p["y"]
-        return F.struct((a["n"] + 1).alias("n"), (a["t1"] + t).alias("t1"), (a["t2"] + t * t).alias("t2"), (a["t3"] + t * t * t).alias("t3"), (a["t4"] + t * t * t * t).alias("t4"), (a["y0"] + y).alias("y0"), (a["y1"] + t * y).alias("y1"), (a["y2"] + t * t * y).alias("y2"))
+        return F.struct(
+            (a["n"] + 1).alias("n"),
+            (a["t1"] + t).alias("t1"),
+            (a["t2"] + t * t).alias("t2"),
+            (a["t3"] + t * t * t).alias("t3"),
+            (a["t4"] + t * t * t * t).alias("t4"),
+            (a["y0"] + y).alias("y0"),
+            (a["y1"] + t * y).alias("y1"),
+            (a["y2"] + t * t * y).alias("y2")
+        )
 
     def solve(s):
         n, t1, t2, t3, t4, y0, y1, y2 = (s[k] for k in ("n", "t1", "t2", "t3", "t4", "y0", "y1", "y2"))
         det3 = lambda a, b, c, d, e, f, g, h, i: a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
         det = det3(t4, t3, t2, t3, t2, t1, t2, t1, n)
         ok = F.when(F.abs(det) > 1e-9, det)
-        return F.struct((det3(y2, t3, t2, y1, t2, t1, y0, t1, n) / ok).alias("a"), (det3(t4, y2, t2, t3, y1, t1, t2, y0, n) / ok).alias("b"), (det3(t4, t3, y2, t3, t2, y1, t2, t1, y0) / ok).alias("c"))
+        return F.struct(
+            (det3(y2, t3, t2, y1, t2, t1, y0, t1, n) / ok).alias("a"),
+            (det3(t4, y2, t2, t3, y1, t1, t2, y0, n) / ok).alias("b"),
+            (det3(t4, t3, y2, t3, t2, y1, t2, t1, y0) / ok).alias("c")
+        )
 
     def residual(f):
-        err = F.aggregate(points, F.lit(0.0), lambda a, p: a + F.abs(p["y"] - (f["a"] * (p["t"].cast("double") - t0) * (p["t"].cast("double") - t0) + f["b"] * (p["t"].cast("double") - t0) + f["c"])))
+        err = F.aggregate(
+            points,
+            F.lit(0.0),
+            lambda a, p: a + F.abs(
+                p["y"] - (f["a"] * (p["t"].cast("double") - t0) * (p["t"].cast("double") - t0) + f["b"] * (p["t"].cast("double") - t0) + f["c"])
+            )
+        )
         ys = F.transform(points, lambda p: p["y"])
         return err / F.size(points) / (F.array_max(ys) - F.array_min(ys) + 1e-6)
 
@@ -74,7 +96,10 @@ def parabola_residual(points: Column) -> Column:
 
 def line_residual(points: Column) -> Column:
     """As parabola_residual, for a straight line."""
-    fit = F.transform(F.array(linear_fit(points)), lambda f: F.aggregate(points, F.lit(0.0), lambda a, p: a + F.abs(p["y"] - (f["slope"] * p["t"] + f["offset"]))))[0]
+    fit = F.transform(
+        F.array(linear_fit(points)),
+        lambda f: F.aggregate(points, F.lit(0.0), lambda a, p: a + F.abs(p["y"] - (f["slope"] * p["t"] + f["offset"])))
+    )[0]
     ys = F.transform(points, lambda p: p["y"])
     return fit / F.size(points) / (F.array_max(ys) - F.array_min(ys) + 1e-6)
 
@@ -90,7 +115,10 @@ def ball_verdicts(df: DataFrame, track: list[str], order: str, least: int = 5, l
     pts = lambda c: F.array_sort(F.collect_list(F.when(F.col("_n") <= least, F.struct(F.col(order).alias("t"), F.col(c).alias("y")))))
     first = n.filter(F.col("_n") <= least).groupBy(*track).agg(F.count(F.lit(1)).alias("_k"), pts("x").alias("_xs"), pts("y").alias("_ys"))
     score = 0.7 * parabola_residual(F.col("_ys")) + 0.3 * line_residual(F.col("_xs"))
-    first = first.select(*track, F.when(F.col("_k") >= least, F.when(F.coalesce(score < limit, F.lit(False)), "valid").otherwise("noise")).alias("_v"))
+    first = first.select(
+        *track,
+        F.when(F.col("_k") >= least, F.when(F.coalesce(score < limit, F.lit(False)), "valid").otherwise("noise")).alias("_v")
+    )
     return n.join(first, track, "left").withColumn("status", F.when(F.col("_n") < least, "pending").otherwise(F.col("_v"))).drop("_n", "_v")
 
 

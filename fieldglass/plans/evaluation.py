@@ -30,7 +30,10 @@ def match_candidates(spark, d):
     return matching.candidate_matches(p, g, 0.5).select("frame_id", "class_id", "pred", "target", r6("iou").alias("iou"))
 
 
-@query(_D + "SELECT frame_id, det_id FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY confidence DESC, det_id DESC) AS rank FROM det) WHERE rank <= 4")
+@query(
+    _D + "SELECT frame_id, det_id FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY confidence DESC, "
+    "det_id DESC) AS rank FROM det) WHERE rank <= 4"
+)
 def capped_predictions(spark, d):
     """The four best predictions of each image (the evaluator takes a hundred)."""
     return O.best_scored(detections(spark, d), 4).select("frame_id", "det_id")
@@ -53,7 +56,10 @@ def center_assignments(spark, d):
     return out.select("frame_id", "class_id", "pred", "target", r6("iou").alias("iou"), r6("distance").alias("distance"))
 
 
-@query(_D + "SELECT frame_id, det_id, rank FROM (SELECT frame_id, det_id, row_number() OVER (PARTITION BY frame_id ORDER BY confidence DESC, det_id DESC) AS rank FROM det) WHERE rank <= 3")
+@query(
+    _D + "SELECT frame_id, det_id, rank FROM (SELECT frame_id, det_id, row_number() OVER (PARTITION BY frame_id ORDER "
+    "BY confidence DESC, det_id DESC) AS rank FROM det) WHERE rank <= 3"
+)
 def top_scores(spark, d):
     """The three best predictions of each image; ties go to the later one."""
     from pyspark.sql import Window as W
@@ -62,7 +68,10 @@ def top_scores(spark, d):
     return detections(spark, d).withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 3").select("frame_id", "det_id", "rank")
 
 
-@query(walk_sql.greedy(_C, "c.iou >= 0.5") + " SELECT w.frame_id, w.class_id, w.pred, w.target, round(c.iou, 6) AS iou FROM walk w JOIN c ON c.frame_id = w.frame_id AND c.pred = w.pred AND c.target = w.target")
+@query(
+    walk_sql.greedy(_C, "c.iou >= 0.5") + " SELECT w.frame_id, w.class_id, w.pred, w.target, round(c.iou, 6) AS iou FROM walk w JOIN c ON c.frame_id = "
+    "w.frame_id AND c.pred = w.pred AND c.target = w.target"
+)
 def greedy_matches(spark, d):
     p, g = _pred_gt(spark, d)
     return matching.greedy_matches(matching.candidate_matches(p, g, 0.5)).select("frame_id", "class_id", "pred", "target", r6("iou").alias("iou"))
@@ -81,7 +90,13 @@ def _scores_sql() -> str:
     half = walk_sql.greedy(_C, "c.iou >= 0.5")
     more = walk_sql.greedy(_C, "c.iou >= 0.75")[len(_C) + len("RECURSIVE ") :]
     for name in ("s", "o", "walk"):
-        more = more.replace(f" {name} AS (", f" {name}_2 AS (").replace(f"FROM {name} ", f"FROM {name}_2 ").replace(f"FROM {name})", f"FROM {name}_2)").replace(f"JOIN {name} ON", f"JOIN {name}_2 {name} ON")
+        more = more.replace(
+            f" {name} AS (",
+            f" {name}_2 AS ("
+        ).replace(f"FROM {name} ", f"FROM {name}_2 ").replace(f"FROM {name})", f"FROM {name}_2)").replace(
+            f"JOIN {name} ON",
+            f"JOIN {name}_2 {name} ON"
+        )
     return f"""{half}{more}, n AS (SELECT class_id, count(*) FILTER (WHERE side = 0) AS predictions, count(*) FILTER (WHERE side = 1) AS targets FROM (SELECT class_id, 0 AS side FROM p WHERE {_BOTH} UNION ALL SELECT class_id, 1 FROM g WHERE {_BOTH}) GROUP BY class_id),
   t AS (SELECT 0.5::DOUBLE AS iou, class_id, count(*) AS tp FROM walk WHERE target IS NOT NULL GROUP BY class_id UNION ALL SELECT 0.75::DOUBLE, class_id, count(*) FROM walk_2 WHERE target IS NOT NULL GROUP BY class_id),
   v AS (SELECT n.class_id, l.iou, coalesce(t.tp, 0) AS tp, n.predictions, n.targets, coalesce(t.tp, 0) / n.predictions AS p, coalesce(t.tp, 0) / n.targets AS r FROM n CROSS JOIN (VALUES (0.5::DOUBLE), (0.75::DOUBLE)) l(iou) LEFT JOIN t ON t.class_id = n.class_id AND t.iou = l.iou)
@@ -91,7 +106,14 @@ def _scores_sql() -> str:
 @query(_scores_sql())
 def detection_scores(spark, d):
     p, g = _pred_gt(spark, d)
-    return O.evaluate(p, g).select("class_id", "iou", "tp", "predictions", "targets", *[r6(c).alias(c) for c in ("precision", "recall", "f1", "product")])
+    return O.evaluate(p, g).select(
+        "class_id",
+        "iou",
+        "tp",
+        "predictions",
+        "targets",
+        *[r6(c).alias(c) for c in ("precision", "recall", "f1", "product")]
+    )
 
 
 @query()
@@ -100,8 +122,16 @@ def ball_scores(spark, d):
     return O.ball_counts(p.filter("class_id = 1"), g.filter("class_id = 1")).withColumn("mean_distance", r6("mean_distance"))
 
 
-@query(_D + "SELECT count(DISTINCT frame_id) FILTER (WHERE class_id = 1) AS images_with_balls, round(count(*) FILTER (WHERE class_id = 1) * 1.0 / count(DISTINCT frame_id) FILTER (WHERE class_id = 1), 6) AS balls_per_image, round(count(*) * 1.0 / count(DISTINCT frame_id), 6) AS per_image FROM det")
+@query(
+    _D + "SELECT count(DISTINCT frame_id) FILTER (WHERE class_id = 1) AS images_with_balls, round(count(*) FILTER "
+    "(WHERE class_id = 1) * 1.0 / count(DISTINCT frame_id) FILTER (WHERE class_id = 1), 6) AS balls_per_image, "
+    "round(count(*) * 1.0 / count(DISTINCT frame_id), 6) AS per_image FROM det"
+)
 def detection_rates(spark, d):
     ball = F.col("class_id") == 1
     images = F.countDistinct(F.when(ball, F.col("frame_id")))
-    return detections(spark, d).agg(images.alias("images_with_balls"), r6(F.count_if(ball) / images).alias("balls_per_image"), r6(F.count(F.lit(1)) / F.countDistinct("frame_id")).alias("per_image"))
+    return detections(spark, d).agg(
+        images.alias("images_with_balls"),
+        r6(F.count_if(ball) / images).alias("balls_per_image"),
+        r6(F.count(F.lit(1)) / F.countDistinct("frame_id")).alias("per_image")
+    )

@@ -32,7 +32,14 @@ def _pos(spark, d):
 
 PASS = _event_sql("pass", "m.speed >= 5 AND m.prev_x IS NOT NULL", "prev_frame", "d_prev < 3", "d_prev, player", "least(1.0, speed / 20)")
 DRIBBLE = _event_sql("dribble", "TRUE", "frame_id", "d_prev < 10 AND d_now < 10", "player", "CAST(0.7 AS DOUBLE)")
-SHOT = _event_sql("shot", "m.speed >= 5 AND abs(m.ball_x) > 42.5", "prev_frame", "TRUE AND d_prev IS NOT NULL", "d_prev, player", "least(1.0, speed / 25)")
+SHOT = _event_sql(
+    "shot",
+    "m.speed >= 5 AND abs(m.ball_x) > 42.5",
+    "prev_frame",
+    "TRUE AND d_prev IS NOT NULL",
+    "d_prev, player",
+    "least(1.0, speed / 25)"
+)
 RECOVERY = _event_sql("recovery", "TRUE", "frame_id", "d_now < 5 AND d_prev > 5", "player", "CAST(0.8 AS DOUBLE)")
 
 
@@ -72,7 +79,15 @@ def _body(s: str) -> str:
 def _union() -> str:
     parts, names = [], ["pass", "dribble", "shot", "recovery"]
     for kind, s in zip(names, (PASS, DRIBBLE, SHOT, RECOVERY), strict=True):
-        parts.append(_body(s).rstrip().replace("near AS", f"near_{kind} AS").replace("FROM near ", f"FROM near_{kind} ").replace("best AS", f"best_{kind} AS").replace("FROM best ", f"FROM best_{kind} ").replace(f"{kind} AS (SELECT CAST(0", f"ev_{kind} AS (SELECT CAST(0"))
+        parts.append(
+            _body(s).rstrip().replace("near AS", f"near_{kind} AS").replace(
+                "FROM near ",
+                f"FROM near_{kind} "
+            ).replace("best AS", f"best_{kind} AS").replace("FROM best ", f"FROM best_{kind} ").replace(
+                f"{kind} AS (SELECT CAST(0",
+                f"ev_{kind} AS (SELECT CAST(0"
+            )
+        )
     return _E + "".join(parts) + ", ev AS (" + " UNION ALL ".join(f"SELECT * FROM ev_{k}" for k in names) + ") "
 
 
@@ -90,7 +105,13 @@ def event_locations(spark, d):
     """Where the ball was before and at each event."""
     r = lambda c: F.round(c, 6)
     ev = _all(spark, d)
-    return ev.select("id", r("start_location.x").alias("start_x"), r("start_location.y").alias("start_y"), r("end_location.x").alias("end_x"), r("end_location.y").alias("end_y"))
+    return ev.select(
+        "id",
+        r("start_location.x").alias("start_x"),
+        r("start_location.y").alias("start_y"),
+        r("end_location.x").alias("end_x"),
+        r("end_location.y").alias("end_y")
+    )
 
 
 @query(_union() + """SELECT count(*) AS total, count(*) FILTER (WHERE type = 'pass') AS passes, count(*) FILTER (WHERE type = 'shot') AS shots,
@@ -98,13 +119,26 @@ def event_locations(spark, d):
 def event_counts(spark, d):
     """Dashboard counts by type, with zeros."""
     n = lambda k: F.count_if(F.col("type") == k)
-    return _all(spark, d).agg(F.count(F.lit(1)).alias("total"), n("pass").alias("passes"), n("shot").alias("shots"), n("dribble").alias("dribbles"), n("recovery").alias("recoveries"))
-
-
-@query(_union() + "SELECT type, count(*) AS n, count(DISTINCT end_frame) AS frames_with, round(avg(confidence), 6) AS mean_confidence FROM ev GROUP BY type")
+    return _all(spark, d).agg(
+        F.count(F.lit(1)).alias("total"),
+        n("pass").alias("passes"),
+        n("shot").alias("shots"),
+        n("dribble").alias("dribbles"),
+        n("recovery").alias("recoveries")
+    )
+
+
+@query(
+    _union() + "SELECT type, count(*) AS n, count(DISTINCT end_frame) AS frames_with, round(avg(confidence), 6) AS "
+    "mean_confidence FROM ev GROUP BY type"
+)
 def event_summary(spark, d):
     """The periodic checkpoint's numbers: frames with events, by type."""
-    return _all(spark, d).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("end_frame").alias("frames_with"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    return _all(spark, d).groupBy("type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("end_frame").alias("frames_with"),
+        F.round(F.avg("confidence"), 6).alias("mean_confidence")
+    )
 
 
 @query(_E + """SELECT frame_id, ts AS timestamp, det_id AS object_id, CAST(-1 AS BIGINT) AS team_id, round(px, 6) AS x_pitch, round(py, 6) AS y_pitch, 'movement' AS event_type, CASE WHEN confidence = 0 THEN 1.0 ELSE confidence END AS confidence FROM pos WHERE class_id = 0 AND frame_id IN (SELECT frame_id FROM frames)
@@ -116,8 +150,26 @@ def frame_csv_rows(spark, d):
     none = F.lit(-1).cast("long")
     kind = L.csv_event_type(F.lit(None).cast("string")).alias("event_type")
     players = pos.filter("class_id = 0").join(fr.select("frame_id"), "frame_id", "left_semi")
-    players = players.select("frame_id", F.col("ts").alias("timestamp"), F.col("det_id").alias("object_id"), none.alias("team_id"), F.round("px", 6).alias("x_pitch"), F.round("py", 6).alias("y_pitch"), kind, L.csv_confidence(F.col("confidence")).alias("confidence"))
-    balls = fr.filter("ball_x IS NOT NULL").select("frame_id", F.col("ts").alias("timestamp"), none.alias("object_id"), none.alias("team_id"), F.round("ball_x", 6).alias("x_pitch"), F.round("ball_y", 6).alias("y_pitch"), kind, L.csv_confidence(F.lit(None).cast("double")).alias("confidence"))
+    players = players.select(
+        "frame_id",
+        F.col("ts").alias("timestamp"),
+        F.col("det_id").alias("object_id"),
+        none.alias("team_id"),
+        F.round("px", 6).alias("x_pitch"),
+        F.round("py", 6).alias("y_pitch"),
+        kind,
+        L.csv_confidence(F.col("confidence")).alias("confidence")
+    )
+    balls = fr.filter("ball_x IS NOT NULL").select(
+        "frame_id",
+        F.col("ts").alias("timestamp"),
+        none.alias("object_id"),
+        none.alias("team_id"),
+        F.round("ball_x", 6).alias("x_pitch"),
+        F.round("ball_y", 6).alias("y_pitch"),
+        kind,
+        L.csv_confidence(F.lit(None).cast("double")).alias("confidence")
+    )
     return players.unionByName(balls)
 
 

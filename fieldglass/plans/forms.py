@@ -20,7 +20,10 @@ def _boxes(df):
     return df.select(*_BOX, *[r6(c).alias(c) for c in "xywh"])
 
 
-@query(_D + "SELECT frame_id, det_id, round(x / 3, 6) AS x, round(y * 0.5::DOUBLE, 6) AS y, round(w / 3, 6) AS w, round(h * 0.5::DOUBLE, 6) AS h FROM det")
+@query(
+    _D + "SELECT frame_id, det_id, round(x / 3, 6) AS x, round(y * 0.5::DOUBLE, 6) AS y, round(w / 3, 6) AS w, round(h "
+    "* 0.5::DOUBLE, 6) AS h FROM det"
+)
 def resized_boxes(spark, d):
     return _boxes(D.resized(detections(spark, d), 1920, 1080, 640, 540))
 
@@ -60,7 +63,14 @@ def pasted_boxes(spark, d):
 def fisheye_groups(spark, d):
     """Which groups of landmarks look distorted at the edge."""
     pos = positions(detections(spark, d))
-    pts = pos.select((F.col("frame_id") % 300).alias("g"), (F.col("frame_id") * 10 + F.col("det_id")).alias("k"), "x", "y", (F.col("px") * 12).alias("px"), (F.col("py") * 12).alias("py"))
+    pts = pos.select(
+        (F.col("frame_id") % 300).alias("g"),
+        (F.col("frame_id") * 10 + F.col("det_id")).alias("k"),
+        "x",
+        "y",
+        (F.col("px") * 12).alias("px"),
+        (F.col("py") * 12).alias("py")
+    )
     return R.fisheye(pts, ["g"], "k", 1920, 1080, 1.5)
 
 
@@ -79,14 +89,20 @@ def polar_segments(spark, d):
     return detections(spark, d).select(*_BOX, r6(rho).alias("rho"), r6(theta).alias("theta"))
 
 
-@query(_D + "SELECT frame_id FROM (SELECT frame_id, count(*) FILTER (WHERE confidence > 0.6) AS green, count(*) AS pixels FROM det GROUP BY frame_id) WHERE green / pixels >= 0.5")
+@query(
+    _D + "SELECT frame_id FROM (SELECT frame_id, count(*) FILTER (WHERE confidence > 0.6) AS green, count(*) AS pixels "
+    "FROM det GROUP BY frame_id) WHERE green / pixels >= 0.5"
+)
 def gameplay_frames(spark, d):
     """Frames of which half or more is green (here: sure detections)."""
     f = detections(spark, d).groupBy("frame_id").agg(F.count_if(F.col("confidence") > 0.6).alias("green_pixels"), F.count(F.lit(1)).alias("pixels"))
     return K.gameplay(f).select("frame_id")
 
 
-@query(_D + "SELECT frame_id, det_id, i, round(x + w * i / 4, 6) AS px, round(y + h * i / 4, 6) AS py FROM det CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS i) WHERE frame_id % 10 = 3")
+@query(
+    _D + "SELECT frame_id, det_id, i, round(x + w * i / 4, 6) AS px, round(y + h * i / 4, 6) AS py FROM det CROSS JOIN "
+    "(SELECT unnest([0, 1, 2, 3, 4]) AS i) WHERE frame_id % 10 = 3"
+)
 def diagonal_points(spark, d):
     """Five points of each box's diagonal, in a tenth of the frames."""
     det = detections(spark, d).filter("frame_id % 10 = 3")
@@ -94,7 +110,14 @@ def diagonal_points(spark, d):
     return at.select(*_BOX, "i", r6("p.x").alias("px"), r6("p.y").alias("py"))
 
 
-@query("SELECT k, x, y FROM (SELECT l_orderkey AS k, (l_orderkey % 40) * 50 AS width, (l_orderkey % 30) * 60 AS height FROM (SELECT DISTINCT l_orderkey FROM lineitem)) s, LATERAL (SELECT DISTINCT unnest([(width // 2 - 320), 0, greatest(0, width - 640), 0, greatest(0, width - 640)]) AS x0, unnest([(height // 2 - 320), 0, 0, greatest(0, height - 640), greatest(0, height - 640)]) AS y0, unnest([0, 1, 1, 1, 1]) AS corner) t, LATERAL (SELECT greatest(0, x0) AS x, greatest(0, y0) AS y) u WHERE corner = 0 OR (width > 960 AND height > 960) GROUP BY ALL")
+@query(
+    "SELECT k, x, y FROM (SELECT l_orderkey AS k, (l_orderkey % 40) * 50 AS width, (l_orderkey % 30) * 60 AS "
+    "height FROM (SELECT DISTINCT l_orderkey FROM lineitem)) s, LATERAL (SELECT DISTINCT unnest([(width // 2 - "
+    "320), 0, greatest(0, width - 640), 0, greatest(0, width - 640)]) AS x0, unnest([(height // 2 - 320), 0, 0, "
+    "greatest(0, height - 640), greatest(0, height - 640)]) AS y0, unnest([0, 1, 1, 1, 1]) AS corner) t, LATERAL "
+    "(SELECT greatest(0, x0) AS x, greatest(0, y0) AS y) u WHERE corner = 0 OR (width > 960 AND height > 960) "
+    "GROUP BY ALL"
+)
 def corner_tiles(spark, d):
     """The centre and corner tiles of images of many sizes."""
     k = detections(spark, d).select(F.col("frame_id").alias("k")).distinct()

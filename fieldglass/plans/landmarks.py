@@ -41,7 +41,10 @@ _REL = "least(1.0, CASE type WHEN 'goal' THEN 0.95 WHEN 'center_line' THEN 0.90
 _PRI = "CASE type WHEN 'goal' THEN 1 WHEN 'touchline' THEN 2 WHEN 'center_line' THEN 3 WHEN 'center_circle' THEN 4 WHEN 'penalty_box' THEN 5 WHEN 'corner' THEN 6 ELSE 99 END"
 
 
-@query(_K + f" SELECT frame_id, det_id, type, rank FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY {_PRI}, {_REL} DESC, confidence DESC, det_id) AS rank FROM k) WHERE rank <= 4")
+@query(
+    _K + f" SELECT frame_id, det_id, type, rank FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY "
+    f"{_PRI}, {_REL} DESC, confidence DESC, det_id) AS rank FROM k) WHERE rank <= 4"
+)
 def keypoint_ranking(spark, d):
     """The four best keypoints of each frame."""
     return O.calibration_points(keypoints(spark, d), ["frame_id"], 1920, 1080, 4).select("frame_id", "det_id", "type", "rank")
@@ -51,7 +54,11 @@ def keypoint_ranking(spark, d):
 def keypoint_reliability(spark, d):
     from ..functions import labels as L
 
-    return keypoints(spark, d).select("frame_id", "det_id", F.round(L.y_reliability(F.col("type"), F.col("confidence"), F.col("x"), F.col("y"), 1920, 1080), 6).alias("reliability"))
+    return keypoints(spark, d).select(
+        "frame_id",
+        "det_id",
+        F.round(L.y_reliability(F.col("type"), F.col("confidence"), F.col("x"), F.col("y"), 1920, 1080), 6).alias("reliability")
+    )
 
 
 @query(_K + """, t AS (SELECT *, CASE WHEN x < 960 THEN 'left' ELSE 'right' END AS side FROM k WHERE type = 'touchline' AND abs(x - 960) > 1080 * 0.2 AND y < 1080 * 0.85)

@@ -62,7 +62,9 @@ def line_pairs(spark, d):
     out = cluster.line_pairs(lines, ["frame_id"])
     ends = lines.select("frame_id", F.col("line_id").alias("i"), F.col("a").alias("a1"), F.col("b").alias("b1"))
     others = lines.select("frame_id", F.col("line_id").alias("j"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    steep = out.join(ends, ["frame_id", "i"]).join(others, ["frame_id", "j"]).filter(F.abs(F.col("a1") * F.col("b2") - F.col("a2") * F.col("b1")) >= 0.05)
+    steep = out.join(ends, ["frame_id", "i"]).join(others, ["frame_id", "j"]).filter(
+        F.abs(F.col("a1") * F.col("b2") - F.col("a2") * F.col("b1")) >= 0.05
+    )
     cut = lambda c: F.floor((F.col(c) + 0.0037) * 100).alias(c)
     return steep.select("frame_id", "i", "j", cut("x"), cut("y"))
 
@@ -118,7 +120,11 @@ def circle_y_scale(spark, d):
     return at.select("frame_id", "det_id", r6(K.circle_y_scale(H, "x", "y", "r", "ws")).alias("scale"))
 
 
-@query(_D + "SELECT frame_id, n FROM (SELECT frame_id, row_number() OVER (PARTITION BY frame_id % 500 ORDER BY frame_id) AS n, count(*) OVER (PARTITION BY frame_id % 500) AS of_all FROM (SELECT DISTINCT frame_id FROM det)) WHERE n <= 10 AND of_all >= 10")
+@query(
+    _D + "SELECT frame_id, n FROM (SELECT frame_id, row_number() OVER (PARTITION BY frame_id % 500 ORDER BY frame_id) "
+    "AS n, count(*) OVER (PARTITION BY frame_id % 500) AS of_all FROM (SELECT DISTINCT frame_id FROM det)) WHERE n "
+    "<= 10 AND of_all >= 10"
+)
 def first_frames(spark, d):
     """The first ten frames of each match (a five-hundredth of the frames), from which a homography is fitted."""
     f = detections(spark, d).select("frame_id", (F.col("frame_id") % 500).alias("match")).distinct()
@@ -128,7 +134,9 @@ def first_frames(spark, d):
     return out.select("frame_id", F.row_number().over(W.partitionBy("match").orderBy("frame_id")).cast("long").alias("n"))
 
 
-@query(_P + """SELECT frame_id, det_id, zone FROM (SELECT *, unnest(list_filter([CASE WHEN px BETWEEN 0 AND 16.5 AND py BETWEEN -9 AND 9 THEN 'zone_14' END, CASE WHEN px BETWEEN -52.5 AND 0 AND py BETWEEN -34 AND -9 THEN 'half_space_left' END, CASE WHEN px BETWEEN -52.5 AND 0 AND py BETWEEN 9 AND 34 THEN 'half_space_right' END], lambda z: z IS NOT NULL)) AS zone FROM pos)""")
+@query(
+    _P + """SELECT frame_id, det_id, zone FROM (SELECT *, unnest(list_filter([CASE WHEN px BETWEEN 0 AND 16.5 AND py BETWEEN -9 AND 9 THEN 'zone_14' END, CASE WHEN px BETWEEN -52.5 AND 0 AND py BETWEEN -34 AND -9 THEN 'half_space_left' END, CASE WHEN px BETWEEN -52.5 AND 0 AND py BETWEEN 9 AND 34 THEN 'half_space_right' END], lambda z: z IS NOT NULL)) AS zone FROM pos)"""
+)
 def zones(spark, d):
     pos = positions(detections(spark, d))
     return pos.select("frame_id", "det_id", F.explode(O.in_zones("px", "py")).alias("zone"))
@@ -142,7 +150,10 @@ def valid_balls_and_others(spark, d):
     return pos.filter(ball & (F.col("confidence") >= 0.8)).unionByName(pos.filter(~ball)).select("frame_id", "det_id")
 
 
-@query(_D + "SELECT f.o_orderkey AS frame_id, r.det_id FROM (SELECT DISTINCT o_orderkey FROM orders) f JOIN (SELECT frame_id, min(det_id) AS det_id FROM det GROUP BY frame_id) r ON r.frame_id = f.o_orderkey")
+@query(
+    _D + "SELECT f.o_orderkey AS frame_id, r.det_id FROM (SELECT DISTINCT o_orderkey FROM orders) f JOIN (SELECT "
+    "frame_id, min(det_id) AS det_id FROM det GROUP BY frame_id) r ON r.frame_id = f.o_orderkey"
+)
 def first_results(spark, d):
     """The first result of each video frame."""
     frames = table(spark, d, "orders").select(F.col("o_orderkey").alias("frame_id")).distinct()
@@ -179,7 +190,9 @@ def sliced_predictions(spark, d):
     return out.select("frame_id", "class_id", "det_id", "confidence")
 
 
-@query(_D + """SELECT 'track' AS kind, frame_id, det_id FROM det WHERE class_id = 1 UNION ALL SELECT 'tag', frame_id, NULL FROM (SELECT DISTINCT frame_id FROM det WHERE class_id = 0)""")
+@query(
+    _D + """SELECT 'track' AS kind, frame_id, det_id FROM det WHERE class_id = 1 UNION ALL SELECT 'tag', frame_id, NULL FROM (SELECT DISTINCT frame_id FROM det WHERE class_id = 0)"""
+)
 def merged_tags(spark, d):
     """A merged annotation file that keeps its tags."""
     det = detections(spark, d)
@@ -193,7 +206,13 @@ def landmark_stats(spark, d):
     """Landmarks of each type in the frames that have any: the statistics document's rows."""
     c = keypoints(spark, d).groupBy("type", "frame_id").agg(F.count(F.lit(1)).alias("n"))
     n = F.col("n")
-    return c.groupBy("type").agg(r6(F.avg(n)).alias("mean"), F.median(n).alias("median"), F.min(n).alias("least"), F.max(n).alias("most"), F.sum(n).alias("total"))
+    return c.groupBy("type").agg(
+        r6(F.avg(n)).alias("mean"),
+        F.median(n).alias("median"),
+        F.min(n).alias("least"),
+        F.max(n).alias("most"),
+        F.sum(n).alias("total")
+    )
 
 
 @query(_D + """SELECT frame_id, det_id, round((x + x + w) / 2, 6) AS cx, round((y + y + h) / 2, 6) AS cy, round((x / 1920 - 0.5) * 105, 6) AS nx, round((y / 1080 - 0.5) * 68, 6) AS ny,
@@ -206,7 +225,16 @@ def plain_forms(spark, d):
     nx, ny = G.normalized_to_pitch(F.col("x") / 1920, F.col("y") / 1080)
     line = G.segment_line(x1, y1, x2, y2)
     away = G.point_line_distance(line, F.col("x") + 100, F.col("y") + 50)
-    return det.select("frame_id", "det_id", r6(cx).alias("cx"), r6(cy).alias("cy"), r6(nx).alias("nx"), r6(ny).alias("ny"), r6(G.mirror("x", 960.0)).alias("mirrored"), r6(away).alias("away"))
+    return det.select(
+        "frame_id",
+        "det_id",
+        r6(cx).alias("cx"),
+        r6(cy).alias("cy"),
+        r6(nx).alias("nx"),
+        r6(ny).alias("ny"),
+        r6(G.mirror("x", 960.0)).alias("mirrored"),
+        r6(away).alias("away")
+    )
 
 
 @query(_D + "SELECT frame_id, det_id, CASE WHEN class_id = 1 THEN 1 ELSE 0 END AS class FROM det")

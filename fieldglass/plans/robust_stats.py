@@ -20,7 +20,14 @@ _C = _D + ", c AS (SELECT frame_id, det_id, det_id % 7 * 10 + class_id AS cell,
 
 def _cells(spark, d):
     det = detections(spark, d)
-    return det.select("frame_id", "det_id", (F.col("det_id") % 7 * 10 + F.col("class_id")).alias("cell"), (F.col("x") * F.col("x") / 1920).alias("x"), (F.col("y") * F.col("y") / 1080).alias("y"), "confidence")
+    return det.select(
+        "frame_id",
+        "det_id",
+        (F.col("det_id") % 7 * 10 + F.col("class_id")).alias("cell"),
+        (F.col("x") * F.col("x") / 1920).alias("x"),
+        (F.col("y") * F.col("y") / 1080).alias("y"),
+        "confidence"
+    )
 
 
 @query(_C + " SELECT frame_id, det_id, cell FROM o")
@@ -28,14 +35,19 @@ def iqr_filter(spark, d):
     return O.without_outliers(_cells(spark, d), ["cell"]).select("frame_id", "det_id", "cell")
 
 
-@query(_C + """ SELECT cell, round(median(x), 9) AS x, round(median(y), 9) AS y, count(*) AS n, round(CASE WHEN count(*) = 1 THEN any_value(confidence) * 0.7 ELSE greatest(0.1, least(1.0, avg(confidence) + least(0.25, count(*) / 15000.0 * 0.25) - least(0.3, (var_pop(x) + var_pop(y)) / 1e6 * 10))) END, 6) AS confidence FROM o GROUP BY cell""")
+@query(
+    _C + """ SELECT cell, round(median(x), 9) AS x, round(median(y), 9) AS y, count(*) AS n, round(CASE WHEN count(*) = 1 THEN any_value(confidence) * 0.7 ELSE greatest(0.1, least(1.0, avg(confidence) + least(0.25, count(*) / 15000.0 * 0.25) - least(0.3, (var_pop(x) + var_pop(y)) / 1e6 * 10))) END, 6) AS confidence FROM o GROUP BY cell"""
+)
 def robust_average(spark, d):
     """Medians and confidences of groups of points without outliers."""
     out = O.robust_average(O.without_outliers(_cells(spark, d), ["cell"]), ["cell"], 15000)
     return out.select("cell", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), "n", r6("confidence").alias("confidence"))
 
 
-@query(_D + "SELECT frame_id, round(sum(x * confidence) / sum(confidence), 6) AS x, round(sum(y * confidence) / sum(confidence), 6) AS y, round(sum(confidence), 6) AS weight FROM det WHERE confidence > 0 GROUP BY frame_id")
+@query(
+    _D + "SELECT frame_id, round(sum(x * confidence) / sum(confidence), 6) AS x, round(sum(y * confidence) / "
+    "sum(confidence), 6) AS y, round(sum(confidence), 6) AS weight FROM det WHERE confidence > 0 GROUP BY frame_id"
+)
 def weighted_centers(spark, d):
     out = O.weighted_center(detections(spark, d).filter("confidence > 0"), ["frame_id"], "confidence")
     return out.select("frame_id", r6("x").alias("x"), r6("y").alias("y"), r6("weight").alias("weight"))
@@ -49,7 +61,11 @@ _dist = lambda c: "sqrt(" + " + ".join(f"pow(embedding[{i + 1}]::DOUBLE - ({v}),
   SELECT vec_id, CASE WHEN dm > 0.3 THEN NULL WHEN da <= db THEN 0 ELSE 1 END AS team_id, CASE WHEN dm <= 0.3 THEN 'PLAYER' WHEN abs(px) > 36 THEN 'GK' ELSE 'REF' END AS role, round(greatest(0.0, least(1.0, 1 - dm / 0.4)), 6) AS confidence FROM m""")
 def team_assignment(spark, d):
     """Nearest of two team centres by the first four features; outliers are goalkeepers or referees."""
-    e = table(spark, d, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("f"), ((F.col("vec_id") * 7) % 105 - 52.5).alias("px"))
+    e = table(spark, d, "embeddings").select(
+        "vec_id",
+        F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("f"),
+        ((F.col("vec_id") * 7) % 105 - 52.5).alias("px")
+    )
     t = O.assign_team(F.col("f"), [_A, _B], 0.2, F.col("px"))
     return e.withColumn("t", t).select("vec_id", "t.team_id", "t.role", r6("t.confidence").alias("confidence"))
 
@@ -58,7 +74,9 @@ def team_assignment(spark, d):
   SELECT frame_id, n, CASE WHEN before < 20 THEN 'train' ELSE 'assign' END AS phase FROM b""")
 def golden_batch(spark, d):
     """Frames that train the team model: until twenty confident crops have come."""
-    n = positions(detections(spark, d)).groupBy("frame_id").agg(F.count_if(F.col("confidence") > 0.8).alias("n")).withColumn("run", F.col("frame_id") % 50)
+    n = positions(detections(spark, d)).groupBy("frame_id").agg(
+        F.count_if(F.col("confidence") > 0.8).alias("n")
+    ).withColumn("run", F.col("frame_id") % 50)
     return O.golden_prefix(n, ["run"], "frame_id", "n").select("frame_id", "n", "phase")
 
 
@@ -75,9 +93,18 @@ def spacing_ratio(spark, d):
 def mapping_errors(spark, d):
     """Mean and largest errors of a mapping, and whether y is off more than x."""
     sx, sy = G.pixel_to_pitch("x", "y")
-    e = positions(detections(spark, d)).select((F.col("frame_id") % 20).alias("run"), F.abs(F.col("px") - sx).alias("ex"), F.abs(F.col("py") - sy).alias("ey"))
+    e = positions(detections(spark, d)).select(
+        (F.col("frame_id") % 20).alias("run"),
+        F.abs(F.col("px") - sx).alias("ex"),
+        F.abs(F.col("py") - sy).alias("ey")
+    )
     ratio = F.avg("ey") / F.avg("ex")
-    return e.groupBy("run").agg(r6(F.avg("ex")).alias("mean_x"), r6(F.max("ey")).alias("most_y"), r6(ratio).alias("y_to_x"), (ratio > 1.5).alias("skewed"))
+    return e.groupBy("run").agg(
+        r6(F.avg("ex")).alias("mean_x"),
+        r6(F.max("ey")).alias("most_y"),
+        r6(ratio).alias("y_to_x"),
+        (ratio > 1.5).alias("skewed")
+    )
 
 
 @query()

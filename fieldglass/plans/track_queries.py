@@ -14,7 +14,11 @@ _T, _D = sql("tracks"), sql("det")
 r6 = lambda c: F.round(c, 6)
 
 
-@query(_T + ", h AS (SELECT track_id, n, count(*) OVER w AS points, avg(y) OVER w AS mean, min(y) OVER w AS least FROM tracks WINDOW w AS (PARTITION BY track_id ORDER BY n ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) SELECT track_id, n, points, round(mean, 6) AS mean, least FROM h")
+@query(
+    _T + ", h AS (SELECT track_id, n, count(*) OVER w AS points, avg(y) OVER w AS mean, min(y) OVER w AS least FROM "
+    "tracks WINDOW w AS (PARTITION BY track_id ORDER BY n ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) SELECT "
+    "track_id, n, points, round(mean, 6) AS mean, least FROM h"
+)
 def track_history(spark, d):
     """Statistics over a track's last thirty points."""
     h = O.histories(tracks(spark, d), ["track_id"], "n")
@@ -23,10 +27,15 @@ def track_history(spark, d):
     return h.select("track_id", "n", F.size("history").cast("long").alias("points"), r6(mean).alias("mean"), F.array_min(ys).alias("least"))
 
 
-@query(_T + ", f AS (SELECT track_id, n, y FROM tracks WHERE n <= 5) SELECT track_id, round(regr_slope(y, n), 6) AS slope, round(regr_intercept(y, n), 6) AS intercept FROM f GROUP BY track_id HAVING count(*) = 5")
+@query(
+    _T + ", f AS (SELECT track_id, n, y FROM tracks WHERE n <= 5) SELECT track_id, round(regr_slope(y, n), 6) AS slope, "
+    "round(regr_intercept(y, n), 6) AS intercept FROM f GROUP BY track_id HAVING count(*) = 5"
+)
 def first_slopes(spark, d):
     """Lines through the first five points of each track."""
-    first = tracks(spark, d).filter("n <= 5").groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct(F.col("n").alias("t"), "y"))).alias("p")).filter(F.size("p") == 5)
+    first = tracks(spark, d).filter("n <= 5").groupBy("track_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("n").alias("t"), "y"))).alias("p")
+    ).filter(F.size("p") == 5)
     return first.withColumn("f", O.linear_fit(F.col("p"))).select("track_id", r6("f.slope").alias("slope"), r6("f.offset").alias("intercept"))
 
 
@@ -39,34 +48,56 @@ _PARABOLA = _T + """, f AS (SELECT track_id, CAST(n - 1 AS DOUBLE) AS t, y FROM
   SELECT f.track_id, round(avg(abs(y - (a*t*t + b*t + c))) / (any_value(span) + 1e-6), 6) AS residual FROM f JOIN c ON c.track_id = f.track_id GROUP BY f.track_id""")
 def parabola_residuals(spark, d):
     """How far the first five points of each track are from a parabola."""
-    first = tracks(spark, d).filter("n <= 5").groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct(F.col("n").alias("t"), "y"))).alias("p")).filter(F.size("p") == 5)
+    first = tracks(spark, d).filter("n <= 5").groupBy("track_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("n").alias("t"), "y"))).alias("p")
+    ).filter(F.size("p") == 5)
     return first.select("track_id", r6(O.parabola_residual(F.col("p"))).alias("residual"))
 
 
-@query(_T + ", g AS (SELECT track_id, event_id, event_id // 40 AS tick FROM tracks), l AS (SELECT *, CASE WHEN tick - lag(tick) OVER w > 11 THEN 1 ELSE 0 END AS new FROM g WINDOW w AS (PARTITION BY track_id ORDER BY event_id)) SELECT track_id, event_id, CAST(sum(new) OVER (PARTITION BY track_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS incarnation FROM l")
+@query(
+    _T + ", g AS (SELECT track_id, event_id, event_id // 40 AS tick FROM tracks), l AS (SELECT *, CASE WHEN tick - "
+    "lag(tick) OVER w > 11 THEN 1 ELSE 0 END AS new FROM g WINDOW w AS (PARTITION BY track_id ORDER BY event_id)) "
+    "SELECT track_id, event_id, CAST(sum(new) OVER (PARTITION BY track_id ORDER BY event_id ROWS UNBOUNDED "
+    "PRECEDING) AS BIGINT) AS incarnation FROM l"
+)
 def incarnations(spark, d):
     """Tracks begin anew after a gap of more than eleven updates."""
     t = tracks(spark, d).select("track_id", "event_id", F.floor(F.col("event_id") / 40).alias("tick"))
     return O.incarnations(t, "track_id", "tick").select("track_id", "event_id", "incarnation")
 
 
-@query(_T + ", s AS (SELECT track_id, n, sum(CASE WHEN y > 95 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS session FROM tracks) SELECT track_id, n, CAST(session AS BIGINT) AS session, CAST(row_number() OVER (PARTITION BY track_id, session ORDER BY n) AS BIGINT) AS tick FROM s")
+@query(
+    _T + ", s AS (SELECT track_id, n, sum(CASE WHEN y > 95 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY n "
+    "ROWS UNBOUNDED PRECEDING) AS session FROM tracks) SELECT track_id, n, CAST(session AS BIGINT) AS session, "
+    "CAST(row_number() OVER (PARTITION BY track_id, session ORDER BY n) AS BIGINT) AS tick FROM s"
+)
 def scene_sessions(spark, d):
     """Counters that restart at a scene cut."""
     s = O.sessions(tracks(spark, d), ["track_id"], "n", F.col("y") > 95)
     return s.select("track_id", "n", "session", F.row_number().over(W.partitionBy("track_id", "session").orderBy("n")).cast("long").alias("tick"))
 
 
-@query(_T + "SELECT track_id, n, round(y - lag(y) OVER (PARTITION BY track_id ORDER BY n), 6) AS step, y > lag(y) OVER (PARTITION BY track_id ORDER BY n) AS up FROM tracks")
+@query(
+    _T + "SELECT track_id, n, round(y - lag(y) OVER (PARTITION BY track_id ORDER BY n), 6) AS step, y > lag(y) OVER "
+    "(PARTITION BY track_id ORDER BY n) AS up FROM tracks"
+)
 def track_steps(spark, d):
     w = W.partitionBy("track_id").orderBy("n")
     return tracks(spark, d).select("track_id", "n", r6(F.col("y") - F.lag("y").over(w)).alias("step"), (F.col("y") > F.lag("y").over(w)).alias("up"))
 
 
-@query(_D + ", t AS (SELECT class_id, det_id AS track_id, count(*) AS boxes, min(frame_id) AS first_frame, max(frame_id) AS last_frame FROM det GROUP BY 1, 2) SELECT class_id, track_id, CAST(row_number() OVER (ORDER BY class_id, track_id) AS BIGINT) AS number, boxes, first_frame, last_frame FROM t WHERE boxes >= 3")
+@query(
+    _D + ", t AS (SELECT class_id, det_id AS track_id, count(*) AS boxes, min(frame_id) AS first_frame, max(frame_id) "
+    "AS last_frame FROM det GROUP BY 1, 2) SELECT class_id, track_id, CAST(row_number() OVER (ORDER BY class_id, "
+    "track_id) AS BIGINT) AS number, boxes, first_frame, last_frame FROM t WHERE boxes >= 3"
+)
 def track_table(spark, d):
     """Tracks renumbered by class and id, with their boxes; short ones are left out."""
-    t = detections(spark, d).groupBy("class_id", F.col("det_id").alias("track_id")).agg(F.count(F.lit(1)).alias("boxes"), F.min("frame_id").alias("first_frame"), F.max("frame_id").alias("last_frame")).filter("boxes >= 3")
+    t = detections(spark, d).groupBy("class_id", F.col("det_id").alias("track_id")).agg(
+        F.count(F.lit(1)).alias("boxes"),
+        F.min("frame_id").alias("first_frame"),
+        F.max("frame_id").alias("last_frame")
+    ).filter("boxes >= 3")
     numbered = dense_ids(t.withColumn("_key", F.col("class_id") * 2**40 + F.col("track_id")), ["_key"], "number")
     return numbered.select("class_id", "track_id", "number", "boxes", "first_frame", "last_frame")
 

@@ -29,7 +29,12 @@ def _kept(keys: list[str], order: str, cond: str, columns: str) -> str:
   SELECT {columns} FROM walk WHERE stays"""
 
 
-NMS = _kept(["frame_id", "class_id"], "confidence DESC, det_id", f"{_INTER} > 0.5 * greatest(a.w * a.h + b.w * b.h - {_INTER}, 1e-6)", "frame_id, class_id, det_id, confidence")
+NMS = _kept(
+    ["frame_id", "class_id"],
+    "confidence DESC, det_id",
+    f"{_INTER} > 0.5 * greatest(a.w * a.h + b.w * b.h - {_INTER}, 1e-6)",
+    "frame_id, class_id, det_id, confidence"
+)
 SPACED = _kept(["frame_id"], "confidence DESC, det_id", "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 60", "frame_id, det_id")
 #: A row joins the first seed that is near; its cluster is the seed's place among the seeds.
 LEADER = f"""{_DET}, {_ordered("frame_id, class_id", "det_id")}, {_near(["frame_id", "class_id"], "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 50")},

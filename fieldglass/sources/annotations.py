@@ -24,7 +24,14 @@ def coco_targets(images: DataFrame, annotations: DataFrame, categories: DataFram
     """A row for each box of each image, images without boxes once; labels 1 for players, ball boxes dropped; corner boxes."""
     named = annotations.join(F.broadcast(categories.select(F.col("id").alias("category_id"), "name")), "category_id", "left")
     kept = named.filter(F.coalesce(F.lower("name") != "ball", F.lit(True)))
-    boxes = kept.select("image_id", F.lit(1).alias("label"), F.col("x").alias("x_min"), F.col("y").alias("y_min"), (F.col("x") + F.col("w")).alias("x_max"), (F.col("y") + F.col("h")).alias("y_max"))
+    boxes = kept.select(
+        "image_id",
+        F.lit(1).alias("label"),
+        F.col("x").alias("x_min"),
+        F.col("y").alias("y_min"),
+        (F.col("x") + F.col("w")).alias("x_max"),
+        (F.col("y") + F.col("h")).alias("y_max")
+    )
     return images.select(F.col("id").alias("image_id"), "file_name").join(boxes, "image_id", "left")
 
 
@@ -52,13 +59,34 @@ def read_wide_csv(spark: SparkSession, path: str, ball: bool = True) -> DataFram
     Each entity has four columns, height, left, top and width; data begins in the fifth line; blanks count as 0; an
     entity with a bad number or an all-zero box is skipped. Lines keep their numbers within their file.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    lines = spark.read.text(path, wholetext=True).select(
+        F.input_file_name().alias("file"),
+        F.posexplode(F.split("value", r"\r?\n")).alias("line", "text")
+    )
     cells = lines.select("file", "line", F.split("text", ",").alias("c"))
-    head = cells.filter("line < 2").groupBy("file").agg(F.max(F.when(F.col("line") == 0, F.col("c"))).alias("teams"), F.max(F.when(F.col("line") == 1, F.col("c"))).alias("players"))
+    head = cells.filter("line < 2").groupBy("file").agg(
+        F.max(F.when(F.col("line") == 0, F.col("c"))).alias("teams"),
+        F.max(F.when(F.col("line") == 1, F.col("c"))).alias("players")
+    )
     data = cells.filter("line >= 4").filter(F.size("c") > 1).join(F.broadcast(head), "file")
-    entity = data.select("file", F.expr("try_cast(c[0] AS bigint)").alias("frame_id"), "c", "teams", "players", F.explode(F.sequence(F.lit(1), F.size("c") - 4, F.lit(4))).alias("i"))
+    entity = data.select(
+        "file",
+        F.expr("try_cast(c[0] AS bigint)").alias("frame_id"),
+        "c",
+        "teams",
+        "players",
+        F.explode(F.sequence(F.lit(1), F.size("c") - 4, F.lit(4))).alias("i")
+    )
     number = lambda k: F.expr(f"try_cast(CASE WHEN trim(get(c, i + {k})) = '' THEN '0' ELSE get(c, i + {k}) END AS double)")
-    out = entity.select("frame_id", F.expr("trim(get(teams, i))").alias("team"), F.expr("trim(get(players, i))").alias("player"), number(0).alias("h"), number(1).alias("x"), number(2).alias("y"), number(3).alias("w"))
+    out = entity.select(
+        "frame_id",
+        F.expr("trim(get(teams, i))").alias("team"),
+        F.expr("trim(get(players, i))").alias("player"),
+        number(0).alias("h"),
+        number(1).alias("x"),
+        number(2).alias("y"),
+        number(3).alias("w")
+    )
     teams = ["0", "1", "BALL"] if ball else ["0", "1"]
     out = out.filter(F.col("team").isin(teams)).dropna(subset=["frame_id", "x", "y", "w", "h"]).filter("NOT (x = 0 AND y = 0 AND w = 0 AND h = 0)")
     return out.select("frame_id", "team", "player", "x", "y", "w", "h")
@@ -69,8 +97,22 @@ def read_mot(spark: SparkSession, path: str) -> DataFrame:
     c = F.split("value", ",")
     n = lambda i, t: F.expr(f"try_cast(get(c, {i}) AS {t})")
     at = spark.read.text(path).select(c.alias("c")).filter(F.size("c") >= 6)
-    at = at.select(n(0, "bigint").alias("frame_id"), n(1, "bigint").alias("player_id"), n(2, "double").alias("cx"), n(3, "double").alias("cy"), n(4, "double").alias("w"), n(5, "double").alias("h"))
-    return at.dropna().select("frame_id", "player_id", F.greatest(F.lit(0.0), F.col("cx") - F.col("w") / 2).alias("x"), F.greatest(F.lit(0.0), F.col("cy") - F.col("h") / 2).alias("y"), "w", "h")
+    at = at.select(
+        n(0, "bigint").alias("frame_id"),
+        n(1, "bigint").alias("player_id"),
+        n(2, "double").alias("cx"),
+        n(3, "double").alias("cy"),
+        n(4, "double").alias("w"),
+        n(5, "double").alias("h")
+    )
+    return at.dropna().select(
+        "frame_id",
+        "player_id",
+        F.greatest(F.lit(0.0), F.col("cx") - F.col("w") / 2).alias("x"),
+        F.greatest(F.lit(0.0), F.col("cy") - F.col("h") / 2).alias("y"),
+        "w",
+        "h"
+    )
 
 
 def read_yolo(spark: SparkSession, path: str, images: DataFrame, least: float = 0.0) -> DataFrame:
@@ -82,7 +124,11 @@ def read_yolo(spark: SparkSession, path: str, images: DataFrame, least: float =
     n = lambda i: F.expr(f"try_cast(c[{i}] AS double)")
     at = at.select("stem", n(0).cast("int").alias("class_id"), *[n(i + 1).alias(k) for i, k in enumerate(("cx", "cy", "bw", "bh"))]).dropna()
     box = G.denormalize("cx", "cy", "bw", "bh", F.col("width"), F.col("height"))
-    return at.join(images, "stem").select("stem", "class_id", *[b.alias(k) for b, k in zip(box, "xywh", strict=True)]).filter((F.col("w") > least) & (F.col("h") > least))
+    return at.join(images, "stem").select(
+        "stem",
+        "class_id",
+        *[b.alias(k) for b, k in zip(box, "xywh", strict=True)]
+    ).filter((F.col("w") > least) & (F.col("h") > least))
 
 
 CVAT = "_id bigint, _label string, _source string, box array<struct<_frame:bigint,_xtl:double,_ytl:double,_xbr:double,_ybr:double,_outside:int,_occluded:int,_keyframe:int,attribute:array<struct<_name:string,_VALUE:string>>>>"
@@ -99,7 +145,13 @@ def read_cvat(spark: SparkSession, path: str, frame: int | None = None, with_fir
     conf = F.expr("try_cast(filter(b.attribute, a -> a._name = 'confidence')[0]._VALUE AS double)")
     at = tracks.select(F.col("_id").alias("track_id"), F.col("_label").alias("label"), F.explode("box").alias("b"))
     box = G.to_sizes("b._xtl", "b._ytl", "b._xbr", "b._ybr", clamp=True)
-    at = at.select("track_id", "label", F.col("b._frame").alias("frame_id"), *[v.alias(k) for v, k in zip(box, "xywh", strict=True)], F.coalesce(conf, F.lit(1.0)).alias("confidence"))
+    at = at.select(
+        "track_id",
+        "label",
+        F.col("b._frame").alias("frame_id"),
+        *[v.alias(k) for v, k in zip(box, "xywh", strict=True)],
+        F.coalesce(conf, F.lit(1.0)).alias("confidence")
+    )
     if with_first:
         at = at.join(at.filter("frame_id = 0").select("track_id"), "track_id", "left_semi")
     return at.filter(F.col("frame_id") == frame) if frame is not None else at
@@ -114,4 +166,12 @@ def read_voc(spark: SparkSession, path: str, name: str = "ball") -> DataFrame:
     doc = raw.select(F.from_xml("v", VOC).alias("d")).select("d.*")
     at = doc.select("filename", "size.width", "size.height", F.explode("object").alias("o")).filter(F.col("o.name") == name)
     b = "o.bndbox."
-    return at.select("filename", "width", "height", F.col(b + "xmin").alias("x"), F.col(b + "ymin").alias("y"), (F.col(b + "xmax") - F.col(b + "xmin")).alias("w"), (F.col(b + "ymax") - F.col(b + "ymin")).alias("h"))
+    return at.select(
+        "filename",
+        "width",
+        "height",
+        F.col(b + "xmin").alias("x"),
+        F.col(b + "ymin").alias("y"),
+        (F.col(b + "xmax") - F.col(b + "xmin")).alias("w"),
+        (F.col(b + "ymax") - F.col(b + "ymin")).alias("h")
+    )

@@ -13,7 +13,9 @@ PREDICTIONS = "frame bigint, detections array<struct<class_id:int,confidence:dou
 
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) is not None and len(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)) > 0
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) is not None and len(
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    ) > 0
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -31,7 +33,10 @@ def read_frame_data(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    at = spark.read.schema(PREDICTIONS).option("multiLine", True).json(path).select(F.col("frame").alias("frame_id"), F.posexplode("detections").alias("det_id", "p"))
+    at = spark.read.schema(PREDICTIONS).option("multiLine", True).json(path).select(
+        F.col("frame").alias("frame_id"),
+        F.posexplode("detections").alias("det_id", "p")
+    )
     return at.select("frame_id", "det_id", "p.class_id", "p.confidence", *[F.get("p.bbox", F.lit(i)).alias(n) for i, n in enumerate("xywh")])
 
 
@@ -47,7 +52,10 @@ def latest_epoch(log: DataFrame) -> DataFrame:
 def read_text_log(spark: SparkSession, path: str, pattern: str = r"Epoch (\d+).*?loss[:=] ?([0-9.]+)") -> DataFrame:
     """epoch, loss from free text."""
     at = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(f"(?s){pattern}"), F.lit(0))).alias("m"))
-    return at.select(F.regexp_extract("m", f"(?s){pattern}", 1).cast("int").alias("epoch"), F.regexp_extract("m", f"(?s){pattern}", 2).cast("double").alias("loss"))
+    return at.select(
+        F.regexp_extract("m", f"(?s){pattern}", 1).cast("int").alias("epoch"),
+        F.regexp_extract("m", f"(?s){pattern}", 2).cast("double").alias("loss")
+    )
 
 
 def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("jpg", "jpeg", "png"), prefix: str = "") -> DataFrame:
@@ -71,8 +79,22 @@ def write_frame_csv(rows: DataFrame, path: str) -> None:
 
 def events_document(events: DataFrame) -> DataFrame:
     """A row for each match: its events in order and how many frames have any."""
-    one = F.struct(F.col("start_frame"), "id", "type", "end_frame", "start_location", "end_location", F.array("player").alias("involved_players"), "confidence", F.col("ts_start").alias("timestamp_start"), F.col("ts_end").alias("timestamp_end"))
-    return events.groupBy(F.col("match_id").cast("string").alias("match_id")).agg(F.array_sort(F.collect_list(one)).alias("events"), F.struct(F.countDistinct("end_frame").alias("total_frames")).alias("metadata"))
+    one = F.struct(
+        F.col("start_frame"),
+        "id",
+        "type",
+        "end_frame",
+        "start_location",
+        "end_location",
+        F.array("player").alias("involved_players"),
+        "confidence",
+        F.col("ts_start").alias("timestamp_start"),
+        F.col("ts_end").alias("timestamp_end")
+    )
+    return events.groupBy(F.col("match_id").cast("string").alias("match_id")).agg(
+        F.array_sort(F.collect_list(one)).alias("events"),
+        F.struct(F.countDistinct("end_frame").alias("total_frames")).alias("metadata")
+    )
 
 
 def write_events(events: DataFrame, path: str) -> None:
@@ -93,14 +115,36 @@ def cvat_tracks(boxes: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
     two = lambda c: F.format_string("%.2f", c)
-    b = F.struct("frame_id", two(F.col("x")).alias("xtl"), two(F.col("y")).alias("ytl"), two(F.col("x") + F.col("w")).alias("xbr"), two(F.col("y") + F.col("h")).alias("ybr"), F.format_string("%.3f", "confidence").alias("confidence"))
+    b = F.struct(
+        "frame_id",
+        two(F.col("x")).alias("xtl"),
+        two(F.col("y")).alias("ytl"),
+        two(F.col("x") + F.col("w")).alias("xbr"),
+        two(F.col("y") + F.col("h")).alias("ybr"),
+        F.format_string("%.3f", "confidence").alias("confidence")
+    )
     t = boxes.groupBy("match_id", "object_id", "label").agg(F.array_sort(F.collect_list(b)).alias("boxes"))
     return t.withColumn("id", F.row_number().over(W.partitionBy("match_id").orderBy("object_id", "label")) - 1)
 
 
 def write_cvat(boxes: DataFrame, path: str) -> None:
     """Tracks as XML files, one root per part."""
-    t = cvat_tracks(boxes).select(F.col("id").alias("_id"), F.col("label").alias("_label"), F.transform("boxes", lambda b: F.struct(b["frame_id"].alias("_frame"), b["xtl"].alias("_xtl"), b["ytl"].alias("_ytl"), b["xbr"].alias("_xbr"), b["ybr"].alias("_ybr"), F.lit(0).alias("_outside"), F.array(F.struct(F.lit("confidence").alias("_name"), b["confidence"].alias("_VALUE"))).alias("attribute"))).alias("box"))
+    t = cvat_tracks(boxes).select(
+        F.col("id").alias("_id"),
+        F.col("label").alias("_label"),
+        F.transform(
+            "boxes",
+            lambda b: F.struct(
+                b["frame_id"].alias("_frame"),
+                b["xtl"].alias("_xtl"),
+                b["ytl"].alias("_ytl"),
+                b["xbr"].alias("_xbr"),
+                b["ybr"].alias("_ybr"),
+                F.lit(0).alias("_outside"),
+                F.array(F.struct(F.lit("confidence").alias("_name"), b["confidence"].alias("_VALUE"))).alias("attribute")
+            )
+        ).alias("box")
+    )
     t.write.format("xml").option("rootTag", "annotations").option("rowTag", "track").save(path)
 
 
