@@ -265,7 +265,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     lots = tmp.save(_sets(docs, k, max(1, math.ceil(chars / 6 / FRAGMENT))), "lots", "none")
     tmp.settle()
     node = _nodes(lots, num, den)
-    node = node.groupBy("key").agg(F.min(F.struct("row", "n", "tokens")).alias("x")).select(F.col("x.row").alias("node"), F.col("x.n").alias("n"), "key", F.col("x.tokens").alias("tokens"))
+    node = node.groupBy("key").agg(F.min(F.struct("row", "n", "tokens")).alias("x")).select(
+        F.col("x.row").alias("node"),
+        F.col("x.n").alias("n"),
+        "key",
+        F.col("x.tokens").alias("tokens")
+    )
     node = node.withColumn("s", F.size("tokens"))
     nodes = tmp.save(node, "nodes")
     members = tmp.save(lots.filter("kind = 0").select("doc_id", "row", "n", "key", F.col("tokens").alias("tag")), "members")

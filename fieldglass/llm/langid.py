@@ -126,9 +126,20 @@ def predict_languages(docs: DataFrame, model: tuple) -> DataFrame:
                 best, score = decode(features([texts[i] for i in some]) @ w + b, code)
                 for i, c, s in zip(some, best, score, strict=True):
                     names[i], scores[i] = langs[c], float(s)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "lang_pred": names, "score": scores, "ambiguous": [x < AMBIGUOUS for x in scores]})
-
-    return docs.select("doc_id", "text", "held_out").mapInPandas(guess, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+            yield pd.DataFrame(
+                {
+                    "doc_id": pdf["doc_id"].astype("Int64"),
+                    "held_out": pdf["held_out"],
+                    "lang_pred": names,
+                    "score": scores,
+                    "ambiguous": [x < AMBIGUOUS for x in scores]
+                }
+            )
+
+    return docs.select("doc_id", "text", "held_out").mapInPandas(
+        guess,
+        "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
+    )
 
 
 def identify_languages(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> DataFrame:

@@ -49,9 +49,18 @@ def pfair_period(spark: SparkSession, shares: list[int]) -> DataFrame:
     def step(state, t):
         had = state["had"]
         due = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(
-            F.when((F.get(had, i) < F.get(share, i)) & (F.floor(F.get(had, i) * F.lit(q).cast("long") / F.get(share, i)) <= t), F.ceil((F.get(had, i) + 1) * F.lit(q).cast("long") / F.get(share, i)).cast("int")).otherwise(F.lit(2**31 - 1)).alias("deadline"), i.alias("i")))
+            F.when(
+                (F.get(had, i) < F.get(share, i)) & (F.floor(F.get(had, i) * F.lit(q).cast("long") / F.get(share, i)) <= t),
+                F.ceil((F.get(had, i) + 1) * F.lit(q).cast("long") / F.get(share, i)).cast("int")
+            ).otherwise(F.lit(2**31 - 1)).alias("deadline"), i.alias("i")))
         i = F.array_min(due)["i"]
-        nth = F.transform(F.array(i), lambda i: F.struct(F.transform(had, lambda x, j: F.when(j == i, x + 1).otherwise(x)).alias("had"), F.concat(state["out"], F.array(F.struct(i.alias("number"), F.get(had, i).alias("turn"), t.alias("slot")))).alias("out")))
+        nth = F.transform(
+            F.array(i),
+            lambda i: F.struct(
+                F.transform(had, lambda x, j: F.when(j == i, x + 1).otherwise(x)).alias("had"),
+                F.concat(state["out"], F.array(F.struct(i.alias("number"), F.get(had, i).alias("turn"), t.alias("slot")))).alias("out")
+            )
+        )
         return nth[0]
 
     start = F.struct(F.array_repeat(F.lit(0), k).alias("had"), F.expr("cast(array() as array<struct<number:int,turn:int,slot:int>>)").alias("out"))
@@ -79,12 +88,26 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, temperature: float
     spark = docs.sparkSession
     tmp = Scratch(spark, "mixing")
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    base = docs.select("doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("_row"))
+    base = docs.select(
+        "doc_id",
+        "source",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.monotonically_increasing_id().alias("_row")
+    )
     base = tmp.save(base, "sizes")
     amounts = {r["source"]: r["size"] for r in base.groupBy("source").agg(F.sum("size").alias("size")).collect()}  # a row for each source
     if not amounts:
         longs = [F.lit(0).cast("long").alias(c) for c in ("source_start", "block")]
-        return base.select("doc_id", "source", "size", "text_crc32", *longs, F.lit(0).alias("share"), *[F.lit(0).cast("long").alias(c) for c in ("slot", "position")])
+        return base.select(
+            "doc_id",
+            "source",
+            "size",
+            "text_crc32",
+            *longs,
+            F.lit(0).alias("share"),
+            *[F.lit(0).cast("long").alias(c) for c in ("slot", "position")]
+        )
     quantum = max(quantum, 1 << (2 * len(amounts) - 1).bit_length())
     shares = target_shares(amounts, quantum, temperature, weights)
     shares = {s: shares[s] for s in sorted(shares, key=lambda s: (s is None, s or ""))}
@@ -108,10 +131,17 @@ def with_positions(docs: DataFrame, out: str, **options) -> DataFrame:
     Rows that are equal in doc_id, source and text have one place, the first of them.
     """
     doc, source, size, crc, my_size, my_crc = free_names(docs, "_doc", "_source", "_size", "_crc", "_my_size", "_my_crc")
-    place = mix_sources(docs, **options).groupBy(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias(size), F.col("text_crc32").alias(crc)).agg(F.min("position").alias(out))
+    place = mix_sources(docs, **options).groupBy(
+        F.col("doc_id").alias(doc),
+        F.col("source").alias(source),
+        F.col("size").alias(size),
+        F.col("text_crc32").alias(crc)
+    ).agg(F.min("position").alias(out))
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed = docs.withColumns({my_size: (F.octet_length(text) + 1).cast("long"), my_crc: F.crc32(text)})
-    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(my_size) == F.col(size)) & (F.col(my_crc) == F.col(crc))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (
+        F.col(my_size) == F.col(size)
+    ) & (F.col(my_crc) == F.col(crc))
     return keyed.join(place, same).select(*docs.columns, out)
 
 

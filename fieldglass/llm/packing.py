@@ -296,10 +296,21 @@ def piece_table(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int
                 raw = memoryview(wide).cast("B")
                 crc = [zlib.crc32(raw[4 * x : 4 * (x + n)]) for x, n in zip(begin.tolist(), length.tolist(), strict=True)]
                 doc = pa.array(of)
-                columns = [some.column("doc_id").cast(pa.int64()).take(doc), some.column("row").take(doc), some.column("place").take(doc), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                columns = [
+                    some.column("doc_id").cast(pa.int64()).take(doc),
+                    some.column("row").take(doc),
+                    some.column("place").take(doc),
+                    pa.array(k, pa.int32()),
+                    pa.array(start, pa.int64()),
+                    pa.array(length, pa.int64()),
+                    pa.array(crc, pa.int64())
+                ]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(wide)), pa.int32()), pa.array(wide, pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "place", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+                yield pa.RecordBatch.from_arrays(
+                    columns,
+                    ["doc_id", "row", "place", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+                )
 
     return rows.mapInArrow(cut, PIECES + (", ids array<long>" if with_ids else ""))
 

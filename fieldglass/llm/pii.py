@@ -44,7 +44,15 @@ LOOKALIKES = {
 }
 #: Characters that are not seen.
 UNSEEN = "​‌‍⁠﻿\xad"
-GLYPHS = {**LOOKALIKES, **{chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}, **{chr(0x2460 + i): str(i + 1) for i in range(9)}, "⓪": "0", **{chr(0x0660 + i): str(i) for i in range(10)}, **{chr(0x06F0 + i): str(i) for i in range(10)}, **{c: "" for c in UNSEEN}}
+GLYPHS = {
+    **LOOKALIKES,
+    **{chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)},
+    **{chr(0x2460 + i): str(i + 1) for i in range(9)},
+    "⓪": "0",
+    **{chr(0x0660 + i): str(i) for i in range(10)},
+    **{chr(0x06F0 + i): str(i) for i in range(10)},
+    **{c: "" for c in UNSEEN}
+}
 #: Mathematical digits: five alphabets of ten.
 GLYPHS |= {chr(0x1D7CE + i): str(i % 10) for i in range(50)}
 
@@ -65,7 +73,10 @@ _BRACKET_DOT = rf"\s?[\[({{<]\s?(?:{_DOT}|\.)\s?[\])}}>]\s?"
 DOT = re.compile(rf" (?:{_DOT}) |{_BRACKET_DOT}", re.I)
 BARE_AT = re.compile(rf"(?<=[A-Za-z0-9_%+-]) (?:{_AT}) (?=[A-Za-z0-9])", re.I)
 #: What may follow an "at": labels with dots, plain or disguised, the last in letters of one case.
-HOST = re.compile(rf"(?i:(?!www\.)[A-Z0-9-]++(?:(?:\.| (?:{_DOT}) |{_BRACKET_DOT})(?!(?:{_DOT}|{_AT}) )[A-Z0-9-]++)*)(?:\.|(?i: (?:{_DOT}) |{_BRACKET_DOT}))(?:[a-z]{{2,24}}|[A-Z]{{2,24}})(?![A-Za-z0-9])(?!/|:[/0-9])")
+HOST = re.compile(
+    rf"(?i:(?!www\.)[A-Z0-9-]++(?:(?:\.| (?:{_DOT}) |{_BRACKET_DOT})(?!(?:{_DOT}|{_AT}) )[A-Z0-9-]++)*)(?:\.|(?i: "
+    rf"(?:{_DOT}) |{_BRACKET_DOT}))(?:[a-z]{{2,24}}|[A-Z]{{2,24}})(?![A-Za-z0-9])(?!/|:[/0-9])"
+)
 NUMBERS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.| (?:{_DOT}) |{_BRACKET_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 GLYPH = re.compile("[" + "".join(re.escape(c) for c in GLYPHS) + "]")
 

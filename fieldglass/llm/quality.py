@@ -73,7 +73,13 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     less = lambda chars: (F.length("text") - F.length(F.translate("text", chars, ""))).cast("long")
     words = plain.withColumn("_words", F.array_remove(F.split("text", SPACE_CLASS), ""))
     n = F.size("_words")
-    lines = words.withColumn("_hashes", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, F.lit(WINDOW))))).otherwise(F.expr("cast(array() as array<bigint>)")))
+    lines = words.withColumn(
+        "_hashes",
+        F.when(
+            n >= WINDOW,
+            F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, F.lit(WINDOW))))
+        ).otherwise(F.expr("cast(array() as array<bigint>)"))
+    )
     lines = lines.withColumn("_lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     return lines.select(
         *[c for c in docs.columns if c != "text"],
@@ -112,7 +118,10 @@ def _with_groups(v: DataFrame, min_rows: int) -> DataFrame:
     small = sizes.filter(F.col("n") < min_rows)
     by_lang = small.groupBy("_l").agg(F.sum("n").alias("n_lang"))
     rest = by_lang.filter(F.col("n_lang") < min_rows).agg(F.sum("n_lang").alias("n_all"))
-    g = F.when(F.col("n") >= min_rows, F.to_json(F.struct("_l", "_s"))).when(F.col("n_lang") >= min_rows, F.to_json(F.struct("_l"))).when(F.col("n_all") >= min_rows, F.lit("{}"))
+    g = F.when(
+        F.col("n") >= min_rows,
+        F.to_json(F.struct("_l", "_s"))
+    ).when(F.col("n_lang") >= min_rows, F.to_json(F.struct("_l"))).when(F.col("n_all") >= min_rows, F.lit("{}"))
     keys = sizes.join(by_lang, "_l", "left").join(F.broadcast(rest)).select("_l", "_s", g.alias("g"))  # rest is one row
     keys = F.broadcast(keys) if sizes.count() <= BROADCAST_GROUPS else keys  # else AQE splits a hot group's join
     return named.join(keys, ["_l", "_s"], "left").drop("_l", "_s")
@@ -214,7 +223,10 @@ def quality_verdicts(docs: DataFrame, alpha: float = 1e-6, keep: float = 0.75, m
     """
     spark, p = docs.sparkSession, len(NAMES)
     tmp = Scratch(spark, "quality")
-    stats = tmp.save(vectors(text_statistics(docs.select("doc_id", "text", "lang", "source", *([] if tag is None else [tag.alias("tag")])))), "statistics")
+    stats = tmp.save(
+        vectors(text_statistics(docs.select("doc_id", "text", "lang", "source", *([] if tag is None else [tag.alias("tag")])))),
+        "statistics"
+    )
     grouped = _with_groups(stats, min_rows)
     est = mcd_estimates(grouped, tmp, p, keep)
     tmp.settle()
@@ -222,4 +234,16 @@ def quality_verdicts(docs: DataFrame, alpha: float = 1e-6, keep: float = 0.75, m
     far = grouped.join(est.select("g", "m", "low"), "g", "left").withColumn("d2", F.when(F.col("m").isNotNull(), _distance(p)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
     limit = chi2_quantile(1 - alpha, p)
-    return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("g").alias("pool"), F.col("d2").alias("distance"), (~failed & (F.coalesce("d2", F.lit(0.0)) <= limit)).alias("kept"), *([] if tag is None else ["tag"]))
+    return far.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        failed.alias("base_failed"),
+        F.col("g").alias("pool"),
+        F.col("d2").alias("distance"),
+        (~failed & (F.coalesce("d2", F.lit(0.0)) <= limit)).alias("kept"),
+        *([] if tag is None else ["tag"])
+    )

@@ -140,7 +140,11 @@ def balanced_label_propagation(nodes: DataFrame, members: DataFrame, n_shards: i
     placed = linked.withColumn("_at", F.row_number().over(within) - 1).join(pieces, ["class", "_piece"])
     at = F.col("_at") + F.col("_offset")
     none = F.struct(F.lit(0).cast("long").alias("end"), F.lit(-1).alias("shard"))
-    pick = F.aggregate("cells", none, lambda a, c: F.when(a["end"] > at, a).otherwise(F.struct((a["end"] + c["n"]).alias("end"), c["shard"].alias("shard"))))
+    pick = F.aggregate(
+        "cells",
+        none,
+        lambda a, c: F.when(a["end"] > at, a).otherwise(F.struct((a["end"] + c["n"]).alias("end"), c["shard"].alias("shard")))
+    )
     placed = placed.select("node", pick["shard"].alias("shard"))
 
     alone = tmp.save(nodes.select("node").join(of.select("node"), "node", "left_anti"), "alone")
@@ -196,7 +200,21 @@ def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     """doc_id, size (bytes of the text plus 1), text_crc32, law, shard, slot, grown_shard (null: the law is ``rows``). Links: equal texts."""
     tmp = Scratch(docs.sparkSession, "shard-documents")
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    nodes = docs.select(F.monotonically_increasing_id().alias("node"), "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("link"))
+    nodes = docs.select(
+        F.monotonically_increasing_id().alias("node"),
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.unhex(F.sha2(text, 256)).alias("link")
+    )
     nodes = tmp.save(nodes, "nodes")
     out = balanced_label_propagation(nodes, nodes.select("node", "link"), n_shards)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        F.col("slot").cast("long"),
+        F.lit(None).cast("int").alias("grown_shard")
+    )

@@ -45,7 +45,13 @@ def kept_hashes(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Col
 
 
 def fingerprint(text: Column, sketch: Column) -> Column:
-    return F.concat(F.lower(F.hex(sketch["n"].cast("long"))), F.lit(":"), F.lower(F.hex(F.xxhash64(text))), F.lit(":"), F.array_join(F.transform(sketch["h"], lambda h: F.lower(F.lpad(F.hex(h), 12, "0"))), ""))
+    return F.concat(
+        F.lower(F.hex(sketch["n"].cast("long"))),
+        F.lit(":"),
+        F.lower(F.hex(F.xxhash64(text))),
+        F.lit(":"),
+        F.array_join(F.transform(sketch["h"], lambda h: F.lower(F.lpad(F.hex(h), 12, "0"))), "")
+    )
 
 
 def likeness(a: Column, b: Column, same: Column) -> Column:
@@ -117,7 +123,14 @@ def fingerprint_documents(docs: DataFrame, rows_each: int = 200) -> DataFrame:
     near = rows.withColumn("_n", F.lead(F.struct("text", "_s")).over(order)).filter("_head = 0")
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.col("_n.text"), F.lit(1), third))
-    out = near.select("doc_id", "text", "_s", F.col("_n._s.h").alias("_next"), (F.col("_n.text") == F.col("text")).alias("_same"), edited.alias("_edited"))
+    out = near.select(
+        "doc_id",
+        "text",
+        "_s",
+        F.col("_n._s.h").alias("_next"),
+        (F.col("_n.text") == F.col("text")).alias("_same"),
+        edited.alias("_edited")
+    )
     out = out.withColumn("_e", kept_hashes(F.col("_edited")))
     return out.select(
         "doc_id",

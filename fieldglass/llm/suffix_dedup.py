@@ -79,7 +79,9 @@ def stretches(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
     count = np.diff(np.append(first, len(m)))
     if (count > STRETCH).any():
-        first = np.unique(np.concatenate([first, *[np.arange(f, f + c, STRETCH) for f, c in zip(first[count > STRETCH], count[count > STRETCH], strict=True)]]))
+        first = np.unique(
+            np.concatenate([first, *[np.arange(f, f + c, STRETCH) for f, c in zip(first[count > STRETCH], count[count > STRETCH], strict=True)]])
+        )
         count = np.diff(np.append(first, len(m)))
     key = m[first]
     # The key's places: the first in the first window, the last in the last window.
@@ -225,7 +227,15 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             for i, text, times in zip(pdf["id"], pdf["text"], pdf["times"], strict=True):
                 key, first, count, inner = stretches(np.frombuffer(text.encode(), np.uint8), length)
                 if len(key):
-                    out.append((i, key.astype(np.int64), first.astype(np.int32), count.astype(np.int32), np.where(inner | (times > 1), 2, 1).astype(np.int32)))
+                    out.append(
+                        (
+                            i,
+                            key.astype(np.int64),
+                            first.astype(np.int32),
+                            count.astype(np.int32),
+                            np.where(inner | (times > 1), 2, 1).astype(np.int32)
+                        )
+                    )
                 if len(out) >= 500:
                     yield pd.DataFrame(out, columns=["id", "key", "first", "count", "places"])
                     out = []
@@ -241,7 +251,10 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     total, largest = total or 0, largest or 0
     digits = 1 if largest <= 256 * SHARD else 2 if largest <= 65536 * SHARD else 3  # bytes of a digest that name its range
     shards = max(1, math.ceil(total / SHARD))
-    wanted = tmp.save(rows.join(often.select("key"), "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("first", "count", "key"))).alias("parts")), "wanted")
+    wanted = tmp.save(
+        rows.join(often.select("key"), "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("first", "count", "key"))).alias("parts")),
+        "wanted"
+    )
     tmp.drop(rows)
     del rows
     tmp.settle()
@@ -259,7 +272,10 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                         out = []
             yield pd.DataFrame(out, columns=["key", "digest", "data", "times", "id", "first"])
 
-    taken = texts.select("id", "text", "times").join(wanted, "id").mapInPandas(cut, "key long, digest binary, data binary, times long, id binary, first int")
+    taken = texts.select("id", "text", "times").join(wanted, "id").mapInPandas(
+        cut,
+        "key long, digest binary, data binary, times long, id binary, first int"
+    )
     taken = tmp.save(taken, "taken", "zstd")
     tmp.drop(wanted)
     del wanted
@@ -282,7 +298,10 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             out.append((key, digest, np.packbits(f).tobytes(), found))
         return pd.DataFrame(out, columns=["key", "digest", "flags", "classes"])
 
-    found = dealt.select("shard", "key", "digest", "times", "pieces", "data").groupBy("shard").applyInPandas(search, "key long, digest binary, flags binary, classes binary")
+    found = dealt.select("shard", "key", "digest", "times", "pieces", "data").groupBy("shard").applyInPandas(
+        search,
+        "key long, digest binary, flags binary, classes binary"
+    )
     found = tmp.save(found, "found")
     del entries, dealt
     tmp.settle()
@@ -328,7 +347,13 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                     out.append((i, (s + first).astype("<i4").tobytes()))
             yield pd.DataFrame(out, columns=["id", "spans"])
 
-    spans = placed.select("id", "first", "size", "flags", "more").mapInPandas(place, "id binary, spans binary").groupBy("id").agg(F.collect_list("spans").alias("spans"))
+    spans = placed.select(
+        "id",
+        "first",
+        "size",
+        "flags",
+        "more"
+    ).mapInPandas(place, "id binary, spans binary").groupBy("id").agg(F.collect_list("spans").alias("spans"))
     spans = tmp.save(spans, "spans")
     tmp.drop(taken, found, often)
     del taken, found, often, split, across, whole, placed

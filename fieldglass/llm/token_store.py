@@ -40,7 +40,18 @@ WINDOW, CUT_BITS, LONGEST = 16, 9, 4096
 #: Ids in a pack of the manifest; packs in a group.
 PACK, GROUP = 1 << 20, 4096
 STORED = "kind int, key long, doc_id long, row long, n long, digests array<binary>, digest binary, payload binary"
-_FIELDS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("digests", pa.list_(pa.binary())), ("digest", pa.binary()), ("payload", pa.binary())])
+_FIELDS = pa.schema(
+    [
+        ("kind", pa.int32()),
+        ("key", pa.int64()),
+        ("doc_id", pa.int64()),
+        ("row", pa.int64()),
+        ("n", pa.int64()),
+        ("digests", pa.list_(pa.binary())),
+        ("digest", pa.binary()),
+        ("payload", pa.binary())
+    ]
+)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -164,7 +175,10 @@ def pack_roots(recipes: DataFrame) -> DataFrame:
         pdf = pdf.sort_values("start")
         pack = int(pdf["pack"].iloc[0])
         root = merkle_root([bytes(x) for x in pdf["root"]])
-        return pd.DataFrame([(pack // GROUP, pack, int(pdf["start"].iloc[0]), len(pdf), root)], columns=["group", "pack", "start", "documents", "root"])
+        return pd.DataFrame(
+            [(pack // GROUP, pack, int(pdf["start"].iloc[0]), len(pdf), root)],
+            columns=["group", "pack", "start", "documents", "root"]
+        )
 
     packed = recipes.select(F.floor(F.col("start") / PACK).alias("pack"), "start", "root")
     return packed.groupBy("pack").applyInPandas(cover, "group long, pack long, start long, documents long, root binary")
@@ -224,7 +238,9 @@ def read_store(spark: SparkSession, path: str, dtype: str = "<u2") -> DataFrame:
         for pdf in batches:
             crc = [zlib.crc32(np.frombuffer(p, dtype).astype("<u4").tobytes()) for p in pdf["payload"]]
             good = [_digest(bytes(p)) == bytes(d) for p, d in zip(pdf["payload"], pdf["digest"], strict=True)]
-            yield pd.DataFrame({"digest": pdf["digest"], "ids": [len(p) // np.dtype(dtype).itemsize for p in pdf["payload"]], "crc": crc, "good": good})
+            yield pd.DataFrame(
+                {"digest": pdf["digest"], "ids": [len(p) // np.dtype(dtype).itemsize for p in pdf["payload"]], "crc": crc, "good": good}
+            )
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -249,7 +265,10 @@ def read_store(spark: SparkSession, path: str, dtype: str = "<u2") -> DataFrame:
     packs = spark.read.schema("group long, pack long, start long, documents long, root binary").parquet(f"{path}/manifest/packs")
     groups = spark.read.schema("group long, packs long, root binary").parquet(f"{path}/manifest/groups")
     fresh = pack_roots(recipes).select("pack", F.col("root").alias("found"))
-    whole_groups = group_roots(packs).select("group", F.col("root").alias("found")).join(groups, "group").filter("found = root").select("group", F.lit(True).alias("in_group"))
+    whole_groups = group_roots(packs).select("group", F.col("root").alias("found")).join(groups, "group").filter("found = root").select(
+        "group",
+        F.lit(True).alias("in_group")
+    )
     sound = packs.join(fresh, "pack").filter("found = root").join(whole_groups, "group").select("pack", "in_group")
     read = read.withColumn("pack", F.floor(F.col("start") / PACK)).join(sound, "pack", "left")
     return read.select("doc_id", "start", "n_tokens", "ids_crc32", (F.col("verified") & F.coalesce("in_group", F.lit(False))).alias("verified"))

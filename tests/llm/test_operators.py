@@ -35,7 +35,18 @@ def corpus():
     out += ["mail jo@ex.org or 10.0.0.1 +1 (555) 123-4567 and 4111 1111 1111 1111", "jo at ex dot org"]
     ids = list(range(0, 3 * len(out), 3))
     rnd.shuffle(ids)
-    return [(i, t, None if k % 11 == 0 else ("en" if k % 2 else "fr"), None if k % 13 == 0 else f"s{k % 3}", 1, 7, 9, 5) for k, (i, t) in enumerate(zip(ids, out, strict=True))]
+    return [
+        (
+            i,
+            t,
+            None if k % 11 == 0 else ("en" if k % 2 else "fr"),
+            None if k % 13 == 0 else f"s{k % 3}",
+            1,
+            7,
+            9,
+            5
+        ) for k, (i, t) in enumerate(zip(ids, out, strict=True))
+    ]
 
 
 ROWS = corpus()
@@ -123,9 +134,20 @@ def test_quality_counts(docs, empty):
 
 def test_quality_rejects_outliers(spark):
     rnd = random.Random(2)
-    clean = [(i, " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(60)).capitalize(), "en", "s") for i in range(300)]
+    clean = [
+        (
+            i,
+            " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(60)).capitalize(),
+            "en",
+            "s"
+        ) for i in range(300)
+    ]
     junk = [(1000 + i, " ".join(f"W{rnd.randint(0, 9999)}!!###" for _ in range(60)), "en", "s") for i in range(20)]
-    got = {r.doc_id: r.kept for r in quality.quality_verdicts(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")).collect()}
+    got = {
+        r.doc_id: r.kept for r in quality.quality_verdicts(
+            spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")
+        ).collect()
+    }
     assert all(got[i] for i in range(300)) and not any(got[1000 + i] for i in range(20))
 
 
@@ -134,7 +156,11 @@ def test_quality_rejects_few_words(spark):
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9)))
     clean = [(i, " ".join(word() for _ in range(rnd.randint(50, 90))), "en", "s") for i in range(300)]
     junk = [(1000 + i, " ".join(w for _ in range(8) for w in [word()] * 8), "en", "s") for i in range(10)]  # no window of eight words comes twice
-    got = {r.doc_id: r for r in quality.quality_verdicts(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")).collect()}
+    got = {
+        r.doc_id: r for r in quality.quality_verdicts(
+            spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")
+        ).collect()
+    }
     assert all(got[i].kept for i in range(300)) and not any(got[1000 + i].kept or got[1000 + i].base_failed for i in range(10))
 
 
@@ -205,7 +231,12 @@ def test_suffix_dedup(docs, empty):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         r = got[i]
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()), (i, (t or "")[:40])
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (
+            len(b),
+            int(gone.sum()),
+            spans,
+            hashlib.sha256(kept).hexdigest()
+        ), (i, (t or "")[:40])
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
@@ -230,14 +261,58 @@ def test_suffix_array(seed):
         assert k == n
 
 
-ODD = ["", " ", "  a  b", "a\n b", "x\t y", "it's  'll", "a.b,c. d", "x ,y", "wait... no.", "(a). b,", "é.É,\nB.", "a\x1cb", "<|endoftext|> x", "1 22  333\r\n4", "A. B, c"]
+ODD = [
+    "",
+    " ",
+    "  a  b",
+    "a\n b",
+    "x\t y",
+    "it's  'll",
+    "a.b,c. d",
+    "x ,y",
+    "wait... no.",
+    "(a). b,",
+    "é.É,\nB.",
+    "a\x1cb",
+    "<|endoftext|> x",
+    "1 22  333\r\n4",
+    "A. B, c"
+]
 ODD += ["İ.", "İ,", "a\n\nb", "\n\n", "क़.", "x\n", "a .", "\u3000 a", "a\xa0 b\n\xa0c"]
 
 
 @pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
 def test_encoder_equals_library(name, kind, monkeypatch):
     rnd = random.Random(9)
-    alphabet = [*"abcXYZ019 .,,..  \n\n\t'-_!?()", "İ", "ß", "é", "e\u0301", "\u0307", "ſ", "K", "क़", "ন", "ﬁ", "\xa0", "\u2003", "\x85", "\x1c", "文", "😀", "٣", "²", "Σ", "'s", " the", "\r\n", "\x0b", "\u200b", "\0", "<|endoftext|>"]
+    alphabet = [
+        *"abcXYZ019 .,,..  \n\n\t'-_!?()",
+        "İ",
+        "ß",
+        "é",
+        "e\u0301",
+        "\u0307",
+        "ſ",
+        "K",
+        "क़",
+        "ন",
+        "ﬁ",
+        "\xa0",
+        "\u2003",
+        "\x85",
+        "\x1c",
+        "文",
+        "😀",
+        "٣",
+        "²",
+        "Σ",
+        "'s",
+        " the",
+        "\r\n",
+        "\x0b",
+        "\u200b",
+        "\0",
+        "<|endoftext|>"
+    ]
     texts = ODD + ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 14))) for _ in range(20_000)]
     monkeypatch.setattr(tokens, "SLICE", 5000)
     monkeypatch.setattr(tokens, "CACHE", 30_000)  # forgets on the way
@@ -359,7 +434,12 @@ def test_pii(docs, empty):
         for k, p in pii.PATTERNS.items():
             for m in p.finditer(t or ""):
                 d = re.sub("[^0-9]", "", m[0])
-                ok = {"email": True, "ip": k == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(d) <= 19 and pii.luhn(d), "phone": 9 <= len(d) <= 15}[k]
+                ok = {
+                    "email": True,
+                    "ip": k == "ip" and all(int(x) <= 255 for x in m[0].split(".")),
+                    "card": 12 <= len(d) <= 19 and pii.luhn(d),
+                    "phone": 9 <= len(d) <= 15
+                }[k]
                 if ok:
                     want.append((m.start(), m.end(), k))
         assert sorted(pii.base_spans(t or "")) == sorted(want)
@@ -377,11 +457,31 @@ def test_pii(docs, empty):
 @pytest.mark.parametrize(
     "text, kind, found",
     [
-        ("іаn@еxample.com", "email", "іаn@еxample.com"), ("jo [at] ex [dot] com", "email", "jo [at] ex [dot] com"), ("card ４１１１ １１１１ １１１１ １１１１ x", "card", "４１１１ １１１１ １１１１ １１１１"),
-        ("call plus one five five five one two three four five now", "phone", "plus one five five five one two three four five"), ("10[.]0[.]0[.]1", "ip", "10[.]0[.]0[.]1"),
-        ("jo[@]ex[.]com", "email", "jo[@]ex[.]com"), ("jo [at] ex dot com", "email", "jo [at] ex dot com"), ("jo at ex [dot] com", "email", "jo at ex [dot] com"), ("jo@ex dot com", "email", "jo@ex dot com"),
-        ("to jo at ex.com!", "email", "jo at ex.com"), ("192 dot 168 dot 0 dot 1", "ip", "192 dot 168 dot 0 dot 1"), ("jo at ex Punkt de", "email", "jo at ex Punkt de"), ("jо аt ex dоt com", "email", "jо аt ex dоt com"),
-        ("mail jo@ex.com dot matrix", None, None), ("see us at www.ex.com", None, None), ("a dot b dot c", None, None), ("look at this.That is", None, None),
+        ("іаn@еxample.com", "email", "іаn@еxample.com"), ("jo [at] ex [dot] com", "email", "jo [at] ex [dot] com"), (
+            "card ４１１１ １１１１ １１１１ １１１１ x",
+            "card",
+            "４１１１ １１１１ １１１１ １１１１"
+        ),
+        (
+            "call plus one five five five one two three four five now",
+            "phone",
+            "plus one five five five one two three four five"
+        ), ("10[.]0[.]0[.]1", "ip", "10[.]0[.]0[.]1"),
+        ("jo[@]ex[.]com", "email", "jo[@]ex[.]com"), (
+            "jo [at] ex dot com",
+            "email",
+            "jo [at] ex dot com"
+        ), ("jo at ex [dot] com", "email", "jo at ex [dot] com"), ("jo@ex dot com", "email", "jo@ex dot com"),
+        ("to jo at ex.com!", "email", "jo at ex.com"), (
+            "192 dot 168 dot 0 dot 1",
+            "ip",
+            "192 dot 168 dot 0 dot 1"
+        ), ("jo at ex Punkt de", "email", "jo at ex Punkt de"), ("jо аt ex dоt com", "email", "jо аt ex dоt com"),
+        (
+            "mail jo@ex.com dot matrix",
+            None,
+            None
+        ), ("see us at www.ex.com", None, None), ("a dot b dot c", None, None), ("look at this.That is", None, None),
         ("we met at noon. Then", None, None), ("one two three", None, None),
     ],
 )
@@ -390,7 +490,20 @@ def test_deobfuscation(text, kind, found):
     assert [(k, text[s:e]) for s, e, k in spans] == ([(kind, found)] if kind else [])
 
 
-@pytest.mark.parametrize("text", ["-" * 10**6 + " dot ", ". " * 300_000 + " dot x", "1" * 10**6, "a at b dot " * 90_000, "1 " * 400_000, "+1" + "(" * 10**6, "x@" * 300_000, "[at] " * 200_000, "1.1.1." * 100_000])
+@pytest.mark.parametrize(
+    "text",
+    [
+        "-" * 10**6 + " dot ",
+        ". " * 300_000 + " dot x",
+        "1" * 10**6,
+        "a at b dot " * 90_000,
+        "1 " * 400_000,
+        "+1" + "(" * 10**6,
+        "x@" * 300_000,
+        "[at] " * 200_000,
+        "1.1.1." * 100_000
+    ]
+)
 def test_pii_takes_linear_time(text):
     began = time.process_time()
     pii.added_spans(text, pii.base_spans(text))
@@ -434,13 +547,21 @@ def test_jaccard_chains(spark):
         w = list(w)
         w[rnd.randrange(len(w))] = f"v{i}"
         rows.append((i * 2, " ".join(w)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, (85, 100)).collect()}
+    got = {
+        r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(
+            spark.createDataFrame(rows, "doc_id long, text string"),
+            4,
+            (85, 100)
+        ).collect()
+    }
     assert got == brute_components(rows, 4, 85, 100)
 
 
 def test_shingles():
     assert len(shingles.shingle_set("a b c d e", 4)) == 2 and len(shingles.shingle_set("a b", 4)) == 1 and len(shingles.shingle_set(" \n", 4)) == 0
-    assert (shingles.shingle_set("A b  c\td", 2) == shingles.shingle_set("a B c d", 2)).all() and not np.isin(shingles.shingle_set("x y", 2), shingles.shingle_set("y x", 2)).any()
+    assert (
+        shingles.shingle_set("A b  c\td", 2) == shingles.shingle_set("a B c d", 2)
+    ).all() and not np.isin(shingles.shingle_set("x y", 2), shingles.shingle_set("y x", 2)).any()
 
 
 def test_sketch(docs, empty):
@@ -453,7 +574,11 @@ def test_sketch(docs, empty):
         edited = t[: len(t) - third] + nxt[:third]
         r = got[i]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        a, b, c = ({x[k : k + 12] for k in range(0, len(x), 12)} for x in (y.split(":")[2] for y in (r.fingerprint, r.edited_fingerprint, got[j].fingerprint)))
+        a, b, c = (
+            {x[k : k + 12] for k in range(0, len(x), 12)} for x in (
+                y.split(":")[2] for y in (r.fingerprint, r.edited_fingerprint, got[j].fingerprint)
+            )
+        )
         like = lambda x, y, same: 1.0 if same else len(x & y) / len(x | y) if x | y else 0.0
         assert r.near_edited == like(a, b, t == edited) and r.near_next == like(a, c, t == nxt)
     assert len({got[r[0]].fingerprint for r in ROWS if r[1] == ROWS[10][1]}) == 1
@@ -481,7 +606,9 @@ def test_sketch_follows_true_jaccard(spark):
 
 def test_sketch_with_one_doc_id(spark):
     """Rows that share a doc_id, or have none, are dealt to intervals by their texts, and each row has a neighbour."""
-    rows = [(7, f"{i} text number of a hot id") for i in range(60)] + [(None, f"{i} is a text without id") for i in range(60)] + [(i, f"{i} other text") for i in range(20)]
+    rows = [
+        (7, f"{i} text number of a hot id") for i in range(60)
+    ] + [(None, f"{i} is a text without id") for i in range(60)] + [(i, f"{i} other text") for i in range(20)]
     got = sketch.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string"), rows_each=5).collect()
     assert len(got) == len(rows)
     text = Counter((i, len(t)) for i, t in rows)
@@ -494,8 +621,15 @@ def test_sketch_with_one_doc_id(spark):
 def test_sketch_estimates_containment(spark):
     rnd = random.Random(3)
     w = [f"w{rnd.randint(0, 10**9)}" for _ in range(20000)]
-    one = spark.createDataFrame([(" ".join(w), " ".join(w[:4000]))], "a string, b string").select(sketch.kept_hashes(F.col("a")).alias("a"), sketch.kept_hashes(F.col("b")).alias("b"))
-    r = one.select(sketch.containment(F.col("b.h"), F.col("a.h")).alias("all"), sketch.containment(F.col("a.h"), F.col("b.h")).alias("fifth"), F.size("a.h").alias("n")).first()
+    one = spark.createDataFrame([(" ".join(w), " ".join(w[:4000]))], "a string, b string").select(
+        sketch.kept_hashes(F.col("a")).alias("a"),
+        sketch.kept_hashes(F.col("b")).alias("b")
+    )
+    r = one.select(
+        sketch.containment(F.col("b.h"), F.col("a.h")).alias("all"),
+        sketch.containment(F.col("a.h"), F.col("b.h")).alias("fifth"),
+        F.size("a.h").alias("n")
+    ).first()
     assert getattr(r, "all") > 0.99 and abs(r.fifth - 0.2) < 0.03 and abs(r.n / 20000 - 1 / sketch.SCALE) < 0.02
 
 
@@ -597,7 +731,12 @@ def test_pfair_deviation(spark):
 
 
 def test_repeated_rows(spark):
-    rows = [(1, "some words that are here twice or so " * 3, "en", "s")] * 2 + [(2, "other", "en", "s"), (None, "null id", None, None), (None, "null id", None, None), (None, None, None, None)]
+    rows = [(1, "some words that are here twice or so " * 3, "en", "s")] * 2 + [
+        (2, "other", "en", "s"),
+        (None, "null id", None, None),
+        (None, "null id", None, None),
+        (None, None, None, None)
+    ]
     twice = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").cache()
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert sharding.shard_documents(twice, 2).count() == 6 and quality.quality_verdicts(twice).count() == 6 and pii.find_personal_data(twice).count() == 6
@@ -634,7 +773,10 @@ def test_store_finds_changes(docs, spark, tmp_path):
 
     flip = lambda c: F.concat(F.substring(c, 1, 1).cast("binary"), F.unhex(F.lit("00")), F.substring(c, 3, 10**9).cast("binary"))
     one = spark.read.parquet(str(tmp_path / "good/chunks/kind=1")).agg(F.min("digest")).first()[0]
-    assert broken("chunks/kind=1", lambda t: t.withColumn("payload", F.when(F.col("digest") == one, F.unhex(F.lit("0102"))).otherwise(F.col("payload")))) >= 1
+    assert broken(
+        "chunks/kind=1",
+        lambda t: t.withColumn("payload", F.when(F.col("digest") == one, F.unhex(F.lit("0102"))).otherwise(F.col("payload")))
+    ) >= 1
     some = ROWS[20][0]
     assert broken("recipes", lambda t: t.withColumn("digests", F.when(F.col("doc_id") == some, F.array(F.lit(one))).otherwise(F.col("digests")))) >= 1
     assert broken("manifest/packs", lambda t: t.withColumn("root", flip("root"))) == len(ROWS)

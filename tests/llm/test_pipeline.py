@@ -43,7 +43,23 @@ def odd_rows():
     text = lambda: " ".join(word() for _ in range(rnd.randint(60, 90)))
     base, other = text(), text()
     near = base.replace(base.split()[30], "changed", 1)
-    docs = [(1, base), (1, other), (2, base), (2, base), (None, near), (None, other), (None, text()), (3, None), (4, ""), (4, ""), (None, None), (5, text()), (5, text()), (6, "short one"), (6, "short one")]
+    docs = [
+        (1, base),
+        (1, other),
+        (2, base),
+        (2, base),
+        (None, near),
+        (None, other),
+        (None, text()),
+        (3, None),
+        (4, ""),
+        (4, ""),
+        (None, None),
+        (5, text()),
+        (5, text()),
+        (6, "short one"),
+        (6, "short one")
+    ]
     docs += [(10 + i, text()) for i in range(30)]
     return [(i, t, "en", f"s{k % 3}" if k % 5 else None, len(t or ""), k, "x", k, k, k, "y") for k, (i, t) in enumerate(docs)], base, other
 
