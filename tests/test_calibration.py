@@ -7,7 +7,13 @@ from fieldglass.operators import calibration as C
 
 
 def test_homography_of_a_pitch(spark):
-    pts = [(1, 100.0, 100.0, -52.5, -34.0), (1, 1180.0, 100.0, 52.5, -34.0), (1, 1180.0, 620.0, 52.5, 34.0), (1, 100.0, 620.0, -52.5, 34.0), (2, 0.0, 0.0, 0.0, 0.0)]
+    pts = [
+        (1, 100.0, 100.0, -52.5, -34.0),
+        (1, 1180.0, 100.0, 52.5, -34.0),
+        (1, 1180.0, 620.0, 52.5, 34.0),
+        (1, 100.0, 620.0, -52.5, 34.0),
+        (2, 0.0, 0.0, 0.0, 0.0)
+    ]
     h = C.fit_homographies(spark.createDataFrame(pts, "k long, x double, y double, px double, py double"), "k")
     assert [r.k for r in h.collect()] == [1]
     x, y = G.homography(F.col("homography"), F.lit(640.0), F.lit(360.0))
@@ -16,25 +22,42 @@ def test_homography_of_a_pitch(spark):
 
 
 def test_recalibrated(spark):
-    pos = spark.createDataFrame([(0, f, float(y)) for f in range(20) for y in (-17.0, 17.0)] + [(1, 0, 5.0)], "match_id long, frame_id long, py double")
+    pos = spark.createDataFrame(
+        [(0, f, float(y)) for f in range(20) for y in (-17.0, 17.0)] + [(1, 0, 5.0)],
+        "match_id long, frame_id long, py double"
+    )
     got = {(r.match_id, abs(r.py)) for r in C.recalibrated(pos).collect()}
     assert got == {(0, 34.0), (1, 5.0)}
 
 
 def test_scene_cuts(spark):
     a, b = [1.0, 2.0, 3.0, 4.0], [4.0, 3.0, 2.0, 1.0]
-    fr = spark.createDataFrame([(0, i, h, h, h) for i, h in enumerate([a, a, b, b])], "m long, f long, blue array<double>, green array<double>, red array<double>")
+    fr = spark.createDataFrame(
+        [(0, i, h, h, h) for i, h in enumerate([a, a, b, b])],
+        "m long, f long, blue array<double>, green array<double>, red array<double>"
+    )
     got = C.scene_cuts(fr, ["m"], "f").orderBy("f").collect()
     assert [r.cut for r in got] == [False, False, True, False] and abs(got[2].change - 2) < 1e-9
 
 
 def test_goals(spark):
-    rows = [(1, 0, "zero_shot", 10.0, 100.0, -52.5, 0.9), (1, 1, "color", 20.0, 100.0, -52.5, 0.6), (1, 2, "line", 900.0, 90.0, 52.5, 0.9), (2, 0, "color", 900.0, 90.0, 52.5, 0.8)]
+    rows = [
+        (1, 0, "zero_shot", 10.0, 100.0, -52.5, 0.9),
+        (1, 1, "color", 20.0, 100.0, -52.5, 0.6),
+        (1, 2, "line", 900.0, 90.0, 52.5, 0.9),
+        (2, 0, "color", 900.0, 90.0, 52.5, 0.8)
+    ]
     g = spark.createDataFrame(rows, "frame_id long, goal_id long, method string, x double, y double, px double, confidence double")
     got = {(r.frame_id, r.side): r for r in C.fused_goals(g, ["frame_id"]).collect()}
     assert set(got) == {(1, "left"), (2, "right")}
     r = got[1, "left"]
     assert math.isclose(r.x, (10 * 2.7 + 20 * 1.2) / 3.9) and r.confidence == 1.0
-    hist = spark.createDataFrame([(0, f, 0, 100.0 + f, 50.0, -52.5, 0.5) for f in range(3)], "match_id long, frame_id long, goal_id long, x double, y double, px double, confidence double")
+    hist = spark.createDataFrame(
+        [(0, f, 0, 100.0 + f, 50.0, -52.5, 0.5) for f in range(3)],
+        "match_id long, frame_id long, goal_id long, x double, y double, px double, confidence double"
+    )
     sm = {r.frame_id: r for r in C.smoothed_goals(hist).collect()}
-    assert set(sm) == {0, 1, 2} and (sm[0].x, sm[0].n) == (100.0, 1) and math.isclose(sm[2].x, (100 * 1 + 101 * 2 + 102 * 3) / 6) and math.isclose(sm[2].confidence, 0.55)
+    assert set(sm) == {0, 1, 2} and (sm[0].x, sm[0].n) == (100.0, 1) and math.isclose(
+        sm[2].x,
+        (100 * 1 + 101 * 2 + 102 * 3) / 6
+    ) and math.isclose(sm[2].confidence, 0.55)

@@ -45,7 +45,10 @@ def test_assignment_is_optimal(shape):
 
 
 def test_greedy_is_one_to_one(spark):
-    cand = spark.createDataFrame([(1, 0, 1, 0.9, 5, 0.6), (1, 0, 2, 0.95, 5, 0.7), (1, 0, 2, 0.95, 6, 0.6), (1, 0, 1, 0.9, 6, 0.55)], "frame_id long, class_id int, pred long, score double, target long, iou double")
+    cand = spark.createDataFrame(
+        [(1, 0, 1, 0.9, 5, 0.6), (1, 0, 2, 0.95, 5, 0.7), (1, 0, 2, 0.95, 6, 0.6), (1, 0, 1, 0.9, 6, 0.55)],
+        "frame_id long, class_id int, pred long, score double, target long, iou double"
+    )
     got = sorted((r.pred, r.target) for r in matching.greedy_matches(cand).collect())
     assert got == [(1, 6), (2, 5)]
 
@@ -78,8 +81,16 @@ def test_geometry(spark):
     row = spark.range(1).select(
         *[c.alias(f"h{i}") for i, c in enumerate(G.homography([1, 0, 0, 0, 1, 0, 0, 0, 1], F.lit(3.0), F.lit(4.0)))],
         *[c.alias(f"i{i}") for i, c in enumerate(G.line_intersection((F.lit(1.0), F.lit(0.0), F.lit(-2.0)), (F.lit(0.0), F.lit(1.0), F.lit(-3.0))))],
-        *[c.alias(f"s{i}") for i, c in enumerate(G.segment_intersection(tuple(map(F.lit, (0.0, 0.0, 2.0, 2.0))), tuple(map(F.lit, (0.0, 2.0, 2.0, 0.0)))))],
-        *[c.alias(f"n{i}") for i, c in enumerate(G.segment_intersection(tuple(map(F.lit, (0.0, 0.0, 1.0, 0.0))), tuple(map(F.lit, (0.0, 1.0, 1.0, 1.0)))))],
+        *[
+            c.alias(f"s{i}") for i, c in enumerate(
+                G.segment_intersection(tuple(map(F.lit, (0.0, 0.0, 2.0, 2.0))), tuple(map(F.lit, (0.0, 2.0, 2.0, 0.0))))
+            )
+        ],
+        *[
+            c.alias(f"n{i}") for i, c in enumerate(
+                G.segment_intersection(tuple(map(F.lit, (0.0, 0.0, 1.0, 0.0))), tuple(map(F.lit, (0.0, 1.0, 1.0, 1.0))))
+            )
+        ],
         G.iou(tuple(map(F.lit, (0.0, 0.0, 2.0, 2.0))), tuple(map(F.lit, (1.0, 0.0, 3.0, 2.0)))).alias("iou"),
         G.quad_area([(F.lit(a), F.lit(b)) for a, b in ((0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0))]).alias("area"),
         F.size(G.tiles(F.lit(640), F.lit(640))).alias("one"), F.size(G.tiles(F.lit(1920), F.lit(1080))).alias("many"),
@@ -92,7 +103,12 @@ def test_geometry(spark):
 
 
 def test_labels(spark):
-    row = spark.range(1).select(L.csv_confidence(F.lit(0.0)).alias("c"), L.stem(F.lit("/a/b.c/d_1.jpg")).alias("s"), L.annotations_name(F.lit("m.mp4")).alias("a"), L.frame_name(F.lit(7)).alias("f")).first()
+    row = spark.range(1).select(
+        L.csv_confidence(F.lit(0.0)).alias("c"),
+        L.stem(F.lit("/a/b.c/d_1.jpg")).alias("s"),
+        L.annotations_name(F.lit("m.mp4")).alias("a"),
+        L.frame_name(F.lit(7)).alias("f")
+    ).first()
     assert tuple(row) == (1.0, "d_1", "m_annotations.xml", "frame_000007.jpg")
 
 
@@ -123,7 +139,10 @@ def test_teams(spark):
     f = spark.createDataFrame([([0.0, 0.0],), ([10.0, 10.0],), ([0.1, 0.1],), ([9.9, 9.9],)], "feature array<double>")
     centers, limit = robust.fit_teams(f)
     assert centers[0][0] < 1 < 9 < centers[1][0] and limit < 1
-    t = spark.createDataFrame([([0.0, 0.1], 0.0), ([30.0, 30.0], 45.0), ([30.0, 30.0], 0.0), (None, 0.0)], "f array<double>, px double").select(robust.assign_team(F.col("f"), centers, 1.0, F.col("px")).alias("t")).select("t.*").collect()
+    t = spark.createDataFrame(
+        [([0.0, 0.1], 0.0), ([30.0, 30.0], 45.0), ([30.0, 30.0], 0.0), (None, 0.0)],
+        "f array<double>, px double"
+    ).select(robust.assign_team(F.col("f"), centers, 1.0, F.col("px")).alias("t")).select("t.*").collect()
     assert [(r.team_id, r.role) for r in t] == [(0, "PLAYER"), (None, "GK"), (None, "REF"), (None, "PLAYER")]
 
 

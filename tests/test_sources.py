@@ -19,7 +19,15 @@ def put(folder, name, text):
 
 
 def test_coco(spark, tmp_path):
-    doc = {"images": [{"id": 1, "file_name": "a.jpg", "width": 10, "height": 10}, {"id": 2, "file_name": "b.jpg", "width": 10, "height": 10}], "annotations": [{"id": 1, "image_id": 1, "category_id": 1, "bbox": [1.0, 2.0, 3.0, 4.0], "area": 12.0, "iscrowd": 0}, {"id": 2, "image_id": 1, "category_id": 2, "bbox": [0.0, 0.0, 1.0, 1.0], "area": 1.0, "iscrowd": 0}, {"id": 3, "image_id": 9, "category_id": 7, "bbox": [0.0, 0.0, 0.0, 1.0], "area": 0.0, "iscrowd": 0}], "categories": [{"id": 1, "name": "player"}, {"id": 2, "name": "ball"}]}
+    doc = {
+        "images": [{"id": 1, "file_name": "a.jpg", "width": 10, "height": 10}, {"id": 2, "file_name": "b.jpg", "width": 10, "height": 10}],
+        "annotations": [
+            {"id": 1, "image_id": 1, "category_id": 1, "bbox": [1.0, 2.0, 3.0, 4.0], "area": 12.0, "iscrowd": 0},
+            {"id": 2, "image_id": 1, "category_id": 2, "bbox": [0.0, 0.0, 1.0, 1.0], "area": 1.0, "iscrowd": 0},
+            {"id": 3, "image_id": 9, "category_id": 7, "bbox": [0.0, 0.0, 0.0, 1.0], "area": 0.0, "iscrowd": 0}
+        ],
+        "categories": [{"id": 1, "name": "player"}, {"id": 2, "name": "ball"}]
+    }
     i, a, c = A.read_coco(spark, put(tmp_path, "x.json", json.dumps(doc)))
     t = A.coco_targets(i, a, c).orderBy("image_id").collect()
     assert [(r.image_id, r.x_max) for r in t] == [(1, 4.0), (2, None)]
@@ -55,7 +63,9 @@ def test_results(spark, tmp_path):
     ev = {"match_id": "m", "events": [{"id": "pass_1", "type": "pass", "involved_players": [1, 2]}], "metadata": {"total_frames": 1}}
     assert R.read_events(spark, put(tmp_path, "e.json", json.dumps(ev))).first().involved_players == [1, 2]
     fd = [{"frame_id": 1, "players": [{"object_id": 3, "pitch_position": [1.0, 2.0]}]}, {"frame_id": 2, "players": []}]
-    assert [(r.frame_id, r.x_pitch) for r in R.read_frame_data(spark, put(tmp_path, "fd.json", json.dumps(fd))).orderBy("frame_id").collect()] == [(1, 1.0), (2, None)]
+    assert [
+        (r.frame_id, r.x_pitch) for r in R.read_frame_data(spark, put(tmp_path, "fd.json", json.dumps(fd))).orderBy("frame_id").collect()
+    ] == [(1, 1.0), (2, None)]
     pr = [{"frame": 4, "detections": [{"class_id": 1, "confidence": 0.5, "bbox": [1.0, 2.0, 3.0, 4.0]}]}]
     assert R.read_predictions(spark, put(tmp_path, "p.json", json.dumps(pr))).first().w == 3.0
     log = put(tmp_path, "log.jsonl", '{"epoch": 1, "loss": 0.5}\nnot json\n{"epoch": 3, "loss": 0.25}\n')
@@ -64,7 +74,10 @@ def test_results(spark, tmp_path):
     assert [(r.epoch, r.loss) for r in R.read_text_log(spark, text).orderBy("epoch").collect()] == [(1, 0.75), (2, 0.5)]
     put(tmp_path, "imgs/a.JPG", "x"), put(tmp_path, "imgs/b.txt", "x")
     assert R.list_files(spark, str(tmp_path / "imgs")).count() == 1
-    cal = R.read_calibration(spark, put(tmp_path, "cal.json", json.dumps({"homography": [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]}))).first()
+    cal = R.read_calibration(
+        spark,
+        put(tmp_path, "cal.json", json.dumps({"homography": [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]}))
+    ).first()
     assert len(cal.homography) == 9 and cal.y_scale == 1.0
 
 
@@ -78,20 +91,39 @@ def test_writers(spark, tmp_path):
     R.write_events(ev, str(tmp_path / "ev"))
     back = R.read_events(spark, str(tmp_path / "ev"))
     assert back.count() == ev.count()
-    boxes = spark.createDataFrame([(0, 5, "player", 2, 1.0, 2.0, 3.0, 4.0, 0.5), (0, 5, "player", 1, 1.0, 2.0, 3.0, 4.0, 0.25)], "match_id long, object_id long, label string, frame_id long, x double, y double, w double, h double, confidence double")
+    boxes = spark.createDataFrame(
+        [(0, 5, "player", 2, 1.0, 2.0, 3.0, 4.0, 0.5), (0, 5, "player", 1, 1.0, 2.0, 3.0, 4.0, 0.25)],
+        "match_id long, object_id long, label string, frame_id long, x double, y double, w double, h double, confidence double"
+    )
     R.write_cvat(boxes, str(tmp_path / "cvat"))
     got = [(r.frame_id, r.w, r.confidence) for r in A.read_cvat(spark, str(tmp_path / "cvat")).orderBy("frame_id").collect()]
     assert got == [(1, 3.0, 0.25), (2, 3.0, 0.5)]
 
 
-DETS = [{"match_id": 0, "frame_id": f, "det_id": 1, "class_id": f % 2, "confidence": 0.9, "x": 0.0, "y": 0.0, "w": 1.0, "h": 1.0, "ts": f * 1.0} for f in range(40)]
+DETS = [
+    {
+        "match_id": 0,
+        "frame_id": f,
+        "det_id": 1,
+        "class_id": f % 2,
+        "confidence": 0.9,
+        "x": 0.0,
+        "y": 0.0,
+        "w": 1.0,
+        "h": 1.0,
+        "ts": f * 1.0
+    } for f in range(40)
+]
 
 
 def test_stream_counts_equal_batch(spark, tmp_path):
     for k in range(4):
         put(tmp_path, f"in/{k}.json", "\n".join(json.dumps(d) for d in DETS[k * 10 : k * 10 + 10]))
     counts = S.frame_counts(S.event_time(S.watch(spark, str(tmp_path / "in"), files_each=1)))
-    q = counts.writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q = counts.writeStream.format("memory").queryName("counts").outputMode("complete").option(
+        "checkpointLocation",
+        str(tmp_path / "ck")
+    ).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = spark.table("counts").agg(F.sum("players"), F.sum("balls")).first()
     assert tuple(got) == (20, 20)
@@ -106,7 +138,18 @@ def test_stream_state_and_files(spark, tmp_path):
     q = S.write_event_files(S.track_status(src), str(tmp_path / "out"), str(tmp_path / "ck2"))
     q.awaitTermination(120)
     rows = sorted((r.n, r.incarnation, r.points, r.status) for r in spark.read.json(str(tmp_path / "out")).collect())
-    assert rows == [(1, 0, 1, "pending"), (2, 0, 2, "pending"), (3, 0, 3, "pending"), (3, 1, 2, "late"), (4, 0, 4, "pending"), (5, 0, 5, "steady"), (6, 0, 6, "steady"), (30, 1, 1, "pending"), (31, 1, 2, "pending"), (32, 1, 3, "pending")]
+    assert rows == [
+        (1, 0, 1, "pending"),
+        (2, 0, 2, "pending"),
+        (3, 0, 3, "pending"),
+        (3, 1, 2, "late"),
+        (4, 0, 4, "pending"),
+        (5, 0, 5, "steady"),
+        (6, 0, 6, "steady"),
+        (30, 1, 1, "pending"),
+        (31, 1, 2, "pending"),
+        (32, 1, 3, "pending")
+    ]
 
 
 def test_stream_once_each(spark, tmp_path):
