@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 COCO = (
@@ -22,7 +23,7 @@ def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
 
 def coco_targets(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
     """A row for each box of each image, images without boxes once; labels 1 for players, ball boxes dropped; corner boxes."""
-    named = annotations.join(F.broadcast(categories.select(F.col("id").alias("category_id"), "name")), "category_id", "left")
+    named = annotations.join(categories.select(F.col("id").alias("category_id"), "name"), "category_id", "left")
     kept = named.filter(F.coalesce(F.lower("name") != "ball", F.lit(True)))
     boxes = kept.select(
         "image_id",
@@ -56,19 +57,23 @@ def dataset_issues(images: DataFrame, annotations: DataFrame, categories: DataFr
 def read_wide_csv(spark: SparkSession, path: str, ball: bool = True) -> DataFrame:
     """frame_id, team, player, x, y, w, h from CSVs with a team row, a player row and an attribute row.
 
-    Each entity has four columns, height, left, top and width; data begins in the fifth line; blanks count as 0; an
-    entity with a bad number or an all-zero box is skipped. Lines keep their numbers within their file.
+    The first two lines of a file whose first cell is no number name the teams and players; lines with a number there
+    are data. Each entity has four columns, height, left, top and width; blanks count as 0; an entity with a bad number
+    or an all-zero box is skipped. Files are read by lines, a large one in several tasks.
     """
-    lines = spark.read.text(path, wholetext=True).select(
+    cells = spark.read.text(path).select(
         F.input_file_name().alias("file"),
-        F.posexplode(F.split("value", r"\r?\n")).alias("line", "text")
+        F.input_file_block_start().alias("at"),
+        F.monotonically_increasing_id().alias("line"),
+        F.split("value", ",").alias("c")
     )
-    cells = lines.select("file", "line", F.split("text", ",").alias("c"))
-    head = cells.filter("line < 2").groupBy("file").agg(
-        F.max(F.when(F.col("line") == 0, F.col("c"))).alias("teams"),
-        F.max(F.when(F.col("line") == 1, F.col("c"))).alias("players")
+    frame = F.expr("try_cast(c[0] AS bigint)")
+    place = F.row_number().over(W.partitionBy("file").orderBy("at", "line"))
+    head = cells.filter(frame.isNull()).withColumn("n", place).filter("n <= 2").groupBy("file").agg(
+        F.max(F.when(F.col("n") == 1, F.col("c"))).alias("teams"),
+        F.max(F.when(F.col("n") == 2, F.col("c"))).alias("players")
     )
-    data = cells.filter("line >= 4").filter(F.size("c") > 1).join(F.broadcast(head), "file")
+    data = cells.filter(frame.isNotNull() & (F.size("c") > 1)).join(head, "file")
     entity = data.select(
         "file",
         F.expr("try_cast(c[0] AS bigint)").alias("frame_id"),
