@@ -152,3 +152,53 @@ def frame_documents(rows: DataFrame) -> DataFrame:
     """rows(frame_id, timestamp, object_id, team_id, x_pitch, y_pitch) as a document for each frame."""
     p = F.struct("object_id", "team_id", "x_pitch", "y_pitch")
     return rows.groupBy("frame_id", "timestamp").agg(F.array_sort(F.collect_list(p)).alias("players")).withColumn("num_players", F.size("players"))
+
+
+def write_event_tags(events: DataFrame, path: str, source: str = "auto") -> None:
+    """Events as tags of an annotation file, at their first frame, with confidence and players as attributes."""
+    named = lambda name, value: F.struct(F.lit(name).alias("_name"), value.alias("_VALUE"))
+    players = F.when(F.col("player").isNotNull(), F.array(named("involved_players", F.col("player").cast("string"))))
+    confidence = F.array(named("confidence", F.format_string("%.3f", "confidence")))
+    tags = events.select(
+        F.col("type").alias("_label"),
+        F.col("start_frame").alias("_frame"),
+        F.lit(source).alias("_source"),
+        F.concat(confidence, F.coalesce(players, F.expr("cast(array() as array<struct<_name string, _VALUE string>>)"))).alias("attribute")
+    )
+    tags.write.format("xml").option("rootTag", "annotations").option("rowTag", "tag").save(path)
+
+
+def read_event_tags(spark: SparkSession, path: str) -> DataFrame:
+    """label, frame_id, source, confidence (null where it is no number) and players (as text) of an annotation file's tags."""
+    schema = "_label string, _frame long, _source string, attribute array<struct<_VALUE string, _name string>>"
+    tags = spark.read.format("xml").option("rowTag", "tag").schema(schema).load(path)
+    return tags.select(
+        F.col("_label").alias("label"),
+        F.col("_frame").alias("frame_id"),
+        F.col("_source").alias("source"),
+        F.expr("try_cast(try_element_at(filter(attribute, a -> a._name = 'confidence'), 1)._VALUE AS double)").alias("confidence"),
+        F.expr("try_element_at(filter(attribute, a -> a._name = 'involved_players'), 1)._VALUE").alias("players")
+    )
+
+
+def summary_document(frames: DataFrame, teams_known: bool, length: float = 105.0, width: float = 68.0) -> DataFrame:
+    """One row: how many frames there are, whether teams were told apart, and the pitch's size."""
+    pitch = F.struct(F.lit(length).alias("length"), F.lit(width).alias("width")).alias("pitch_dimensions")
+    return frames.agg(F.countDistinct("frame_id").alias("total_frames")).select("total_frames", F.lit(teams_known).alias("team_clusterer_trained"), pitch)
+
+
+def landmark_document(keypoints: DataFrame, selected: DataFrame) -> DataFrame:
+    """One row of statistics of keypoints(frame_id, type) and of those selected: over frames, and over frames by type."""
+    def spread(df: DataFrame, n: str, *more) -> DataFrame:
+        return df.agg(F.avg(n).alias("mean"), F.median(n).alias("median"), F.min(n).alias("min"), F.max(n).alias("max"), *more)
+
+    size = F.count(F.lit(1))
+    frames = keypoints.groupBy("frame_id").agg(size.alias("found")).join(selected.groupBy("frame_id").agg(size.alias("taken")), "frame_id", "left")
+    frames = frames.withColumn("taken", F.coalesce("taken", F.lit(0)))
+    types = spread(keypoints.groupBy("type", "frame_id").agg(size.alias("n")).groupBy("type"), "n", F.sum("n").alias("total"))
+    by_type = F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", F.struct("mean", "median", "min", "max", "total")))))
+    one = lambda df, name: df.select(F.struct(*df.columns).alias(name))
+    whole = frames.agg(size.alias("total_frames"))
+    for n, name in (("found", "landmarks_detected"), ("taken", "landmarks_selected")):
+        whole = whole.join(one(spread(frames.groupBy(), n, F.stddev_pop(n).alias("std")), name))  # one row each
+    return whole.join(types.agg(by_type.alias("by_type_average")))

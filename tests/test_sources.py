@@ -184,3 +184,34 @@ def test_event_document_keeps_locations(spark, tmp_path):
     back = {r.id: r for r in R.read_events(spark, str(tmp_path / "ev")).collect()}
     assert all(back[r.id].start_location == r.start_location and back[r.id].end_location == r.end_location for r in ev.collect())
     assert "event_locations" in registry.ORACLE_SQL
+
+
+def test_event_tags(spark, tmp_path):
+    rows = [("pass", 3, 7, 0.25), ("shot", 9, None, 1.0)]
+    R.write_event_tags(spark.createDataFrame(rows, "type string, start_frame long, player long, confidence double"), str(tmp_path / "tags"))
+    got = sorted(map(tuple, R.read_event_tags(spark, str(tmp_path / "tags")).collect()))
+    assert got == [("pass", 3, "auto", 0.25, "7"), ("shot", 9, "auto", 1.0, None)]
+
+
+def test_documents(spark):
+    points = spark.createDataFrame([(1, "goal"), (1, "goal"), (1, "corner"), (2, "corner")], "frame_id long, type string")
+    doc = R.landmark_document(points, points.filter("frame_id = 1 AND type = 'goal'")).first()
+    assert doc.total_frames == 2 and doc.landmarks_detected.mean == 2.0 and doc.landmarks_detected.std == 1.0
+    assert (doc.landmarks_selected.min, doc.landmarks_selected.max) == (0, 2)
+    assert doc.by_type_average["goal"].asDict() == {"mean": 2.0, "median": 2.0, "min": 2, "max": 2, "total": 2}
+    assert doc.by_type_average["corner"].total == 2
+    summary = R.summary_document(points, True).first()
+    assert summary.total_frames == 2 and summary.team_clusterer_trained and summary.pitch_dimensions.width == 68.0
+    frames = R.frame_documents(spark.createDataFrame([(1, 0.5, 7, -1, 1.0, 2.0), (1, 0.5, 3, 0, 1.5, 2.5)], "frame_id long, timestamp double, object_id long, team_id long, x_pitch double, y_pitch double"))
+    assert [p.object_id for p in frames.first().players] == [3, 7] and frames.first().num_players == 2
+    images = spark.createDataFrame([(0, 2, "b.jpg"), (0, 1, "a.jpg")], "source int, id long, file_name string")
+    boxes = spark.createDataFrame([(0, 1, 2)], "source int, id long, image_id long")
+    coco = R.coco_document(images, boxes, spark.createDataFrame([(0, 1, "player")], "source int, id long, name string")).first()
+    assert [i.file_name for i in coco.images] == ["a.jpg", "b.jpg"] and coco.annotations[0].image_id == 2 and coco.categories[0].name == "player"
+
+
+def test_track_numbers(spark):
+    from fieldglass.functions import labels as L
+
+    got = spark.createDataFrame([("pass_7",), ("pass_7",), ("shot_9",)], "id string").select(L.track_number(F.col("id")).alias("n")).collect()
+    assert got[0].n == got[1].n != got[2].n and all(0 <= r.n < 1_000_000 for r in got)
