@@ -15,7 +15,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -62,9 +62,23 @@ DIGIT_WORDS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+
+
+def trie(words: Iterable[str]) -> str:
+    """A pattern for any of the words that reads a common beginning once."""
+    ends, after = "" in words, {}
+    for w in words:
+        if w:
+            after.setdefault(w[0], []).append(w[1:])
+    ways = "|".join(re.escape(c) + trie(rest) for c, rest in sorted(after.items()))
+    return f"(?:{ways})?" if ends and ways else f"(?:{ways})" if ways else ""
+
+
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 #: A run of three or more spelled digits, with single spaces, commas or hyphens between; "plus" may lead.
 SPELLED = re.compile(rf"(?<!\w)(?:plus[ ,-]{{1,2}})?(?:(?:{_WORD}|[0-9])[ ,-]{{1,2}}){{2,}}(?:{_WORD}|[0-9])(?!\w)", re.I)
+#: What any such run holds, in lower case: two of its digits and what stands before them. A cheap test for the few texts with runs.
+SPELLED_HINT = re.compile(rf"[ ,-](?:{trie(DIGIT_WORDS)}|[0-9])[ ,-]{{1,2}}(?:{trie(DIGIT_WORDS)}|[0-9])(?!\w)")
 SPELLED_PART = re.compile(rf"plus|{_WORD}|[0-9]|[ ,-]+", re.I)
 _AT, _DOT = "at|arroba", "dot|punkt|point|punto"
 #: A bracketed "at" or "dot", as a word or a sign.
@@ -136,26 +150,31 @@ def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
 def characters(text: str) -> list[tuple[int, int, str]]:
     """(start, end, replacement) of look-alike characters and spelled digits."""
     found = [] if text.isascii() else [(m.start(), m.end(), GLYPHS[m[0]]) for m in GLYPH.finditer(text)]
-    for m in SPELLED.finditer(text):
-        found += _spelled(m)
+    if SPELLED_HINT.search(text.casefold()):
+        for m in SPELLED.finditer(text):
+            found += _spelled(m)
     return found
 
 
 def ats_and_dots(text: str) -> list[tuple[int, int, str]]:
     """(start, end, replacement) of disguised "at" and "dot"."""
-    found = []
+    found, low = [], text.casefold()
     brackets = "[" in text or "(" in text or "{" in text or "<" in text
-    ats = [m.end() for m in re.finditer("@", text)]
+    bare_at, bare_dot = (any(f" {w} " in low for w in words.split("|")) for words in (_AT, _DOT))
+    if not (brackets or bare_at or bare_dot):
+        return found
+    ats = [m.end() for m in re.finditer("@", text)] if "@" in text else []
     if brackets:
         for m in BRACKET.finditer(text):
             found.append((m.start(), m.end(), "@" if m["at"] else "."))
             if m["at"]:
                 ats.append(m.end())
-    for m in BARE_AT.finditer(text):
-        if HOST.match(text, m.end()):
-            found.append((m.start(), m.end(), "@"))
-            ats.append(m.end())
-    if not brackets and not DOT.search(text):
+    if bare_at:
+        for m in BARE_AT.finditer(text):
+            if HOST.match(text, m.end()):
+                found.append((m.start(), m.end(), "@"))
+                ats.append(m.end())
+    if not (brackets or bare_dot):
         return found
     for at in ats:
         if m := HOST.match(text, at):
