@@ -95,7 +95,7 @@ def fingerprint_documents(docs: DataFrame, rows_each: int = 200) -> DataFrame:
 
     A document's neighbour is the next one by descending doc_id. Rows are dealt to intervals of doc_id between
     percentiles, of about ``rows_each`` rows (more, if that takes over MOST_INTERVALS); the first row of each interval
-    also goes to the interval that needs it, so that each text is shuffled once.
+    also goes to the interval that needs it, so that each text is shuffled once, before it is hashed.
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -118,7 +118,7 @@ def fingerprint_documents(docs: DataFrame, rows_each: int = 200) -> DataFrame:
     heads = keyed.join(F.broadcast(numbered), ["_b", "_k", "_m"]).dropDuplicates(["_b"])
     heads = heads.select(F.col("_to").alias("_b"), "doc_id", "text", "_t", F.lit(1).alias("_head"))
     rows = own.select("_b", "doc_id", "text", "_t", F.lit(0).alias("_head")).unionByName(heads)
-    rows = rows.withColumn("_s", kept_hashes(F.col("text")))
+    rows = rows.repartition("_b").withColumn("_s", kept_hashes(F.col("text")))  # texts are shuffled, not their hashes
     order = W.partitionBy("_b").orderBy("_head", F.col("doc_id").desc(), F.col("_t").desc())
     near = rows.withColumn("_n", F.lead(F.struct("text", "_s")).over(order)).filter("_head = 0")
     third = F.floor(F.length("text") / 3).cast("int")
