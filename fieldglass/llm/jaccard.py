@@ -252,6 +252,48 @@ def _still_open(left: DataFrame, num: int, den: int) -> DataFrame:
     return alive.join(mixed.select("token"), "token")
 
 
+def linked_components(open_: DataFrame, segments: DataFrame, num: int, den: int, tmp: Scratch, first_pivots: int = 1, growth: int = 16) -> DataFrame | None:
+    """(node, component) of the nodes that links connect with a smaller one; null where no bucket holds two nodes.
+
+    open_(token, node, n, r, comp) are the buckets, as a table of tmp: r bounds what a node of n shingles can share
+    with others by its bucket, comp is its label. segments(node, fragment, segment) are the sets.
+    """
+    links = tmp.save(open_.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "links")
+    done, labels, pivots = None, None, first_pivots
+    while not open_.isEmpty():
+        led = open_ if done is None else open_.filter("apart")
+        best = F.struct((F.col("n") - F.col("r")).alias("w"), "node", "n", "r", "comp")
+        salted = led.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(pivots)))
+        lead = tmp.save(salted.groupBy("token", "salt").agg(F.min(best).alias("p")).select("token", "p"), "pivots")
+        pairs = _candidates(open_, lead, num, den).distinct()
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = tmp.save(pairs, "pairs")
+        done = pairs.select("a", "b") if done is None else done.unionAll(pairs.select("a", "b"))
+        links = links.unionAll(tmp.save(_verify(pairs, segments, num, den), "links"))
+        labels = tmp.save(_labels(links, _labels(links, labels)), "labels")
+        left = open_.join(lead.select("token", F.col("p.node").alias("node")), ["token", "node"], "left_anti")
+        left = left.select("token", "node", "n", "r").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
+        left = tmp.save(left.drop("label"), "left")
+        last, open_ = open_, tmp.save(_still_open(left, num, den), "buckets")
+        tmp.drop(last, left, lead)
+        tmp.settle()
+        pivots *= growth
+    return None if done is None else tmp.save(connected_components(links, tmp), "components")
+
+
+def grouped(members: DataFrame, comps: DataFrame | None, tmp: Scratch) -> DataFrame:
+    """members(doc_id, row, n, key, tag) -> doc_id, n_shingles, component_id, component, tag; equal keys are one node, that of the least row."""
+    classes = members.filter("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_doc"))
+    named = classes if comps is None else classes.join(comps, "node", "left")
+    named = tmp.save(named.withColumn("component", F.coalesce("component", "node") if comps is not None else F.col("node")), "classes")
+    top = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    by_key = named.join(top, "component").select("key", "component_id", "component")
+    out = members.join(by_key, "key", "left")
+    group = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), group.alias("component_id"), "component", "tag")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), tag: Column | None = None, first_pivots: int = 1) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, component, tag, with links where overlap / union >= threshold.
 
@@ -277,7 +319,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     tmp.drop(lots)
     del lots, node
     tmp.settle()
-    classes = members.filter("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_doc"))
 
     prefix = F.slice("tokens", F.lit(1), F.col("s") - F.ceil(F.col("n") * num / den).cast("int") + 1)
     tokens = nodes.select("node", "n", "s", F.posexplode(prefix).alias("at", "token"))
@@ -292,33 +333,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     tmp.drop(nodes)
     del nodes, tokens, common
     tmp.settle()
-    links = tmp.save(open_.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "links")
-    done, labels, pivots = None, None, first_pivots
-    while not open_.isEmpty():
-        led = open_ if done is None else open_.filter("apart")
-        best = F.struct((F.col("n") - F.col("r")).alias("w"), "node", "n", "r", "comp")
-        salted = led.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(pivots)))
-        lead = tmp.save(salted.groupBy("token", "salt").agg(F.min(best).alias("p")).select("token", "p"), "pivots")
-        pairs = _candidates(open_, lead, num, den).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = tmp.save(pairs, "pairs")
-        done = pairs.select("a", "b") if done is None else done.unionAll(pairs.select("a", "b"))
-        links = links.unionAll(tmp.save(_verify(pairs, segments, num, den), "links"))
-        labels = tmp.save(_labels(links, _labels(links, labels)), "labels")
-        left = open_.join(lead.select("token", F.col("p.node").alias("node")), ["token", "node"], "left_anti")
-        left = left.select("token", "node", "n", "r").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
-        left = tmp.save(left.drop("label"), "left")
-        last, open_ = open_, tmp.save(_still_open(left, num, den), "buckets")
-        tmp.drop(last, left, lead)
-        tmp.settle()
-        pivots *= 16
-    comps = None if done is None else tmp.save(connected_components(links, tmp), "components")
+    comps = linked_components(open_, segments, num, den, tmp, first_pivots)
 
-    named = classes if comps is None else classes.join(comps, "node", "left")
-    named = tmp.save(named.withColumn("component", F.coalesce("component", "node") if comps is not None else F.col("node")), "classes")
-    top = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    by_key = named.join(top, "component").select("key", "component_id", "component")
-    out = members.join(by_key, "key", "left")
-    group = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), group.alias("component_id"), "component", "tag")
+    return grouped(members, comps, tmp)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, packing, pii, quality, sharding, sketch, suffix_dedup, token_store
+from . import conversations, jaccard, langid, mixing, oracle, packing, pii, quality, runs, sharding, sketch, suffix_dedup, superminhash, token_store
 from .common import documents
 
 
@@ -55,6 +56,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.collapse_runs(documents(spark, sf_dir)).withColumn("collapsed_sha256", F.sha2("collapsed", 256)).drop("collapsed")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(documents(spark, sf_dir), 5, (85, 100)).drop("component", "tag")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -66,5 +79,13 @@ QUERIES = {
     "op9_language": op9_language,
     "op8_fingerprints": op8_fingerprints,
     "op10_mixing": op10_mixing,
+    "op11_runs": op11_runs,
+    "op12_conversations": op12_conversations,
+    "op13_superminhash": op13_superminhash,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_jaccard": oracle.groups(4, ""),
+    "op11_runs": oracle.RUNS,
+    "op12_conversations": oracle.CONVERSATIONS,
+    "op13_superminhash": oracle.groups(5, ", doc_id = component_id AS kept"),
 }
-ORACLE_SQL: dict[str, str] = {}
