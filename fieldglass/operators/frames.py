@@ -41,6 +41,21 @@ def with_previous(df: DataFrame, keys: list[str], order: str, columns: dict[str,
     return inside.join(ends, [*keys, "_b"]).select(*df.columns, *[p[c].alias(n) for c, n in columns.items()])
 
 
+def running_sums(df: DataFrame, keys: list[str], order: str, columns: dict[str, str], width: int = 100_000) -> DataFrame:
+    """df with the sums of the columns over the rows up to this one in ``order`` among equal keys, under the new names.
+
+    As in with_previous, the order is cut into intervals, whose totals are summed in a table with a row for each.
+    """
+    b = F.floor(F.col(order) / width)
+    cut = df.withColumn("_b", b)
+    within = W.partitionBy(*keys, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = cut.withColumns({f"_{n}": F.sum(c).over(within) for c, n in columns.items()})
+    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    totals = cut.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t{n}") for c, n in columns.items()])
+    totals = totals.select(*keys, "_b", *[F.coalesce(F.sum(f"_t{n}").over(before), F.lit(0)).alias(f"_t{n}") for n in columns.values()])
+    return inside.join(totals, [*keys, "_b"]).select(*df.columns, *[(F.col(f"_{n}") + F.col(f"_t{n}")).alias(n) for n in columns.values()])
+
+
 def moves(fr: DataFrame) -> DataFrame:
     """Frames with the previous frame, its ball and players, and the ball's speed since."""
     before = {"frame_id": "prev_frame", "ts": "prev_ts", "ball_x": "prev_x", "ball_y": "prev_y", "players": "prev_players"}

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import written
 from . import walk
+from .frames import running_sums, with_previous
 
 
 def sessions(df: DataFrame, keys: list[str], order: str, cut: Column) -> DataFrame:
@@ -19,9 +21,9 @@ def sessions(df: DataFrame, keys: list[str], order: str, cut: Column) -> DataFra
     return df.withColumn("session", F.sum(F.when(cut, 1).otherwise(0)).over(w).cast("long"))
 
 
-def incarnations(df: DataFrame, track: str, order: str, gap: int = 11) -> DataFrame:
+def incarnations(df: DataFrame, track: str | list[str], order: str, gap: int = 11) -> DataFrame:
     """df with ``incarnation``: a track that was away for more than ``gap`` updates begins anew."""
-    w = W.partitionBy(track).orderBy(order)
+    w = W.partitionBy(*([track] if isinstance(track, str) else track)).orderBy(order)
     new = F.when(F.col(order) - F.lag(order).over(w) > gap, 1).otherwise(0)
     return df.withColumn("_new", new).withColumn(
         "incarnation",
@@ -122,28 +124,97 @@ def ball_verdicts(df: DataFrame, track: list[str], order: str, least: int = 5, l
     return n.join(first, track, "left").withColumn("status", F.when(F.col("_n") < least, "pending").otherwise(F.col("_v"))).drop("_n", "_v")
 
 
-def associate(det: DataFrame, match: str = "match_id", high: float = 0.5, low: float = 0.1, iou: float = 0.3, buffer: int = 30) -> DataFrame:
+def islands(det: DataFrame, match: str = "match_id", low: float = 0.1, buffer: int = 30, cut: str | None = None) -> DataFrame:
+    """(match, frame_id, tick, session, island) of the frames that hold a box of confidence ``low`` or more.
+
+    tick counts a match's frames with any box, as a tracker counts its updates; session counts the scene cuts up to the
+    frame. No track lives over a cut, nor over more than ``buffer`` updates without such a box, so a new island begins
+    there: islands can be tracked apart from each other. Counters run over intervals of frames, not over whole matches.
+    """
+    cuts = F.lit(0) if cut is None else F.max(F.coalesce(F.col(cut), F.lit(False)).cast("int"))
+    live = F.max((F.coalesce(F.col("confidence"), F.lit(0.0)) >= low).cast("int"))
+    fr = det.groupBy(match, "frame_id").agg(live.alias("live"), cuts.cast("long").alias("cut"), F.lit(1).cast("long").alias("one"))
+    fr = running_sums(fr, [match], "frame_id", {"one": "tick", "cut": "session"}).filter("live = 1").select(match, "frame_id", "tick", "session")
+    fr = with_previous(fr, [match], "frame_id", {"tick": "last_tick", "session": "last_session"})
+    new = F.coalesce((F.col("tick") - F.col("last_tick") > buffer) | (F.col("session") != F.col("last_session")), F.lit(True))
+    fr = fr.withColumn("new", new.cast("long")).drop("last_tick", "last_session")
+    return running_sums(fr, [match], "frame_id", {"new": "island"}).drop("new")
+
+
+def associate(
+    det: DataFrame,
+    match: str = "match_id",
+    high: float = 0.5,
+    low: float = 0.1,
+    iou: float = 0.3,
+    buffer: int = 30,
+    cut: str | None = None
+) -> DataFrame:
     """det with ``track_id``: two-stage IoU association, confident boxes first, then the rest with tracks left over.
 
-    Frames of a match come sorted in Arrow batches and are walked with the open tracks as the only state; matches run in
-    parallel.
+    cut names a column that is true for boxes of a frame at which a new scene begins: open tracks end there. Islands of
+    a match (see islands) are walked in parallel, each in frame order with its open tracks as the only state; track
+    numbers count on from island to island, so they are those of one walk over the match. Boxes without a track are
+    left out.
     """
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in det.schema.fields)}, track_id long"
+    tracked = walked(det, islands(det, match, low, buffer, cut), match, high, low, iou, buffer)
+    return tracked.select(*det.columns, "track_id")
+
+
+def walked(det: DataFrame, frames: DataFrame, match: str, high: float, low: float, iou: float, buffer: int) -> DataFrame:
+    """det with tick, session and track_id, from the islands of its frames."""
+    at = frames.withColumnsRenamed({match: "_match", "frame_id": "_frame"})
+    det = det.join(at, (det[match] == at["_match"]) & (det["frame_id"] == at["_frame"])).drop("_match", "_frame")
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in det.schema.fields)}, number long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, tracker = None, Tracker(high, low, iou, buffer)
-        for pdf, at in walk.groups(batches, [match, "frame_id"]):
+        for pdf, at in walk.groups(batches, [match, "island", "frame_id"]):
             box = pdf[["x", "y", "w", "h"]].to_numpy(float)
-            conf, cls, of = pdf["confidence"].to_numpy(), pdf["class_id"].to_numpy(), pdf[match].to_numpy()
+            conf, cls, tick = pdf["confidence"].to_numpy(), pdf["class_id"].to_numpy(), pdf["tick"].to_numpy()
+            of = list(zip(pdf[match].to_numpy()[at[:-1]].tolist(), pdf["island"].to_numpy()[at[:-1]].tolist(), strict=True))
             out = np.full(len(pdf), -1, np.int64)
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if of[a] != now:
-                    now, tracker = of[a], Tracker(high, low, iou, buffer)
-                out[a:b] = tracker.frame(box[a:b], conf[a:b], cls[a:b])
-            yield pdf.assign(track_id=out)[out >= 0]
-
-    dealt = det.repartition(match).sortWithinPartitions(match, "frame_id", walk.descending("confidence"), "det_id")
-    return dealt.mapInPandas(run, schema)
+            for a, b, island in zip(at[:-1].tolist(), at[1:].tolist(), of, strict=True):
+                if island != now:
+                    now, tracker = island, Tracker(high, low, iou, buffer)
+                out[a:b] = tracker.frame(box[a:b], conf[a:b], cls[a:b], int(tick[a]))
+            yield pdf.assign(number=out)[out >= 0]
+
+    dealt = det.repartition(match, "island").sortWithinPartitions(match, "island", "frame_id", walk.descending("confidence"), "det_id")
+    local = written(dealt.mapInPandas(run, schema), "tracks")
+    born = local.groupBy(match, "island").agg(F.max("number").alias("born"))
+    before = running_sums(born, [match], "island", {"born": "upto"}).select(F.col(match).alias("_match"), F.col("island").alias("_island"), (F.col("upto") - F.col("born")).alias("before"))
+    out = local.join(before, (local[match] == before["_match"]) & (local["island"] == before["_island"]))
+    return out.select(*[local[c] for c in det.columns if c != "island"], (F.col("number") + F.col("before")).alias("track_id"))
+
+
+def validated_balls(
+    det: DataFrame,
+    match: str = "match_id",
+    high: float = 0.5,
+    low: float = 0.1,
+    iou: float = 0.3,
+    buffer: int = 30,
+    cut: str | None = None,
+    ball: int = 1,
+    least: int = 5,
+    limit: float = 0.15
+) -> DataFrame:
+    """Associated boxes with ``status``: of balls pending, valid or noise (see ball_verdicts), of others null.
+
+    A ball's points count by the tracker's updates since the last scene cut. A track that comes back after more than
+    eleven updates is judged anew; one that is cut off by a scene can't come back.
+    """
+    tracked = walked(det, islands(det, match, low, buffer, cut), match, high, low, iou, buffer)
+    balls = tracked.filter(F.col("class_id") == ball)
+    centre = {"_x": F.col("x") + F.col("w") / 2, "_y": F.col("y") + F.col("h") / 2}
+    points = incarnations(balls.withColumns(centre), [match, "track_id"], "tick")
+    points = points.select(match, "track_id", "incarnation", "tick", "frame_id", "det_id", F.col("_x").alias("x"), F.col("_y").alias("y"))
+    judged = ball_verdicts(points, [match, "track_id", "incarnation"], "tick", least, limit).select(match, "frame_id", "det_id", "status")
+    others = tracked.filter(F.coalesce(F.col("class_id") != ball, F.lit(True)))
+    return balls.join(judged, [match, "frame_id", "det_id"]).select(*det.columns, "track_id", "status").unionByName(
+        others.select(*det.columns, "track_id", F.lit(None).cast("string").alias("status"))
+    )
 
 
 class Tracker:
@@ -154,9 +225,14 @@ class Tracker:
         self.open: dict[int, tuple[np.ndarray, int, int]] = {}
         self.number, self.tick = 0, 0
 
-    def frame(self, box: np.ndarray, conf: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """Track ids of the boxes of the next frame, by falling confidence; -1 for boxes without one."""
+    def cut(self) -> None:
+        """A new scene: open tracks end; numbers go on."""
+        self.open = {}
+
+    def frame(self, box: np.ndarray, conf: np.ndarray, cls: np.ndarray, tick: int | None = None) -> np.ndarray:
+        """Track ids of the boxes of the next frame (or of update number ``tick``), by falling confidence; -1 for boxes without one."""
         out = np.full(len(box), -1, np.int64)
+        self.tick = self.tick if tick is None else tick
         self.open = {k: v for k, v in self.open.items() if self.tick - v[2] <= self.buffer}
         free = set(self.open)
         for stage in (conf >= self.high, (conf < self.high) & (conf >= self.low)):

@@ -112,8 +112,18 @@ def ball_status(spark, d):
     return O.ball_verdicts(t, ["track_id"], "n").select("track_id", "n", "status")
 
 
+def _scenes(spark, d):
+    """Detections of one match, with a scene cut at each 250th frame number."""
+    return detections(spark, d).withColumn("cut", F.col("frame_id") % 250 == 0)
+
+
 @query()
 def associated_tracks(spark, d):
-    """Track ids by two-stage overlap association; a hundredth of the frames is a match."""
-    det = detections(spark, d).withColumn("match_id", F.col("frame_id") % 100)
-    return O.associate(det).select("frame_id", "det_id", "track_id")
+    """Track ids by two-stage overlap association of one match, its scenes in parallel."""
+    return O.associate(_scenes(spark, d), cut="cut").select("frame_id", "det_id", "track_id")
+
+
+@query()
+def validated_balls(spark, d):
+    """Associated boxes, the balls' tracks judged by their trajectories."""
+    return O.validated_balls(_scenes(spark, d), cut="cut", buffer=60).select("frame_id", "det_id", "track_id", "status")

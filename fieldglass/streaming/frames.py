@@ -1,13 +1,9 @@
-"""Structured Streaming: watched folders, running counts, per-track state and checkpointed event files."""
+"""Structured Streaming: watched folders, running counts, rows taken once and event files."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 DETECTIONS = "match_id long, frame_id long, det_id long, class_id int, confidence double, x double, y double, w double, h double, ts double"
 
@@ -18,8 +14,12 @@ def watch(spark: SparkSession, folder: str, schema: str = DETECTIONS, fmt: str =
 
 
 def event_time(detections: DataFrame, late_seconds: int = 0) -> DataFrame:
-    """detections with ``time`` from the seconds in ts, and a watermark on it."""
-    return detections.withColumn("time", F.timestamp_seconds("ts")).withWatermark("time", f"{late_seconds} seconds")
+    """detections with ``time`` from the seconds in ts, counted from the year 2000, and a watermark on it.
+
+    A stream's watermark begins at the epoch, and a row at the watermark is late: seconds counted from there would lose
+    a match's first frame.
+    """
+    return detections.withColumn("time", F.timestamp_seconds(F.col("ts") + 946_684_800)).withWatermark("time", f"{late_seconds} seconds")
 
 
 def frame_counts(detections: DataFrame, seconds: int = 10) -> DataFrame:
@@ -34,45 +34,6 @@ def once_each(metrics: DataFrame, keys: list[str], time: str = "time", late: str
     return metrics.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def track_status(points: DataFrame, size: int = 30, least: int = 5, gap: int = 11, idle_seconds: int = 3600) -> DataFrame:
-    """points(track_id, n, y) -> track_id, n, incarnation, points, status: the history of each track as its state.
-
-    The last ``size`` points are kept; a point over ``gap`` updates after the last begins a new incarnation; status is
-    pending before the ``least``-th point, then fixed: steady if the points' range is under 90, else wild. Points of a
-    batch are taken in order. A point that isn't after the track's last is late: it gets that status and leaves the
-    history alone. A track without points for ``idle_seconds`` is forgotten.
-    """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times, values, born, status = state.get if state.exists else ([], [], 0, "pending")
-        times, values = list(times), list(values)
-        out = []
-        rows = pd.concat(list(batches)).sort_values("n", kind="stable")
-        for n, y in zip(rows["n"].tolist(), rows["y"].tolist(), strict=True):
-            if times and n <= times[-1]:
-                out.append((key[0], n, born, len(times), "late"))
-                continue
-            if times and n - times[-1] > gap:
-                times, values, born, status = [], [], born + 1, "pending"
-            times, values = [*times, n][-size:], [*values, y][-size:]
-            if status == "pending" and len(times) >= least:
-                status = "steady" if max(values) - min(values) < 90 else "wild"
-            out.append((key[0], n, born, len(times), status))
-        state.update((times, values, born, status))
-        state.setTimeoutDuration(idle_seconds * 1000)
-        yield pd.DataFrame(out, columns=["track_id", "n", "incarnation", "points", "status"])
-
-    return points.groupBy("track_id").applyInPandasWithState(
-        step,
-        "track_id long, n long, incarnation int, points int, status string",
-        "times array<long>, ys array<double>, born int, status string",
-        "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
-    )
-
-
 def write_event_files(events: DataFrame, folder: str, checkpoint: str):
     """Each batch with events becomes files under its own number; a batch that is repeated writes the same folder."""
     def save(batch: DataFrame, number: int) -> None:

@@ -129,29 +129,6 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     assert tuple(got) == (20, 20)
 
 
-def test_stream_state_and_files(spark, tmp_path):
-    pts = [{"track_id": 1, "n": n, "y": float(n)} for n in (1, 2, 3, 4, 5, 6, 30, 31, 3, 32)]
-    for k, some in enumerate((pts[:4], pts[4:8], pts[8:])):
-        path = put(tmp_path, f"a/{k}.json", "\n".join(json.dumps(p) for p in some))
-        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))  # files are read in the order of their times
-    src = S.watch(spark, str(tmp_path / "a"), "track_id long, n long, y double", files_each=1)
-    q = S.write_event_files(S.track_status(src), str(tmp_path / "out"), str(tmp_path / "ck2"))
-    q.awaitTermination(120)
-    rows = sorted((r.n, r.incarnation, r.points, r.status) for r in spark.read.json(str(tmp_path / "out")).collect())
-    assert rows == [
-        (1, 0, 1, "pending"),
-        (2, 0, 2, "pending"),
-        (3, 0, 3, "pending"),
-        (3, 1, 2, "late"),
-        (4, 0, 4, "pending"),
-        (5, 0, 5, "steady"),
-        (6, 0, 6, "steady"),
-        (30, 1, 1, "pending"),
-        (31, 1, 2, "pending"),
-        (32, 1, 3, "pending")
-    ]
-
-
 def test_stream_once_each(spark, tmp_path):
     rows = [{"run": "a", "epoch": e, "time": f"2024-01-01T00:0{e}:00Z"} for e in (1, 2, 1, 3, 2)]
     for k, r in enumerate(rows):
