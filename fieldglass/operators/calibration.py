@@ -8,33 +8,83 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from . import cluster, robust
+from . import cluster, landmarks, robust
 from .walk import made
 
 
+def homography_of(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray) -> list[float] | None:
+    """Nine numbers of the homography that takes (x, y) to (px, py), by least squares (DLT); null for under four points.
+
+    Both sides are moved to their centre and scaled first, so that pixels and metres weigh alike.
+    """
+    if len(x) < 4:
+        return None
+
+    def norm(u, v):
+        s = np.hypot(u - u.mean(), v - v.mean()).mean() or 1.0
+        m = np.array([[1 / s, 0, -u.mean() / s], [0, 1 / s, -v.mean() / s], [0, 0, 1]])
+        return m, m[0, 0] * u + m[0, 2], m[1, 1] * v + m[1, 2]
+
+    (a, x, y), (b, px, py) = norm(x, y), norm(px, py)
+    one, zero = np.ones(len(x)), np.zeros(len(x))
+    rows = [np.stack([x, y, one, zero, zero, zero, -px * x, -px * y, -px], 1), np.stack([zero, zero, zero, x, y, one, -py * x, -py * y, -py], 1)]
+    h = np.linalg.inv(b) @ np.linalg.svd(np.concatenate(rows))[2][-1].reshape(3, 3) @ a
+    return (h / h[2, 2] if abs(h[2, 2]) > 1e-12 else h).ravel().tolist()
+
+
 def fit_homographies(points: DataFrame, key: str) -> DataFrame:
     """key, homography (nine numbers) from four or more correspondences x, y -> px, py of each key, by least squares (DLT)."""
     def fit(x, y, px, py) -> list[tuple]:
-        if len(x) < 4:
-            return []
-        one, zero = np.ones(len(x)), np.zeros(len(x))
-        a = np.concatenate(
-            [np.stack([x, y, one, zero, zero, zero, -px * x, -px * y, -px], 1), np.stack([zero, zero, zero, x, y, one, -py * x, -py * y, -py], 1)]
-        )
-        h = np.linalg.svd(a)[2][-1]
-        return [((h / h[8] if abs(h[8]) > 1e-12 else h).tolist(),)]
+        h = homography_of(x, y, px, py)
+        return [] if h is None else [(h,)]
 
     return made(points, [key], ["x", "y"], ["x", "y", "px", "py"], fit, f"{key} long, homography array<double>")
 
 
+def frozen_homographies(keypoints: DataFrame, frames: int = 10, w: float = 1920, h: float = 1080) -> DataFrame:
+    """(match_id, homography, frozen_at): from the averaged landmarks of a match's first ``frames`` frames, for good.
+
+    frozen_at is the last of these frames. A match with fewer frames or under four landmarks has no row.
+    """
+    first = first_frames(keypoints.select("match_id", "frame_id").distinct(), ["match_id"], "frame_id", frames)
+    last = first.groupBy("match_id").agg(F.max("frame_id").alias("frozen_at"))
+    points = landmarks.averaged(keypoints.join(first, ["match_id", "frame_id"]), ["match_id"], ["frame_id", "det_id"], frames, w, h)
+    return fit_homographies(points, "match_id").join(last, "match_id")
+
+
+def calibrated(det: DataFrame, homographies: DataFrame, frames: int = 15, least: int = 10, width: float = 68.0) -> DataFrame:
+    """det(match_id, frame_id, x, y: points in the image) with px, py and ``model``: how they were mapped.
+
+    First pass: frames before a match's freeze by the size of the image alone (``fallback``), the others by its
+    homography (``frozen``). Second pass: if the height that the first ``frames`` frames span is off by over 5 %, all rows
+    are mapped by the homography and stretched to the pitch's width (``refined``).
+    """
+    fx, fy = G.pixel_to_pitch("x", "y")
+    at = det.join(homographies, "match_id", "left")
+    hx, hy = G.homography(F.col("homography"), "x", "y")
+    frozen = F.coalesce(F.col("frame_id") >= F.col("frozen_at"), F.lit(False))
+    once = at.select(
+        *det.columns, "homography", hx.alias("_hx"), hy.alias("_hy"), frozen.alias("_frozen"),
+        F.when(frozen, hx).otherwise(fx).alias("px"), F.when(frozen, hy).otherwise(fy).alias("py"),
+    )
+    first = first_frames(det.select("match_id", "frame_id").distinct(), ["match_id"], "frame_id", frames)
+    span = once.join(first, ["match_id", "frame_id"]).groupBy("match_id").agg(F.count("py").alias("n"), (F.max("py") - F.min("py")).alias("span"))
+    k = robust.y_scale(F.col("n"), F.col("span"), width, least)
+    scale = span.select("match_id", F.when(F.abs(k - 1) > 0.05, k).alias("scale"))
+    out = once.join(scale, "match_id", "left")
+    refined = F.col("scale").isNotNull() & F.col("homography").isNotNull()
+    px, py = F.when(refined, F.col("_hx")).otherwise(F.col("px")), F.when(refined, F.col("_hy") * F.col("scale")).otherwise(F.col("py"))
+    model = F.when(refined, "refined").when(F.col("_frozen"), "frozen").otherwise("fallback")
+    return out.select(*det.columns, px.alias("px"), py.alias("py"), model.alias("model"))
+
+
 def recalibrated(pos: DataFrame, frames: int = 15, least: int = 10, width: float = 68.0) -> DataFrame:
     """pos(match_id, frame_id, py, ...) with py on the scale that each match's first frames give.
 
     First pass: the range of py over the first ``frames`` frames. Second pass: all rows, if the scale is off by over 5 %.
     """
-    number = pos.select("match_id", "frame_id").distinct()
-    n = number.groupBy("match_id").agg(F.slice(F.array_sort(F.collect_set("frame_id")), 1, frames).alias("f")).filter(F.size("f") >= frames)
-    first = pos.join(n.select("match_id", F.explode("f").alias("frame_id")), ["match_id", "frame_id"])
+    n = first_frames(pos.select("match_id", "frame_id").distinct(), ["match_id"], "frame_id", frames)
+    first = pos.join(n, ["match_id", "frame_id"])
     span = first.groupBy("match_id").agg(F.count(F.lit(1)).alias("n"), (F.max("py") - F.min("py")).alias("span"))
     scale = span.select("match_id", F.coalesce(robust.y_scale(F.col("n"), F.col("span"), width, least), F.lit(1.0)).alias("scale"))
     return pos.join(scale, "match_id", "left").withColumn("py", F.col("py") * F.coalesce("scale", F.lit(1.0))).drop("scale")
@@ -160,7 +210,10 @@ def circle_y_scale(h: list[float], cx: str, cy: str, r: str, width_scale: str, r
 
 
 def first_frames(frames: DataFrame, keys: list[str], order: str, n: int = 10) -> DataFrame:
-    """The first ``n`` frames of each match, from which its homography is fitted; none of a match with fewer."""
-    g = W.partitionBy(*keys)
-    ranked = frames.withColumns({"_n": F.row_number().over(g.orderBy(order)), "_all": F.count(F.lit(1)).over(g)})
-    return ranked.filter((F.col("_n") <= n) & (F.col("_all") >= n)).drop("_n", "_all")
+    """The first ``n`` frames of each match, from which its homography is fitted; none of a match with fewer.
+
+    Each task ranks its own rows and passes on n of them for a match, so a long match isn't one task's work.
+    """
+    ranked = frames.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(order))).filter(F.col("_n") <= n)
+    full = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all")).filter(F.col("_all") == n).select(*keys)
+    return ranked.drop("_n").join(full, keys, "left_semi")

@@ -58,6 +58,34 @@ def plausible(kind: Column, x: Column, y: Column, px: Column, py: Column, w: flo
     )
 
 
+def plausible_average(kind: Column, x: Column, y: Column, px: Column, py: Column, w: float, h: float, length: float = 105.0) -> Column:
+    """As plausible, with the wider bounds for landmarks averaged over frames; false outside the image."""
+    corner = ((x < w * 0.4) | (x > w * 0.6)) & ((y < h * 0.4) | (y > h * 0.6))
+    fits = (
+        F.when(kind == "goal", ((x < w * 0.35) | (x > w * 0.65)) & (F.abs(F.abs(px) - length / 2) <= 15))
+        .when(kind == "corner", corner)
+        .when(kind == "center_circle", (F.hypot(x - w / 2, y - h / 2) <= min(w, h) * 0.5) & (F.hypot(px, py) <= 15))
+        .when(kind == "center_line", (F.abs(y - h / 2) <= h * 0.4) & (F.abs(py) <= 5))
+        .otherwise(F.lit(True))
+    )
+    return x.between(0, w) & y.between(0, h) & fits
+
+
+def averaged(keypoints: DataFrame, keys: list[str], order: list[str], images: int, w: float, h: float) -> DataFrame:
+    """keypoints(type, x, y, px, py, confidence) of one still camera averaged over ``images`` frames, by type and place.
+
+    Points of a type within 50 pixels of a cluster's first are one landmark: the medians without outliers in the image.
+    Clusters of two or more must fit their type; one of a single point stays with a lower confidence.
+    """
+    from . import cluster, robust
+
+    group = [*keys, "type", "cluster"]
+    found = cluster.leader_clusters(keypoints, [*keys, "type"], order, 50.0)
+    out = robust.robust_average(robust.without_outliers(found, group), group, images, ("px", "py"))
+    c = F.col
+    return out.filter((c("n") == 1) | plausible_average(c("type"), c("x"), c("y"), c("px"), c("py"), w, h))
+
+
 def validated(keypoints: DataFrame, w: float, h: float) -> DataFrame:
     """Keypoints inside the image; the confidence of those that don't fit their type is halved."""
     c = F.col

@@ -33,15 +33,16 @@ def without_outliers(points: DataFrame, keys: list[str]) -> DataFrame:
     return at.join(kept, keys).filter(whole | F.col("_in")).select(*points.columns)
 
 
-def robust_average(points: DataFrame, keys: list[str], images: int) -> DataFrame:
+def robust_average(points: DataFrame, keys: list[str], images: int, also: tuple[str, ...] = ()) -> DataFrame:
     """Median point of each cluster, with a confidence raised by how often it was seen and lowered by its variance.
 
-    A cluster of one keeps its confidence less 30 %.
+    A cluster of one keeps its confidence less 30 %. also: further columns whose medians are taken.
     """
     var = F.var_pop("x") + F.var_pop("y")
     many = F.avg("confidence") + F.least(F.lit(0.25), F.count(F.lit(1)) / images * 0.25) - F.least(F.lit(0.3), var / 1e6 * 10.0)
     conf = F.when(F.count(F.lit(1)) == 1, F.first("confidence") * 0.7).otherwise(F.greatest(F.lit(0.1), F.least(F.lit(1.0), many)))
-    return points.groupBy(*keys).agg(F.median("x").alias("x"), F.median("y").alias("y"), conf.alias("confidence"), F.count(F.lit(1)).alias("n"))
+    middle = [F.median(c).alias(c) for c in ("x", "y", *also)]
+    return points.groupBy(*keys).agg(*middle, conf.alias("confidence"), F.count(F.lit(1)).alias("n"))
 
 
 def weighted_center(points: DataFrame, keys: list[str], weight: str) -> DataFrame:

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.geometry import PITCH_LENGTH, PITCH_WIDTH
+from ..operators.calibration import homography_of
 from ..operators.tracks import Tracker
 
 
@@ -283,3 +285,91 @@ def write_checkpoints(checkpoints: DataFrame, folder: str, checkpoint: str):
     """A folder for each match and checkpoint, each written once, also if the stream is stopped and started again."""
     out = checkpoints.writeStream.format("json").partitionBy("match_id", "checkpoint").option("path", folder)
     return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _average(points: list[tuple], images: int, w: float, h: float) -> list[tuple[float, float, float, float]]:
+    """x, y, px, py of the averaged landmarks among (type, x, y, px, py), as operators.landmarks.averaged gives them."""
+    clusters: dict[str, list[list[tuple]]] = {}
+    for kind, *p in points:
+        near = next((c for c in clusters.setdefault(kind, []) if np.hypot(c[0][0] - p[0], c[0][1] - p[1]) <= 50.0), None)
+        if near is None:
+            clusters[kind].append([tuple(p)])
+        else:
+            near.append(tuple(p))
+    out = []
+    for kind, found in clusters.items():
+        for c in found:
+            a = np.array(c, float)
+            q1, q3 = np.percentile(a[:, :2], [25, 75], axis=0)
+            inside = ((a[:, :2] >= q1 - 1.5 * (q3 - q1)) & (a[:, :2] <= q3 + 1.5 * (q3 - q1))).all(axis=1)
+            if len(a) >= 3 and inside.sum() >= len(a) * 0.5:
+                a = a[inside]
+            x, y, px, py = np.median(a, axis=0)
+            if len(a) == 1 or _plausible(kind, x, y, px, py, w, h):
+                out.append((x, y, px, py))
+    return out
+
+
+def _plausible(kind: str, x: float, y: float, px: float, py: float, w: float, h: float, length: float = 105.0) -> bool:
+    """The bounds of operators.landmarks.plausible_average."""
+    fits = {
+        "goal": (x < w * 0.35 or x > w * 0.65) and abs(abs(px) - length / 2) <= 15,
+        "corner": (x < w * 0.4 or x > w * 0.6) and (y < h * 0.4 or y > h * 0.6),
+        "center_circle": np.hypot(x - w / 2, y - h / 2) <= min(w, h) * 0.5 and np.hypot(px, py) <= 15,
+        "center_line": abs(y - h / 2) <= h * 0.4 and abs(py) <= 5,
+    }
+    return 0 <= x <= w and 0 <= y <= h and fits.get(kind, True)
+
+
+class FrozenModel(InOrder):
+    """The homography of a match's first frames, fitted once; landmarks wait in the state until then."""
+
+    def __init__(self, frames: int, w: float, h: float):
+        kinds = {"det_id": "long", "x": "double", "y": "double", "type": "string", "px": "double", "py": "double"}
+        super().__init__("match_id", "frame_id", "det_id", kinds, ["match_id", "frame_id", "det_id", "px", "py", "model"])
+        self.frames, self.w, self.h = frames, w, h
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        self.model = handle.getValueState("model", "frames long, homography array<double>")
+        self.points = handle.getListState("points", "type string, x double, y double, px double, py double")
+
+    def load(self) -> None:
+        self.seen, self.homography = self.model.get() if self.model.exists() else (0, None)
+        self.landmarks = [tuple(p) for p in self.points.get()] if self.points.exists() else []
+
+    def frame(self, key, at: int, rows: dict[str, list]) -> list[tuple]:
+        order = sorted(range(len(rows["det_id"])), key=lambda i: rows["det_id"][i])
+        if self.seen < self.frames:
+            self.seen += 1
+            self.landmarks += [tuple(rows[c][i] for c in ("type", "x", "y", "px", "py")) for i in order if rows["type"][i] is not None]
+            if self.seen == self.frames:
+                points = _average(self.landmarks, self.frames, self.w, self.h)
+                self.homography = homography_of(*np.array(points, float).reshape(-1, 4).T)
+                self.landmarks = []
+        out = []
+        for i in order:
+            x, y = rows["x"][i], rows["y"][i]
+            if self.homography is None:
+                px, py = x / self.w * PITCH_LENGTH - PITCH_LENGTH / 2, y / self.h * PITCH_WIDTH - PITCH_WIDTH / 2
+            else:
+                u, v, k = np.array(self.homography).reshape(3, 3) @ (x, y, 1.0)
+                px, py = u / (k if abs(k) >= 1e-10 else 1e-10), v / (k if abs(k) >= 1e-10 else 1e-10)
+            out.append((at, rows["det_id"][i], float(px), float(py), "fallback" if self.homography is None else "frozen"))
+        return out
+
+    def store(self) -> None:
+        self.model.update((self.seen, self.homography))
+        if self.landmarks:
+            self.points.put(self.landmarks)
+        else:
+            self.points.clear()
+
+
+def frozen_positions(points: DataFrame, frames: int = 10, w: float = 1920.0, h: float = 1080.0) -> DataFrame:
+    """A stream of points(match_id, frame_id, det_id, x, y, and of landmarks type, px, py) -> their places on the pitch and ``model``.
+
+    Until a match's first ``frames`` frames are known, points are mapped by the image's size (model ``fallback``); from
+    the last of these on, by the homography that their landmarks give (``frozen``), for good. Equal to
+    operators.calibration.calibrated without its second pass.
+    """
+    return applied(points, FrozenModel(frames, w, h), "match_id long, frame_id long, det_id long, px double, py double, model string")

@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from fieldglass.functions import geometry as G
@@ -61,3 +63,41 @@ def test_goals(spark):
         sm[2].x,
         (100 * 1 + 101 * 2 + 102 * 3) / 6
     ) and math.isclose(sm[2].confidence, 0.55)
+
+
+def test_calibration_from_the_first_frames(spark):
+    """Ten still frames of a projective camera: positions before the freeze are marked; the second pass stretches all."""
+    import itertools
+
+    rows = []
+    for f, (i, j) in itertools.product(range(16), itertools.product(range(4), range(3))):
+        x, y = 300.0 + 400 * i, 200.0 + 300 * j
+        w = 0.0003 * y + 1
+        rows.append((1, f, 3 * i + j, "touchline", x, y, (0.07 * x - 60) / w, (0.05 * y - 25) / w, 0.5))
+    pts = spark.createDataFrame(rows, "match_id long, frame_id long, det_id long, type string, x double, y double, px double, py double, confidence double")
+    models = C.frozen_homographies(pts)
+    (m,) = models.collect()
+    assert m.frozen_at == 9 and np.allclose(m.homography, [0.07, 0, -60, 0, 0.05, -25, 0, 0.0003, 1], atol=1e-9)
+    det = pts.select("match_id", "frame_id", "det_id", "x", "y")
+    true = {(r[1], r[2]): (r[6], r[7]) for r in rows}
+    once = C.calibrated(det, models, frames=100).collect()
+    assert {r.model for r in once if r.frame_id < 9} == {"fallback"} and {r.model for r in once if r.frame_id >= 9} == {"frozen"}
+    assert all(abs(r.px - true[r.frame_id, r.det_id][0]) < 1e-9 for r in once if r.model == "frozen")
+    twice = C.calibrated(det, models).collect()
+    first = [r.py for r in once if r.frame_id < 15]
+    scale = 68 / (max(first) - min(first))
+    assert {r.model for r in twice} == {"refined"}
+    assert all(abs(r.py - true[r.frame_id, r.det_id][1] * scale) < 1e-9 for r in twice)
+    few = C.calibrated(det, C.frozen_homographies(pts.filter("frame_id < 8")))
+    assert few.filter("model <> 'fallback'").count() == 0
+
+
+def test_averaged_landmarks_must_fit(spark):
+    from fieldglass.operators import landmarks as L
+
+    rows = [(0, f, 0, "goal", 900.0 + f, 500.0, 50.0, 0.0, 0.8) for f in range(4)]  # a goal in the middle of the image
+    rows += [(0, f, 1, "goal", 100.0 + f, 500.0, -50.0 - f, 0.0, 0.6) for f in range(4)]
+    rows += [(0, 0, 2, "goal", 900.0, 100.0, 50.0, 0.0, 0.8)]  # seen once: not judged, less sure
+    pts = spark.createDataFrame(rows, "match_id long, frame_id long, det_id long, type string, x double, y double, px double, py double, confidence double")
+    got = sorted((r.x, r.px, r.n, round(r.confidence, 4)) for r in L.averaged(pts, ["match_id"], ["frame_id", "det_id"], 4, 1920, 1080).collect())
+    assert got == [(101.5, -51.5, 4, 0.85), (900.0, 50.0, 1, 0.56)]

@@ -154,3 +154,36 @@ def test_checkpoints_survive_a_restart(rocks, tmp_path):
     numbers = {f: n for n, f in enumerate(range(0, 70, 3), 1)}
     full = len(numbers) // 5 * 5
     assert whole == sorted((-(-numbers[f] // 5) * 5, f, e) for _, f, e, _ in events if numbers[f] <= full)
+
+
+def test_frozen_positions_equal_batch(rocks, tmp_path):
+    from fieldglass.operators import calibration as C
+
+    spark, rnd, rows = rocks, random.Random(5), []
+    kinds = ["goal", "corner", "touchline", "penalty_box", "center_circle", None]
+    for m in range(3):
+        marks = [(rnd.uniform(0, 1920), rnd.uniform(0, 1080), rnd.choice(kinds)) for _ in range(14)]
+        for f in range((8, 14, 25)[m]):  # the first match is too short for a model
+            for i, (x, y, kind) in enumerate(marks):
+                x, y = x + rnd.uniform(-4, 4), y + rnd.uniform(-4, 4)
+                if i == 2 and f == 3:
+                    x += 30  # within the cluster, outside its quartiles
+                w = 0.0002 * y + 1
+                rows.append((m, f, i, x, y, kind, (0.06 * x - 55) / w, (0.08 * y - 40) / w, 0.8, float(f)))
+    schema = "match_id long, frame_id long, det_id long, x double, y double, type string, px double, py double, confidence double, ts double"
+    names = [c.split()[0] for c in schema.split(", ")]
+    rnd.shuffle(rows)
+    for k, i in enumerate(range(0, len(rows), 150)):
+        put(f"{tmp_path}/in", k, rows[i : i + 150], names)
+    put(f"{tmp_path}/in", 900, [(m, 10**6, 0, 0.0, 0.0, None, 0.0, 0.0, 0.0, 1e6) for m in range(3)], names)
+    src = S.event_time(S.watch(spark, f"{tmp_path}/in", schema, files_each=2), 1000)
+    S.write_event_files(ordered.frozen_positions(src), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(300)
+    got = {(r.match_id, r.frame_id, r.det_id): (r.px, r.py, r.model) for r in spark.read.json(f"{tmp_path}/out").collect()}
+    points = spark.createDataFrame(rows, schema)
+    models = C.frozen_homographies(points.filter("type IS NOT NULL"))
+    assert sorted(r.match_id for r in models.collect()) == [1, 2]
+    det = points.select("match_id", "frame_id", "det_id", "x", "y")
+    want = {(r.match_id, r.frame_id, r.det_id): (r.px, r.py, r.model) for r in C.calibrated(det, models, frames=10**6).collect()}  # no second pass
+    assert got.keys() == want.keys() and {v[2] for v in got.values()} == {"fallback", "frozen"}
+    for k, (px, py, model) in want.items():
+        assert got[k][2] == model and abs(got[k][0] - px) < 1e-6 and abs(got[k][1] - py) < 1e-6
