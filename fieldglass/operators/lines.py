@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from . import cluster
 
 
 def length() -> Column:
@@ -69,6 +70,78 @@ def grid_crossings(longitudinal: DataFrame, transversal: DataFrame, keys: list[s
     return both.filter(F.col("x").between(-mx, width + mx) & F.col("y").between(-my, height + my))
 
 
+def with_lines(segments: DataFrame) -> DataFrame:
+    """segments with a, b, c of their lines (unit normal); segments without length go."""
+    a, b, c = G.segment_line("x1", "y1", "x2", "y2")
+    return segments.withColumns({"a": a, "b": b, "c": c}).filter("a IS NOT NULL")
+
+
+def vanishing_points(segments: DataFrame, keys: list[str], line_id: str, trials: int = 200, near: float = 50.0) -> DataFrame:
+    """keys, vx, vy, votes: the point that most of a frame's lines pass within ``near`` pixels of.
+
+    Hypotheses are the crossings of pairs of lines, ``trials`` of a frame at most, chosen by a digest of their numbers, so
+    that a result can be repeated. Each line votes for the hypotheses near it; the one with most votes (ties: the pair
+    with the smallest numbers) is moved to where the sum of squared distances to its voters' lines is least.
+    """
+    lines = with_lines(segments).select(*keys, F.col(line_id).alias("line"), "a", "b", "c")
+    l, r = lines.alias("l"), lines.alias("r")
+    same = lambda p, q: [F.col(f"{p}.{k}") == F.col(f"{q}.{k}") for k in keys]
+    x, y = G.line_intersection(*[tuple(F.col(f"{s}.{c}") for c in "abc") for s in "lr"])
+    both = l.join(r, [*same("l", "r"), F.col("l.line") < F.col("r.line")]).select(
+        *[F.col(f"l.{k}") for k in keys], F.col("l.line").alias("i"), F.col("r.line").alias("j"), x.alias("hx"), y.alias("hy")
+    )
+    turn = F.row_number().over(W.partitionBy(*keys).orderBy(F.md5(F.concat_ws("-", "i", "j").cast("binary")), "i", "j"))
+    tried = both.filter("hx IS NOT NULL").withColumn("turn", turn).filter(F.col("turn") <= trials).drop("turn")
+    h = tried.alias("h")
+    close = F.abs(F.col("l.a") * F.col("h.hx") + F.col("l.b") * F.col("h.hy") + F.col("l.c")) < near
+    total = lambda p, q: F.sum(F.col(f"l.{p}") * F.col(f"l.{q}"))
+    sums = {"aa": total("a", "a"), "ab": total("a", "b"), "bb": total("b", "b"), "ac": total("a", "c"), "bc": total("b", "c")}
+    votes = h.join(l, [*same("h", "l"), close]).groupBy(*[F.col(f"h.{k}") for k in keys], "h.i", "h.j", "h.hx", "h.hy").agg(
+        F.count(F.lit(1)).alias("votes"), *[v.alias(k) for k, v in sums.items()]
+    )
+    best = votes.groupBy(*keys).agg(F.max(F.struct("votes", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"), "hx", "hy", *sums)).alias("m"))
+    m = {k: F.col(f"m.{k}") for k in ("votes", "hx", "hy", *sums)}
+    det = m["aa"] * m["bb"] - m["ab"] * m["ab"]
+    det = F.when(det > 1e-9, det)
+    vx, vy = (m["ab"] * m["bc"] - m["bb"] * m["ac"]) / det, (m["ab"] * m["ac"] - m["aa"] * m["bc"]) / det
+    return best.select(*keys, F.coalesce(vx, m["hx"]).alias("vx"), F.coalesce(vy, m["hy"]).alias("vy"), m["votes"].alias("votes"))
+
+
+def merged_by_direction(segments: DataFrame, points: DataFrame, keys: list[str], line_id: str, near: float = 150.0, rho: float = 20.0, theta: float = 0.05) -> DataFrame:
+    """keys, longitudinal, line, a, b, c: lines merged from a frame's segments, those through its vanishing point apart from the others.
+
+    Segments of a direction are one line if they are connected by steps within sqrt(rho ** 2 + (500 theta) ** 2) in the
+    plane of distance and 500 times the angle; its equation is their mean with a unit normal, its number their smallest.
+    """
+    seg = with_lines(segments).join(points.select(*keys, "vx", "vy"), keys)
+    away = F.abs(F.col("a") * F.col("vx") + F.col("b") * F.col("vy") + F.col("c"))
+    r, t = G.segment_polar("x1", "y1", "x2", "y2")
+    flat = seg.select(*keys, F.col(line_id).alias("line"), "a", "b", "c", (away < near).alias("longitudinal"), r.alias("x"), (t * 500.0).alias("y"))
+    group = [*keys, "longitudinal"]
+    linked = cluster.linked_clusters(flat, group, (rho**2 + (500 * theta) ** 2) ** 0.5)
+    mean = linked.groupBy(*group, "cluster").agg(F.min("line").alias("line"), *[F.avg(c).alias(c) for c in "abc"])
+    n = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b"))
+    n = F.when(n >= 1e-10, n)
+    return mean.select(*group, "line", *[(F.col(c) / n).alias(c) for c in "abc"]).filter("a IS NOT NULL")
+
+
+def line_keypoints(segments: DataFrame, keys: list[str], line_id: str, width: float, height: float, gap: float = 15.0, extend: float = 1.5) -> DataFrame:
+    """keys, i, j, x, y: where a frame's merged longitudinal lines (i) meet its transversal ones (j).
+
+    The whole line stage: vanishing point, two directions, merged lines, crossings within the image and a margin, each
+    at least ``gap`` from those before it.
+    """
+    merged = merged_by_direction(segments, vanishing_points(segments, keys, line_id), keys, line_id)
+    a, b = merged.filter("longitudinal").alias("a"), merged.filter("NOT longitudinal").alias("b")
+    x, y = G.line_intersection(*[tuple(F.col(f"{s}.{c}") for c in "abc") for s in "ab"])
+    met = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]).select(
+        *[F.col(f"a.{k}") for k in keys], F.col("a.line").alias("i"), F.col("b.line").alias("j"), x.alias("x"), y.alias("y")
+    )
+    mx, my = width * (extend - 1) / 2, height * (extend - 1) / 2
+    inside = met.filter(F.col("x").between(-mx, width + mx) & F.col("y").between(-my, height + my))
+    return cluster.spaced(inside, keys, ["i", "j"], gap)
+
+
 def unique_corners(points: Column, apart: float = 5.0) -> Column:
     """How many of a few points (x, y) have no earlier one nearer than ``apart``."""
     def alone(p: Column, i: Column) -> Column:
@@ -97,6 +170,8 @@ ZONES = {
     "zone_14": (16.5, 0.0, -9.0, 9.0),
     "half_space_left": (0.0, -52.5, -34.0, -9.0),
     "half_space_right": (0.0, -52.5, 9.0, 34.0),
+    "goal_area": (16.5, -16.5, -20.16, 20.16),
+    "penalty_area": (16.5, -16.5, -30.34, 30.34),
 }
 
 
