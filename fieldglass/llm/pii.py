@@ -92,6 +92,15 @@ HOST = re.compile(
     rf"(?:{_DOT}) |{_BRACKET_DOT}))(?:[a-z]{{2,24}}|[A-Z]{{2,24}})(?![A-Za-z0-9])(?!/|:[/0-9])"
 )
 NUMBERS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.| (?:{_DOT}) |{_BRACKET_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_OCTET = rf"(?:{_WORD}|[0-9])(?:[ ,-](?:{_WORD}|[0-9])){{0,2}}"
+#: Four spelled numbers of up to three digits with "dot" between.
+SPELLED_IP = re.compile(rf"(?<!\w){_OCTET}(?: (?:{_DOT}) {_OCTET}){{3}}(?!\w)", re.I)
+SPELLED_IP_PART = re.compile(rf" (?:{_DOT}) |{_WORD}|[0-9]|[ ,-]", re.I)
+#: Endings of hosts that a bare "dot" may stand before.
+SUFFIXES = {
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "app", "dev", "io", "ai", "co", "eu", "uk", "us", "ca", "au", "nz", "ie",
+    "de", "at", "ch", "fr", "be", "lu", "nl", "es", "pt", "it", "mx", "ar", "cl", "br", "pl", "cz", "dk", "se", "no", "fi", "ru", "jp", "cn", "in", "example", "test",
+}
 GLYPH = re.compile("[" + "".join(re.escape(c) for c in GLYPHS) + "]")
 
 
@@ -150,12 +159,28 @@ def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
 def characters(text: str) -> list[tuple[int, int, str]]:
     """(start, end, replacement) of look-alike characters and spelled digits."""
     found = [] if text.isascii() else [(m.start(), m.end(), GLYPHS[m[0]]) for m in GLYPH.finditer(text)]
-    if SPELLED_HINT.search(text.casefold()):
+    low = text.casefold()
+    if any(f" {w} " in low for w in _DOT.split("|")):
+        for m in SPELLED_IP.finditer(text):
+            if re.search(r"[A-Za-z]{2}", re.sub(rf" (?:{_DOT}) ", "", m[0], flags=re.I)):
+                for p in SPELLED_IP_PART.finditer(m[0]):
+                    w = p[0].lower()
+                    new = "." if len(w) > 3 and w[0] == " " else DIGIT_WORDS.get(w, w if w.isdigit() else "")
+                    found.append((m.start() + p.start(), m.start() + p.end(), new))
+    if SPELLED_HINT.search(low):
         for m in SPELLED.finditer(text):
             found += _spelled(m)
     return found
 
 
+def _plain_at(text: str, at: int, host: re.Match) -> bool:
+    """Whether a bare "at" is prose: what stands before it is a plain word and no spelled dot leads to a known ending of a host."""
+    local = re.search(r"[A-Za-z0-9._%+-]+\Z", text[max(0, at - 64) : at])
+    if local and re.search(r"[0-9_%+.-]", local[0]):
+        return False
+    return not DOT.search(host[0]) or re.search(r"[A-Za-z]+\Z", host[0])[0].lower() not in SUFFIXES
+
+
 def ats_and_dots(text: str) -> list[tuple[int, int, str]]:
     """(start, end, replacement) of disguised "at" and "dot"."""
     found, low = [], text.casefold()
@@ -171,7 +196,8 @@ def ats_and_dots(text: str) -> list[tuple[int, int, str]]:
                 ats.append(m.end())
     if bare_at:
         for m in BARE_AT.finditer(text):
-            if HOST.match(text, m.end()):
+            host = HOST.match(text, m.end())
+            if host and not _plain_at(text, m.start(), host):
                 found.append((m.start(), m.end(), "@"))
                 ats.append(m.end())
     if not (brackets or bare_dot):

@@ -472,7 +472,12 @@ def test_pii(docs, empty):
             "email",
             "jo [at] ex dot com"
         ), ("jo at ex [dot] com", "email", "jo at ex [dot] com"), ("jo@ex dot com", "email", "jo@ex dot com"),
-        ("to jo at ex.com!", "email", "jo at ex.com"), (
+        ("to jo at ex.com!", None, None), ("to jo.doe at ex.com!", "email", "jo.doe at ex.com"), ("look at example.com today", None, None),
+        ("he is at ex.com", None, None), ("meet at noon dot the end", None, None), ("jo at ex dot com", "email", "jo at ex dot com"), (
+            "go to one nine two dot one six eight dot zero dot one.",
+            "ip",
+            "one nine two dot one six eight dot zero dot one"
+        ), ("one dot two dot three", None, None), (
             "192 dot 168 dot 0 dot 1",
             "ip",
             "192 dot 168 dot 0 dot 1"
@@ -781,3 +786,24 @@ def test_store_finds_changes(docs, spark, tmp_path):
     assert broken("recipes", lambda t: t.withColumn("digests", F.when(F.col("doc_id") == some, F.array(F.lit(one))).otherwise(F.col("digests")))) >= 1
     assert broken("manifest/packs", lambda t: t.withColumn("root", flip("root"))) == len(ROWS)
     assert broken("manifest/groups", lambda t: t.withColumn("root", flip("root"))) == len(ROWS)
+
+
+def test_disguises_found_and_prose_left_alone():
+    """Recall on planted disguises and precision on the prose around them."""
+    rnd = random.Random(6)
+    prose = "we look at the plan and meet at noon dot by dot, one two or three of us at home. see example.com or ask at the desk".split()
+    names, hosts, ends = ["anna", "j.smith", "kim7", "max_m", "lee"], ["mail", "post-box", "acme", "uni"], ["com", "org", "de", "fr"]
+    spell = dict(zip("0123456789", ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"], strict=True))
+    hits = found = 0
+    for _ in range(400):
+        words = [rnd.choice(prose) for _ in range(rnd.randint(8, 25))]
+        n, h, e = rnd.choice(names), rnd.choice(hosts), rnd.choice(ends)
+        octets = [str(rnd.randint(10, 255)) for _ in range(4)]
+        hidden = rnd.choice(
+            [f"{n} at {h} dot {e}", f"{n} [at] {h} [dot] {e}", f"{n}(at){h}.{e}", f"{n}@{h} dot {e}", " dot ".join(octets), " dot ".join(" ".join(spell[d] for d in o) for o in octets)]
+        )
+        text = " ".join([*words, "write", hidden, "today", *words])
+        spans = [text[s:e] for s, e, _ in pii.added_spans(text, pii.base_spans(text))]
+        hits += hidden in spans
+        found += len(spans)
+    assert hits >= 0.98 * 400 and found <= 1.02 * hits
