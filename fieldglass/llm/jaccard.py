@@ -222,7 +222,7 @@ def _candidates(members: DataFrame, lead: DataFrame, num: int, den: int) -> Data
     return m.join(p, apart & fits).select(*[F.when(less, F.col(x)).otherwise(F.col(y)).alias(c) for c, (x, y) in ends.items()])
 
 
-def _labels(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+def neighbour_labels(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(node, label) of all linked nodes: the least label among a node and its neighbours, which are connected with it."""
     ends = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if labels is None:
@@ -252,7 +252,7 @@ def _still_open(left: DataFrame, num: int, den: int) -> DataFrame:
     return alive.join(mixed.select("token"), "token")
 
 
-def linked_components(open_: DataFrame, segments: DataFrame, num: int, den: int, tmp: Scratch, first_pivots: int = 1, growth: int = 16) -> DataFrame | None:
+def linked_components(open_: DataFrame, segments: DataFrame, num: int, den: int, tmp: Scratch, first_pivots: int = 1) -> DataFrame | None:
     """(node, component) of the nodes that links connect with a smaller one; null where no bucket holds two nodes.
 
     open_(token, node, n, r, comp) are the buckets, as a table of tmp: r bounds what a node of n shingles can share
@@ -271,14 +271,14 @@ def linked_components(open_: DataFrame, segments: DataFrame, num: int, den: int,
         pairs = tmp.save(pairs, "pairs")
         done = pairs.select("a", "b") if done is None else done.unionAll(pairs.select("a", "b"))
         links = links.unionAll(tmp.save(_verify(pairs, segments, num, den), "links"))
-        labels = tmp.save(_labels(links, _labels(links, labels)), "labels")
+        labels = tmp.save(neighbour_labels(links, neighbour_labels(links, labels)), "labels")
         left = open_.join(lead.select("token", F.col("p.node").alias("node")), ["token", "node"], "left_anti")
         left = left.select("token", "node", "n", "r").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
         left = tmp.save(left.drop("label"), "left")
         last, open_ = open_, tmp.save(_still_open(left, num, den), "buckets")
         tmp.drop(last, left, lead)
         tmp.settle()
-        pivots *= growth
+        pivots *= 16
     return None if done is None else tmp.save(connected_components(links, tmp), "components")
 
 
