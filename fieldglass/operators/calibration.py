@@ -41,6 +41,28 @@ def fit_homographies(points: DataFrame, key: str) -> DataFrame:
     return made(points, [key], ["x", "y"], ["x", "y", "px", "py"], fit, f"{key} long, homography array<double>")
 
 
+def consensus_homographies(points: DataFrame, key: str, ids: list[str], trials: int = 64, near: float = 1.0) -> DataFrame:
+    """key, homography, votes from correspondences some of which may be wild.
+
+    Each trial fits four points of a key, those with the least digests of trial and ``ids``, so that a result can be
+    repeated; a point votes for a trial whose homography takes it within ``near`` metres of its place. The points that
+    vote for the trial with most votes (ties: the first) are fitted together. Keys with fewer than four votes go.
+    """
+    tried = points.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    digest = F.md5(F.concat_ws("-", "trial", *ids).cast("binary"))
+    turn = F.row_number().over(W.partitionBy(key, "trial").orderBy(digest, *ids))
+    few = tried.withColumn("_turn", turn).filter("_turn <= 4").drop("_turn").withColumn("_of", F.col(key) * trials + F.col("trial"))
+    fits = fit_homographies(few, "_of").withColumns({"_key": F.floor(F.col("_of") / trials), "trial": F.pmod("_of", F.lit(trials))})
+    hx, hy = G.homography(F.col("homography"), "x", "y")
+    off = G.distance(hx, hy, "px", "py")
+    both = points.join(fits, points[key] == fits["_key"]).filter(off <= near)
+    votes = both.groupBy(key, "trial").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy(key).agg(F.max(F.struct("votes", (-F.col("trial")).alias("t"))).alias("_m"))
+    best = best.select(F.col(key).alias("_best"), F.col("_m.votes").alias("votes"), (-F.col("_m.t")).alias("_trial")).filter("votes >= 4")
+    inside = both.join(best, (both[key] == best["_best"]) & (both["trial"] == best["_trial"])).select(*points.columns)
+    return fit_homographies(inside, key).join(best.select(F.col("_best").alias(key), "votes"), key)
+
+
 def frozen_homographies(keypoints: DataFrame, frames: int = 10, w: float = 1920, h: float = 1080) -> DataFrame:
     """(match_id, homography, frozen_at): from the averaged landmarks of a match's first ``frames`` frames, for good.
 
@@ -110,6 +132,21 @@ def scene_cuts(frames: DataFrame, keys: list[str], order: str, limit: float = 0.
     return frames.withColumn("change", change).withColumn("cut", F.coalesce(F.col("change") > limit, F.lit(False)))
 
 
+def brightest_colour(pixels: DataFrame, keys: list[str], share: float = 0.1) -> DataFrame:
+    """keys, r, g, b: the mean colour of the brightest ``share`` of a crop's pixels(b, g, r), at least one of them.
+
+    Pixels are counted by their brightness (766 levels) before anything is ordered, so a crop is some hundred rows; the
+    level at the cut counts with its mean colour.
+    """
+    level = (F.col("b") + F.col("g") + F.col("r")).alias("level")
+    levels = pixels.groupBy(*keys, level).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in "rgb"])
+    crop = W.partitionBy(*keys)
+    above = F.coalesce(F.sum("n").over(crop.orderBy(F.col("level").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    need = F.ceil(F.sum("n").over(crop) * share)
+    cut = levels.withColumns({"need": need, "taken": F.greatest(F.lit(0), F.least(F.col("n"), need - above))})
+    return cut.groupBy(*keys).agg(*[(F.sum(F.col(c) * F.col("taken")) / F.max("need")).alias(c) for c in "rgb"])
+
+
 def gameplay(frames: DataFrame, least: float = 0.5) -> DataFrame:
     """Frames whose share of green pixels is large enough."""
     return frames.filter(F.col("green_pixels") / F.col("pixels") >= least)

@@ -65,3 +65,32 @@ def recalibrated_positions(spark, d):
     """Heights stretched by what a match's first fifteen frames span."""
     pos = _points(spark, d).withColumn("py", F.col("y") / 40)
     return O.recalibrated(pos).select("match_id", "frame_id", "det_id", F.round("py", 6).alias("py"))
+
+
+@query(
+    _M + f""" SELECT match_id, count(*) FILTER (WHERE (frame_id // 20 + det_id) % 10 >= 3) AS votes, CAST({AX} AS DOUBLE) AS sx, CAST({BX} AS DOUBLE) AS ox, CAST({AY} AS DOUBLE) AS sy, CAST({BY} AS DOUBLE) AS oy
+    FROM o WHERE r <= 10 AND n >= 10 GROUP BY match_id"""
+)
+def consensus_homographies(spark, d):
+    """The fixture's camera again, from marks three tenths of which are wild."""
+    marks = keypoints(_points(spark, d))
+    first = O.first_frames(marks.select("match_id", "frame_id").distinct(), ["match_id"], "frame_id", 10)
+    wild = (F.floor(F.col("frame_id") / 20) + F.col("det_id")) % 10 < 3
+    away = lambda c, a: F.when(wild, F.col(c) + 20 + (F.col("frame_id") * a) % 37).otherwise(F.col(c))
+    marks = marks.join(first, ["match_id", "frame_id"]).withColumns({"px": away("px", 7), "py": away("py", 11)})
+    h = O.consensus_homographies(marks, "match_id", ["frame_id", "det_id"])
+    at = lambda i: F.round(F.col("homography")[i], 6) + 0.0
+    return h.select("match_id", "votes", at(0).alias("sx"), at(2).alias("ox"), at(4).alias("sy"), at(5).alias("oy"))
+
+
+@query(sql("det") + """, p AS (SELECT frame_id % 50 AS crop, CAST(x AS BIGINT) % 256 AS b, CAST(y AS BIGINT) % 256 AS g, CAST(w AS BIGINT) % 256 AS r FROM det),
+  l AS (SELECT crop, b + g + r AS level, count(*) AS n, avg(b) AS b, avg(g) AS g, avg(r) AS r FROM p GROUP BY crop, b + g + r),
+  c AS (SELECT *, ceil(sum(n) OVER (PARTITION BY crop) / 10.0) AS need, coalesce(sum(n) OVER (PARTITION BY crop ORDER BY level DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
+  t AS (SELECT *, greatest(0, least(n, need - before)) AS taken FROM c)
+  SELECT crop, round(sum(r * taken) / max(need), 6) AS r, round(sum(g * taken) / max(need), 6) AS g, round(sum(b * taken) / max(need), 6) AS b FROM t GROUP BY crop""")
+def brightest_colours(spark, d):
+    """Mean colour of the brightest tenth of each crop's pixels."""
+    byte = lambda c: F.col(c).cast("long") % 256
+    pixels = detections(spark, d).select((F.col("frame_id") % 50).alias("crop"), byte("x").alias("b"), byte("y").alias("g"), byte("w").alias("r"))
+    out = O.brightest_colour(pixels, ["crop"])
+    return out.select("crop", *[F.round(c, 6).alias(c) for c in "rgb"])

@@ -134,9 +134,9 @@ def first_frames(spark, d):
     return out.select("frame_id", F.row_number().over(W.partitionBy("match").orderBy("frame_id")).cast("long").alias("n"))
 
 
-@query(
-    _P + """SELECT frame_id, det_id, zone FROM (SELECT *, unnest(list_filter([CASE WHEN px BETWEEN 0 AND 16.5 AND py BETWEEN -9 AND 9 THEN 'zone_14' END, CASE WHEN px BETWEEN -52.5 AND 0 AND py BETWEEN -34 AND -9 THEN 'half_space_left' END, CASE WHEN px BETWEEN -52.5 AND 0 AND py BETWEEN 9 AND 34 THEN 'half_space_right' END], lambda z: z IS NOT NULL)) AS zone FROM pos)"""
-)
+@query(_P + """, z(zone, x1, x2, y1, y2) AS (VALUES ('zone_14', 0.0, 16.5, -9.0, 9.0), ('half_space_left', -52.5, 0.0, -34.0, -9.0), ('half_space_right', -52.5, 0.0, 9.0, 34.0),
+    ('goal_area', -16.5, 16.5, -20.16, 20.16), ('penalty_area', -16.5, 16.5, -30.34, 30.34))
+  SELECT frame_id, det_id, zone FROM pos JOIN z ON px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2""")
 def zones(spark, d):
     pos = positions(detections(spark, d))
     return pos.select("frame_id", "det_id", F.explode(O.in_zones("px", "py")).alias("zone"))

@@ -101,3 +101,21 @@ def test_averaged_landmarks_must_fit(spark):
     pts = spark.createDataFrame(rows, "match_id long, frame_id long, det_id long, type string, x double, y double, px double, py double, confidence double")
     got = sorted((r.x, r.px, r.n, round(r.confidence, 4)) for r in L.averaged(pts, ["match_id"], ["frame_id", "det_id"], 4, 1920, 1080).collect())
     assert got == [(101.5, -51.5, 4, 0.85), (900.0, 50.0, 1, 0.56)]
+
+
+def test_wild_marks_do_not_move_the_fit(spark):
+    import random
+
+    rnd, rows = random.Random(8), []
+    for m in range(4):
+        for i in range(30):
+            x, y = rnd.uniform(0, 1920), rnd.uniform(0, 1080)
+            w = 0.0003 * y + 1
+            px, py = (0.07 * x - 60) / w, (0.05 * y - 25) / w
+            rows.append((m, i, x, y, *((px, py) if i % 10 >= 3 else (rnd.uniform(-60, 60), rnd.uniform(-40, 40)))))
+    rows += [(9, i, float(i), 0.0, float(i), 0.0) for i in range(3)]  # too few points
+    pts = spark.createDataFrame(rows, "m long, i long, x double, y double, px double, py double")
+    got = {r.m: r for r in C.consensus_homographies(pts, "m", ["i"]).collect()}
+    assert sorted(got) == [0, 1, 2, 3] and all(r.votes >= 21 for r in got.values())
+    assert all(np.allclose(r.homography, [0.07, 0, -60, 0, 0.05, -25, 0, 0.0003, 1], atol=1e-2 if r.votes > 21 else 1e-9) for r in got.values())
+    assert sum(r.votes == 21 for r in got.values()) >= 2
