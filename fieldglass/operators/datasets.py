@@ -170,3 +170,29 @@ def pasted(boxes: DataFrame, patches: DataFrame, width: float, height: float, mo
     chosen = free.withColumn("_n", turn).filter(F.col("_n") <= most).drop("_n")
     columns = ["frame_id", "det_id", "class_id", "x", "y", "w", "h"]
     return boxes.select(*columns, F.lit(False).alias("pasted")).unionByName(chosen.select(*columns, F.lit(True).alias("pasted")))
+
+
+def last_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of rows with equal keys the last in order, as a later entry replaces an earlier one."""
+    others = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max(F.struct(*order, *[c for c in others if c not in order])).alias("_m"))
+    return best.select(*keys, *[F.col(f"_m.{c}").alias(c) for c in others])
+
+
+def dataset_summary(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
+    """images, annotations, categories and annotations_each of each source, and how many annotations each category has, as an array in id order."""
+    n = F.count(F.lit(1))
+    by_kind = annotations.groupBy("source", "category_id").agg(n.alias("n"))
+    kinds = categories.select("source", F.col("id").alias("category_id"), "name").join(by_kind, ["source", "category_id"], "left")
+    entry = F.struct("category_id", "name", F.coalesce("n", F.lit(0)).alias("n"))
+    kinds = kinds.groupBy("source").agg(n.alias("categories"), F.array_sort(F.collect_list(entry)).alias("by_category"))
+    sizes = images.groupBy("source").agg(n.alias("images"))
+    marks = annotations.groupBy("source").agg(n.alias("annotations"))
+    out = sizes.join(marks, "source", "left").join(kinds, "source", "left").withColumn("annotations", F.coalesce("annotations", F.lit(0)))
+    return out.withColumn("annotations_each", F.col("annotations") / F.col("images"))
+
+
+def pitch_extent(players: DataFrame, keys: list[str]) -> DataFrame:
+    """x_min, x_max, y_min, y_max over all players(x_pitch, y_pitch or, where these are null, pitch_position)."""
+    x, y = (F.coalesce(F.col(c), F.get("pitch_position", F.lit(i))) for i, c in enumerate(("x_pitch", "y_pitch")))
+    return players.groupBy(*keys).agg(F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.min(y).alias("y_min"), F.max(y).alias("y_max"))

@@ -71,6 +71,20 @@ def plausible_average(kind: Column, x: Column, y: Column, px: Column, py: Column
     return x.between(0, w) & y.between(0, h) & fits
 
 
+def plausible_goal(x: Column, y: Column, px: Column, py: Column, confidence: Column, w: float, h: float, length: float = 105.0, post: bool = False) -> Column:
+    """Whether a goal's centre (or one of its posts) is where goals are, in the image and on the pitch; px of 0 counts as right.
+
+    Posts may be lower or higher and on either side of the image; centres must be sure enough and on their side.
+    """
+    left = px < 0
+    pitch = (F.abs(px - F.when(left, -length / 2).otherwise(length / 2)) <= 10) & (F.abs(py) <= 5)
+    inside = x.between(0, w) & y.between(0, h) & pitch
+    if post:
+        return inside & y.between(h * 0.05, h * 0.95)
+    side = F.when(left, x <= w * 0.4).otherwise(x >= w * 0.6)
+    return inside & (confidence >= 0.5) & side & (F.abs(y - h / 2) <= h * 0.25)
+
+
 def averaged(keypoints: DataFrame, keys: list[str], order: list[str], images: int, w: float, h: float) -> DataFrame:
     """keypoints(type, x, y, px, py, confidence) of one still camera averaged over ``images`` frames, by type and place.
 

@@ -36,6 +36,11 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, ri
     return best.select(*keys, left_id, F.col("m.match").alias("match"), F.col("m.distance").alias("distance"))
 
 
+def flagged(nearest_rows: DataFrame, mismatch: float = 10.0, far: float = 20.0) -> DataFrame:
+    """Nearest rows with ``mismatch`` and ``far``: whether the distance is over 10, and over 20 pixels."""
+    return nearest_rows.withColumns({"mismatch": F.col("distance") > mismatch, "far": F.col("distance") > far})
+
+
 def without_overlap(new: DataFrame, old: DataFrame, least: float = 0.1) -> DataFrame:
     """Boxes of ``new`` that no box of ``old`` in their frame overlaps by an IoU over ``least``."""
     n, o = new.alias("n"), old.alias("o")

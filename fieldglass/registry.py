@@ -21,4 +21,4 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-from .plans import boxes, calibration, evaluation, event_queries, forms, landmarks, line_stage, lines, robust_stats, sampling, statistics, track_queries  # noqa: E402, F401
+from .plans import boxes, calibration, checks, evaluation, event_queries, forms, landmarks, line_stage, lines, robust_stats, sampling, statistics, track_queries  # noqa: E402, F401
