@@ -51,3 +51,31 @@ def test_failed_write_leaves_nothing(spark, tmp_path):
     D.write_documents(rows.select("name", "n", F.col("n").cast("string").alias("piece")), out, ["n"], header="<", footer=">", separator=" ")
     assert open(f"{out}/4.txt").read() == "<" + " ".join(str(i) for i in range(1000) if i % 9 == 4) + ">"
     assert len(os.listdir(out)) == 9
+
+
+def test_split_coco_equals_the_whole(spark, tmp_path):
+    import random
+
+    from fieldglass.sources import split_json as S
+
+    rnd = random.Random(4)
+    odd = ['a{b', '[x]', 'q"q', "back\\slash", "end\\", "é ß", '\\"', "]}]}", "\\\\"]
+    for k, indent in ((0, None), (1, 2)):
+        doc = {
+            "info": {"description": "{[", "version": {"a": 1}},
+            "images": [{"id": i, "file_name": f"{rnd.choice(odd)}{i}.jpg", "width": 4, "height": 5} for i in range(150)],
+            "annotations": [
+                {"id": i, "image_id": i % 150, "category_id": 1, "bbox": [1.0, 2.0, 3.0, float(i)], "area": 2.0, "iscrowd": 0, "extra": {"deep": [{"x": rnd.choice(odd)}]}} for i in range(400)
+            ],
+            "licenses": [{"id": 1, "name": "free", "url": "u"}],
+            "categories": [{"id": 1, "name": "player", "supercategory": "x{"}, {"id": 2, "name": rnd.choice(odd)}],
+        }
+        (tmp_path / "coco").mkdir(exist_ok=True)
+        (tmp_path / "coco" / f"{k}.json").write_text(json.dumps(doc, indent=indent, ensure_ascii=bool(k)))
+    (tmp_path / "coco" / "empty.json").write_text("{}")
+    path = str(tmp_path / "coco")
+    want = [sorted(map(repr, df.collect())) for df in A.read_coco(spark, path)]
+    for chunk in (37, 1000, 1 << 20):
+        got = [sorted(map(repr, df.collect())) for df in S.read_coco_split(spark, path, chunk)]
+        assert got == want, chunk
+    assert [len(x) for x in want] == [300, 800, 4]
