@@ -135,3 +135,37 @@ def detection_rates(spark, d):
         r6(F.count_if(ball) / images).alias("balls_per_image"),
         r6(F.count(F.lit(1)) / F.countDistinct("frame_id")).alias("per_image")
     )
+
+
+_ASSIGN = _D.replace("WITH ", "WITH RECURSIVE ", 1) + """, p AS (SELECT frame_id, det_id, x + det_id % 4 * 12 AS x, y, w, h FROM det WHERE class_id = 1), g AS (SELECT * FROM det WHERE class_id = 1 AND det_id % 2 = 0),
+  q AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY det_id) AS r, count(*) OVER (PARTITION BY frame_id) AS n FROM g),
+  pair AS (SELECT q.frame_id, q.r, q.n, p.det_id AS pred, sqrt(pow(p.x + p.w / 2 - q.x - q.w / 2, 2) + pow(p.y + p.h / 2 - q.y - q.h / 2, 2)) AS distance,
+    greatest(0.0, least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x)) * greatest(0.0, least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y)) AS inter, p.w * p.h + q.w * q.h AS area FROM q JOIN p ON p.frame_id = q.frame_id),
+  cost AS (SELECT *, {cost} AS c FROM pair),
+  walk AS (SELECT frame_id, r, n, [pred] AS used, c AS total FROM cost WHERE r = 1
+    UNION ALL SELECT c.frame_id, c.r, c.n, list_append(w.used, c.pred), w.total + c.c FROM walk w JOIN cost c ON c.frame_id = w.frame_id AND c.r = w.r + 1 AND NOT list_contains(w.used, c.pred)),
+  best AS (SELECT frame_id, n AS pairs, min(total) AS total FROM walk WHERE r = n GROUP BY frame_id, n)"""
+_BY_DISTANCE, _BY_IOU = _ASSIGN.replace("{cost}", "distance"), _ASSIGN.replace("{cost}", "1 - inter / greatest(area - inter, 1e-6)")
+
+
+@query(_BY_DISTANCE + " SELECT frame_id, pairs, round(total, 6) AS total FROM best")
+def assigned_distances(spark, d):
+    """The least sum of centre distances between the balls found in an image and its targets (in SQL: by trying all assignments)."""
+    p, g = _pred_gt(spark, d)
+    out = matching.optimal_matches(p.filter("class_id = 1"), g.filter("class_id = 1"), by="distance")
+    return out.groupBy("frame_id").agg(F.count(F.lit(1)).alias("pairs"), r6(F.sum("distance")).alias("total"))
+
+
+@query(_BY_IOU + " SELECT frame_id, pairs, round(total, 6) AS total FROM best")
+def assigned_overlaps(spark, d):
+    """The least sum of 1 - IoU between the balls found in an image and its targets."""
+    p, g = _pred_gt(spark, d)
+    out = matching.optimal_matches(p.filter("class_id = 1"), g.filter("class_id = 1"))
+    return out.groupBy("frame_id").agg(F.count(F.lit(1)).alias("pairs"), r6(F.sum(1 - F.col("iou"))).alias("total"))
+
+
+@query(_BY_DISTANCE + " SELECT round(sum(total) / sum(pairs), 6) AS mean_distance FROM best")
+def pooled_ball_distance(spark, d):
+    """Mean centre distance over all pairs assigned by distance."""
+    p, g = _pred_gt(spark, d)
+    return O.greedy_counts(p.filter("class_id = 1"), g.filter("class_id = 1")).select(r6("mean_distance").alias("mean_distance"))
