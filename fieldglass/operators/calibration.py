@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from . import cluster, landmarks, robust
+from .frames import running_sums, with_previous
 from .walk import made
 
 
@@ -127,9 +128,10 @@ def histogram_change(a: Column, b: Column) -> Column:
 
 def scene_cuts(frames: DataFrame, keys: list[str], order: str, limit: float = 0.7) -> DataFrame:
     """frames(blue, green, red: histograms) with ``cut``: the mean change of the three since the last frame is over the limit."""
-    w = W.partitionBy(*keys).orderBy(order)
-    change = sum((histogram_change(F.col(c), F.lag(c).over(w)) for c in ("blue", "green", "red")), F.lit(0.0)) / 3
-    return frames.withColumn("change", change).withColumn("cut", F.coalesce(F.col("change") > limit, F.lit(False)))
+    at = with_previous(frames, keys, order, {c: f"_last_{c}" for c in ("blue", "green", "red")})
+    change = sum((histogram_change(F.col(c), F.col(f"_last_{c}")) for c in ("blue", "green", "red")), F.lit(0.0)) / 3
+    out = at.withColumn("change", change).withColumn("cut", F.coalesce(F.col("change") > limit, F.lit(False)))
+    return out.select(*frames.columns, "change", "cut")
 
 
 def brightest_colour(pixels: DataFrame, keys: list[str], share: float = 0.1) -> DataFrame:
@@ -190,8 +192,9 @@ def smoothed_goals(goals: DataFrame, match: str = "match_id", size: int = 10) ->
     Goals that lie within 50 pixels of a cluster's member join it; clusters of two or more give a mean whose weights
     grow with confidence and recency. A frame without such a cluster keeps its own goals (n is 1).
     """
-    frames = goals.select(match, "frame_id").distinct()
-    numbered = goals.join(frames.withColumn("turn", F.row_number().over(W.partitionBy(match).orderBy("frame_id"))), [match, "frame_id"])
+    frames = goals.select(match, "frame_id").distinct().withColumn("one", F.lit(1))
+    turns = running_sums(frames, [match], "frame_id", {"one": "turn"}).select(match, "frame_id", F.col("turn").cast("int").alias("turn"))
+    numbered = goals.join(turns, [match, "frame_id"])
     sided = numbered.withColumn("side", F.when(F.col("px") < 0, "left").otherwise("right"))
     last = sided.select(match, F.col("turn").alias("at"), F.col("frame_id").alias("now")).distinct()
     shifted = sided.withColumn("at", F.explode(F.sequence(F.col("turn"), F.col("turn") + (size - 1)))).join(last, [match, "at"])

@@ -84,6 +84,31 @@ def assign_team(feature: Column, centers: list[list[float]], threshold: float, x
     return F.when(feature.isNull(), none).otherwise(F.transform(F.array(d), verdict)[0])
 
 
+def exact_percentile(values: DataFrame, name: str, share: float, bins: int = 4096) -> float | None:
+    """The percentile of a column (linear between ranks, nulls left out), without holding all its different values.
+
+    Values are counted in ``bins`` equal intervals; only those of the two intervals that the ranks fall in are looked at.
+    """
+    v = values.select(F.col(name).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    n, low, high = v.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not n or low == high:
+        return low
+    place = F.least(F.lit(bins - 1), F.floor((F.col("v") - low) / (high - low) * bins)).cast("int")
+    counts = sorted(map(tuple, v.groupBy(place.alias("b")).count().collect()))
+    rank = share * (n - 1)
+
+    def at(r: int) -> float:
+        before = 0
+        for b, c in counts:
+            if r < before + c:
+                inside = (r - before) / (c - 1) if c > 1 else 0.0
+                return v.filter(place == b).agg(F.percentile("v", inside)).first()[0]
+            before += c
+
+    lo = at(int(rank))
+    return lo if rank == int(rank) else lo + (at(int(rank) + 1) - lo) * (rank - int(rank))
+
+
 def fit_teams(features: DataFrame, k: int = 2, seed: int = 42) -> tuple[list[list[float]], float]:
     """Centres in ascending order and the 95th percentile of the distances to the nearest, from ``feature`` arrays."""
     from pyspark.ml.clustering import KMeans
@@ -105,7 +130,7 @@ def fit_teams(features: DataFrame, k: int = 2, seed: int = 42) -> tuple[list[lis
             ]
         )
     )
-    return centers, features.agg(F.percentile(dist, 0.95)).first()[0]
+    return centers, exact_percentile(features.select(dist.alias("distance")), "distance", 0.95)
 
 
 def golden_prefix(counts: DataFrame, key: list[str], order: str, n: str, enough: int = 20) -> DataFrame:

@@ -94,3 +94,27 @@ def brightest_colours(spark, d):
     pixels = detections(spark, d).select((F.col("frame_id") % 50).alias("crop"), byte("x").alias("b"), byte("y").alias("g"), byte("w").alias("r"))
     out = O.brightest_colour(pixels, ["crop"])
     return out.select("crop", *[F.round(c, 6).alias(c) for c in "rgb"])
+
+
+def _goals(spark, d):
+    """Every third box as a goal found by one of three methods, beside the place of its frame's first."""
+    pos = positions(detections(spark, d))
+    method = F.get(F.array(F.lit("zero_shot"), F.lit("color"), F.lit("lines")), (F.col("det_id") % 3).cast("int"))
+    beside = lambda c, k: (F.col("frame_id") * k) % 1000 + F.col(c) % 97
+    return pos.select(
+        (F.col("frame_id") % 20).alias("match_id"), "frame_id", F.col("det_id").alias("goal_id"), method.alias("method"), beside("x", 7).alias("x"), beside("y", 3).alias("y"), "px", "confidence"
+    )
+
+
+@query()
+def fused_goals(spark, d):
+    """Goals of a frame found by several methods, fused within each side."""
+    out = O.fused_goals(_goals(spark, d), ["frame_id"])
+    return out.select("frame_id", "side", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n", F.round("confidence", 6).alias("confidence"))
+
+
+@query()
+def smoothed_goals(spark, d):
+    """Goals averaged over the last ten frames with goals."""
+    out = O.smoothed_goals(_goals(spark, d))
+    return out.select("match_id", "frame_id", "side", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n", F.round("confidence", 6).alias("confidence"))

@@ -119,3 +119,16 @@ def test_wild_marks_do_not_move_the_fit(spark):
     assert sorted(got) == [0, 1, 2, 3] and all(r.votes >= 21 for r in got.values())
     assert all(np.allclose(r.homography, [0.07, 0, -60, 0, 0.05, -25, 0, 0.0003, 1], atol=1e-2 if r.votes > 21 else 1e-9) for r in got.values())
     assert sum(r.votes == 21 for r in got.values()) >= 2
+
+
+def test_exact_percentile(spark):
+    import random
+
+    from fieldglass.operators import robust
+
+    rnd = random.Random(1)
+    for values in ([3.0], [1.0, 2.0], [rnd.choice([1.0, 2.0, 5.0]) for _ in range(50)], [rnd.gauss(0, 1) for _ in range(501)], [*range(100), 1e9]):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        for share in (0.0, 0.37, 0.95, 1.0):
+            assert abs(robust.exact_percentile(df, "v", share, 16) - float(np.percentile(values, 100 * share))) < 1e-9
+    assert robust.exact_percentile(spark.createDataFrame([(None,)], "v double"), "v", 0.5) is None
