@@ -13,7 +13,8 @@ from .landmarks import TYPES
 AX, BX, AY, BY = 0.0521, -47.3, 0.0371, -19.5
 _P = sql("det", "pos")
 _M = f"""{_P}, m AS (SELECT frame_id % 20 AS match_id, frame_id, det_id, class_id, x + w / 2 AS x, y + h / 2 AS y FROM pos),
-  f AS (SELECT match_id, frame_id, row_number() OVER (PARTITION BY match_id ORDER BY frame_id) AS r, count(*) OVER (PARTITION BY match_id) AS n FROM (SELECT DISTINCT match_id, frame_id FROM m)),
+  f AS (SELECT match_id, frame_id, row_number() OVER (PARTITION BY match_id ORDER BY frame_id) AS r, count(*) OVER (PARTITION BY match_id) AS n
+    FROM (SELECT DISTINCT match_id, frame_id FROM m)),
   o AS (SELECT m.*, r, n, CAST({AX} AS DOUBLE) * x + CAST({BX} AS DOUBLE) AS hx, CAST({AY} AS DOUBLE) * y + CAST({BY} AS DOUBLE) AS hy,
     x / CAST(1920.0 AS DOUBLE) * CAST(105.0 AS DOUBLE) - CAST(52.5 AS DOUBLE) AS fx, y / CAST(1080.0 AS DOUBLE) * CAST(68.0 AS DOUBLE) - CAST(34.0 AS DOUBLE) AS fy FROM m JOIN f USING (match_id, frame_id)),
   p AS (SELECT *, n >= 10 AND r >= 10 AS frozen, CASE WHEN n >= 10 AND r >= 10 THEN hx ELSE fx END AS px, CASE WHEN n >= 10 AND r >= 10 THEN hy ELSE fy END AS py FROM o),

@@ -56,7 +56,9 @@ def regions(spark, d):
 
 
 @query("""WITH a AS (SELECT o_orderkey % 3 AS source, o_custkey % 4 AS category_id FROM orders), i AS (SELECT c_nationkey % 3 AS source, count(*) AS images FROM customer GROUP BY 1),
-  n AS (SELECT source, count(*) AS annotations FROM a GROUP BY 1), k AS (SELECT s.source, c.id, count(a.source) AS n FROM (SELECT unnest([0, 1, 2]) AS source) s CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS id) c LEFT JOIN a ON a.source = s.source AND a.category_id = c.id GROUP BY 1, 2),
+  n AS (SELECT source, count(*) AS annotations FROM a GROUP BY 1), k AS (SELECT s.source, c.id, count(a.source) AS n
+    FROM (SELECT unnest([0, 1, 2]) AS source) s CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS id) c LEFT JOIN a ON a.source = s.source
+    AND a.category_id = c.id GROUP BY 1, 2),
   t AS (SELECT source, count(*) AS categories, string_agg(id || ':' || n, ',' ORDER BY id) AS by_category FROM k GROUP BY 1)
   SELECT i.source, images, annotations, categories, by_category, printf('%.1f', annotations / images) AS annotations_each FROM i JOIN n ON n.source = i.source JOIN t ON t.source = i.source""")
 def dataset_summaries(spark, d):

@@ -98,7 +98,8 @@ def _scores_sql() -> str:
             f"JOIN {name}_2 {name} ON"
         )
     return f"""{half}{more}, n AS (SELECT class_id, count(*) FILTER (WHERE side = 0) AS predictions, count(*) FILTER (WHERE side = 1) AS targets FROM (SELECT class_id, 0 AS side FROM p WHERE {_BOTH} UNION ALL SELECT class_id, 1 FROM g WHERE {_BOTH}) GROUP BY class_id),
-  t AS (SELECT 0.5::DOUBLE AS iou, class_id, count(*) AS tp FROM walk WHERE target IS NOT NULL GROUP BY class_id UNION ALL SELECT 0.75::DOUBLE, class_id, count(*) FROM walk_2 WHERE target IS NOT NULL GROUP BY class_id),
+  t AS (SELECT 0.5::DOUBLE AS iou, class_id, count(*) AS tp FROM walk WHERE target IS NOT NULL GROUP BY class_id
+    UNION ALL SELECT 0.75::DOUBLE, class_id, count(*) FROM walk_2 WHERE target IS NOT NULL GROUP BY class_id),
   v AS (SELECT n.class_id, l.iou, coalesce(t.tp, 0) AS tp, n.predictions, n.targets, coalesce(t.tp, 0) / n.predictions AS p, coalesce(t.tp, 0) / n.targets AS r FROM n CROSS JOIN (VALUES (0.5::DOUBLE), (0.75::DOUBLE)) l(iou) LEFT JOIN t ON t.class_id = n.class_id AND t.iou = l.iou)
   SELECT class_id, iou, tp, predictions, targets, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, round(p * r, 6) AS product FROM v"""
 
@@ -140,10 +141,12 @@ def detection_rates(spark, d):
 _ASSIGN = _D.replace("WITH ", "WITH RECURSIVE ", 1) + """, p AS (SELECT frame_id, det_id, x + det_id % 4 * 12 AS x, y, w, h FROM det WHERE class_id = 1), g AS (SELECT * FROM det WHERE class_id = 1 AND det_id % 2 = 0),
   q AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY det_id) AS r, count(*) OVER (PARTITION BY frame_id) AS n FROM g),
   pair AS (SELECT q.frame_id, q.r, q.n, p.det_id AS pred, sqrt(pow(p.x + p.w / 2 - q.x - q.w / 2, 2) + pow(p.y + p.h / 2 - q.y - q.h / 2, 2)) AS distance,
-    greatest(0.0, least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x)) * greatest(0.0, least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y)) AS inter, p.w * p.h + q.w * q.h AS area FROM q JOIN p ON p.frame_id = q.frame_id),
+    greatest(0.0, least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x)) * greatest(0.0, least(p.y + p.h, q.y + q.h) -
+      greatest(p.y, q.y)) AS inter, p.w * p.h + q.w * q.h AS area FROM q JOIN p ON p.frame_id = q.frame_id),
   cost AS (SELECT *, {cost} AS c FROM pair),
   walk AS (SELECT frame_id, r, n, [pred] AS used, c AS total FROM cost WHERE r = 1
-    UNION ALL SELECT c.frame_id, c.r, c.n, list_append(w.used, c.pred), w.total + c.c FROM walk w JOIN cost c ON c.frame_id = w.frame_id AND c.r = w.r + 1 AND NOT list_contains(w.used, c.pred)),
+    UNION ALL SELECT c.frame_id, c.r, c.n, list_append(w.used, c.pred), w.total + c.c FROM walk w JOIN cost c ON c.frame_id = w.frame_id
+      AND c.r = w.r + 1 AND NOT list_contains(w.used, c.pred)),
   best AS (SELECT frame_id, n AS pairs, min(total) AS total FROM walk WHERE r = n GROUP BY frame_id, n)"""
 _BY_DISTANCE, _BY_IOU = _ASSIGN.replace("{cost}", "distance"), _ASSIGN.replace("{cost}", "1 - inter / greatest(area - inter, 1e-6)")
 

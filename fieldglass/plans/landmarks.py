@@ -55,7 +55,8 @@ def averaged_checks(spark, d):
 
 @query(_K + """, c AS (SELECT frame_id % 50 AS match_id, type, det_id, frame_id, x, y, px, py, confidence, floor(x / 640) * 2 + floor(y / 540) AS cluster FROM k),
   q AS (SELECT match_id, type, cluster, count(*) AS n, quantile_cont(x, 0.25) AS x1, quantile_cont(x, 0.75) AS x3, quantile_cont(y, 0.25) AS y1, quantile_cont(y, 0.75) AS y3 FROM c GROUP BY 1, 2, 3),
-  i AS (SELECT c.*, q.n, x BETWEEN x1 - 1.5 * (x3 - x1) AND x3 + 1.5 * (x3 - x1) AND y BETWEEN y1 - 1.5 * (y3 - y1) AND y3 + 1.5 * (y3 - y1) AS inside FROM c JOIN q USING (match_id, type, cluster)),
+  i AS (SELECT c.*, q.n, x BETWEEN x1 - 1.5 * (x3 - x1) AND x3 + 1.5 * (x3 - x1) AND y BETWEEN y1 - 1.5 * (y3 - y1)
+    AND y3 + 1.5 * (y3 - y1) AS inside FROM c JOIN q USING (match_id, type, cluster)),
   s AS (SELECT match_id, type, cluster, count(*) FILTER (WHERE inside) AS kept FROM i GROUP BY 1, 2, 3),
   o AS (SELECT i.* FROM i JOIN s USING (match_id, type, cluster) WHERE n < 3 OR kept < n * 0.5 OR inside)
   SELECT match_id, type, CAST(cluster AS BIGINT) AS cluster, round(median(px), 6) AS px, round(median(py), 6) AS py, count(*) AS n FROM o GROUP BY 1, 2, 3""")

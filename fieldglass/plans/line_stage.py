@@ -10,10 +10,13 @@ from .lines import _SEG, segments
 
 _LINES = _SEG.replace("WITH ", "WITH RECURSIVE ", 1) + """,
   ln AS (SELECT *, (y2 - y1) / n AS a, (x1 - x2) / n AS b, -((y2 - y1) * x1 + (x1 - x2) * y1) / n AS c,
-    CASE WHEN atan2(x2 - x1, -(y2 - y1)) < 0 THEN atan2(x2 - x1, -(y2 - y1)) + pi() ELSE atan2(x2 - x1, -(y2 - y1)) END * 500.0 AS theta, (x1 * -(y2 - y1) + y1 * (x2 - x1)) / n AS rho
+    CASE WHEN atan2(x2 - x1, -(y2 - y1)) < 0 THEN atan2(x2 - x1, -(y2 - y1)) + pi() ELSE
+      atan2(x2 - x1, -(y2 - y1)) END * 500.0 AS theta, (x1 * -(y2 - y1) + y1 * (x2 - x1)) / n AS rho
     FROM (SELECT *, sqrt((y2 - y1) * (y2 - y1) + (x1 - x2) * (x1 - x2)) AS n FROM seg) WHERE n > 0),
-  two AS (SELECT l.frame_id, l.det_id AS i, r.det_id AS j, l.a * r.b - r.a * l.b AS det, l.b * r.c - r.b * l.c AS nx, r.a * l.c - l.a * r.c AS ny FROM ln l JOIN ln r ON l.frame_id = r.frame_id AND l.det_id < r.det_id),
-  tried AS (SELECT frame_id, i, j, nx / det AS hx, ny / det AS hy FROM two WHERE abs(det) >= 1e-10 QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY md5(i || '-' || j), i, j) <= 200),
+  two AS (SELECT l.frame_id, l.det_id AS i, r.det_id AS j, l.a * r.b - r.a * l.b AS det, l.b * r.c - r.b * l.c AS nx, r.a * l.c - l.a * r.c AS ny
+    FROM ln l JOIN ln r ON l.frame_id = r.frame_id AND l.det_id < r.det_id),
+  tried AS (SELECT frame_id, i, j, nx / det AS hx, ny / det AS hy FROM two WHERE abs(det) >= 1e-10 QUALIFY
+    row_number() OVER (PARTITION BY frame_id ORDER BY md5(i || '-' || j), i, j) <= 200),
   votes AS (SELECT h.frame_id, i, j, hx, hy, count(*) AS votes, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * c) AS ac, sum(b * c) AS bc
     FROM tried h JOIN ln l ON l.frame_id = h.frame_id AND abs(a * hx + b * hy + c) < 50 GROUP BY h.frame_id, i, j, hx, hy),
   best AS (SELECT *, aa * bb - ab * ab AS det FROM votes QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY votes DESC, i, j) = 1),
@@ -22,9 +25,11 @@ _MERGED = _LINES + """,
   sided AS (SELECT ln.*, abs(a * vx + b * vy + c) < 150 AS longitudinal FROM ln JOIN vp USING (frame_id)),
   near AS (SELECT l.frame_id, l.longitudinal, l.det_id AS u, r.det_id AS v FROM sided l JOIN sided r ON l.frame_id = r.frame_id AND l.longitudinal = r.longitudinal
     AND sqrt((l.rho - r.rho) * (l.rho - r.rho) + (l.theta - r.theta) * (l.theta - r.theta)) <= sqrt(1025.0)),
-  reach AS (SELECT frame_id, longitudinal, u, v FROM near UNION SELECT r.frame_id, r.longitudinal, r.u, n.v FROM reach r JOIN near n ON n.frame_id = r.frame_id AND n.longitudinal = r.longitudinal AND n.u = r.v),
+  reach AS (SELECT frame_id, longitudinal, u, v FROM near UNION SELECT r.frame_id, r.longitudinal, r.u, n.v FROM reach r
+    JOIN near n ON n.frame_id = r.frame_id AND n.longitudinal = r.longitudinal AND n.u = r.v),
   label AS (SELECT frame_id, longitudinal, u, min(v) AS line FROM reach GROUP BY frame_id, longitudinal, u),
-  mean AS (SELECT s.frame_id, s.longitudinal, line, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM sided s JOIN label ON label.frame_id = s.frame_id AND label.u = s.det_id GROUP BY s.frame_id, s.longitudinal, line),
+  mean AS (SELECT s.frame_id, s.longitudinal, line, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM sided s JOIN label ON label.frame_id = s.frame_id
+    AND label.u = s.det_id GROUP BY s.frame_id, s.longitudinal, line),
   merged AS (SELECT frame_id, longitudinal, line, a / sqrt(a * a + b * b) AS a, b / sqrt(a * a + b * b) AS b, c / sqrt(a * a + b * b) AS c FROM mean WHERE sqrt(a * a + b * b) >= 1e-10)"""
 _MET = _MERGED + """,
   met AS (SELECT l.frame_id, l.line AS i, r.line AS j, (l.b * r.c - r.b * l.c) / (l.a * r.b - r.a * l.b) AS x, (r.a * l.c - l.a * r.c) / (l.a * r.b - r.a * l.b) AS y
