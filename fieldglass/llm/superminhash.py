@@ -38,7 +38,7 @@ from .shingles import mix, shingle_set
 
 BANDS, ROWS = 36, 7
 #: Shingles that go through the steps together.
-BATCH = 100_000
+BATCH = 50_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
 
@@ -133,7 +133,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                     seen.add(key)
                     out.append((key, s.view(np.int64)))
                     size += len(s)
-                if size >= 10 * BATCH:
+                if size >= 20 * BATCH:
                     yield pd.DataFrame(out, columns=["key", "set"])
                     out, size = [], 0
             yield pd.DataFrame(out, columns=["key", "set"])
@@ -166,14 +166,15 @@ def _apart(a: str, b: str) -> Column:
 
 
 def _possible(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows of buckets without the nodes that can't reach the threshold with any, and without buckets of one.
+    """Rows of buckets with ``r``, without the nodes that can't reach the threshold with any, and without buckets of one.
 
-    A shingle that no other node of a bucket has can't overlap anything: with more of them than the threshold leaves
-    out, a set has no partner.
+    A shingle that no other node of a bucket has can't overlap anything; r, how many others a set has, bounds its
+    overlap with any other.
     """
     shingle = sets.select("node", F.explode("set").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"))
     alone = shingle.filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    left = buckets.join(alone, "node", "left").filter(den * (F.col("n") - F.coalesce("alone", F.lit(0))) >= num * F.col("n")).drop("alone")
+    left = buckets.join(alone, "node", "left").withColumn("r", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    left = left.filter(den * F.col("r") >= num * F.col("n"))
     common = left.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     return left.join(common, "token")
 
@@ -194,7 +195,8 @@ def _linked(buckets: DataFrame, sets: DataFrame, num: int, den: int, tmp: Scratc
         lead = salted.groupBy("token", "salt").agg(F.max(F.struct("full", "node")).alias("p")).select("token", F.col("p.node").alias("node"), F.lit(True).alias("pivot"))
         now = tmp.save(open_.join(lead, ["token", "node"], "left").withColumn("pivot", F.coalesce("pivot", F.lit(False))), "buckets")
         m, p = now.alias("m"), now.filter("pivot").alias("p")
-        fits = den * F.least(F.col("m.n"), F.col("p.n")) >= num * F.greatest(F.col("m.n"), F.col("p.n"))
+        overlap = F.least(F.col("m.r"), F.col("p.r"))
+        fits = den * overlap >= num * (F.col("m.n") + F.col("p.n") - overlap)
         once = ~F.col("m.pivot") | (F.col("m.node") < F.col("p.node"))
         before = lambda s: F.slice(F.col(f"{s}.bands"), F.lit(1), F.col(f"{s}.band"))
         earlier = F.exists(F.zip_with(before("m"), before("p"), lambda x, y: x == y), lambda x: x)
