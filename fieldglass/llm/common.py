@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fieldglass-"))
+        sc.setCheckpointDir(own := tempfile.mkdtemp(prefix="fieldglass-"))
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
     return sc.getCheckpointDir()
 
 
