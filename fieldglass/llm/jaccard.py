@@ -7,6 +7,7 @@
    reach the threshold share one among the first few of each (prefix filter). A bucket holds the nodes with one prefix
    shingle, each with the number of shared shingles that stand from there on: the first shingle that two sets have in
    common bounds their overlap by the smaller of these numbers (position filter), and every linked pair passes there.
+   Buckets with the same nodes, as the shingles of a shared passage have, are made one.
 3. Nodes of a bucket are compared without listing all their pairs: each bucket compares its members with a few pivots a
    round, more in each; a pivot is then done. Links carry labels on, so that nodes of one label are connected and need
    no comparison with each other. After a round, a member stays only if the bounds of the bucket's other labels leave
@@ -211,6 +212,19 @@ def _verify(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFr
     return sums.filter(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def _merged_buckets(buckets: DataFrame) -> DataFrame:
+    """buckets(token, node, n, r) with those of the same nodes made one, as the shingles of a shared passage are.
+
+    The first of their shingles in the global order is the same for all nodes; what stands from there on bounds overlaps.
+    """
+    sums = (F.bit_xor(F.xxhash64("node")), F.sum(F.shiftright(F.xxhash64(F.lit(7), "node"), 24)))
+    each = buckets.groupBy("token").agg(F.count(F.lit(1)).alias("c"), *[s.alias(c) for s, c in zip(sums, "xy", strict=True)])
+    same = each.groupBy("c", "x", "y").agg(F.min("token").alias("bucket"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    moved = each.join(same, ["c", "x", "y"]).select("token", "bucket")
+    at = buckets.join(moved, "token", "left").withColumn("token", F.coalesce("bucket", "token"))
+    return at.groupBy("token", "node", "n").agg(F.max("r").alias("r")).select("token", "node", "n", "r")
+
+
 def _candidates(members: DataFrame, lead: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b, na, nb), a < b: members of a bucket with its pivots of other components, where sizes and positions allow a link."""
     m, p = members.alias("m"), lead.alias("p")
@@ -324,14 +338,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     tokens = nodes.select("node", "n", "s", F.posexplode(prefix).alias("at", "token"))
     tokens = tokens.select("token", "node", "n", (F.col("s") - F.col("at")).alias("r"))  # r: shared shingles from here on
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
-    open_ = tmp.save(tokens.join(common, "token").withColumn("comp", F.col("node")), "buckets")
+    each = tmp.save(tokens.join(common, "token"), "shared")
+    open_ = tmp.save(_merged_buckets(each).withColumn("comp", F.col("node")), "buckets")
+    tmp.drop(each)
     bits = HASH_BITS - PAIR_BITS
     busy = open_.select("node").distinct()
     segments = nodes.join(busy, "node").select("node", F.explode("tokens").alias("t"))
     segments = segments.groupBy("node", F.shiftright("t", bits).cast("int").alias("fragment"))
     segments = tmp.save(segments.agg(F.collect_list("t").alias("segment")), "segments")
     tmp.drop(nodes)
-    del nodes, tokens, common
+    del nodes, tokens, common, each
     tmp.settle()
     comps = linked_components(open_, segments, num, den, tmp, first_pivots)
 
