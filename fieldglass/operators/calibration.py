@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from . import cluster, landmarks, robust
+from . import cluster, landmarks, robust, walk
 from .frames import running_sums, with_previous
 from .walk import made
 
@@ -186,31 +189,83 @@ def fused_goals(goals: DataFrame, keys: list[str], most: int = 4) -> DataFrame:
     return apart.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= most).select(*keys, "side", "x", "y", "n", "confidence")
 
 
-def smoothed_goals(goals: DataFrame, match: str = "match_id", size: int = 10) -> DataFrame:
+def smoothed_goals(goals: DataFrame, match: str = "match_id", size: int = 10, block: int = 1000) -> DataFrame:
     """goals(frame_id, goal_id, x, y, px, confidence) averaged over the last ``size`` frames with goals, by side.
 
     Goals that lie within 50 pixels of a cluster's member join it; clusters of two or more give a mean whose weights
     grow with confidence and recency. A frame without such a cluster keeps its own goals (n is 1).
+
+    Frames are dealt in blocks of ``block`` that also hold the frames just before, so a goal isn't copied for each frame
+    that it counts in, and a long match is many tasks.
     """
     frames = goals.select(match, "frame_id").distinct().withColumn("one", F.lit(1))
-    turns = running_sums(frames, [match], "frame_id", {"one": "turn"}).select(match, "frame_id", F.col("turn").cast("int").alias("turn"))
-    numbered = goals.join(turns, [match, "frame_id"])
-    sided = numbered.withColumn("side", F.when(F.col("px") < 0, "left").otherwise("right"))
-    last = sided.select(match, F.col("turn").alias("at"), F.col("frame_id").alias("now")).distinct()
-    shifted = sided.withColumn("at", F.explode(F.sequence(F.col("turn"), F.col("turn") + (size - 1)))).join(last, [match, "at"])
-    c = cluster.leader_clusters(shifted, [match, "at", "side"], ["turn", "goal_id"], 50.0, "any")
-    group = [match, "at", "now", "side", "cluster"]
-    n = F.row_number().over(W.partitionBy(*group).orderBy("turn", "goal_id"))
-    w = F.col("confidence") * F.col("n")
-    g = c.withColumn("n", n).groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.sum(F.col("x") * w) / F.sum(w)).alias("x"),
-        (F.sum(F.col("y") * w) / F.sum(w)).alias("y"),
-        F.least(F.lit(1.0), F.avg("confidence") * 1.1).alias("confidence"),
-    )
-    fused = g.filter("n >= 2").select(match, F.col("now").alias("frame_id"), "side", "x", "y", "n", "confidence")
-    own = sided.join(fused.select(match, "frame_id").distinct(), [match, "frame_id"], "left_anti")
-    return fused.unionByName(own.select(match, "frame_id", "side", "x", "y", F.lit(1).cast("long").alias("n"), "confidence"))
+    turns = running_sums(frames, [match], "frame_id", {"one": "turn"}).select(match, "frame_id", "turn")
+    left = F.coalesce(F.col("px") < 0, F.lit(False))
+    numbered = goals.select(match, "frame_id", "goal_id", left.alias("left"), "x", "y", "confidence").join(turns, [match, "frame_id"])
+    own = F.floor(F.col("turn") / block)
+    last = F.floor((F.col("turn") + (size - 1)) / block)
+    dealt = numbered.withColumn("block", F.explode(F.sequence(own, last)))
+    kind = goals.schema[match].dataType.simpleString()
+    schema = f"`{match}` {kind}, frame_id long, side string, x double, y double, n long, confidence double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, at in walk.groups(batches, [match, "block"]):
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                yield _smoothed(pdf.iloc[a:b], match, size, block)
+
+    ordered = dealt.repartition(match, "block").sortWithinPartitions(match, "block", "turn", "goal_id")
+    return ordered.mapInPandas(run, schema)
+
+
+def _smoothed(g: pd.DataFrame, match: str, size: int, block: int) -> pd.DataFrame:
+    """Fused and own goals of the frames of one block, whose goals come by turn and goal_id."""
+    mine = g["turn"].to_numpy() // block == g["block"].iloc[0]
+    frames = g[mine].drop_duplicates("turn")
+    turn, out, fused = frames["turn"].to_numpy(), [], np.zeros(len(frames), bool)
+    for side, name in ((True, "left"), (False, "right")):
+        s = g[g["left"].to_numpy() == side]
+        at, x, y, conf = (s[c].to_numpy(float) for c in ("turn", "x", "y", "confidence"))
+        start, stop = np.searchsorted(at, turn - (size - 1)), np.searchsorted(at, turn, "right")
+        # as many windows at once as keep their table of goals small
+        step = max(1, 2_000_000 // max(1, int((stop - start).max(initial=1))))
+        for k in range(0, len(turn), step):
+            w, *values = _window_means(x, y, conf, start[k : k + step], stop[k : k + step])
+            fused[k + w] = True
+            out.append(pd.DataFrame({"frame_id": frames["frame_id"].to_numpy()[k + w], "side": name, **dict(zip(("x", "y", "n", "confidence"), values, strict=True))}))
+    alone = g[mine & ~np.isin(g["turn"].to_numpy(), turn[fused])]
+    side = np.where(alone["left"].to_numpy(), "left", "right")
+    out.append(alone[["frame_id", "x", "y", "confidence"]].assign(side=side, n=1))
+    return pd.concat(out).assign(**{match: g[match].iloc[0]})[[match, "frame_id", "side", "x", "y", "n", "confidence"]]
+
+
+def _window_means(x: np.ndarray, y: np.ndarray, conf: np.ndarray, start: np.ndarray, stop: np.ndarray, radius: float = 50.0) -> tuple[np.ndarray, ...]:
+    """window, x, y, n, confidence of the clusters of two or more goals in the windows of rows from start to stop.
+
+    Each goal joins the first cluster that has a member within the radius; all windows take their next goal at once.
+    """
+    size = stop - start
+    most = int(size.max(initial=0))
+    label, count = np.full((len(size), most), most), np.zeros((len(size), most + 1), np.int64)
+    found, total = np.zeros(len(size), np.int64), [np.zeros((len(size), most)) for _ in range(5)]
+    for p in range(most):
+        w = np.flatnonzero(size > p)
+        r = start[w] + p
+        before = start[w][:, None] + np.arange(p)
+        near = np.sqrt((x[before] - x[r][:, None]) ** 2 + (y[before] - y[r][:, None]) ** 2) < radius
+        c = np.where(near, label[w, :p], most).min(1, initial=most)
+        new = c == most
+        c = np.where(new, found[w], c)
+        found[w] += new
+        label[w, p] = c
+        count[w, c] += 1
+        known = ~np.isnan(conf[r])
+        v = np.where(known, conf[r] * count[w, c], 0.0)
+        for t, add in zip(total, (v, v * x[r], v * y[r], np.where(known, conf[r], 0.0), known), strict=True):
+            t[w, c] += add
+    w, c = np.nonzero(count[:, :most] >= 2)
+    weight, sx, sy, sure, known = (t[w, c] for t in total)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return w, sx / weight, sy / weight, count[w, c], np.minimum(1.0, sure / known * 1.1)
 
 
 def merged_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
