@@ -19,9 +19,10 @@ r6 = lambda c: F.round(c, 6)
   SELECT frame_id, det_id, match, round(distance, 6) AS distance, distance > 10 AS mismatch, distance > 20 AS far FROM b""")
 def stored_mismatches(spark, d):
     """Stored boxes against the nearest fresh one: off by over 10, and by over 20 pixels."""
-    det = detections(spark, d).withColumns({"x": F.col("x") / 20, "y": F.col("y") / 20})
-    out = matching.flagged(matching.nearest(det.filter("det_id % 2 = 1"), det.filter("det_id % 2 = 0"), ["frame_id"], "det_id", "det_id"))
-    return out.withColumn("distance", r6("distance"))
+    det = detections(spark, d)
+    near = matching.nearest(det.filter("det_id % 2 = 1"), det.filter("det_id % 2 = 0"), ["frame_id"], "det_id", "det_id")
+    # divided after the root: equal distances stay equal
+    return matching.flagged(near.withColumn("distance", F.col("distance") / 20)).withColumn("distance", r6("distance"))
 
 
 @query(_D + """, a AS (SELECT frame_id, x, confidence FROM det WHERE frame_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY det_id DESC) = 1),
