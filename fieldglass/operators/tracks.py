@@ -168,16 +168,27 @@ def walked(det: DataFrame, frames: DataFrame, match: str, high: float, low: floa
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in det.schema.fields)}, number long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, tracker = None, Tracker(high, low, iou, buffer)
-        for pdf, at in walk.groups(batches, [match, "island", "frame_id"]):
+        last, trackers = None, Trackers(high, low, iou, buffer)
+        for pdf, at in walk.groups(walk.larger(batches), [match, "island", "frame_id"]):
             box = pdf[["x", "y", "w", "h"]].to_numpy(float)
             conf, cls, tick = pdf["confidence"].to_numpy(), pdf["class_id"].to_numpy(), pdf["tick"].to_numpy()
-            of = list(zip(pdf[match].to_numpy()[at[:-1]].tolist(), pdf["island"].to_numpy()[at[:-1]].tolist(), strict=True))
+            of = pdf[[match, "island"]].to_numpy()[at[:-1]]
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]).any(1)
+            new[0] = last is None or (of[0] != last).any()
+            lane = np.cumsum(new) - new[0]
+            trackers.begin(int(lane[-1]) + 1, bool(new[0]))
+            last = of[-1]
+            # step s: the frame number s of each island
+            turn = np.arange(len(of)) - np.maximum.accumulate(np.where(new | (np.arange(len(of)) == 0), np.arange(len(of)), 0))
+            order = np.argsort(turn, kind="stable")
+            steps = np.searchsorted(turn[order], np.arange(turn.max() + 2))
             out = np.full(len(pdf), -1, np.int64)
-            for a, b, island in zip(at[:-1].tolist(), at[1:].tolist(), of, strict=True):
-                if island != now:
-                    now, tracker = island, Tracker(high, low, iou, buffer)
-                out[a:b] = tracker.frame(box[a:b], conf[a:b], cls[a:b], int(tick[a]))
+            for a, b in zip(steps[:-1], steps[1:], strict=True):
+                f = order[a:b]
+                size = at[f + 1] - at[f]
+                rows = np.repeat(at[f] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                out[rows] = trackers.frames(np.repeat(lane[f], size), box[rows], conf[rows], cls[rows], tick[rows])
             yield pdf.assign(number=out)[out >= 0]
 
     dealt = det.repartition(match, "island").sortWithinPartitions(match, "island", "frame_id", walk.descending("confidence"), "det_id")
@@ -217,6 +228,76 @@ def validated_balls(
     )
 
 
+class Trackers:
+    """Trackers of many islands that take their next frames at once; the open tracks of all, by island and number.
+
+    Each island's tracks are those of a Tracker of its own.
+    """
+
+    def __init__(self, high: float, low: float, iou: float, buffer: int):
+        self.high, self.low, self.iou, self.buffer = high, low, iou, buffer
+        self.lane, self.id, self.tick, self.cls = (np.zeros(0, np.int64) for _ in range(4))
+        self.box, self.number = np.zeros((0, 4)), np.zeros(1, np.int64)
+
+    def begin(self, lanes: int, new: bool) -> None:
+        """Islands 0 to lanes - 1 come now; the first goes on where the last one was, unless it is new too."""
+        keep = self.lane == (-1 if new else len(self.number) - 1)
+        self._keep(keep)
+        self.lane[:] = 0
+        number = np.zeros(lanes, np.int64)
+        number[0] = 0 if new else self.number[-1]
+        self.number = number
+
+    def _keep(self, keep: np.ndarray) -> None:
+        self.lane, self.id, self.tick, self.cls, self.box = (v[keep] for v in (self.lane, self.id, self.tick, self.cls, self.box))
+
+    def frames(self, lane: np.ndarray, box: np.ndarray, conf: np.ndarray, cls: np.ndarray, tick: np.ndarray) -> np.ndarray:
+        """Numbers of the boxes of one frame for each of some islands, by island and falling confidence; -1 for boxes without one."""
+        out, now = np.full(len(box), -1, np.int64), np.full(len(self.number), -(2**62))
+        now[lane] = tick
+        self._keep(now[self.lane] - self.buffer <= self.tick)
+        taken = np.full(len(self.id), -1, np.int64)
+        for stage in (conf >= self.high, (conf < self.high) & (conf >= self.low)):
+            at = np.flatnonzero(stage)
+            for i, j in zip(*self._near(at, lane, box, cls, taken), strict=True):
+                if out[i] < 0 and taken[j] < 0:
+                    out[i], taken[j] = self.id[j], i
+        seen = np.flatnonzero(taken >= 0)
+        by = taken[seen]
+        self.box[seen], self.cls[seen], self.tick[seen] = box[by], cls[by], tick[by]
+        born = np.flatnonzero((out < 0) & (conf >= self.high))
+        if len(born):
+            of = lane[born]
+            first = np.searchsorted(of, of)
+            out[born] = self.number[of] + np.arange(len(of)) - first + 1
+            np.add.at(self.number, of, 1)
+            order = np.argsort(np.concatenate([self.lane, of]), kind="stable")
+            both = ((self.lane, of), (self.id, out[born]), (self.tick, tick[born]), (self.cls, cls[born]), (self.box, box[born]))
+            self.lane, self.id, self.tick, self.cls, self.box = (np.concatenate(v)[order] for v in both)
+        return out
+
+    def _near(self, at: np.ndarray, lane: np.ndarray, box: np.ndarray, cls: np.ndarray, taken: np.ndarray) -> tuple[list[int], list[int]]:
+        """Boxes and free tracks of one island and class that overlap enough, the best pairs first."""
+        start = np.searchsorted(self.lane, lane[at])
+        size = np.searchsorted(self.lane, lane[at], "right") - start
+        i = np.repeat(at, size)
+        j = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        ok = (cls[i] == self.cls[j]) & (taken[j] < 0)
+        i, j = i[ok], j[ok]
+        inter = np.ones(len(i))
+        for c in (0, 1):  # along x, then along y of what is left
+            b, t, bw, tw = box[:, c], self.box[:, c], box[:, c + 2], self.box[:, c + 2]
+            side = np.minimum((b + bw)[i], (t + tw)[j]) - np.maximum(b[i], t[j])
+            meet = np.flatnonzero(side > 0) if self.iou > 0 else np.arange(len(i))
+            i, j, inter = i[meet], j[meet], inter[meet] * np.clip(side[meet], 0, None)
+        size_b, size_t = box[:, 2] * box[:, 3], self.box[:, 2] * self.box[:, 3]
+        v = inter / np.maximum(size_b[i] + size_t[j] - inter, 1e-6)
+        near = v >= self.iou
+        i, j, v = i[near], j[near], v[near]
+        order = np.lexsort((j, i, -v))
+        return i[order].tolist(), j[order].tolist()
+
+
 class Tracker:
     """Open tracks of one match: box, class and the frame that they were last seen in."""
 

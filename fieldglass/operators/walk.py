@@ -40,6 +40,19 @@ def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[p
         yield pd.concat(held, ignore_index=True), np.array([0, sum(map(len, held))])
 
 
+def larger(batches: Iterator[pd.DataFrame], rows: int = 200_000) -> Iterator[pd.DataFrame]:
+    """The same rows in fewer batches, for walks that take a step in many groups at once."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _dealt(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 

@@ -2,8 +2,11 @@
 
 import datetime
 
+import numpy as np
+
 from fieldglass import registry
 from fieldglass.operators import calibration as C
+from fieldglass.operators import tracks
 
 GOALS = "match_id long, frame_id long, goal_id long, x double, y double, px double, confidence double"
 LINES = (
@@ -43,3 +46,22 @@ def test_stored_mismatches_at_exactly_twenty(spark, tmp_path):
     at = next(a for a in range(1500) if (a + 400) / 20 - a / 20 > 20)
     (row,) = registry.QUERIES["stored_mismatches"](spark, lineitem(spark, tmp_path, [(1, 1, at, 5), (1, 2, at + 400, 5)])).collect()
     assert (row.distance, row.mismatch, row.far) == (20.0, True, False)
+
+
+def test_islands_in_step_are_walked_like_each_alone():
+    """Islands of several lengths, the last of each chunk going on in the next, against a tracker for each."""
+    rng = np.random.default_rng(1)
+    islands = [[(t, n := int(rng.integers(1, 5)), rng.integers(0, 40, (n, 4)) + 20.0, np.sort(rng.random(n))[::-1], rng.integers(0, 2, n)) for t in np.flatnonzero(rng.random(k) < 0.8)] for k in (30, 90, 5, 40)]
+    want = [[tracks.Tracker.frame(t, b, c, k, int(tick)).tolist() for tick, _, b, c, k in i] for i in islands for t in [tracks.Tracker(0.5, 0.1, 0.3, 8)]]
+    got, many = [[] for _ in islands], tracks.Trackers(0.5, 0.1, 0.3, 8)
+    for chunk, new in (([(0, 0, 30), (1, 0, 20)], True), ([(1, 20, 90), (2, 0, 5), (3, 0, 40)], False)):
+        many.begin(len(chunk), new)
+        parts = [islands[i][a:b] for i, a, b in chunk]
+        for s in range(max(map(len, parts))):
+            now = [(lane, p[s]) for lane, p in enumerate(parts) if s < len(p)]
+            size = [f[1] for _, f in now]
+            cat = [np.concatenate([f[c] for _, f in now]) for c in (2, 3, 4)]
+            ids = many.frames(np.repeat([lane for lane, _ in now], size), *cat, np.repeat([f[0] for _, f in now], size))
+            for (lane, _), part in zip(now, np.split(ids, np.cumsum(size)[:-1]), strict=True):
+                got[chunk[lane][0]].append(part.tolist())
+    assert got == want
