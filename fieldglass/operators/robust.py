@@ -16,7 +16,7 @@ def y_scale(n: Column, span: Column, width: float = 68.0, least: int = 4) -> Col
     return F.when((n >= least) & k.between(0.5, 15.0), F.when(F.abs(k - 1) > 0.05, k).otherwise(F.lit(1.0)))
 
 
-def without_outliers(points: DataFrame, keys: list[str]) -> DataFrame:
+def without_outliers(points: DataFrame, keys: list[str], parts: int = 16) -> DataFrame:
     """Points within 1.5 interquartile ranges of the quartiles in x and y.
 
     Groups under three points stay whole, as do groups that would lose more than half.
@@ -27,10 +27,13 @@ def without_outliers(points: DataFrame, keys: list[str]) -> DataFrame:
     for c in "xy":
         lo, hi = F.col(f"_q{c}")[0], F.col(f"_q{c}")[1]
         inside = inside & F.col(c).between(lo - 1.5 * (hi - lo), hi + 1.5 * (hi - lo))
-    at = points.join(q, keys).withColumn("_in", inside)
-    kept = at.groupBy(*keys).agg(F.count_if("_in").alias("_kept"))
+    # a group is dealt in parts, each beside the group's figures: a few large groups are not a few tasks
+    dealt = points.withColumn("_part", F.pmod(F.xxhash64(*points.columns), F.lit(parts)).cast("int"))
+    beside = lambda g: g.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    at = dealt.join(beside(q), [*keys, "_part"]).withColumn("_in", inside)
+    kept = at.groupBy(*keys, "_part").agg(F.count_if("_in").alias("_kept")).groupBy(*keys).agg(F.sum("_kept").alias("_kept"))
     whole = (F.col("_n") < 3) | (F.col("_kept") < F.col("_n") * 0.5)
-    return at.join(kept, keys).filter(whole | F.col("_in")).select(*points.columns)
+    return at.join(beside(kept), [*keys, "_part"]).filter(whole | F.col("_in")).select(*points.columns)
 
 
 def robust_average(points: DataFrame, keys: list[str], images: int, also: tuple[str, ...] = ()) -> DataFrame:
