@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .walk import descending, labelled
+from .walk import descending, labelled, labelled_alike
 
 
 def _order(order: list[str], ascending: list[bool] | None) -> list:
@@ -60,12 +60,34 @@ def suppress_overlaps(det: DataFrame, keys: list[str], least: float = 0.5) -> Da
 
 def leader_clusters(points: DataFrame, keys: list[str], order: list[str], radius: float, to: str = "seed", ascending: list[bool] | None = None) -> DataFrame:
     """points with ``cluster``: each joins the first cluster within the radius of its ``seed``, running ``mean`` or ``any`` member."""
+    def means(x, y) -> np.ndarray:
+        group, n = np.arange(len(x)), x.shape[1]
+        sx, sy, count, found = np.zeros(x.shape), np.zeros(x.shape), np.zeros(x.shape, np.int64), np.zeros(len(x), np.int64)
+        out = np.zeros(x.shape, np.int64)
+        for p in range(n):
+            mx, my = (s / np.maximum(count, 1) for s in (sx, sy))
+            d = np.hypot(x[:, p, None] - mx, y[:, p, None] - my)
+            near = d < radius
+            for g, k in np.argwhere(np.abs(d - radius) <= 1e-9 * radius).tolist():  # too near to the radius for hypot
+                near[g, k] = math.dist((x[g, p], y[g, p]), (mx[g, k], my[g, k])) < radius
+            near &= count > 0
+            c = np.where(near.any(1), near.argmax(1), found)
+            found += c == found
+            sx[group, c] += x[:, p]
+            sy[group, c] += y[:, p]
+            count[group, c] += 1
+            out[:, p] = c
+        return out
+
+    if to == "mean":
+        return labelled_alike(points, keys, _order(order, ascending), means)
+
     def label(x, y) -> list[int]:
         found: list[list[tuple[float, float]]] = []
         out = []
         for p in zip(x.tolist(), y.tolist(), strict=True):
             for k, c in enumerate(found):
-                where = c[:1] if to == "seed" else [tuple(np.mean(c, 0).tolist())] if to == "mean" else c
+                where = c[:1] if to == "seed" else c
                 d = min(math.dist(p, q) for q in where)
                 if d < radius or (to == "seed" and d == radius):
                     c.append(p)
@@ -96,8 +118,8 @@ def spaced(points: DataFrame, keys: list[str], order: list[str], gap: float, asc
 
 def linked_clusters(points: DataFrame, keys: list[str], eps: float) -> DataFrame:
     """points with ``cluster``: connected components of points within eps (density clustering whose least size is one)."""
-    def label(x, y) -> list[int]:
-        p = np.stack([x, y], 1).astype(float)
+    def walked(x, y) -> np.ndarray:
+        p = np.stack([x, y], 1)
         out, n = np.full(len(p), -1), 0
         for i in range(len(p)):
             if out[i] < 0:
@@ -108,9 +130,22 @@ def linked_clusters(points: DataFrame, keys: list[str], eps: float) -> DataFrame
                         out[j] = n
                         todo += np.flatnonzero((out < 0) & (np.hypot(*(p - p[j]).T) <= eps)).tolist()
                 n += 1
-        return out.tolist()
+        return out
 
-    return labelled(points, keys, ["x", "y"], ["x", "y"], label)
+    def label(x, y) -> np.ndarray:
+        n = x.shape[1]
+        if n > 64:
+            return np.stack([walked(*g) for g in zip(x, y, strict=True)])
+        near = (np.hypot(x[:, :, None] - x[:, None], y[:, :, None] - y[:, None]) <= eps) | np.eye(n, dtype=bool)
+        root = np.broadcast_to(np.arange(n), x.shape)
+        while True:  # each row takes the first row that its neighbours know of
+            then = np.where(near, root[:, None], n).min(2)
+            if (then == root).all():
+                break
+            root = then
+        return np.take_along_axis(np.cumsum(root == np.arange(n), 1) - 1, root, 1)
+
+    return labelled_alike(points, keys, ["x", "y"], label)
 
 
 def grid_fuse(points: DataFrame, keys: list[str], cell: float = 8.0) -> DataFrame:

@@ -72,6 +72,23 @@ def labelled(df: DataFrame, keys: list[str], order: list[str | Column], columns:
     return _dealt(df, keys, order).mapInPandas(run, f"{fields}, cluster long")
 
 
+def labelled_alike(df: DataFrame, keys: list[str], order: list[str | Column], label: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int = 4_000_000) -> DataFrame:
+    """df with ``cluster``, from label(x, y), whose rows are groups of one size: all groups of a size are labelled at once."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, at in groups(batches, keys):
+            x, y, out, size = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), np.zeros(len(pdf), np.int64), np.diff(at)
+            for n in np.unique(size[size > 1]).tolist():
+                first = at[:-1][size == n]
+                step = max(1, most // (n * n))
+                for k in range(0, len(first), step):
+                    rows = first[k : k + step, None] + np.arange(n)
+                    out[rows] = label(x[rows], y[rows])
+            yield pdf.assign(cluster=out)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return _dealt(df, keys, order).mapInPandas(run, f"{fields}, cluster long")
+
+
 def made(df: DataFrame, keys: list[str], order: list[str | Column], columns: list[str], rows: Callable[..., list[tuple]], schema: str) -> DataFrame:
     """The rows that rows(arrays of a group's columns) gives for each group, after the group's keys."""
     names = [x.split()[0] for x in schema.split(", ")]

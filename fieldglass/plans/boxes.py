@@ -237,7 +237,7 @@ def leader_clusters(spark, d):
 def mean_clusters(spark, d):
     """Clusters within 100 pixels of their running mean."""
     return cluster.leader_clusters(
-        detections(spark, d),
+        detections(spark, d).select("frame_id", "det_id", "confidence", "x", "y"),
         ["frame_id"],
         ["confidence", "det_id"],
         100.0,
@@ -249,7 +249,7 @@ def mean_clusters(spark, d):
 @query(walk_sql.LINKED)
 def linked_clusters(spark, d):
     """Clusters of detections linked within 120 pixels."""
-    return cluster.linked_clusters(detections(spark, d), ["frame_id"], 120.0).select("frame_id", "det_id", "cluster")
+    return cluster.linked_clusters(detections(spark, d).select("frame_id", "det_id", "x", "y"), ["frame_id"], 120.0).select("frame_id", "det_id", "cluster")
 
 
 @query(walk_sql.SPACED)

@@ -1,12 +1,13 @@
 """What must not change, and what must not be carried along, as tables grow."""
 
 import datetime
+import math
 
 import numpy as np
 
 from fieldglass import registry
 from fieldglass.operators import calibration as C
-from fieldglass.operators import tracks
+from fieldglass.operators import cluster, robust, tracks, walk
 
 GOALS = "match_id long, frame_id long, goal_id long, x double, y double, px double, confidence double"
 LINES = (
@@ -65,3 +66,42 @@ def test_islands_in_step_are_walked_like_each_alone():
             for (lane, _), part in zip(now, np.split(ids, np.cumsum(size)[:-1]), strict=True):
                 got[chunk[lane][0]].append(part.tolist())
     assert got == want
+
+
+def test_clusters_of_many_groups_at_once(spark):
+    """Groups of several sizes in one batch; a plan without columns that the walk doesn't need."""
+    rows = [(g, float(i % n), 40.0 * (i * i % 7), 10.0 * i) for g, n in enumerate((1, 2, 5, 5, 70)) for i in range(n)]
+    pts = spark.createDataFrame(rows, "g long, i double, x double, y double")
+    for clusters, rule in ((lambda: cluster.linked_clusters(pts, ["g"], 60.0), "linked"), (lambda: cluster.leader_clusters(pts, ["g"], ["i"], 60.0, "mean"), "mean")):
+        got = {}
+        for r in clusters().collect():
+            got.setdefault(r.g, {})[r.x, r.y] = r.cluster
+        for g in got:
+            p = sorted((x, y) if rule == "linked" else (y, x) for k, _, x, y in rows if k == g)
+            p = p if rule == "linked" else [(x, y) for y, x in p]
+            assert [got[g][q] for q in p] == (_linked(p) if rule == "linked" else _means(p))
+    assert hasattr(walk, "labelled_alike")
+
+
+def _linked(p):
+    root = list(range(len(p)))
+    for _ in p:
+        root = [min(root[j] for j in range(len(p)) if math.dist(p[i], p[j]) <= 60) for i in range(len(p))]
+    return [sorted(set(root)).index(r) for r in root]
+
+
+def _means(p):
+    found, out = [], []
+    for q in p:
+        k = next((k for k, c in enumerate(found) if math.dist(q, [sum(v) / len(c) for v in zip(*c, strict=True)]) < 60), len(found))
+        found += [[]] * (k == len(found))
+        found[k] = [*found[k], q]
+        out.append(k)
+    return out
+
+
+def test_outliers_of_a_large_group_are_dealt_in_parts(spark):
+    rows = [(1, float(i), float(i % 10)) for i in range(400)] + [(1, 1e6, 0.0), (2, 0.0, 0.0)]
+    out = robust.without_outliers(spark.createDataFrame(rows, "g long, x double, y double"), ["g"])
+    assert sorted(map(tuple, out.collect())) == sorted(rows[:400] + rows[401:])
+    assert "_part" in plan(out).split("== Physical Plan ==")[1]
