@@ -29,22 +29,26 @@ def evaluate(pred: DataFrame, gt: DataFrame, ious: tuple[float, ...] = (0.5, 0.7
     levels = F.array(*[F.lit(float(x)) for x in ious])
     n = lambda df, name: df.groupBy("class_id").agg(F.count(F.lit(1)).alias(name))
     counts = n(p, "predictions").join(n(g, "targets"), "class_id", "full").withColumn("iou", F.explode(levels))
-    near = matching.candidate_matches(p, g, min(ious)).withColumn("level", F.explode(F.filter(levels, lambda x: F.col("iou") >= x)))
-    found = matching.greedy_matches(near, ["frame_id", "class_id", "level"])
-    found = found.groupBy("class_id", F.col("level").alias("iou")).agg(F.count(F.lit(1)).alias("tp"))
+    # a candidate's image has both predictions and targets
+    found = matching.greedy_level_counts(matching.candidate_matches(pred, gt, min(ious)), ious)
+    found = found.groupBy("class_id", F.col("level").alias("iou")).agg(F.sum("n").alias("tp"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     at = counts.join(found, ["class_id", "iou"], "left").select("class_id", "iou", z("tp"), z("predictions"), z("targets"))
     at = at.withColumns({"precision": G.ratio("tp", "predictions"), "recall": G.ratio("tp", "targets")})
     return at.withColumns({"f1": G.f1("precision", "recall"), "product": F.col("precision") * F.col("recall")})
 
 
-def greedy_counts(pred: DataFrame, gt: DataFrame, least: float = 0.5) -> DataFrame:
+def greedy_counts(pred: DataFrame, gt: DataFrame, least: float = 0.5, distance: bool = True) -> DataFrame:
     """tp, fp, fn, recall, precision of all images by greedy matches, and the mean distance of centres assigned by distance.
 
-    Images without targets count their predictions as false, those without predictions their targets as missed.
+    Images without targets count their predictions as false, those without predictions their targets as missed. Without
+    ``distance`` nothing is assigned and the mean distance is null.
     """
     tp = matching.greedy_matches(matching.candidate_matches(pred, gt, least)).agg(F.count(F.lit(1)).alias("tp"))
-    way = matching.optimal_matches(pred, gt, by="distance").agg(F.avg("distance").alias("mean_distance"))
+    if distance:
+        way = matching.optimal_matches(pred, gt, by="distance").agg(F.avg("distance").alias("mean_distance"))
+    else:
+        way = pred.sparkSession.range(1).select(F.lit(None).cast("double").alias("mean_distance"))
     n = pred.agg(F.count(F.lit(1)).alias("p")).join(gt.agg(F.count(F.lit(1)).alias("g")))  # one row each
     out = tp.join(n).join(way).select("tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn"), "mean_distance")
     return out.withColumns({"recall": G.ratio("tp", F.col("tp") + F.col("fn")), "precision": G.ratio("tp", F.col("tp") + F.col("fp"))})

@@ -44,7 +44,7 @@ def capped_predictions(spark, d):
 def greedy_ball_counts(spark, d):
     """Balls found, invented and missed by greedy matches over all images."""
     p, g = _pred_gt(spark, d)
-    out = O.greedy_counts(p.filter("class_id = 1"), g.filter("class_id = 1"))
+    out = O.greedy_counts(p.filter("class_id = 1"), g.filter("class_id = 1"), distance=False)
     return out.select("tp", "fp", "fn", r6("recall").alias("recall"), r6("precision").alias("precision"))
 
 

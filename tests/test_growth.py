@@ -7,7 +7,7 @@ import numpy as np
 
 from fieldglass import registry
 from fieldglass.operators import calibration as C
-from fieldglass.operators import cluster, robust, tracks, walk
+from fieldglass.operators import cluster, matching, robust, tracks, walk
 
 GOALS = "match_id long, frame_id long, goal_id long, x double, y double, px double, confidence double"
 LINES = (
@@ -105,3 +105,11 @@ def test_outliers_of_a_large_group_are_dealt_in_parts(spark):
     out = robust.without_outliers(spark.createDataFrame(rows, "g long, x double, y double"), ["g"])
     assert sorted(map(tuple, out.collect())) == sorted(rows[:400] + rows[401:])
     assert "_part" in plan(out).split("== Physical Plan ==")[1]
+
+
+def test_ball_counts_assign_nothing(spark, tmp_path):
+    """The query shows no distance, so its plan has the walk of the greedy matches alone; one walk scores all levels."""
+    d = lineitem(spark, tmp_path, [(1, n, 100 * n, 5) for n in range(1, 4)])
+    assert plan(registry.QUERIES["greedy_ball_counts"](spark, d)).split("== Physical Plan ==")[1].count("MapInPandas") == 1
+    cand = spark.createDataFrame([(1, 0, 1, 0.9, 5, 0.6), (1, 0, 2, 0.95, 5, 0.8), (1, 0, 2, 0.95, 6, 0.9), (1, 0, 1, 0.9, 6, 0.55)], "frame_id long, class_id int, pred long, score double, target long, iou double")
+    assert {(r.level, r.n) for r in matching.greedy_level_counts(cand, (0.5, 0.75)).collect()} == {(0.5, 2), (0.75, 1)}
