@@ -116,8 +116,8 @@ def spaced(points: DataFrame, keys: list[str], order: list[str], gap: float, asc
     return labelled(points, keys, _order(order, ascending), ["x", "y"], label).drop("cluster")
 
 
-def linked_clusters(points: DataFrame, keys: list[str], eps: float) -> DataFrame:
-    """points with ``cluster``: connected components of points within eps (density clustering whose least size is one)."""
+def linked(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
+    """Numbers of the connected components of points within eps, for groups of one size (rows), in the order of their first points."""
     def walked(x, y) -> np.ndarray:
         p = np.stack([x, y], 1)
         out, n = np.full(len(p), -1), 0
@@ -132,20 +132,22 @@ def linked_clusters(points: DataFrame, keys: list[str], eps: float) -> DataFrame
                 n += 1
         return out
 
-    def label(x, y) -> np.ndarray:
-        n = x.shape[1]
-        if n > 64:
-            return np.stack([walked(*g) for g in zip(x, y, strict=True)])
-        near = (np.hypot(x[:, :, None] - x[:, None], y[:, :, None] - y[:, None]) <= eps) | np.eye(n, dtype=bool)
-        root = np.broadcast_to(np.arange(n), x.shape)
-        while True:  # each row takes the first row that its neighbours know of
-            then = np.where(near, root[:, None], n).min(2)
-            if (then == root).all():
-                break
-            root = then
-        return np.take_along_axis(np.cumsum(root == np.arange(n), 1) - 1, root, 1)
-
-    return labelled_alike(points, keys, ["x", "y"], label)
+    n = x.shape[1]
+    if n > 64:
+        return np.stack([walked(*g) for g in zip(x, y, strict=True)])
+    near = (np.hypot(x[:, :, None] - x[:, None], y[:, :, None] - y[:, None]) <= eps) | np.eye(n, dtype=bool)
+    root = np.broadcast_to(np.arange(n), x.shape)
+    while True:  # each row takes the first row that its neighbours know of
+        then = np.where(near, root[:, None], n).min(2)
+        if (then == root).all():
+            break
+        root = then
+    return np.take_along_axis(np.cumsum(root == np.arange(n), 1) - 1, root, 1)
+
+
+def linked_clusters(points: DataFrame, keys: list[str], eps: float) -> DataFrame:
+    """points with ``cluster``: connected components of points within eps (density clustering whose least size is one)."""
+    return labelled_alike(points, keys, ["x", "y"], lambda x, y: linked(x, y, eps))
 
 
 def grid_fuse(points: DataFrame, keys: list[str], cell: float = 8.0) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from . import cluster
+from . import cluster, line_walk
+from .walk import dealt, made_alike
 
 
 def length() -> Column:
@@ -76,6 +79,17 @@ def with_lines(segments: DataFrame) -> DataFrame:
     return segments.withColumns({"a": a, "b": b, "c": c}).filter("a IS NOT NULL")
 
 
+def _dealt_lines(segments: DataFrame, keys: list[str], line_id: str) -> DataFrame:
+    """keys, line, a, b, c and the place (x, y) in the plane of distance and 500 times the angle, whole frames in the order of line numbers."""
+    known = segments.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).select(*keys, F.col(line_id).cast("long").alias("line"), "x1", "y1", "x2", "y2")
+    r, t = G.segment_polar("x1", "y1", "x2", "y2")
+    return with_lines(dealt(known, keys, [F.col("line").asc_nulls_last()])).select(*keys, "line", "a", "b", "c", r.alias("x"), (t * 500.0).alias("y"))
+
+
+def _arrays(pdf: pd.DataFrame, columns: str) -> list[np.ndarray]:
+    return [pdf["line"].to_numpy(), *(pdf[c].to_numpy(float) for c in columns)]
+
+
 def vanishing_points(segments: DataFrame, keys: list[str], line_id: str, trials: int = 200, near: float = 50.0) -> DataFrame:
     """keys, vx, vy, votes: the point that most of a frame's lines pass within ``near`` pixels of.
 
@@ -107,22 +121,26 @@ def vanishing_points(segments: DataFrame, keys: list[str], line_id: str, trials:
     return best.select(*keys, F.coalesce(vx, m["hx"]).alias("vx"), F.coalesce(vy, m["hy"]).alias("vy"), m["votes"].alias("votes"))
 
 
-def merged_by_direction(segments: DataFrame, points: DataFrame, keys: list[str], line_id: str, near: float = 150.0, rho: float = 20.0, theta: float = 0.05) -> DataFrame:
+def merged_by_direction(
+    segments: DataFrame, keys: list[str], line_id: str, near: float = 150.0, rho: float = 20.0, theta: float = 0.05, trials: int = 200, vote: float = 50.0
+) -> DataFrame:
     """keys, longitudinal, line, a, b, c: lines merged from a frame's segments, those through its vanishing point apart from the others.
 
-    Segments of a direction are one line if they are connected by steps within sqrt(rho ** 2 + (500 theta) ** 2) in the
-    plane of distance and 500 times the angle; its equation is their mean with a unit normal, its number their smallest.
+    The point is that of ``vanishing_points`` (``trials``, ``vote``), found in the same walk. Segments of a direction are
+    one line if they are connected by steps within sqrt(rho ** 2 + (500 theta) ** 2) in the plane of distance and 500
+    times the angle; its equation is their mean with a unit normal, its number their smallest.
     """
-    seg = with_lines(segments).join(points.select(*keys, "vx", "vy"), keys)
-    away = F.abs(F.col("a") * F.col("vx") + F.col("b") * F.col("vy") + F.col("c"))
-    r, t = G.segment_polar("x1", "y1", "x2", "y2")
-    flat = seg.select(*keys, F.col(line_id).alias("line"), "a", "b", "c", (away < near).alias("longitudinal"), r.alias("x"), (t * 500.0).alias("y"))
-    group = [*keys, "longitudinal"]
-    linked = cluster.linked_clusters(flat, group, (rho**2 + (500 * theta) ** 2) ** 0.5)
-    mean = linked.groupBy(*group, "cluster").agg(F.min("line").alias("line"), *[F.avg(c).alias(c) for c in "abc"])
-    n = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b"))
-    n = F.when(n >= 1e-10, n)
-    return mean.select(*group, "line", *[(F.col(c) / n).alias(c) for c in "abc"]).filter("a IS NOT NULL")
+    def rows(pdf: pd.DataFrame, at: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        of, along, line, abc = _merged(pdf, at, near, rho, theta, trials, vote)
+        return of, {"longitudinal": along, "line": line, **dict(zip("abc", abc, strict=True))}
+
+    return made_alike(_dealt_lines(segments, keys, line_id), keys, rows, "longitudinal boolean, line long, a double, b double, c double")
+
+
+def _merged(pdf: pd.DataFrame, at: np.ndarray, near: float, rho: float, theta: float, trials: int, vote: float) -> tuple:
+    lines = _arrays(pdf, "abcxy")
+    found = line_walk.points(*lines[:4], at, trials, vote)
+    return line_walk.merged(*lines, at, found, near, (rho**2 + (500 * theta) ** 2) ** 0.5)
 
 
 def line_keypoints(segments: DataFrame, keys: list[str], line_id: str, width: float, height: float, gap: float = 15.0, extend: float = 1.5) -> DataFrame:
@@ -131,7 +149,7 @@ def line_keypoints(segments: DataFrame, keys: list[str], line_id: str, width: fl
     The whole line stage: vanishing point, two directions, merged lines, crossings within the image and a margin, each
     at least ``gap`` from those before it.
     """
-    merged = merged_by_direction(segments, vanishing_points(segments, keys, line_id), keys, line_id)
+    merged = merged_by_direction(segments, keys, line_id)
     a, b = merged.filter("longitudinal").alias("a"), merged.filter("NOT longitudinal").alias("b")
     x, y = G.line_intersection(*[tuple(F.col(f"{s}.{c}") for c in "abc") for s in "ab"])
     met = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]).select(

@@ -53,7 +53,7 @@ def larger(batches: Iterator[pd.DataFrame], rows: int = 200_000) -> Iterator[pd.
         yield pd.concat(held, ignore_index=True)
 
 
-def _dealt(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+def dealt(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
@@ -69,24 +69,31 @@ def labelled(df: DataFrame, keys: list[str], order: list[str | Column], columns:
             yield pdf[out >= 0]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return _dealt(df, keys, order).mapInPandas(run, f"{fields}, cluster long")
+    return dealt(df, keys, order).mapInPandas(run, f"{fields}, cluster long")
+
+
+def alike(at: np.ndarray, numbers: Callable[[int], int], most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Groups of one size and their rows (a group's rows are at[k] to at[k + 1]), about ``most`` numbers at once of numbers(size) for each."""
+    size = np.diff(at)
+    for n in np.unique(size[size > 0]).tolist():
+        of = np.flatnonzero(size == n)
+        step = max(1, most // max(1, numbers(n)))
+        for k in range(0, len(of), step):
+            yield of[k : k + step], at[of[k : k + step], None] + np.arange(n)
 
 
 def labelled_alike(df: DataFrame, keys: list[str], order: list[str | Column], label: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int = 4_000_000) -> DataFrame:
     """df with ``cluster``, from label(x, y), whose rows are groups of one size: all groups of a size are labelled at once."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, at in groups(batches, keys):
-            x, y, out, size = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), np.zeros(len(pdf), np.int64), np.diff(at)
-            for n in np.unique(size[size > 1]).tolist():
-                first = at[:-1][size == n]
-                step = max(1, most // (n * n))
-                for k in range(0, len(first), step):
-                    rows = first[k : k + step, None] + np.arange(n)
+            x, y, out = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), np.zeros(len(pdf), np.int64)
+            for _, rows in alike(at, lambda n: n * n, most):
+                if rows.shape[1] > 1:
                     out[rows] = label(x[rows], y[rows])
             yield pdf.assign(cluster=out)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return _dealt(df, keys, order).mapInPandas(run, f"{fields}, cluster long")
+    return dealt(df, keys, order).mapInPandas(run, f"{fields}, cluster long")
 
 
 def made(df: DataFrame, keys: list[str], order: list[str | Column], columns: list[str], rows: Callable[..., list[tuple]], schema: str) -> DataFrame:
@@ -99,7 +106,18 @@ def made(df: DataFrame, keys: list[str], order: list[str | Column], columns: lis
             out = [(*(f[a] for f in first), *r) for a, b in zip(at[:-1], at[1:], strict=True) for r in rows(*(x[a:b] for x in arrays))]
             yield pd.DataFrame(out, columns=names)
 
-    return _dealt(df, keys, order).mapInPandas(run, schema)
+    return dealt(df, keys, order).mapInPandas(run, schema)
+
+
+def made_alike(df: DataFrame, keys: list[str], rows: Callable[[pd.DataFrame, np.ndarray], tuple[np.ndarray, dict[str, np.ndarray]]], schema: str) -> DataFrame:
+    """The rows that rows(pdf, at) gives for a batch of whole groups, after their groups' keys; it also gives each row's group. df must be dealt."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, at in groups(larger(batches, 100_000), keys):
+            of, columns = rows(pdf, at)
+            yield pd.DataFrame({k: pdf[k].to_numpy()[at[of]] for k in keys} | columns)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
+    return df.mapInPandas(run, f"{fields}, {schema}")
 
 
 def descending(name: str) -> Column:

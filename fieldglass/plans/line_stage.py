@@ -52,8 +52,7 @@ def vanishing_points(spark, d):
 @query(_MERGED + " SELECT frame_id, longitudinal, line, round(a, 6) AS a, round(b, 6) AS b, round(c, 3) AS c FROM merged")
 def merged_directions(spark, d):
     """Lines merged from the segments of each direction."""
-    s = segments(spark, d)
-    m = O.merged_by_direction(s, O.vanishing_points(s, ["frame_id"], "det_id"), ["frame_id"], "det_id")
+    m = O.merged_by_direction(segments(spark, d), ["frame_id"], "det_id")
     r6 = lambda c: F.round(c, 6).alias(c)
     return m.select("frame_id", "longitudinal", "line", r6("a"), r6("b"), F.round("c", 3).alias("c"))
 
