@@ -95,30 +95,15 @@ def vanishing_points(segments: DataFrame, keys: list[str], line_id: str, trials:
 
     Hypotheses are the crossings of pairs of lines, ``trials`` of a frame at most, chosen by a digest of their numbers, so
     that a result can be repeated. Each line votes for the hypotheses near it; the one with most votes (ties: the pair
-    with the smallest numbers) is moved to where the sum of squared distances to its voters' lines is least.
+    with the smallest numbers) is moved to where the sum of squared distances to its voters' lines is least. Frames are
+    walked where their lines are, so that pairs and votes are never rows.
     """
-    lines = with_lines(segments).select(*keys, F.col(line_id).alias("line"), "a", "b", "c")
-    l, r = lines.alias("l"), lines.alias("r")
-    same = lambda p, q: [F.col(f"{p}.{k}") == F.col(f"{q}.{k}") for k in keys]
-    x, y = G.line_intersection(*[tuple(F.col(f"{s}.{c}") for c in "abc") for s in "lr"])
-    both = l.join(r, [*same("l", "r"), F.col("l.line") < F.col("r.line")]).select(
-        *[F.col(f"l.{k}") for k in keys], F.col("l.line").alias("i"), F.col("r.line").alias("j"), x.alias("hx"), y.alias("hy")
-    )
-    turn = F.row_number().over(W.partitionBy(*keys).orderBy(F.md5(F.concat_ws("-", "i", "j").cast("binary")), "i", "j"))
-    tried = both.filter("hx IS NOT NULL").withColumn("turn", turn).filter(F.col("turn") <= trials).drop("turn")
-    h = tried.alias("h")
-    close = F.abs(F.col("l.a") * F.col("h.hx") + F.col("l.b") * F.col("h.hy") + F.col("l.c")) < near
-    total = lambda p, q: F.sum(F.col(f"l.{p}") * F.col(f"l.{q}"))
-    sums = {"aa": total("a", "a"), "ab": total("a", "b"), "bb": total("b", "b"), "ac": total("a", "c"), "bc": total("b", "c")}
-    votes = h.join(l, [*same("h", "l"), close]).groupBy(*[F.col(f"h.{k}") for k in keys], "h.i", "h.j", "h.hx", "h.hy").agg(
-        F.count(F.lit(1)).alias("votes"), *[v.alias(k) for k, v in sums.items()]
-    )
-    best = votes.groupBy(*keys).agg(F.max(F.struct("votes", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"), "hx", "hy", *sums)).alias("m"))
-    m = {k: F.col(f"m.{k}") for k in ("votes", "hx", "hy", *sums)}
-    det = m["aa"] * m["bb"] - m["ab"] * m["ab"]
-    det = F.when(det > 1e-9, det)
-    vx, vy = (m["ab"] * m["bc"] - m["bb"] * m["ac"]) / det, (m["ab"] * m["ac"] - m["aa"] * m["bc"]) / det
-    return best.select(*keys, F.coalesce(vx, m["hx"]).alias("vx"), F.coalesce(vy, m["hy"]).alias("vy"), m["votes"].alias("votes"))
+    def rows(pdf: pd.DataFrame, at: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        votes, vx, vy = line_walk.points(*_arrays(pdf, "abc"), at, trials, near)
+        of = np.flatnonzero(votes)
+        return of, {"vx": vx[of], "vy": vy[of], "votes": votes[of]}
+
+    return made_alike(_dealt_lines(segments, keys, line_id).drop("x", "y"), keys, rows, "vx double, vy double, votes long")
 
 
 def merged_by_direction(

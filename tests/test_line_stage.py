@@ -55,3 +55,8 @@ def test_merged_directions_of_odd_rows(spark):
     got = O.merged_by_direction(segments, ["frame_id"], "det_id").collect()
     assert sorted((r.frame_id, r.longitudinal, r.line) for r in got) == [(1, True, 1), (1, True, 2)]
     assert O.merged_by_direction(segments.limit(0), ["frame_id"], "det_id").count() == 0
+
+
+def test_vanishing_points_of_frames_of_any_size(spark, frames):
+    same_as_sql(spark, frames, "vanishing_points")
+    assert one_walk(spark, frames, "vanishing_points")
