@@ -89,3 +89,46 @@ def merged(ids, a, b, c, x, y, at: np.ndarray, found: tuple, near: float, eps: f
     size = np.sqrt(mean[0] * mean[0] + mean[1] * mean[1])
     kept, first = ~(size < 1e-10), rows[first]
     return of[first][kept], along[first][kept], ids[first][kept], [v[kept] / size[kept] for v in mean]
+
+
+def spaced(x: np.ndarray, y: np.ndarray, gap: float) -> np.ndarray:
+    """Which points of groups of one size (rows) stay if each that is nearer than ``gap`` to one kept before goes."""
+    groups, n = x.shape
+    stays = np.ones(x.shape, bool)
+    if n > 64:
+        for k in range(groups):
+            kx, ky, kept = np.empty(n), np.empty(n), 0
+            for p in range(n):
+                dx, dy = x[k, p] - kx[:kept], y[k, p] - ky[:kept]
+                if (np.sqrt(dx * dx + dy * dy) < gap).any():
+                    stays[k, p] = False
+                else:
+                    kx[kept], ky[kept], kept = x[k, p], y[k, p], kept + 1
+        return stays
+    dx, dy = x[:, :, None] - x[:, None], y[:, :, None] - y[:, None]
+    near = np.sqrt(dx * dx + dy * dy) < gap
+    for p in range(1, n):
+        stays[:, p] = ~(near[:, p, :p] & stays[:, :p]).any(1)
+    return stays
+
+
+def keypoints(of: np.ndarray, along: np.ndarray, line: np.ndarray, abc: list[np.ndarray], bounds: tuple, gap: float, most: int = 4_000_000) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """frame and i, j, x, y of where merged longitudinal lines meet transversal ones within bounds, spaced."""
+    l, t = np.flatnonzero(along), np.flatnonzero(~along)
+    start, many = np.searchsorted(of[t], of[l]), np.searchsorted(of[t], of[l], "right")
+    many -= start
+    cuts = np.flatnonzero(np.diff(np.cumsum(many) // most, prepend=0))
+    found = []
+    for s, n, r in zip(np.split(start, cuts), np.split(many, cuts), np.split(l, cuts), strict=True):
+        i = np.repeat(r, n)
+        j = t[np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        x, y, ok = crossings([v[i] for v in abc], [v[j] for v in abc])
+        x1, x2, y1, y2 = bounds
+        ok &= (x >= x1) & (x <= x2) & (y >= y1) & (y <= y2)
+        found.append((i[ok], j[ok], x[ok], y[ok]))
+    i, j, x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+    stays = np.ones(len(i), bool)
+    for _, rows in alike(np.append(np.flatnonzero(np.diff(of[i], prepend=-1)), len(i)), lambda n: n * n):
+        stays[rows] = spaced(x[rows], y[rows], gap)
+    i, j = i[stays], j[stays]
+    return of[i], {"i": line[i], "j": line[j], "x": x[stays], "y": y[stays]}

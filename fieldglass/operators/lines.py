@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from . import cluster, line_walk
+from . import line_walk
 from .walk import dealt, made_alike
 
 
@@ -128,21 +128,21 @@ def _merged(pdf: pd.DataFrame, at: np.ndarray, near: float, rho: float, theta: f
     return line_walk.merged(*lines, at, found, near, (rho**2 + (500 * theta) ** 2) ** 0.5)
 
 
-def line_keypoints(segments: DataFrame, keys: list[str], line_id: str, width: float, height: float, gap: float = 15.0, extend: float = 1.5) -> DataFrame:
+def line_keypoints(
+    segments: DataFrame, keys: list[str], line_id: str, width: float, height: float, gap: float = 15.0, extend: float = 1.5,
+    near: float = 150.0, rho: float = 20.0, theta: float = 0.05, trials: int = 200, vote: float = 50.0
+) -> DataFrame:
     """keys, i, j, x, y: where a frame's merged longitudinal lines (i) meet its transversal ones (j).
 
-    The whole line stage: vanishing point, two directions, merged lines, crossings within the image and a margin, each
-    at least ``gap`` from those before it.
+    The whole line stage in one walk: vanishing point, two directions, merged lines, crossings within the image and a
+    margin, each at least ``gap`` from those before it.
     """
-    merged = merged_by_direction(segments, keys, line_id)
-    a, b = merged.filter("longitudinal").alias("a"), merged.filter("NOT longitudinal").alias("b")
-    x, y = G.line_intersection(*[tuple(F.col(f"{s}.{c}") for c in "abc") for s in "ab"])
-    met = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]).select(
-        *[F.col(f"a.{k}") for k in keys], F.col("a.line").alias("i"), F.col("b.line").alias("j"), x.alias("x"), y.alias("y")
-    )
     mx, my = width * (extend - 1) / 2, height * (extend - 1) / 2
-    inside = met.filter(F.col("x").between(-mx, width + mx) & F.col("y").between(-my, height + my))
-    return cluster.spaced(inside, keys, ["i", "j"], gap)
+
+    def rows(pdf: pd.DataFrame, at: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        return line_walk.keypoints(*_merged(pdf, at, near, rho, theta, trials, vote), (-mx, width + mx, -my, height + my), gap)
+
+    return made_alike(_dealt_lines(segments, keys, line_id), keys, rows, "i long, j long, x double, y double")
 
 
 def unique_corners(points: Column, apart: float = 5.0) -> Column:

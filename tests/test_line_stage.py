@@ -4,9 +4,11 @@ import datetime
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from fieldglass import registry
+from fieldglass.operators import line_walk
 from fieldglass.operators import lines as O
 
 from .test_growth import LINES, plan
@@ -60,3 +62,28 @@ def test_merged_directions_of_odd_rows(spark):
 def test_vanishing_points_of_frames_of_any_size(spark, frames):
     same_as_sql(spark, frames, "vanishing_points")
     assert one_walk(spark, frames, "vanishing_points")
+
+
+def test_line_keypoints_of_frames_of_any_size(spark, frames):
+    same_as_sql(spark, frames, "line_keypoints")
+    assert one_walk(spark, frames, "line_keypoints")
+
+
+def test_keypoints_in_any_lots():
+    """Two frames whose crossings are taken in lots of a few, against one after the other."""
+    rng = np.random.default_rng(2)
+    of, along = np.repeat([0, 1, 2], [30, 5, 4]), np.concatenate([np.arange(30) < 16, np.arange(5) < 2, np.ones(4, bool)])
+    angle = rng.random(39) * 3
+    abc, line = [np.cos(angle), np.sin(angle), rng.random(39) * -400], np.arange(39) * 10
+    want = []
+    for f in range(3):
+        kept = []
+        for i in np.flatnonzero((of == f) & along):
+            for j in np.flatnonzero((of == f) & ~along):
+                x, y, ok = line_walk.crossings([v[i] for v in abc], [v[j] for v in abc])
+                if ok and 0 <= x <= 500 and 0 <= y <= 500 and all(np.sqrt((x - p) ** 2 + (y - q) ** 2) >= 15 for _, _, p, q in kept):
+                    kept.append((line[i], line[j], x, y))
+        want += [(f, *k) for k in kept]
+    for most in (1, 7, 4_000_000):
+        frame, p = line_walk.keypoints(of, along, line, abc, (0, 500, 0, 500), 15.0, most)
+        assert want and list(zip(frame, p["i"], p["j"], p["x"], p["y"], strict=True)) == want
