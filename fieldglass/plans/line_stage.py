@@ -42,23 +42,27 @@ _MET = _MERGED + """,
       len(list_intersect(coalesce(n.ns, []), w.kept)) = 0 FROM walk w JOIN close n ON n.frame_id = w.frame_id AND n.r = w.r + 1)"""
 
 
+def _rounded(c, digits):
+    """As DuckDB rounds: the multiple of a power of ten to a whole number, halves away from 0."""
+    return (F.round(F.col(c) * 10.0**digits) / 10.0**digits).alias(c)
+
+
 @query(_LINES + " SELECT frame_id, votes, round(vx, 2) AS vx, round(vy, 2) AS vy FROM vp WHERE abs(vx) < 20000 AND abs(vy) < 20000")
 def vanishing_points(spark, d):
     """The point that most lines of a frame pass by, of those that are not too far to tell."""
     v = O.vanishing_points(segments(spark, d), ["frame_id"], "det_id").filter((F.abs("vx") < 20000) & (F.abs("vy") < 20000))
-    return v.select("frame_id", "votes", F.round("vx", 2).alias("vx"), F.round("vy", 2).alias("vy"))
+    return v.select("frame_id", "votes", _rounded("vx", 2), _rounded("vy", 2))
 
 
 @query(_MERGED + " SELECT frame_id, longitudinal, line, round(a, 6) AS a, round(b, 6) AS b, round(c, 3) AS c FROM merged")
 def merged_directions(spark, d):
     """Lines merged from the segments of each direction."""
     m = O.merged_by_direction(segments(spark, d), ["frame_id"], "det_id")
-    r6 = lambda c: F.round(c, 6).alias(c)
-    return m.select("frame_id", "longitudinal", "line", r6("a"), r6("b"), F.round("c", 3).alias("c"))
+    return m.select("frame_id", "longitudinal", "line", _rounded("a", 6), _rounded("b", 6), _rounded("c", 3))
 
 
 @query(_MET + " SELECT frame_id, i, j, round(x, 3) AS x, round(y, 3) AS y FROM walk WHERE stays")
 def line_keypoints(spark, d):
     """Crossings of merged longitudinal and transversal lines, each away from those before it."""
     k = O.line_keypoints(segments(spark, d), ["frame_id"], "det_id", 1920, 1080)
-    return k.select("frame_id", "i", "j", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+    return k.select("frame_id", "i", "j", _rounded("x", 3), _rounded("y", 3))

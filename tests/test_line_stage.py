@@ -64,6 +64,15 @@ def test_vanishing_points_of_frames_of_any_size(spark, frames):
     assert one_walk(spark, frames, "vanishing_points")
 
 
+def test_vanishing_points_are_rounded_as_in_sql(spark, tmp_path):
+    """480.47499999999997 times 100 is 48047.5."""
+    lines = [(25753, 1955, 3, 26.0), (34000, 1020, 4, 20.0), (39658, 1900, 6, 33.0), (39984, 1398, 6, 19.0)]
+    rows = [(154934, *r, 1.0, 0.0, 0.0, "A", "F", datetime.datetime(2000, 1, 1)) for r in lines]
+    spark.createDataFrame(rows, LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
+    same_as_sql(spark, tmp_path, "vanishing_points")
+    assert registry.QUERIES["vanishing_points"](spark, str(tmp_path)).first().vx == 480.48
+
+
 def test_line_keypoints_of_frames_of_any_size(spark, frames):
     same_as_sql(spark, frames, "line_keypoints")
     assert one_walk(spark, frames, "line_keypoints")
