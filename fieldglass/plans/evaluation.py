@@ -20,6 +20,13 @@ def _pred_gt(spark, d):
     return det.withColumn("x", F.col("x") + F.col("det_id") % 4 * 12), det.filter("det_id % 2 = 0")
 
 
+def _sides(spark, d):
+    """_pred_gt as one table, read and numbered once."""
+    p, even = F.col("side") == 0, F.col("det_id") % 2 == 0
+    det = detections(spark, d).withColumn("side", F.explode(F.when(even, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return det.withColumn("x", F.when(p, F.col("x") + F.col("det_id") % 4 * 12).otherwise(F.col("x")))
+
+
 _IOU = "greatest(0.0, least(p.x + p.w, g.x + g.w) - greatest(p.x, g.x)) * greatest(0.0, least(p.y + p.h, g.y + g.h) - greatest(p.y, g.y))"
 _C = _D + f", p AS (SELECT frame_id, class_id, det_id, confidence, x + det_id % 4 * 12 AS x, y, w, h FROM det), g AS (SELECT * FROM det WHERE det_id % 2 = 0), i AS (SELECT p.frame_id, p.class_id, p.det_id AS pred, g.det_id AS target, {_IOU} AS inter, p.w * p.h + g.w * g.h AS area FROM p JOIN g ON p.frame_id = g.frame_id AND p.class_id = g.class_id), c AS (SELECT frame_id, class_id, pred, target, inter / greatest(area - inter, 1e-6) AS iou FROM i)"
 
@@ -106,8 +113,7 @@ def _scores_sql() -> str:
 
 @query(_scores_sql())
 def detection_scores(spark, d):
-    p, g = _pred_gt(spark, d)
-    return O.evaluate(p, g).select(
+    return O.evaluate_sides(_sides(spark, d)).select(
         "class_id",
         "iou",
         "tp",

@@ -7,7 +7,7 @@ import numpy as np
 
 from fieldglass import registry
 from fieldglass.operators import calibration as C
-from fieldglass.operators import cluster, matching, robust, tracks, walk
+from fieldglass.operators import cluster, evaluation, matching, robust, tracks, walk
 
 GOALS = "match_id long, frame_id long, goal_id long, x double, y double, px double, confidence double"
 LINES = (
@@ -113,3 +113,37 @@ def test_ball_counts_assign_nothing(spark, tmp_path):
     assert plan(registry.QUERIES["greedy_ball_counts"](spark, d)).split("== Physical Plan ==")[1].count("MapInPandas") == 1
     cand = spark.createDataFrame([(1, 0, 1, 0.9, 5, 0.6), (1, 0, 2, 0.95, 5, 0.8), (1, 0, 2, 0.95, 6, 0.9), (1, 0, 1, 0.9, 6, 0.55)], "frame_id long, class_id int, pred long, score double, target long, iou double")
     assert {(r.level, r.n) for r in matching.greedy_level_counts(cand, (0.5, 0.75)).collect()} == {(0.5, 2), (0.75, 1)}
+
+
+def test_scores_read_and_deal_the_boxes_once(spark, tmp_path):
+    """One scan; shuffles for the numbers, the frames and the classes; no pairs or frames as rows of a join."""
+    d = lineitem(spark, tmp_path, [(1, n, 100 * n, 5) for n in range(1, 4)])
+    physical = plan(registry.QUERIES["detection_scores"](spark, d)).split("== Physical Plan ==")[1]
+    assert (physical.count("FileScan"), physical.count("Exchange"), physical.count("Join")) == (1, 3, 0)
+
+
+def test_scores_of_many_images_against_a_plain_walk(spark):
+    """Images with one side only, more predictions than count, equal scores and IoUs, scores and classes that are null."""
+    rng = np.random.default_rng(4)
+    side = lambda most: [(f, c, n, float(rng.integers(0, 4)) if rng.random() < 0.9 else None, *map(float, rng.integers(0, 3, 2) * 2), 10.0, 10.0) for f in range(60) for n, c in enumerate(rng.choice([0, 1, None], rng.integers(0, most), p=[0.5, 0.4, 0.1]), 1)]
+    schema = "frame_id long, class_id int, det_id long, confidence double, x double, y double, w double, h double"
+    pred, gt = side(9), side(6)
+    for strict in (False, True):
+        got = evaluation.evaluate(spark.createDataFrame(pred, schema), spark.createDataFrame(gt, schema), strict=strict, most=5).collect()
+        assert {(r.class_id, r.iou, r.tp, r.predictions, r.targets) for r in got} == _scores(pred, gt, strict, 5) and len(got) == 6
+
+
+def _scores(pred, gt, strict, most):
+    first = lambda r: (r[3] is None, -(r[3] or 0), -r[2])
+    p = [r for f in range(60) for r in sorted((r for r in pred if r[0] == f), key=first)[:most]]
+    both = range(60) if strict else {r[0] for r in p} & {r[0] for r in gt}
+    out = set()
+    for level in (0.5, 0.75):
+        for c in (0, 1, None):
+            taken = set()
+            for q in p:
+                inter = [(max(10 - abs(q[4] - t[4]), 0) * max(10 - abs(q[5] - t[5]), 0), -t[2], t) for t in gt if t[:2] == q[:2] and q[1] == c is not None and (t[0], t[2]) not in taken]
+                best = max((i / (200 - i), n, t) for i, n, t in inter) if inter else (0,)
+                taken |= {(best[2][0], best[2][2])} if best[0] >= level else set()
+            out.add((c, level, len(taken), *(sum(r[1] == c and r[0] in both for r in s) for s in (p, gt))))
+    return out
